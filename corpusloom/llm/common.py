@@ -56,7 +56,7 @@ def write_whole(uri: str, write) -> None:
     fs, path = filesystem(uri)
     fs.create_dir(posixpath.dirname(path), recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(temporary) as out:
+    with fs.open_output_stream(temporary, compression=None) as out:
         write(out)
     fs.move(temporary, path)
 

@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import mixing, quality, simhash
+from corpusloom.llm import dac, mixing, quality, simhash, warc
 from corpusloom.llm.common import table
 
 
+#: Id that closes each document.
+END_ID = 2
+
+
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+
+
 def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -23,9 +37,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op5_mix_to_weights, op6_quality_rules, op8_simhash_near_dedup)
+    named = (op1_warc_archive, op3_token_files, op5_mix_to_weights, op6_quality_rules, op8_simhash_near_dedup)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_to_weights": mixing.ORACLE_SQL}
+    return {"op1_warc_archive": warc.ORACLE_SQL, "op5_mix_to_weights": mixing.ORACLE_SQL}
