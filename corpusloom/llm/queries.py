@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import dac, mixing, quality, simhash, warc
+from corpusloom.llm import dac, decontaminate, mixing, quality, simhash, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -36,8 +36,17 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc_archive, op3_token_files, op5_mix_to_weights, op6_quality_rules, op8_simhash_near_dedup)
+    named = (op1_warc_archive, op3_token_files, op5_mix_to_weights, op6_quality_rules, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 

@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 _U = np.uint64
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Every ASCII character but letters and digits.
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -72,8 +74,8 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
-    """Split and hash every text of the column."""
+def words(column: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> Words:
+    """Split every text of the column at separator bytes and hash its words; lower folds A to Z."""
     data, at = raw(column)
     if lower:
         data = _LOWER[data]
@@ -81,7 +83,7 @@ def words(column: pa.Array, lower: bool = False) -> Words:
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), np.zeros(len(at), np.int64), none, none, data)
-    inside = ~_SEPARATOR[data]
+    inside = ~separator[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
