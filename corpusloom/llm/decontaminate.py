@@ -62,22 +62,22 @@ def walk(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, se
     return out
 
 
-def table_keys(symbols: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """(tables, windows): the LSH keys of windows of n words."""
-    steps = 2 * n
-    end = np.minimum(start + n, len(symbols))
-    keys = []
+_SPOTS = np.random.default_rng(SEED).random((WALKS, TABLES, SAMPLES))
+
+
+def table_keys(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The LSH keys of each window, a table at a time. A window of an item's size n is sampled from its first 2 * n
+    steps, at the same parts of them for every n; end may cut a window off."""
+    steps = 2 * int(size.max(initial=0))
+    column = np.arange(len(start))
     for w in range(WALKS):
         rows = walk(symbols, start, end, steps, SEED + w)
-        chosen = np.random.default_rng(SEED * 1000 + n * 100 + w)
-        for _ in range(TABLES):
-            picked = rows[np.sort(chosen.choice(steps, min(SAMPLES, steps), replace=False))]
-            key = np.zeros(len(start), np.uint64)
+        for t in range(TABLES):
+            key = size.astype(np.uint64)
             with np.errstate(over="ignore"):
-                for r in picked:
-                    key = textvec.mix64(key * _U(0x9E3779B97F4A7C15) + r)
-            keys.append(key)
-    return np.stack(keys)
+                for spot in _SPOTS[w, t]:
+                    key = textvec.mix64(key * _U(0x9E3779B97F4A7C15) + rows[(spot * 2 * size).astype(np.int64), column])
+            yield key
 
 
 def best_match(item: np.ndarray, passage: np.ndarray) -> int:
@@ -105,56 +105,61 @@ class Items:
         self.runs = {}
         for q in {run_length(n) for n in self.lengths}:
             self.runs[q] = np.unique(np.concatenate([textvec.combine(x, q) for x in self.words.values() if run_length(len(x)) == q]))
-        self.tables = {}
-        for n, members in by_length.items():
-            symbols = np.concatenate([self.words[i] for i in members])
-            keys = table_keys(symbols, np.arange(len(members)) * n, n)
-            self.tables[n] = [(np.sort(k), np.array(members)[np.argsort(k, kind="stable")]) for k in keys]
-
-    def candidates(self, h: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length: (n, window starts, items) that share a table's key; windows stay in their text."""
-        end_of = np.repeat(at[1:], np.diff(at))
-        counts = {}
+        self.runs_of = {n: np.unique(np.concatenate([textvec.combine(self.words[i], run_length(n)) for i in by_length[n]])) for n in self.lengths}
+        members = [i for n in self.lengths for i in by_length[n]]
+        symbols = np.concatenate([self.words[i] for i in members]) if members else np.zeros(0, np.uint64)
+        size = np.array([len(self.words[i]) for i in members], np.int64)
+        start = np.cumsum(size) - size
+        self.tables = [(np.sort(k), np.array(members)[np.argsort(k, kind="stable")]) for k in table_keys(symbols, start, start + size, size)]
+
+    def windows(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, size) of the windows that the run bound leaves, for the items of each length by themselves."""
+        spots = {}
         for q, runs in self.runs.items():
             known = textvec.combine(h, q)
-            place = np.minimum(np.searchsorted(runs, known), len(runs) - 1) if len(known) else np.zeros(0, np.int64)
-            hits = np.zeros(len(h), bool)
-            hits[: len(known)] = (runs[place] == known) & (np.arange(len(known)) + q <= end_of[: len(known)])
-            hits[1 : len(known)] &= known[1:] != known[:-1]
-            counts[q] = np.concatenate([[0], np.cumsum(hits)])
+            if len(known):
+                known_at = np.minimum(np.searchsorted(runs, known), len(runs) - 1)
+                hits = runs[known_at] == known
+                hits[1:] &= known[1:] != known[:-1]
+                spot = np.flatnonzero(hits)
+                text = np.searchsorted(at, spot, "right") - 1
+                whole = spot + q <= at[text + 1]
+                spots[q] = spot[whole], text[whole], known[spot[whole]]
+        starts, ends, sizes = [], [], []
         for n in self.lengths:
             q, k = run_length(n), most_edits(n)
-            seen = counts[q]
-            if seen[-1] < 1:
-                continue
-            last = np.minimum(np.arange(len(h)) + n + k - q + 1, end_of)
-            start = np.flatnonzero(seen[np.maximum(last, np.arange(len(h)))] - seen[:-1] >= max(1, n - q - k * q))
-            if not len(start):
+            spot, text, run = spots.get(q, (np.zeros(0, np.int64),) * 3)
+            own = np.isin(run, self.runs_of[n])
+            spot, text = spot[own], text[own]
+            need = max(1, n - q - k * q)
+            if len(spot) < need:
                 continue
-            found_start, found_item = [], []
-            for s in np.array_split(start, -(-len(start) // 4096)):
-                # Walks must not run into the next text.
-                stop = end_of[s]
-                keys = table_keys_within(h, s, stop, n)
-                for key, (known_keys, members) in zip(keys, self.tables[n], strict=True):
-                    low, high = np.searchsorted(known_keys, key, "left"), np.searchsorted(known_keys, key, "right")
-                    hit = np.flatnonzero(high > low)
-                    for i in hit:
-                        found_start.append(np.full(high[i] - low[i], s[i]))
-                        found_item.append(members[low[i] : high[i]])
-            if found_start:
-                both = np.unique(np.stack([np.concatenate(found_start), np.concatenate(found_item)]), axis=1)
-                yield n, both[0], both[1]
-
-
-def table_keys_within(h: np.ndarray, start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
-    """table_keys for windows that may be cut off by the end of their text."""
-    if (start + n <= stop).all():
-        return table_keys(h, start, n)
-    packed = np.zeros((len(start), n), np.uint64)
-    for i, (a, b) in enumerate(zip(start, np.minimum(start + n, stop), strict=True)):
-        packed[i, : b - a] = h[a:b]
-    return table_keys(packed.ravel(), np.arange(len(start)) * n, n)
+            first, last = spot[: len(spot) - need + 1], spot[need - 1 :]
+            same = (text[: len(first)] == text[need - 1 :]) & (last - first <= n + k - q)
+            first, last, text = first[same], last[same], text[: len(same)][same]
+            low = np.maximum(last - (n + k - q), at[text])
+            count = first - low + 1
+            start = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            start, once = np.unique(start, return_index=True)
+            starts.append(start)
+            ends.append(np.minimum(start + n, at[np.repeat(text, count)[once] + 1]))
+            sizes.append(np.full(len(start), n))
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(starts or none), np.concatenate(ends or none), np.concatenate(sizes or none)
+
+    def candidates(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window start, item) of all that share a table's key, each once, by start."""
+        start, end, size = self.windows(h, at)
+        found = []
+        for low in range(0, len(start), 1 << 16):
+            part = slice(low, low + (1 << 16))
+            for key, (known, members) in zip(table_keys(h, start[part], end[part], size[part]), self.tables, strict=True):
+                a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
+                hit = np.repeat(np.arange(len(key)), b - a)
+                nth = np.arange(len(hit)) - np.repeat(np.cumsum(b - a) - (b - a), b - a)
+                found.append(np.stack([start[part][hit], members[a[hit] + nth]]))
+        both = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
+        return both[0], both[1]
 
 
 class Finder:
@@ -171,18 +176,22 @@ class Finder:
         w = textvec.words(texts, lower=True, separator=textvec.PUNCTUATION)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         hit = set()
-        for n, starts, members in items.candidates(w.hashes, w.at):
-            k = most_edits(n)
-            owner = np.searchsorted(w.at, starts, "right") - 1
-            for s, i, t in zip(starts.tolist(), members.tolist(), owner.tolist(), strict=True):
-                known = best.get((t, i))
-                if first and t in hit or known and (known[0] == 0 or s - int(w.at[t]) < known[1] + n):
-                    continue
-                low, high = max(int(w.at[t]), s - k), min(int(w.at[t + 1]), s + n + 2 * k)
-                distance = best_match(items.words[i], w.hashes[low:high])
-                if distance <= k and (not known or distance < known[0]):
-                    best[t, i] = (distance, s - int(w.at[t]))
-                    hit.add(t)
+        starts, members = items.candidates(w.hashes, w.at)
+        owner = np.searchsorted(w.at, starts, "right") - 1
+        for s, i, t in zip(starts.tolist(), members.tolist(), owner.tolist(), strict=True):
+            item, begin, end = items.words[i], int(w.at[t]), int(w.at[t + 1])
+            n, k = len(item), most_edits(len(item))
+            known = best.get((t, i))
+            if first and t in hit or known and (known[0] == 0 or s - begin < known[1] + n):
+                continue
+            passage = w.hashes[max(begin, s - k) : min(end, s + n + 2 * k)]
+            if np.isin(item, passage).sum() < n - k or best_match(item, passage) > k:
+                continue
+            # The nearest passage around here may begin before the window or after it.
+            distance = best_match(item, w.hashes[max(begin, s - n) : min(end, s + 2 * n + k)])
+            hit.add(t)
+            if not known or distance < known[0]:
+                best[t, i] = (distance, s - begin)
         return [(t, i, d, s) for (t, i), (d, s) in sorted(best.items())]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
