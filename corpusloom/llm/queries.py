@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import dac, decontaminate, mixing, quality, simhash, toxicity, warc
+from corpusloom.llm import dac, decontaminate, mixing, quality, simhash, suffix_dedup, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -46,7 +50,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc_archive, op3_token_files, op5_mix_to_weights, op6_quality_rules, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate)
+    named = (op1_warc_archive, op3_token_files, op5_mix_to_weights, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
