@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import dac, decontaminate, mixing, quality, simhash, suffix_dedup, template, toxicity, warc
+from corpusloom.llm import dac, decontaminate, hpylm, mixing, quality, simhash, suffix_dedup, template, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
 
@@ -54,7 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc_archive, op3_token_files, op4_main_text, op5_mix_to_weights, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate)
+    named = (op1_warc_archive, op2_pitman_yor, op3_token_files, op4_main_text, op5_mix_to_weights, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate)
     return {f.__name__: f for f in named}
 
 
