@@ -33,30 +33,57 @@ MAGIC = b"DACTOK01"
 CHUNK_BITS = 8
 CHARS_PER_FILE = 16_000_000
 MOST_FILES = 100_000
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 200_000
+#: Words in a generation of those whose ids a worker remembers, and words that are encoded as lines of one text.
+CACHE_WORDS = 400_000
+LINES = 256
 
 
 class Words:
-    """Ids of whole texts by a tokenizer that never looks across ASCII white space; words seen before are remembered."""
+    """Ids of whole texts by a tokenizer that never looks across ASCII white space.
+
+    The ids of words are remembered in two generations: when the young one is full it becomes the old one, and words
+    still in use come back from there. New words are encoded many at a time, as lines of one text.
+    """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, text: bytes, end: bytes) -> bytes:
-        words = text.split()
-        missing = list(set(words).difference(self.cache))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words that neither generation has."""
+        size = np.dtype(self.kind).itemsize
+        for i in range(0, len(words), LINES):
+            part = words[i : i + LINES]
+            lines = [w.decode() for w in part]
+            found = self.tokenizer.encode("\n".join(lines), add_special_tokens=False)
+            starts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found.ids))
+            ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)) + 1)
+            cuts = [0, *(np.searchsorted(starts, ends) * size).tolist()]
+            ids = np.array(found.ids, self.kind).tobytes()
+            self.young.update(zip(part, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+
+    def encode(self, texts: list[bytes], end: bytes) -> list[bytes]:
+        split = [t.split() for t in texts]
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        get = self.young.get
+        codes = [list(map(get, words)) for words in split]
+        gaps = [[i for i, c in enumerate(code) if c is None] if None in code else [] for code in codes]
+        missing = {words[i] for words, gap in zip(split, gaps, strict=True) for i in gap}
         if missing:
-            if len(self.cache) + len(missing) > CACHE_WORDS:
-                self.cache.clear()
-                missing = list(set(words))
-            for i in range(0, len(missing), 4096):
-                part = missing[i : i + 4096]
-                for word, found in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    self.cache[word] = np.array(found.ids, self.kind).tobytes()
-        return b"".join(map(self.cache.__getitem__, words)) + end
+            known = missing.intersection(self.old)
+            self.young.update((w, self.old[w]) for w in known)
+            self.learn(list(missing - known))
+            for words, code, gap in zip(split, codes, gaps, strict=True):
+                for i in gap:
+                    code[i] = self.young[words[i]]
+        return [b"".join(code) + end for code in codes]
+
+
+#: Of each worker process, by path: tasks that follow one another share it.
+_words: dict[str, Words] = {}
 
 
 class Encoder:
@@ -66,16 +93,18 @@ class Encoder:
         self.path, self.end_id, self.bounds = path, end_id, bounds
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(self.path)
+        if self.path not in _words:
+            _words[self.path] = Words(self.path)
+        words = _words[self.path]
         end = np.array([self.end_id], words.kind).tobytes()
         bounds = np.array(self.bounds, np.int64)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             part = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "left")
             part = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, part).astype(np.int32)
-            for i in range(0, batch.num_rows, 512):
-                codes = [words.encode(t.as_py() or b"", end) for t in texts[i : i + 512]]
-                yield pa.record_batch([pa.array(part[i : i + 512]), ids[i : i + 512], pa.array(codes, pa.binary())], names=["part", "doc_id", "ids"])
+            for i in range(0, batch.num_rows, 256):
+                codes = words.encode([t or b"" for t in texts[i : i + 256].to_pylist()], end)
+                yield pa.record_batch([pa.array(part[i : i + 256]), ids[i : i + 256], pa.array(codes, pa.binary())], names=["part", "doc_id", "ids"])
 
 
 def levels(ids: np.ndarray) -> list[dict[str, np.ndarray]]:
