@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.plans import queries as catalogue
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(catalogue.QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(catalogue.SQL)
