@@ -256,43 +256,58 @@ def deep_nodes(words: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nda
     return order, common < WINDOW
 
 
-def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A part's suffixes to (doc_id, key, places of windows that are repeats)."""
+class Subtrees:
+    """mapInArrow function: a part's suffixes to the windows that are repeats, as arrays by bucket of document."""
 
-    def places(doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((place, key, doc))
-        doc, key, place = doc[order], key[order], place[order]
-        first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        return pa.record_batch([pa.array(doc[first]), pa.array(key[first]), pa.array([x.tobytes() for x in np.split(place, first[1:])] if len(doc) else [], pa.binary())], names=["doc_id", "key", "places"])
+    def __init__(self, buckets: int) -> None:
+        self.buckets = buckets
 
-    for _, rows in _by_part(batches):
-        tree = [r for r in rows if r[5]]
-        for r in rows:
-            if not r[5]:
-                which = np.frombuffer(r[2], "<u4")
-                yield places(np.frombuffer(r[0], "<i8")[which], np.frombuffer(r[1], "<i8")[which], np.frombuffer(r[3], "<u4"))
-        if not tree:
-            continue
-        which = [np.frombuffer(r[2], "<u4") for r in tree]
-        doc = np.concatenate([np.frombuffer(r[0], "<i8")[x] for r, x in zip(tree, which, strict=True)])
-        key = np.concatenate([np.frombuffer(r[1], "<i8")[x] for r, x in zip(tree, which, strict=True)])
-        place = _array([r[3] for r in tree], "<u4")
-        order, new = deep_nodes(_array([r[4] for r in tree], "<u4").reshape(-1, PREFIXES), _array([r[5] for r in tree], "<u8"))
-        least = np.minimum.reduceat(doc[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        again = order[doc[order] > least]
-        yield places(doc[again], key[again], place[again])
+    def dealt(self, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            bucket = (textvec.mix64(doc.view(np.uint64)) % _U(self.buckets)).astype(np.int64)
+        order = np.lexsort((place, key, doc, bucket))
+        for own in np.split(order, np.searchsorted(bucket[order], np.arange(1, self.buckets))):
+            if len(own):
+                d, k = doc[own], key[own]
+                first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
+                counts = np.diff(np.append(first, len(own))).astype("<u4")
+                body = (d[first], k[first], counts, place[own])
+                yield pa.record_batch([pa.array([bucket[own[0]]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in body)], names=["part", "docs", "keys", "counts", "places"])
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_part(batches):
+            which = [np.frombuffer(r[2], "<u4") for r in rows]
+            doc, key = (np.concatenate([np.frombuffer(r[k], "<i8")[x] for r, x in zip(rows, which, strict=True)]) for k in (0, 1))
+            place = _array([r[3] for r in rows], "<u4")
+            # Rows without labels are known to be repeats.
+            tree = np.repeat([bool(r[5]) for r in rows], [len(x) for x in which])
+            again = np.flatnonzero(~tree)
+            if tree.any():
+                order, new = deep_nodes(_array([r[4] for r in rows], "<u4").reshape(-1, PREFIXES), _array([r[5] for r in rows], "<u8"))
+                leaf = np.flatnonzero(tree)[order]
+                least = np.minimum.reduceat(doc[leaf], np.flatnonzero(new))[np.cumsum(new) - 1]
+                again = np.concatenate([again, leaf[doc[leaf] > least]])
+            if len(again):
+                yield from self.dealt(doc[again], key[again], place[again])
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Places of repeats to the spans of words that they cover, as pairs of start and end."""
-    for batch in batches:
-        out = []
-        for places in batch.column(2).to_pylist():
-            place = np.unique(_array(places, "<u4").astype(np.int64))
-            first = np.append(True, place[1:] > place[:-1] + WINDOW)
-            last = np.append(first[1:], True)
-            out.append(np.stack([place[first], place[last] + WINDOW], axis=1).astype("<u4").tobytes())
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["doc_id", "key", "spans"])
+    """A bucket's repeats to (doc_id, key, spans): the spans of words that they cover, as pairs of start and end."""
+    for _, rows in _by_part(batches):
+        counts = _array([r[2] for r in rows], "<u4")
+        doc, key = (np.repeat(_array([r[k] for r in rows], "<i8"), counts) for k in (0, 1))
+        place = _array([r[3] for r in rows], "<u4").astype(np.int64)
+        order = np.lexsort((place, key, doc))
+        doc, key, place = doc[order], key[order], place[order]
+        text = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
+        first = text | np.append(True, place[1:] > place[:-1] + WINDOW)
+        last = np.append(first[1:], True)
+        spans = np.stack([place[first], place[last] + WINDOW], axis=1).astype("<u4")
+        start = np.flatnonzero(text[first])
+        body = [x.tobytes() for x in np.split(spans, start[1:])]
+        for low in range(0, len(body), 10_000):
+            at = np.flatnonzero(text)[low : low + 10_000]
+            yield pa.record_batch([pa.array(doc[at]), pa.array(key[at]), pa.array(body[low : low + 10_000], pa.binary())], names=["doc_id", "key", "spans"])
 
 
 def _dealt(rows: DataFrame, parts: int, f: Callable, schema: str) -> DataFrame:
@@ -321,9 +336,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     sent = spark.sparkContext.broadcast(bytes(bitmap))
     keyed = plain.select("doc_id", F.xxhash64("text").alias("key"), "text")
     suffixes = keyed.mapInArrow(Suffixes(sent, bits, parts), "part int, docs binary, keys binary, at binary, place binary, words binary, label binary")
-    again = _dealt(suffixes, n, _subtrees, "doc_id long, key long, places binary")
-    gathered = again.groupBy("doc_id", "key").agg(F.collect_list("places").alias("places"))
-    return materialise(gathered.mapInArrow(_spans, "doc_id long, key long, spans binary"), "spans")
+    again = _dealt(suffixes, n, Subtrees(n), "part int, docs binary, keys binary, counts binary, places binary")
+    return materialise(_dealt(again, n, _spans, "doc_id long, key long, spans binary"), "spans")
 
 
 def kept_words(text: bytes, spans: bytes | None) -> tuple[int, list[bytes]]:
