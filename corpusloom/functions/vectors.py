@@ -16,32 +16,33 @@ def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once: inside a lambda, an expression is worked out for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def argmax(v: Column) -> Column:
     """Place of the greatest element, the first of equals, from 0."""
     return (F.array_position(v, F.array_max(v)) - 1).cast("long")
 
 
 def shifted_exp(v: Column) -> Column:
-    top = F.array_max(v)
-    return F.transform(v, lambda x: F.exp(x - top))
+    return let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top)))
 
 
 def soft_cross_entropy(student: Column, teacher: Column) -> Column:
     """Cross entropy of softmax(teacher) with softmax(student), without either softmax: stable for large values."""
-    weights = shifted_exp(teacher)
-    dot = total(F.zip_with(weights, student, lambda a, b: a * b))
+    dot = lambda w: total(F.zip_with(w, student, lambda a, b: a * b)) / F.greatest(total(w), F.lit(FLOOR))
     spread = F.greatest(total(shifted_exp(student)), F.lit(FLOOR))
-    return -(dot / F.greatest(total(weights), F.lit(FLOOR))) + F.array_max(student) + F.ln(spread)
+    return F.array_max(student) + F.ln(spread) - let(shifted_exp(teacher), dot)
 
 
 def log_softmax(v: Column) -> Column:
-    log_sum = F.array_max(v) + F.ln(total(shifted_exp(v)))
-    return F.transform(v, lambda x: x - log_sum)
+    return let(F.array_max(v) + F.ln(total(shifted_exp(v))), lambda log_sum: F.transform(v, lambda x: x - log_sum))
 
 
 def softmax(v: Column) -> Column:
-    weights, whole = shifted_exp(v), total(shifted_exp(v))
-    return F.transform(weights, lambda x: x / whole)
+    return let(shifted_exp(v), lambda w: let(total(w), lambda whole: F.transform(w, lambda x: x / whole)))
 
 
 def soft_cross_entropy_plain(student: Column, teacher: Column) -> Column:
@@ -55,8 +56,7 @@ def soft_cross_entropy_gradient(student: Column, teacher: Column) -> Column:
 
 def rms_norm(v: Column, eps: float = 1e-6) -> Column:
     mean_square = total(F.transform(v, lambda x: x * x)) / F.size(v)
-    scale = F.sqrt(mean_square + F.lit(eps))
-    return F.transform(v, lambda x: x / scale)
+    return let(F.sqrt(mean_square + F.lit(eps)), lambda scale: F.transform(v, lambda x: x / scale))
 
 
 def padded(v: Column, length: Column, value: int) -> Column:
