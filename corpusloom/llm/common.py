@@ -17,14 +17,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 250_000
 
 
+#: By application: the folder of sessions that name none, as in tests.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        spark.sparkContext.setCheckpointDir(_own[app])
+    return _own[app]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:

@@ -7,3 +7,21 @@ def test_every_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
     assert "pipeline" in __spark_entry__.queries()
+
+
+def test_a_session_without_a_shared_folder_gets_its_own(spark, monkeypatch):
+    from corpusloom.llm import common
+
+    class Unset:
+        def __init__(self, session):
+            self.sparkContext = session.sparkContext
+            self.conf = self
+
+        def get(self, key, default=None):
+            return default
+
+    before = spark.sparkContext.getCheckpointDir()
+    own = common.shared_dir(Unset(spark))
+    assert own.startswith("file://") and common.shared_dir(Unset(spark)) == own
+    if before:
+        spark.sparkContext.setCheckpointDir(before)
