@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corpusloom") -> SparkSession:
-    """A local session in UTC with adaptive execution; a cluster supplies its own session instead."""
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "corpusloom", **more: str) -> SparkSession:
+    """A local session in UTC with adaptive execution; a cluster supplies its own session instead. checkpoint_dir=x sets spark.checkpoint.dir."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -17,5 +17,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(map={f"spark.{k.replace('_', '.')}": v for k, v in more.items()})
         .getOrCreate()
     )
