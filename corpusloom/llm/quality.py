@@ -170,3 +170,40 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = wide.select("row.doc_id", "row.lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "shouts")
     by, pool = thresholds(counts, labels)
     return wide.filter(~base_failed() & ~rejected(F.col("row.lang"), by, pool)).select("row.*")
+
+
+ORACLE_SQL = r"""
+WITH f AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents),
+words AS (SELECT id, unnest(w) AS x, unnest(range(len(w))) AS i FROM f),
+runs AS (SELECT id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o || ' ' || lead(x, 4) OVER o AS run FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+twice AS (SELECT id, i, count(*) OVER (PARTITION BY id, run) AS c FROM runs WHERE run IS NOT NULL),
+spread AS (SELECT id, i, lead(i) OVER (PARTITION BY id ORDER BY i) AS next FROM twice WHERE c > 1),
+covered AS (SELECT id, sum(least(5, coalesce(next - i, 5)))::BIGINT AS n FROM spread GROUP BY id),
+m AS (
+  SELECT f.id, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n, 0)::BIGINT AS n_repeat_words, (length(t) - length(replace(t, '!', '')))::BIGINT AS shouts
+  FROM f LEFT JOIN covered USING (id)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
+shares AS (
+  SELECT id, doc_id, lang, base_failed, unnest(['symbols', 'repeated', 'repeated_lines', 'shouts']) AS rule,
+         unnest([n_symbols / n_words, n_repeat_words / n_words, n_dup_lines / n_words, shouts / n_words]) AS share
+  FROM b),
+good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+own AS (SELECT lang, true AS own FROM b JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= ln(4 * 200 / 0.05) / -ln(0.99) ORDER BY count(*) DESC, lang LIMIT 200),
+named AS (SELECT s.*, coalesce(own, false) AS own, CASE WHEN own THEN s.lang END AS stratum FROM shares s LEFT JOIN own o ON s.lang IS NOT DISTINCT FROM o.lang),
+held AS (SELECT n.* FROM named n JOIN good USING (doc_id) WHERE NOT base_failed),
+cuts AS (SELECT unnest([3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05]::DOUBLE[]) AS cutoff),
+counted AS (SELECT own, stratum, rule, cutoff, count(*) AS n, count(*) FILTER (share >= cutoff) AS k FROM held, cuts GROUP BY ALL),
+tail AS (
+  SELECT *, CASE WHEN k < n * 0.01 THEN list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) ELSE 1 END AS p,
+         (SELECT count(*) FROM (SELECT DISTINCT own, stratum FROM held)) AS strata
+  FROM counted),
+passed AS (SELECT *, min((p <= 0.05 / 4 / strata)::INT) OVER (PARTITION BY own, stratum, rule ORDER BY cutoff DESC) AS ok FROM tail),
+chosen AS (SELECT own, stratum, rule, min(cutoff) AS cutoff FROM passed WHERE ok = 1 GROUP BY ALL),
+rejected AS (SELECT DISTINCT id FROM named n JOIN chosen c ON n.own = c.own AND n.stratum IS NOT DISTINCT FROM c.stratum AND n.rule = c.rule AND n.share >= c.cutoff)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND id NOT IN (SELECT id FROM rejected) AS kept FROM b
+"""
