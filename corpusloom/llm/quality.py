@@ -40,7 +40,11 @@ RULES = ("symbols", "repeated", "repeated_lines", "shouts")
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shouts): row is a struct of all of docs' columns."""
+    """(row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, shouts): row is a struct of all of docs' columns.
+
+    Write the result before filtering on it: a filter that moved below these steps would work them out again for
+    every element.
+    """
     d = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("t"))
     d = d.select(
         "row",

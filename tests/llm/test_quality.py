@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import quality
+from tests.duck import connection, from_duck, from_spark
 from tests.llm.tables import documents, nothing
 
 
@@ -58,6 +59,23 @@ def test_cutoffs_reject_junk_and_few_good_documents(spark):
     assert {r["doc_id"] for r in out.collect()} == kept
 
 
+def test_sql_agrees_where_cutoffs_are_admitted(spark, tmp_path):
+    """Two languages of their own, a pool, junk of several kinds, and odd rows."""
+    rows = []
+    for k in range(2600):
+        lang = ("en", "fr", "xx", None)[0 if k < 1200 else 1 if k < 2400 else 2 + k % 2]
+        junk = " |" * (k % 40) if k % 50 == 0 else " wow!!" * (k % 9) if k % 77 == 0 else ""
+        rows.append((k, " ".join(f"w{k}x{i}" for i in range(20 + k % 17)) + junk, lang, "s"))
+    docs = documents(spark, rows).union(documents(spark))
+    known = labels(spark, [(k, int(k % 50 > 0), 0) for k in range(2600)] + [(None, 1, 1), (5, None, 0)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    found = from_spark(quality.judge(docs, known))
+    assert found == from_duck(connection(str(tmp_path)), quality.ORACLE_SQL)
+    kept, failed = found[0].index("kept"), found[0].index("base_failed")
+    assert any(r[kept] == r[failed] == "False" for r in found[1])
+
+
 def test_no_rows_and_no_labels(spark):
     none = labels(spark, [])
     assert quality.judge(nothing(spark), none).count() == 0
