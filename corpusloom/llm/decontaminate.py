@@ -15,7 +15,8 @@ not counted, which the bound allows for by one. Nothing is lost.
 The benchmark is processed in blocks of at most BLOCK_CHARS characters, each sent to the executors whole.
 
 Defined results: null and empty texts contain nothing, null and empty items are in nothing; repeated rows each get
-their rows; an empty table on either side gives no rows.
+their rows; an item is its id and text, so that texts under one id get a row each; items without an id are in nothing;
+an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -97,7 +98,9 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         w = textvec.words(pa.array(texts, pa.string()), lower=True, separator=textvec.PUNCTUATION)
-        self.words = {i: w.hashes[a:b] for i, a, b in zip(ids, w.at[:-1], w.at[1:], strict=True) if b > a}
+        self.ids = ids
+        #: By place in the block: several texts may share an id.
+        self.words = {i: w.hashes[a:b] for i, (a, b) in enumerate(zip(w.at[:-1], w.at[1:], strict=True)) if b > a}
         by_length: dict[int, list[int]] = {}
         for i, x in self.words.items():
             by_length.setdefault(len(x), []).append(i)
@@ -172,7 +175,7 @@ class Finder:
         self.ids, self.texts, self.matches = ids, texts, matches
 
     def found(self, items: Items, texts: pa.Array, first: bool) -> list[tuple[int, int, int, int]]:
-        """(text, item, distance, start); with first, at most one for each text."""
+        """(text, item id, distance, start); with first, at most one for each text."""
         w = textvec.words(texts, lower=True, separator=textvec.PUNCTUATION)
         best: dict[tuple[int, int], tuple[int, int]] = {}
         hit = set()
@@ -192,7 +195,7 @@ class Finder:
             hit.add(t)
             if not known or distance < known[0]:
                 best[t, i] = (distance, s - begin)
-        return [(t, i, d, s) for (t, i), (d, s) in sorted(best.items())]
+        return [(t, items.ids[i], d, s) for (t, i), (d, s) in sorted(best.items())]
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = Items(self.ids, self.texts)
@@ -209,12 +212,12 @@ class Finder:
 
 
 def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in blocks of bounded size, each collected by itself."""
+    """The items in blocks of bounded size, each collected by itself. Texts that share an id are items of their own."""
     plain = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = plain.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // most) if chars else 0
     for b in range(n):
-        rows = plain.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).dropDuplicates(["item_id"]).orderBy("item_id").collect()
+        rows = plain.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).distinct().orderBy("item_id", "text").collect()
         yield [r["item_id"] for r in rows], [r["text"] for r in rows]
 
 

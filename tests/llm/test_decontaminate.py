@@ -87,3 +87,14 @@ def test_nothing_on_either_side(spark):
     assert decontaminate.leaks(nothing(spark), some).count() == 0
     assert decontaminate.leaks(documents(spark), benchmark(spark, [])).count() == 0
     assert decontaminate.without_leaks(documents(spark), benchmark(spark, [])).count() == documents(spark).count()
+
+
+def test_texts_that_share_an_id_are_all_searched(spark, monkeypatch):
+    rng = random.Random(3)
+    texts = [" ".join(invented(rng, 20)) for _ in range(6)]
+    known = benchmark(spark, [(k % 2, t) for k, t in enumerate(texts)])
+    docs = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)])
+    for most in (decontaminate.BLOCK_CHARS, 200):
+        monkeypatch.setattr(decontaminate, "BLOCK_CHARS", most)
+        assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(docs, known).collect()) == [(k, k % 2, 0) for k in range(6)]
+        assert decontaminate.without_leaks(docs, known).count() == 0
