@@ -9,8 +9,8 @@ a document are embedded by the item's walks; each LSH table compares a few sampl
 several tables each reach the target recall. What meets in a table is verified by an exact semi-global edit distance.
 
 Windows that cannot match are not walked: a passage within k edits shares at least n - q + 1 - k * q of the item's
-q-word runs, so windows with fewer runs known from any item are passed over. A run that equals the one before it is
-not counted, which the bound allows for by one. Nothing is lost.
+q-word runs, so windows with fewer runs known from any item are passed over. Every run counts, one that equals the
+one before it too, so that nothing is lost; one run less is asked for, which gives the walks a few windows more.
 
 The benchmark is processed in blocks of at most BLOCK_CHARS characters, each sent to the executors whole.
 
@@ -122,9 +122,7 @@ class Items:
             known = textvec.combine(h, q)
             if len(known):
                 known_at = np.minimum(np.searchsorted(runs, known), len(runs) - 1)
-                hits = runs[known_at] == known
-                hits[1:] &= known[1:] != known[:-1]
-                spot = np.flatnonzero(hits)
+                spot = np.flatnonzero(runs[known_at] == known)
                 text = np.searchsorted(at, spot, "right") - 1
                 whole = spot + q <= at[text + 1]
                 spots[q] = spot[whole], text[whole], known[spot[whole]]
@@ -141,11 +139,12 @@ class Items:
             same = (text[: len(first)] == text[need - 1 :]) & (last - first <= n + k - q)
             first, last, text = first[same], last[same], text[: len(same)][same]
             low = np.maximum(last - (n + k - q), at[text])
+            # Both rise, so each start is taken once if it comes after the first run of the place before.
+            low[1:] = np.maximum(low[1:], first[:-1] + 1)
             count = first - low + 1
             start = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            start, once = np.unique(start, return_index=True)
             starts.append(start)
-            ends.append(np.minimum(start + n, at[np.repeat(text, count)[once] + 1]))
+            ends.append(np.minimum(start + n, at[np.repeat(text, count) + 1]))
             sizes.append(np.full(len(start), n))
         none = [np.zeros(0, np.int64)]
         return np.concatenate(starts or none), np.concatenate(ends or none), np.concatenate(sizes or none)

@@ -1,7 +1,9 @@
 import random
 import re
 
-from corpusloom.llm import decontaminate
+import pyarrow as pa
+
+from corpusloom.llm import decontaminate, textvec
 from tests.llm.tables import documents, nothing
 
 
@@ -98,3 +100,24 @@ def test_texts_that_share_an_id_are_all_searched(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_CHARS", most)
         assert sorted((r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.leaks(docs, known).collect()) == [(k, k % 2, 0) for k in range(6)]
         assert decontaminate.without_leaks(docs, known).count() == 0
+
+
+def test_windows_with_repeated_words_are_not_passed_over():
+    """Exact copies and copies at the edit bound of items that repeat a word; every match has a window at it."""
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(8, 40)
+        same = ["0"] * rng.randint(4, n)
+        item = same + invented(rng, n - len(same))
+        for k in (0, decontaminate.most_edits(n)):
+            copy = list(item)
+            for i in rng.sample(range(n), k):
+                copy[i] = f"e{i}"
+            text = " ".join(invented(rng, 12) + copy + invented(rng, 12))
+            items = decontaminate.Items([1], [" ".join(item)])
+            w = textvec.words(pa.array([text]), lower=True, separator=textvec.PUNCTUATION)
+            start, end, size = items.windows(w.hashes, w.at)
+            assert 12 in start.tolist()
+            assert len(set(start.tolist())) == len(start)
+            if not k:
+                assert [r[2] for r in decontaminate.Finder([1], [" ".join(item)], True).found(items, pa.array([text]), False)] == [0]
