@@ -3,9 +3,10 @@ Pitman-Yor processes", 2006), learnt and applied without bringing the corpus tog
 
 Every word is a context with a restaurant; its customers are the words that follow it in training texts. All contexts
 share one parent, the restaurant of single words, whose customers are the tables of the contexts; its parent in turn
-is uniform over the vocabulary and one unknown word. Seating is sampled by Gibbs: a customer of a dish leaves, and
-sits down again at a table of the dish with weight (customers - discount), or at a new one with weight (strength +
-discount * tables) times the parent's probability. Predictive probabilities are averaged over samples.
+is uniform over the vocabulary and one unknown word. Seating is sampled by Gibbs, all customers of a dish at a time:
+the number of its tables is drawn from its exact conditional, whose weights are generalised Stirling numbers, given a
+gamma variable of the restaurant that takes the place of (strength + discount * tables). This variable is drawn from
+its conditional in turn. Tables are averaged over samples, in which predictive probabilities are linear.
 
 How it is spread out:
 
@@ -20,9 +21,8 @@ How it is spread out:
 
 Everything that is sent grows with the corpus, nothing is broadcast but a few totals, and no part holds more than a
 share of the vocabulary. During sampling the parent's probability of a word is its share of training tokens; in the
-predictive probabilities it is that of the sampled parent. Restaurants of a part are sampled side by side: each step
-moves a customer of every dish, with table totals as of its beginning. Of dishes with over FEW customers in a
-restaurant, seating is drawn in doubling blocks. Words are told apart by 64 bits of hash, followers of a context by 40.
+predictive probabilities it is that of the parent, sampled for the mean tables of its words. Words are told apart by
+64 bits of hash, followers of a context by 40.
 
 Defined results: a null text is an empty one, which is just the end; A to Z are folded; rows with equal doc_id are
 scored, and learnt from, each; rows with a null doc_id are held out; no training text: every probability is uniform.
@@ -31,6 +31,7 @@ scored, and learnt from, each; rows with a null doc_id are held out; no training
 from __future__ import annotations
 
 import json
+import math
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -52,8 +53,9 @@ PART = 2_000_000
 #: (strength, discount) of contexts and of their parent.
 CONTEXT = (1.0, 0.8)
 PARENT = (1.0, 0.5)
-BURN_IN, SAMPLES, MOVES = 4, 4, 2
-FEW = 64
+BURN_IN, SAMPLES = 4, 4
+#: Stirling numbers of so many customers are tabulated; those of more are integrated.
+TABULATED = 1024
 SEED = 11
 _U = np.uint64
 #: Hashes of the two marks; no word has them but by chance.
@@ -307,52 +309,14 @@ def seat(customers: np.ndarray, context: np.ndarray, share: np.ndarray, strength
     elsewhere: tables of each restaurant that other parts have.
     """
     rng = np.random.default_rng([SEED, seed])
-    tables = np.ones(len(customers))
+    dishes = Dishes(customers, discount)
     total = np.bincount(context, minlength=contexts) + float(elsewhere)
-    few, many = np.flatnonzero((customers > 1) & (customers <= FEW)), np.flatnonzero(customers > FEW)
-    c, own, p = customers[few], context[few], share[few]
-    base = np.cumsum(c) - c
-    table_of = np.zeros(int(c.sum()), np.int16)
-    guests = np.zeros(len(table_of), np.int16)
-    guests[base] = c
-    t = np.ones(len(few))
     mean_tables, mean_total = np.zeros(len(customers)), np.zeros(contexts)
     for sweep in range(BURN_IN + SAMPLES):
-        for _ in range(MOVES):
-            # One customer of each dish leaves.
-            i = base + (rng.random(len(few)) * c).astype(np.int64)
-            left = base + table_of[i]
-            guests[left] -= 1
-            closed = guests[left] == 0
-            t -= closed
-            total -= np.bincount(own[closed], minlength=contexts)
-            fresh = (strength + discount * total[own]) * p
-            new = rng.random(len(few)) * (fresh + c - 1 - discount * t) < fresh
-            # To an open table: that of another customer, taken with probability (guests - discount) / guests.
-            todo = np.flatnonzero(~new)
-            while len(todo):
-                j = base[todo] + (rng.random(len(todo)) * c[todo]).astype(np.int64)
-                at = base[todo] + table_of[j]
-                taken = (j != i[todo]) & (rng.random(len(todo)) * guests[at] < guests[at] - discount)
-                table_of[i[todo[taken]]] = table_of[j[taken]]
-                todo = todo[~taken]
-            # To a new table, under a number that is free.
-            todo = np.flatnonzero(new)
-            number = table_of[i[todo]].astype(np.int64)
-            while len(todo):
-                free = guests[base[todo] + number] == 0
-                table_of[i[todo[free]]] = number[free]
-                todo = todo[~free]
-                number = (rng.random(len(todo)) * c[todo]).astype(np.int64)
-            # Each dish has its own tables, so no place occurs twice here.
-            guests[base + table_of[i]] += 1
-            t += new
-            total += np.bincount(own[new], minlength=contexts)
-        if len(many):
-            total -= np.bincount(context[many], tables[many], contexts)
-            tables[many] = seat_many(customers[many], (strength + discount * total[context[many]]) * share[many], discount, rng)
-            total += np.bincount(context[many], tables[many], contexts)
-        tables[few] = t
+        # Given this gamma variable of each restaurant, its dishes are independent.
+        rate = rng.gamma(strength / discount + total)
+        tables = dishes.draw(np.maximum(discount * rate[context] * share, 1e-290), rng)
+        total = np.bincount(context, tables, contexts) + float(elsewhere)
         if sweep >= BURN_IN:
             mean_tables += tables / SAMPLES
             mean_total += total / SAMPLES
@@ -360,16 +324,115 @@ def seat(customers: np.ndarray, context: np.ndarray, share: np.ndarray, strength
 
 
 def seat_many(customers: np.ndarray, fresh: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with many customers: the i-th opens one with probability fresh / (fresh + i - discount *
-    tables); customers of a doubling block sit down together."""
-    tables = np.ones(len(customers))
-    done = np.ones(len(customers))
-    while (open_ := done < customers).any():
-        size = np.where(open_, np.minimum(np.maximum(1, done // 4), customers - done), 0)
-        chance = fresh / (fresh + done + size / 2 - discount * tables)
-        tables += rng.binomial(size.astype(np.int64), np.clip(chance, 0, 1))
-        done += size
-    return tables
+    """Tables of each dish, drawn once; fresh: the weight of a table."""
+    return Dishes(customers, discount).draw(fresh, rng)
+
+
+class Dishes:
+    """Draws the tables of dishes: t of c customers with weight S(c, t) * w ** t, where S sums over all seatings the
+    products of (1 - discount) * (2 - discount) * ... of the tables, a generalised Stirling number."""
+
+    def __init__(self, customers: np.ndarray, discount: float) -> None:
+        self.customers, self.discount = customers, discount
+        order = np.argsort(customers, kind="stable")
+        few = order[(customers[order] > 1) & (customers[order] <= TABULATED)]
+        self.groups = np.split(few, np.flatnonzero(np.diff(customers[few])) + 1) if len(few) else []
+        self.many = order[customers[order] > TABULATED]
+        #: By dish: (lowest t, logarithms of S from there on).
+        self.rows: dict[int, tuple[int, np.ndarray]] = {}
+
+    def draw(self, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        out = np.ones(len(self.customers))
+        log_w = np.log(weight)
+        known = stirling_table(self.discount) if self.groups else None
+        for group in self.groups:
+            c = int(self.customers[group[0]])
+            t = np.arange(1, c + 1)
+            step = max(1, (1 << 19) // c)
+            for low in range(0, len(group), step):
+                at = group[low : low + step]
+                mass = known[c, 1 : c + 1] + log_w[at, None] * t
+                mass = np.cumsum(np.exp(mass - mass.max(axis=1, keepdims=True)), axis=1)
+                out[at] += (mass[:, :-1] < rng.random(len(at))[:, None] * mass[:, -1:]).sum(axis=1)
+        if len(self.many):
+            low, high = likely(self.customers[self.many], weight[self.many], self.discount)
+            for i, a, b in zip(self.many.tolist(), low.tolist(), high.tolist(), strict=True):
+                first, row = self.rows.get(i, (0, np.zeros(0)))
+                if a < first or b >= first + len(row):
+                    c = int(self.customers[i])
+                    first = max(1, a - (b - a) // 2)
+                    row = self.rows[i] = first, stirling_row(c, first, min(c, b + (b - a) // 2), self.discount)
+                    first, row = self.rows[i]
+                mass = row[a - first : b - first + 1] + log_w[i] * np.arange(a, b + 1)
+                mass = np.cumsum(np.exp(mass - mass.max()))
+                out[i] = a + np.searchsorted(mass, rng.random() * mass[-1])
+        return out
+
+
+_stirling: dict[float, np.ndarray] = {}
+
+
+def stirling_table(discount: float) -> np.ndarray:
+    """log S(c, t) for c up to TABULATED, by S(c + 1, t) = S(c, t - 1) + (c - discount * t) * S(c, t)."""
+    if discount not in _stirling:
+        t = np.arange(TABULATED + 1)
+        out = np.full((TABULATED + 1, TABULATED + 1), -np.inf)
+        out[1, 1] = 0.0
+        for c in range(1, TABULATED):
+            out[c + 1, 1 : c + 2] = np.logaddexp(out[c, : c + 1], np.append(np.log(c - discount * t[1 : c + 1]), 0.0) + out[c, 1 : c + 2])
+        _stirling[discount] = out
+    return _stirling[discount]
+
+
+def _bisect(f: Callable[[np.ndarray], np.ndarray], n: int) -> np.ndarray:
+    """Where in (0, 1) each of n falling functions has its zero, on a scale of logarithms."""
+    low, high = np.full(n, -600.0), np.full(n, -1e-12)
+    for _ in range(60):
+        middle = (low + high) / 2
+        up = f(np.exp(middle)) > 0
+        low, high = np.where(up, middle, low), np.where(up, high, middle)
+    return np.exp(low)
+
+
+def likely(c: np.ndarray, w: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarray]:
+    """The range of t outside which float64 holds no mass: tables are Poisson if the number of customers is, too."""
+    u = _bisect(lambda u: w * u ** (d - 1) * (1 - u) - c, len(c))
+    mean = w / d * (1 - u**d)
+    reach = 9 * np.sqrt(mean) + 14
+    low = np.clip(np.floor(mean - reach), 1, c)
+    return low.astype(np.int64), np.clip(np.ceil(mean + reach), low, c).astype(np.int64)
+
+
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) for any t > 0: the coefficient of z**c in ((1 - (1 - z)**d) / d)**t, times c! / t!.
+
+    It is a contour integral around the cut from 1 on, by the trapezoid rule on a parabola through the saddle point.
+    """
+    saddle = _bisect(lambda u: t * d * u ** (d - 1) * (1 - u) - (c + 1) * (1 - u**d), len(t))
+    u = np.maximum(saddle, 3 / c)
+    first = -t * d * u ** (d - 1) / (1 - u**d) + (c + 1) / (1 - u)
+    second = t * (d * (1 - d) * u ** (d - 2) / (1 - u**d) - (d * u ** (d - 1) / (1 - u**d)) ** 2) + (c + 1) / (1 - u) ** 2
+    step = np.minimum(0.15, 1 / 3.5 / np.sqrt(4 * u * u * second + 2 * u * first))
+    z = 1 + 1j * step[:, None] * np.arange(64)
+    x = u[:, None] * z * z
+    height = t[:, None] * np.log(1 - x**d) - (c + 1) * np.log(1 - x)
+    top = height[:, 0].real
+    sums = (z * np.exp(height - top[:, None])).real
+    return top + np.log(u / np.pi * step * (2 * sums.sum(axis=1) - sums[:, 0])) + math.lgamma(c + 1) - _lgamma(t + 1.0) - t * math.log(d)
+
+
+def stirling_row(c: int, low: int, high: int, d: float) -> np.ndarray:
+    """log S(c, t) for t from low to high; long rows by Chebyshev interpolation, for S is analytic in t."""
+    t = np.arange(low, high + 1, dtype=np.float64)
+    if len(t) <= 400:
+        return log_stirling(c, t, d)
+    nodes = np.polynomial.chebyshev.chebpts1(40)
+    middle, half = (low + high) / 2, (high - low) / 2
+    fit = np.polynomial.chebyshev.chebfit(nodes, log_stirling(c, middle + half * nodes, d), 39)
+    return np.polynomial.chebyshev.chebval((t - middle) / half, fit)
 
 
 # Scores.

@@ -77,3 +77,29 @@ def test_repeated_pairs_beat_the_base_on_held_out_texts(spark):
 
 def test_no_rows(spark):
     assert hpylm.score(nothing(spark)).count() == 0
+
+
+@pytest.mark.parametrize("customers", [2, 64, 65, 200])
+@pytest.mark.parametrize("fresh", [0.05, 0.8, 2.0, 30.0])
+def test_tables_of_any_number_of_customers_follow_the_exact_distribution(customers, fresh):
+    """Weights by adding customers one by one: a table is opened with weight fresh, or one of the others joined."""
+    d, weight = 0.8, np.zeros(customers + 2)
+    weight[1] = fresh
+    for c in range(1, customers):
+        t = np.arange(len(weight))
+        weight = fresh * np.append(0, weight[:-1]) + np.maximum(0, c - d * t) * weight
+        weight /= weight.sum()
+    mean = (weight * np.arange(len(weight))).sum() / weight.sum()
+    found = hpylm.seat_many(np.full(4000, customers), np.full(4000, fresh), d, np.random.default_rng(1))
+    assert found.mean() == pytest.approx(mean, abs=0.02 + 4 * found.std() / 4000**0.5)
+    # In a restaurant with many other tables the weight hardly moves.
+    tables, _ = hpylm.seat(np.full(1000, customers), np.zeros(1000, int), np.full(1000, fresh / d / 1e7), 1.0, d, 2, elsewhere=10_000_000)
+    assert tables.mean() == pytest.approx(mean, rel=0.05)
+
+
+def test_stirling_numbers_by_integral_are_those_of_the_table():
+    for d in (0.5, 0.8):
+        for c in (100, 700, hpylm.TABULATED):
+            t = np.unique(np.geomspace(1, 0.9 * c, 40).astype(int)).astype(float)
+            assert hpylm.log_stirling(c, t, d) == pytest.approx(hpylm.stirling_table(d)[c, t.astype(int)], abs=1e-6)
+    assert hpylm.stirling_row(10**6, 2000, 6000, 0.8)[::500] == pytest.approx(hpylm.log_stirling(10**6, np.arange(2000.0, 6001, 500), 0.8), abs=1e-6)
