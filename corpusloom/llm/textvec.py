@@ -7,7 +7,10 @@ row, batch and process.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,12 +18,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _U = np.uint64
+#: glibc's, where there is one.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Every ASCII character but letters and digits.
 PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LETTER = np.array([i < 128 and chr(i).isalpha() for i in range(256)])
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -36,16 +42,43 @@ with np.errstate(over="ignore"):
     _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _ROOT = 0xC2B2AE3D27D4EB4F
 _BACK = pow(_ROOT, -1, 1 << 64)
+#: Bytes of text in a piece, and the longest table of powers that a process keeps.
+PIECE_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(name: str, base: int, n: int) -> np.ndarray:
-    """base**0 to base**(n-1) modulo 2**64; grown as needed, kept for the process."""
-    if len(_powers.get(name, ())) < n:
-        p = np.full(max(n, 1 << 16), _U(base))
-        p[0] = 1
-        _powers[name] = np.multiply.accumulate(p)
-    return _powers[name]
+    """base**0 to base**(n-1) modulo 2**64. Those of a piece are kept for the process, those of a longer text are not."""
+    if n <= len(_powers.get(name, ())):
+        return _powers[name][:n]
+    p = np.full(max(n, 1 << 16), _U(base))
+    p[0] = 1
+    p = np.multiply.accumulate(p)
+    if n <= PIECE_BYTES:
+        _powers[name] = p
+    return p[:n]
+
+
+def release() -> None:
+    """Give back what a task has freed: workers are used again, and their allocators keep memory otherwise."""
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def releasing(f: Callable) -> Callable:
+    """A mapInArrow function, or its __call__, that gives back its memory when it ends."""
+
+    @functools.wraps(f)
+    def run(*args):
+        try:
+            yield from f(*args)
+        finally:
+            release()
+
+    return run
 
 
 @dataclass
@@ -74,11 +107,14 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return body, at - at[0]
 
 
-def words(column: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR) -> Words:
-    """Split every text of the column at separator bytes and hash its words; lower folds A to Z."""
+def words(column: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARATOR, tail: np.ndarray | None = None) -> Words:
+    """Split every text of the column at separator bytes and hash its words; lower folds A to Z.
+
+    tail: bytes that are words of their own where they end a word after an ASCII letter.
+    """
     data, at = raw(column)
     if lower:
-        data = _LOWER[data]
+        data = LOWER[data]
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
@@ -90,17 +126,21 @@ def words(column: pa.Array, lower: bool = False, separator: np.ndarray = _SEPARA
     filled = at[1:] > at[:-1]
     heads, tails = at[:-1][filled], at[1:][filled] - 1
     first[heads], last[tails] = inside[heads], inside[tails]
+    if tail is not None:
+        cut = np.flatnonzero(last & tail[data] & ~first)
+        cut = cut[LETTER[data[cut - 1]]]
+        first[cut], last[cut - 1] = True, True
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     with np.errstate(over="ignore"):
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_BYTE[data] * _power("up", _ROOT, n)[:n], out=sums[1:])
+        np.cumsum(_BYTE[data] * _power("up", _ROOT, n), out=sums[1:])
         h = (sums[end] - sums[start]) * _power("down", _BACK, n)[start]
         h = mix64(h + (end - start).astype(np.uint64))
     return Words(h, np.searchsorted(start, at), start, end, data)
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``most`` bytes of text, so that work space stays bounded; a longer text is alone."""
     at = raw(batch.column(column))[1]
     i = 0
@@ -121,3 +161,9 @@ def combine(h: np.ndarray, width: int) -> np.ndarray:
             out *= _U(0x9E3779B97F4A7C15)
             out += h[k : k + n]
         return mix64(out)
+
+
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The runs of data that begin at start, one after another."""
+    total = np.cumsum(length)
+    return data[np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)]

@@ -3,9 +3,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from corpusloom.llm import dac
+from corpusloom.llm.common import fresh_dir
 from tests.llm.tables import documents, nothing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -49,12 +51,49 @@ def test_files_give_back_every_document(spark):
 
 def test_word_memory_is_bounded_and_right(monkeypatch):
     monkeypatch.setattr(dac, "CACHE_WORDS", 10)
-    words, plain = dac.Words(PATH), Tokenizer.from_file(PATH)
+    words, plain = dac.Words(PATH, 2), Tokenizer.from_file(PATH)
+    assert words.apart
     texts = [f"alpha{k % 30} beta, Gamma{k % 7}" for k in range(200)]
     for i in range(0, 200, 20):
-        for text, code in zip(texts[i : i + 20], words.encode([t.encode() for t in texts[i : i + 20]], b""), strict=True):
-            assert np.frombuffer(code, "<u2").tolist() == plain.encode(text, add_special_tokens=False).ids
-    assert len(words.young) + len(words.old) < 120
+        ids, lengths = words.encode(pa.array(texts[i : i + 20]))
+        assert ids.tolist() == [x for t in texts[i : i + 20] for x in (*plain.encode(t, add_special_tokens=False).ids, 2)]
+        assert lengths.sum() == len(ids)
+    assert len(words.hashes) < 120
+
+
+def test_a_tokenizer_that_looks_across_white_space_is_given_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words, plain = dac.Words(path, 2), Tokenizer.from_file(path)
+    assert not words.apart
+    texts = ["two  words\n\nand more ", "", None, " x"]
+    ids, lengths = words.encode(pa.array(texts))
+    rows = [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    assert ids.tolist() == sum(rows, [])
+    assert lengths.tolist() == list(map(len, rows))
+
+
+def test_a_word_whose_hash_another_has_is_encoded_all_the_same():
+    words, plain = dac.Words(PATH, 2), Tokenizer.from_file(PATH)
+    words.encode(pa.array(["alpha beta"]))
+    words.words.all[0] ^= 1
+    assert words.encode(pa.array(["alpha beta"]))[0].tolist() == [*plain.encode("alpha beta", add_special_tokens=False).ids, 2]
+    odd = ["alpha\x01 \x01 b\x01c x", "\x01", "The THE the. The, the... U.S. é. don't! end.. 3. x<|endoftext|>y. <|ENDOFTEXT|>. a.,", "Straße? ΑΣ, ﬁ;"]
+    assert dac.Words(PATH, 2).encode(pa.array(odd))[0].tolist() == [x for t in odd for x in (*plain.encode(t, add_special_tokens=False).ids, 2)]
+
+
+def test_one_doc_id_and_one_row_many_times_are_spread(spark):
+    docs = spark.createDataFrame([(7, f"text {k % 40}") for k in range(400)] + [(9, "same")] * 400, "doc_id long, text string")
+    files = dac.write_tokens(docs, PATH, 2, fresh_dir(spark, "spread"), 100)
+    assert len({f[0].split("-")[-2] for f in files}) > 4
+    assert max(f[1] for f in files) < 200
+    assert sum(f[1] for f in files) == 800
+
+
+def test_a_very_long_text(spark):
+    text = "word12 other, " * 300_000
+    docs = spark.createDataFrame([(1, "a"), (2, text), (3, "b")], "doc_id long, text string")
+    found = sorted(map(tuple, dac.tokenise(docs, PATH, 2).collect()))
+    assert found == expected([(1, "a"), (2, text), (3, "b")])
 
 
 def test_no_rows(spark):
