@@ -5,18 +5,22 @@ A word is removed if a window of WINDOW words covers it whose words also start i
 1. Anchors. Of the ANCHOR-word runs in a window, the one with the least hash stands for it (winnowing), so equal
    windows have equal anchors, and neighbouring windows mostly share theirs. Anchors are dealt by hash, and those of
    two documents or more are marked in a bitmap. Its size follows their number up to MOST_BITS; a fuller bitmap lets
-   more suffixes through but never loses one. The same pass counts suffixes by their first one, two and three words.
-2. Prefixes. A suffix belongs to the shortest of these prefixes that has at most GROUP suffixes, and groups are packed
-   into parts of about that many: variable-length prefixes, groups that fit memory. The suffixes of windows whose
-   anchor is marked go to their group with the words of the prefix and a fingerprint of the rest of the window as the
-   label of the edge below. Of equal windows within a task only those of the smallest doc_id go; the others are
-   already known to be repeats, so a passage that fills a third of the corpus sends one document's per task.
-3. Subtrees. Sorting a part gives the leaves of its subtrees in order; runs of leaves whose common prefix has WINDOW
-   words or more are the deep internal nodes. Leaves of other than the node's smallest doc_id are repeats. Runs of
-   neighbouring repeats make up the maximal ones.
+   more suffixes through but never loses one. The same pass counts suffixes by their first words, for each of LENGTHS.
+2. Prefixes. A suffix belongs to the shortest prefix that has at most GROUP suffixes, up to a whole window, and groups
+   are packed into parts of about that many: variable-length prefixes, groups that fit memory. The suffixes of windows
+   whose anchor is marked go to their part, DEPTH words each, as places in a dictionary of the words' 64-bit hashes.
+   Of equal windows within a buffer only those of the smallest doc_id go; the others are already known to be repeats
+   and go on as spans, so a passage that fills a third of the corpus sends one document's suffixes per buffer.
+3. Subtrees. A part's suffixes are sorted by their words, and the words that neighbours have in common make up the
+   tree: runs of neighbours with WINDOW words or more in common are its deep internal nodes, each as deep as its
+   members agree, down to DEPTH. Leaves of other than a node's smallest doc_id are repeats. Maximal repeats longer
+   than DEPTH are the unions of neighbouring ones, as spans.
+
+Words are compared one by one, by 64 bits of hash each; hashes of whole windows only bring candidates together.
 
 Defined results: a null text has no words; a null doc_id is never smaller and never loses words; rows with equal
-doc_id are one document, so that they don't repeat each other; texts under WINDOW words are kept whole; no rows: none.
+doc_id are one document, so that they don't repeat each other; texts under WINDOW words are kept whole; other columns
+are ignored; a very long text is a piece of its own; no rows: none.
 """
 
 from __future__ import annotations
@@ -35,12 +39,16 @@ from corpusloom.llm.common import materialise
 
 WINDOW = 13
 ANCHOR = 7
-#: Suffixes in a group and in a part; anchors in a part.
-GROUP = 2_000_000
+#: Words of a suffix in the trees.
+DEPTH = 16
+#: Lengths of prefixes, in words.
+LENGTHS = (1, 2, 3, 5, 8, 13)
+#: Suffixes in a group and in a part.
+GROUP = 1_000_000
 #: Rows that a task gathers before it combines them.
-BUFFER = 1_000_000
-PREFIXES = 3
-BUCKET_BITS = 16
+BUFFER = 250_000
+#: Buckets of prefixes: at least and at most.
+FEWEST_BUCKET_BITS, MOST_BUCKET_BITS = 10, 18
 MOST_BITS = 29
 #: Spans of at most so many documents, and so many bytes, are broadcast; beyond, the join shuffles.
 SPAN_ROWS, SPAN_BYTES = 250_000, 32 << 20
@@ -67,13 +75,14 @@ class Windows:
         self.text = np.searchsorted(self.at, self.start, "right") - 1
         self.anchor = least[self.start]
 
-    def prefix(self, words: int, start: np.ndarray) -> np.ndarray:
-        """Bucket of the first words of each suffix."""
-        h = self.h[start]
-        with np.errstate(over="ignore"):
-            for k in range(1, words):
-                h = textvec.mix64(h * _U(3) + self.h[start + k])
-        return (h >> _U(64 - BUCKET_BITS)).astype(np.int64)
+    def prefixes(self, start: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        """Bucket of the first words of each suffix, for each of LENGTHS in turn."""
+        h = np.zeros(len(start), np.uint64)
+        for before, length in zip((0, *LENGTHS), LENGTHS, strict=False):
+            with np.errstate(over="ignore"):
+                for k in range(before, length):
+                    h = h * _U(0x9E3779B97F4A7C15) + self.h[start + k]
+                yield (textvec.mix64(h) >> _U(64 - bits)).astype(np.int64)
 
 
 def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
@@ -97,11 +106,12 @@ def _array(blobs: list[bytes], kind: str) -> np.ndarray:
 class Anchors:
     """mapInArrow function: (doc_id, text) to anchors by part, and the counts of prefixes as one more part."""
 
-    def __init__(self, part_bits: int) -> None:
-        self.part_bits = part_bits
+    def __init__(self, part_bits: int, bucket_bits: int) -> None:
+        self.part_bits, self.bucket_bits, self.buffer = part_bits, bucket_bits, 4 * BUFFER
 
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((PREFIXES, 1 << BUCKET_BITS), np.int64)
+        counts = np.zeros((len(LENGTHS), 1 << self.bucket_bits), np.int64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
         rows = 0
         names = ["part", "anchors", "docs", "several"]
@@ -123,12 +133,12 @@ class Anchors:
                 w = Windows(piece.column(1))
                 if not len(w.start):
                     continue
-                for k in range(PREFIXES):
-                    counts[k] += np.bincount(w.prefix(k + 1, w.start), minlength=1 << BUCKET_BITS)
+                for k, bucket in enumerate(w.prefixes(w.start, self.bucket_bits)):
+                    counts[k] += np.bincount(bucket, minlength=1 << self.bucket_bits)
                 new = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (w.text[1:] != w.text[:-1]))
                 held.append((w.anchor[new], piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[w.text[new]]))
                 rows += int(new.sum())
-                if rows >= BUFFER:
+                if rows >= self.buffer:
                     yield combined()
                     held, rows = [], 0
         if rows:
@@ -143,6 +153,7 @@ class Repeated:
     def __init__(self, part_bits: int) -> None:
         self.part_bits = part_bits
 
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
             if part == 1 << self.part_bits:
@@ -172,147 +183,214 @@ class Slices:
 
 
 def _groups(counts: np.ndarray) -> tuple[np.ndarray, int]:
-    """For each prefix length and bucket its part, -1 where the next word is needed; and the number of parts."""
+    """For each length of prefix and bucket its part, -1 where more words are needed; and the number of parts."""
     parts = np.full(counts.shape, -1, np.int64)
-    filled, part = 0, 0
+    filled, part, left = 0.0, 0, 1.0
+    whole = max(1, int(counts[0].sum()))
     for k in range(len(counts)):
-        for b in np.flatnonzero((counts[k] <= GROUP) | (k == len(counts) - 1)):
-            if filled and filled + counts[k, b] > GROUP:
-                filled, part = 0, part + 1
+        fits = (counts[k] <= GROUP) | (k == len(counts) - 1)
+        for b in np.flatnonzero(fits).tolist():
+            # Longer prefixes are counted under all first words; about the share that is left comes here.
+            own = float(counts[k, b]) * left
+            if filled and filled + own > GROUP:
+                filled, part = 0.0, part + 1
             parts[k, b] = part
-            # Longer prefixes are counted under all first words; what shorter ones have taken is not subtracted.
-            filled += int(counts[k, b])
-        if (counts[k] <= GROUP).all():
+            filled += own
+        if fits.all():
             break
+        left = min(left, int(counts[k, ~fits].sum()) / whole)
     return parts, part + 1
 
 
-class Suffixes:
-    """mapInArrow function: (doc_id, key, text) to suffixes by part, and windows that are known to be repeats."""
+def _split(order: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
+    """order, cut where the value changes."""
+    return np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(order) else []
+
+
+def _by_bucket(doc: np.ndarray, key: np.ndarray, place: np.ndarray, buckets: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Windows to the spans that they cover, a row for each bucket of documents."""
+    with np.errstate(over="ignore"):
+        bucket = (textvec.mix64(doc.view(np.uint64)) % _U(buckets)).astype(np.int64)
+    for own in _split(np.lexsort((place, key, doc, bucket)), bucket):
+        d, k, at = doc[own], key[own], place[own].astype(np.int64)
+        text = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))
+        begins = text | np.append(True, at[1:] > at[:-1] + WINDOW)
+        ends = np.append(begins[1:], True)
+        spans = np.stack([at[begins], at[ends] + WINDOW], axis=1).astype("<u4")
+        counts = np.add.reduceat(begins.astype("<u4"), np.flatnonzero(text)).astype("<u4")
+        yield _row(first + int(bucket[own[0]]), d[text], k[text], counts, spans, b"", b"")
 
-    def __init__(self, bitmap, bits: int, parts: np.ndarray) -> None:
-        self.bitmap, self.bits, self.parts = bitmap, bits, parts
 
+#: What goes to the trees: (docs, keys, which of them, place, dictionary, words), or spans: (docs, keys, counts, spans).
+BLOBS = "part int, a binary, b binary, c binary, d binary, e binary, f binary"
+
+
+def _row(part: int, *blobs) -> pa.RecordBatch:
+    body = [x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes() for x in blobs]
+    return pa.record_batch([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], names=["part", *"abcdef"])
+
+
+class Suffixes:
+    """mapInArrow function: (doc_id, key, text) to suffixes by part, and spans that are known to be repeats."""
+
+    def __init__(self, bitmap, bits: int, bucket_bits: int, parts: np.ndarray, n: int) -> None:
+        self.bitmap, self.bits, self.bucket_bits, self.parts, self.n, self.buffer = bitmap, bits, bucket_bits, parts, n, BUFFER
+
+    def candidates(self, marks: np.ndarray, piece: pa.RecordBatch) -> tuple[np.ndarray, ...] | None:
+        """Words of the piece, and of each suffix: start, words left, doc_id, key, place in the text, part, label."""
+        w = Windows(piece.column(2))
+        slot = (w.anchor >> _U(64 - self.bits)).astype(np.int64)
+        own = marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
+        start, text = w.start[own], w.text[own]
+        if not len(start):
+            return None
+        part = np.full(len(start), -1, np.int64)
+        for k, bucket in enumerate(w.prefixes(start, self.bucket_bits)):
+            left = part < 0
+            part[left] = self.parts[k][bucket[left]]
+            if not left.any():
+                break
+        doc, key = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[text] for k in (0, 1))
+        return w.h, start, w.at[text + 1] - start, doc, key, (start - w.at[text]).astype("<u4"), part, textvec.combine(w.h, WINDOW)[start]
+
+    def combined(self, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        base = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
+        dictionary, rank = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        start = np.concatenate([x[1] + b for x, b in zip(held, base, strict=True)])
+        left, doc, key, place, part, label = (np.concatenate([x[k] for x in held]) for k in range(2, 8))
+        # 0 is the end of a text.
+        words = np.zeros((DEPTH, len(start)), np.uint32)
+        for k in range(DEPTH):
+            there = left > k
+            words[k, there] = rank[start[there] + k] + 1
+        order = np.lexsort((doc, label))
+        first = np.append(True, label[order[1:]] != label[order[:-1]])
+        lead = order[np.flatnonzero(first)][np.cumsum(first) - 1]
+        known = doc[order] > doc[lead]
+        for k in range(WINDOW):
+            known &= words[k, order] == words[k, lead]
+        again = order[known]
+        yield from _by_bucket(doc[again], key[again], place[again], self.n, self.n)
+        tree = order[~known]
+        for own in _split(tree[np.lexsort((*words[2::-1, tree], part[tree]))], part):
+            documents, which = np.unique(np.stack([doc[own], key[own]]), axis=1, return_inverse=True)
+            used, local = np.unique(np.append(words[:, own], 0), return_inverse=True)
+            local = local[:-1].astype("<u2" if len(used) <= 1 << 16 else "<u4")
+            yield _row(int(part[own[0]]), documents[0], documents[1], which.astype("<u4"), place[own], dictionary[used[1:] - 1], local)
+
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(self.bitmap.value, np.uint8)
         held: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-        names = ["part", "docs", "keys", "at", "place", "words", "label"]
-
-        def blobs() -> Iterator[pa.RecordBatch]:
-            doc, key, place, part, words, label = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((doc, label, words[:, 2], words[:, 1], words[:, 0]))
-            doc, key, place, part, words, label = (x[order] for x in (doc, key, place, part, words, label))
-            new = np.append(True, (label[1:] != label[:-1]) | (words[1:] != words[:-1]).any(axis=1))
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
-            for known in (False, True):
-                chosen = (doc > least) == known
-                order = np.argsort(part[chosen], kind="stable")
-                at = np.flatnonzero(chosen)[order]
-                edge = np.flatnonzero(np.diff(part[at])) + 1
-                for own in np.split(at, edge) if len(at) else []:
-                    documents, which = np.unique(np.stack([doc[own], key[own]]), axis=1, return_inverse=True)
-                    body = [documents[0].tobytes(), documents[1].tobytes(), which.astype("<u4").tobytes(), place[own].tobytes()]
-                    body += [b"", b""] if known else [words[own].tobytes(), label[own].tobytes()]
-                    yield pa.record_batch([pa.array([part[own[0]]], pa.int32()), *(pa.array([x], pa.binary()) for x in body)], names=names)
-
+        rows = words = 0
         for batch in batches:
             for piece in textvec.pieces(batch, "text"):
-                w = Windows(piece.column(2))
-                slot = (w.anchor >> _U(64 - self.bits)).astype(np.int64)
-                own = marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-                start, text = w.start[own], w.text[own]
-                if not len(start):
-                    continue
-                part = np.full(len(start), -1, np.int64)
-                for k in range(len(self.parts)):
-                    open_ = part < 0
-                    part[open_] = self.parts[k][w.prefix(k + 1, start[open_])]
-                words = np.stack([(w.h[start + k] >> _U(32)).astype("<u4") for k in range(PREFIXES)], axis=1)
-                label = textvec.combine(w.h, WINDOW - PREFIXES)[start + PREFIXES]
-                doc, key = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[text] for k in (0, 1))
-                held.append((doc, key, (start - w.at[text]).astype("<u4"), part, words, label))
-                rows += len(start)
-                if rows >= BUFFER:
-                    yield from blobs()
-                    held, rows = [], 0
-        if rows:
-            yield from blobs()
+                found = self.candidates(marks, piece)
+                if found:
+                    held.append(found)
+                    rows, words = rows + len(found[1]), words + len(found[0])
+                if rows >= self.buffer or words >= 4 * self.buffer:
+                    yield from self.combined(held)
+                    held, rows, words = [], 0, 0
+        if held:
+            yield from self.combined(held)
+
+
+def sorted_suffixes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """words: a column for each suffix, numbers up to size, 0 after its end. The suffixes' order, and how many words
+    each has in common with the one before."""
+    bits = max(1, int(size).bit_length())
+    step, keys = 64 // bits, []
+    for low in range(0, len(words), step):
+        key = np.zeros(words.shape[1], np.uint64)
+        for row in words[low : low + step]:
+            key = key << _U(bits) | row.astype(np.uint64)
+        keys.append(key)
+    order = np.lexsort(keys[::-1])
+    common, equal = np.zeros(len(order), np.uint8), np.ones(max(0, len(order) - 1), bool)
+    for row in words:
+        own = row[order]
+        equal &= (own[1:] == own[:-1]) & (own[1:] > 0)
+        common[1:] += equal
+    return order, common
 
 
-def deep_nodes(words: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of the leaves, and which of them begin a node of WINDOW words or more.
+def deep_nodes(common: np.ndarray, least: int = WINDOW, most: int = DEPTH) -> np.ndarray:
+    """The internal nodes of ``least`` words or more: rows (first leaf, leaf after the last, depth in words).
 
-    words: the prefix of each suffix; label: the fingerprint of the edge that takes it to WINDOW words.
+    A node's depth is what its leaves have in common; at ``most`` words the tree ends. They nest by their leaves.
     """
-    order = np.lexsort((label, *(words[:, k] for k in reversed(range(words.shape[1])))))
-    w, e = words[order], label[order]
-    common = np.zeros(len(order), np.int64)
-    equal = np.ones(max(0, len(order) - 1), bool)
-    for k in range(w.shape[1]):
-        equal &= w[1:, k] == w[:-1, k]
-        common[1:] += equal
-    common[1:][equal & (e[1:] == e[:-1])] = WINDOW
-    return order, common < WINDOW
+    out = [np.zeros((0, 3), np.int64)]
+    for depth in range(least, most + 1):
+        first = np.flatnonzero(common < depth)
+        after = np.append(first[1:], len(common))
+        inner = np.where(common < depth, np.uint8(255), common)
+        own = (after - first > 1) & (np.minimum.reduceat(inner, first) == depth) if len(first) else np.zeros(0, bool)
+        out.append(np.stack([first[own], after[own], np.full(own.sum(), depth)], axis=1))
+    return np.concatenate(out)
 
 
 class Subtrees:
-    """mapInArrow function: a part's suffixes to the windows that are repeats, as arrays by bucket of document."""
-
-    def __init__(self, buckets: int) -> None:
-        self.buckets = buckets
-
-    def dealt(self, doc: np.ndarray, key: np.ndarray, place: np.ndarray) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            bucket = (textvec.mix64(doc.view(np.uint64)) % _U(self.buckets)).astype(np.int64)
-        order = np.lexsort((place, key, doc, bucket))
-        for own in np.split(order, np.searchsorted(bucket[order], np.arange(1, self.buckets))):
-            if len(own):
-                d, k = doc[own], key[own]
-                first = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1])))
-                counts = np.diff(np.append(first, len(own))).astype("<u4")
-                body = (d[first], k[first], counts, place[own])
-                yield pa.record_batch([pa.array([bucket[own[0]]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in body)], names=["part", "docs", "keys", "counts", "places"])
-
+    """mapInArrow function: a part's suffixes to spans of repeats by bucket of document; known spans go through."""
+
+    def __init__(self, n: int) -> None:
+        self.n = n
+
+    def tree(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        dictionaries = [np.frombuffer(r[4], "<u8") for r in rows]
+        every, rank = np.unique(np.concatenate(dictionaries), return_inverse=True)
+        cuts = np.cumsum([len(x) for x in dictionaries])[:-1]
+        which = [np.frombuffer(r[2], "<u4") for r in rows]
+        words, at = np.empty((DEPTH, sum(map(len, which))), np.uint32), 0
+        for r, own, names, w in zip(rows, dictionaries, np.split(rank, cuts), which, strict=True):
+            local = np.frombuffer(r[5], "<u2" if len(own) < 1 << 16 else "<u4").reshape(DEPTH, -1)
+            words[:, at : at + len(w)] = np.append(0, names + 1).astype(np.uint32)[local]
+            at += len(w)
+        doc, key = (np.concatenate([np.frombuffer(r[k], "<i8")[x] for r, x in zip(rows, which, strict=True)]) for k in (0, 1))
+        place = np.frombuffer(b"".join(r[3] for r in rows), "<u4")
+        order, common = sorted_suffixes(words, len(every))
+        # The outermost deep nodes: what is below them shares the window, too.
+        first = np.flatnonzero(common < WINDOW)
+        least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
+        again = order[doc[order] > least]
+        if len(again):
+            yield from _by_bucket(doc[again], key[again], place[again], self.n)
+
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_part(batches):
-            which = [np.frombuffer(r[2], "<u4") for r in rows]
-            doc, key = (np.concatenate([np.frombuffer(r[k], "<i8")[x] for r, x in zip(rows, which, strict=True)]) for k in (0, 1))
-            place = _array([r[3] for r in rows], "<u4")
-            # Rows without labels are known to be repeats.
-            tree = np.repeat([bool(r[5]) for r in rows], [len(x) for x in which])
-            again = np.flatnonzero(~tree)
-            if tree.any():
-                order, new = deep_nodes(_array([r[4] for r in rows], "<u4").reshape(-1, PREFIXES), _array([r[5] for r in rows], "<u8"))
-                leaf = np.flatnonzero(tree)[order]
-                least = np.minimum.reduceat(doc[leaf], np.flatnonzero(new))[np.cumsum(new) - 1]
-                again = np.concatenate([again, leaf[doc[leaf] > least]])
-            if len(again):
-                yield from self.dealt(doc[again], key[again], place[again])
+        for part, rows in _by_part(batches):
+            if part < self.n:
+                yield from self.tree(rows)
+            else:
+                for r in rows:
+                    yield _row(part - self.n, *r)
 
 
+@textvec.releasing
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's repeats to (doc_id, key, spans): the spans of words that they cover, as pairs of start and end."""
+    """A bucket's spans to (doc_id, key, spans): those of each document, overlapping ones made one."""
     for _, rows in _by_part(batches):
         counts = _array([r[2] for r in rows], "<u4")
         doc, key = (np.repeat(_array([r[k] for r in rows], "<i8"), counts) for k in (0, 1))
-        place = _array([r[3] for r in rows], "<u4").astype(np.int64)
-        order = np.lexsort((place, key, doc))
-        doc, key, place = doc[order], key[order], place[order]
+        spans = _array([r[3] for r in rows], "<u4").reshape(-1, 2).astype(np.int64)
+        order = np.lexsort((spans[:, 0], key, doc))
+        doc, key, start, end = doc[order], key[order], spans[order, 0], spans[order, 1]
         text = np.append(True, (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]))
-        first = text | np.append(True, place[1:] > place[:-1] + WINDOW)
+        shift = np.cumsum(text) << 33
+        reach = np.maximum.accumulate(end + shift) - shift
+        first = text | np.append(True, start[1:] > reach[:-1])
         last = np.append(first[1:], True)
-        spans = np.stack([place[first], place[last] + WINDOW], axis=1).astype("<u4")
-        start = np.flatnonzero(text[first])
-        body = [x.tobytes() for x in np.split(spans, start[1:])]
+        merged = np.stack([start[first], reach[last]], axis=1).astype("<u4")
+        cuts = np.flatnonzero(text[first])
+        body = [x.tobytes() for x in np.split(merged, cuts[1:])]
         for low in range(0, len(body), 10_000):
             at = np.flatnonzero(text)[low : low + 10_000]
             yield pa.record_batch([pa.array(doc[at]), pa.array(key[at]), pa.array(body[low : low + 10_000], pa.binary())], names=["doc_id", "key", "spans"])
 
 
 def _dealt(rows: DataFrame, parts: int, f: Callable, schema: str) -> DataFrame:
-    """Rows to their part, a task for each, then f."""
-    return rows.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(f, schema)
+    """Rows to their part, a task for each part and the bucket of the same number, then f."""
+    return rows.repartitionById(parts, (F.col("part") % parts).cast("int")).sortWithinPartitions("part").mapInArrow(f, schema)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -321,22 +399,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     plain = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     part_bits = max(3, int(size // (8 * GROUP)).bit_length())
-    anchors = plain.mapInArrow(Anchors(part_bits), "part int, anchors binary, docs binary, several binary")
-    found = materialise(_dealt(anchors, (1 << part_bits) + 1, Repeated(part_bits), "part int, n long, body binary"), "anchors")
-    total = found.filter(F.col("part") < 1 << part_bits).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bucket_bits = min(MOST_BUCKET_BITS, max(FEWEST_BUCKET_BITS, int(size // (8 * GROUP)).bit_length() + 8))
+    counted = 1 << part_bits
+    anchors = plain.mapInArrow(Anchors(part_bits, bucket_bits), "part int, anchors binary, docs binary, several binary")
+    found = materialise(_dealt(anchors, counted + 1, Repeated(part_bits), "part int, n long, body binary"), "anchors")
+    total = found.filter(F.col("part") < counted).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(part_bits + 3, 16, min(MOST_BITS, (16 * total).bit_length()))
     bitmap = bytearray(1 << (bits - 3))
     step = 1 << (bits - 3 - part_bits)
     # The slices make up one bitmap of at most 2**MOST_BITS bits.
-    for r in found.filter(F.col("part") < 1 << part_bits).mapInArrow(Slices(part_bits, bits), "part int, body binary").toLocalIterator():
+    for r in found.filter(F.col("part") < counted).mapInArrow(Slices(part_bits, bits), "part int, body binary").toLocalIterator():
         bitmap[r["part"] * step : (r["part"] + 1) * step] = r["body"]
-    counted = found.filter(F.col("part") == 1 << part_bits).first()
-    counts = np.frombuffer(counted["body"], np.int64).reshape(PREFIXES, -1) if counted else np.zeros((PREFIXES, 1 << BUCKET_BITS), np.int64)
+    row = found.filter(F.col("part") == counted).first()
+    counts = np.frombuffer(row["body"], np.int64).reshape(len(LENGTHS), -1) if row else np.zeros((len(LENGTHS), 1 << bucket_bits), np.int64)
     parts, n = _groups(counts)
     sent = spark.sparkContext.broadcast(bytes(bitmap))
     keyed = plain.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    suffixes = keyed.mapInArrow(Suffixes(sent, bits, parts), "part int, docs binary, keys binary, at binary, place binary, words binary, label binary")
-    again = _dealt(suffixes, n, Subtrees(n), "part int, docs binary, keys binary, counts binary, places binary")
+    again = _dealt(keyed.mapInArrow(Suffixes(sent, bits, bucket_bits, parts, n), BLOBS), n, Subtrees(n), BLOBS)
     return materialise(_dealt(again, n, _spans, "doc_id long, key long, spans binary"), "spans")
 
 
@@ -358,6 +437,7 @@ class Remover:
     def __init__(self, texts: bool) -> None:
         self.texts = texts
 
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
