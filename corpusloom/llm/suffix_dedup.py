@@ -5,18 +5,18 @@ A word is removed if a window of WINDOW words covers it whose words also start i
 1. Anchors. Of the ANCHOR-word runs in a window, the one with the least hash stands for it (winnowing), so equal
    windows have equal anchors, and neighbouring windows mostly share theirs. Anchors are dealt by hash, and those of
    two documents or more are marked in a bitmap. Its size follows their number up to MOST_BITS; a fuller bitmap lets
-   more suffixes through but never loses one. The same pass counts suffixes by their first words, for each of LENGTHS.
-2. Prefixes. A suffix belongs to the shortest prefix that has at most GROUP suffixes, up to a whole window, and groups
-   are packed into parts of about that many: variable-length prefixes, groups that fit memory. The suffixes of windows
-   whose anchor is marked go to their part, DEPTH words each, as places in a dictionary of the words' 64-bit hashes.
-   Of equal windows within a buffer only those of the smallest doc_id go; the others are already known to be repeats
-   and go on as spans, so a passage that fills a third of the corpus sends one document's suffixes per buffer.
+   more suffixes through but never loses one. The same pass counts anchors by their first words, for each of LENGTHS.
+2. Prefixes. Suffixes of windows with a marked anchor are dealt by the first words of the anchor: the shortest prefix
+   that at most GROUP anchors have, up to a whole anchor, and groups are packed into parts of about that many:
+   variable-length prefixes, groups that fit memory. The suffixes of neighbouring windows with one anchor go together
+   as the stretch of words that they begin in, 40 bits of hash for each word. Of equal stretches within a buffer only those of the smallest doc_id go; the others are already known to be repeats and go on as spans,
+   so a passage that fills a third of the corpus sends one document's suffixes per buffer.
 3. Subtrees. A part's suffixes are sorted by their words, and the words that neighbours have in common make up the
    tree: runs of neighbours with WINDOW words or more in common are its deep internal nodes, each as deep as its
-   members agree, down to DEPTH. Leaves of other than a node's smallest doc_id are repeats. Maximal repeats longer
-   than DEPTH are the unions of neighbouring ones, as spans.
+   members agree, to the end of their stretches. Leaves of other than a node's smallest doc_id are repeats. Maximal
+   repeats longer than a stretch are the unions of neighbouring ones, as spans.
 
-Words are compared one by one, by 64 bits of hash each; hashes of whole windows only bring candidates together.
+Words are compared one by one, by 40 bits of hash each; hashes of whole windows only bring candidates together.
 
 Defined results: a null text has no words; a null doc_id is never smaller and never loses words; rows with equal
 doc_id are one document, so that they don't repeat each other; texts under WINDOW words are kept whole; other columns
@@ -39,16 +39,18 @@ from corpusloom.llm.common import materialise
 
 WINDOW = 13
 ANCHOR = 7
-#: Words of a suffix in the trees.
-DEPTH = 16
-#: Lengths of prefixes, in words.
-LENGTHS = (1, 2, 3, 5, 8, 13)
-#: Suffixes in a group and in a part.
-GROUP = 1_000_000
-#: Rows that a task gathers before it combines them.
-BUFFER = 250_000
-#: Buckets of prefixes: at least and at most.
+#: Neighbouring windows that can share an anchor, and the words of their stretch: the depth of the trees.
+WINDOWS = WINDOW - ANCHOR + 1
+DEPTH = WINDOW + WINDOWS - 1
+#: Lengths of prefixes, in words of the anchor.
+LENGTHS = (1, 2, 3, 5, 7)
+#: Anchors in a group and in a part; each stands for up to WINDOWS suffixes.
+GROUP = 250_000
+#: Stretches that a task gathers before it combines them; of anchors, four times as many.
+BUFFER = 150_000
+#: Buckets of prefixes: at least and at most, and so many whose counts are summed together.
 FEWEST_BUCKET_BITS, MOST_BUCKET_BITS = 10, 18
+SLICE = 1 << 10
 MOST_BITS = 29
 #: Spans of at most so many documents, and so many bytes, are broadcast; beyond, the join shuffles.
 SPAN_ROWS, SPAN_BYTES = 250_000, 32 << 20
@@ -64,9 +66,9 @@ class Windows:
         n = len(self.h) - WINDOW + 1
         if n <= 0:
             self.start = self.text = np.zeros(0, np.int64)
-            self.anchor = np.zeros(0, np.uint64)
+            self.anchor = self.run = np.zeros(0, np.uint64)
             return
-        run = textvec.combine(self.h, ANCHOR)
+        self.run = run = textvec.combine(self.h, ANCHOR)
         two = np.minimum(run[:-1], run[1:])
         four = np.minimum(two[:-2], two[2:])
         least = np.minimum(four[:-3], four[3:])
@@ -75,8 +77,19 @@ class Windows:
         self.text = np.searchsorted(self.at, self.start, "right") - 1
         self.anchor = least[self.start]
 
-    def prefixes(self, start: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-        """Bucket of the first words of each suffix, for each of LENGTHS in turn."""
+    def stretches(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the chosen windows, those that begin a stretch, and how many it has: neighbours with one anchor."""
+        at = np.flatnonzero(own)
+        apart = np.append(True, (at[1:] != at[:-1] + 1) | (self.text[at[1:]] != self.text[at[:-1]]) | (self.anchor[at[1:]] != self.anchor[at[:-1]]))
+        run = np.maximum.accumulate(np.where(apart, np.arange(len(at)), 0))
+        first = np.flatnonzero((np.arange(len(at)) - run) % WINDOWS == 0) if len(at) else at
+        return at[first], np.diff(np.append(first, len(at)))
+
+    def prefixes(self, at: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        """Bucket of the first words of the anchors of windows, for each of LENGTHS in turn."""
+        start = self.start[at]
+        for k in reversed(range(WINDOWS)):
+            start = np.where(self.run[self.start[at] + k] == self.anchor[at], self.start[at] + k, start)
         h = np.zeros(len(start), np.uint64)
         for before, length in zip((0, *LENGTHS), LENGTHS, strict=False):
             with np.errstate(over="ignore"):
@@ -104,7 +117,7 @@ def _array(blobs: list[bytes], kind: str) -> np.ndarray:
 
 
 class Anchors:
-    """mapInArrow function: (doc_id, text) to anchors by part, and the counts of prefixes as one more part."""
+    """mapInArrow function: (doc_id, text) to anchors by part, and the counts of prefixes, a part for each SLICE of buckets."""
 
     def __init__(self, part_bits: int, bucket_bits: int) -> None:
         self.part_bits, self.bucket_bits, self.buffer = part_bits, bucket_bits, 4 * BUFFER
@@ -133,18 +146,19 @@ class Anchors:
                 w = Windows(piece.column(1))
                 if not len(w.start):
                     continue
-                for k, bucket in enumerate(w.prefixes(w.start, self.bucket_bits)):
+                first, _ = w.stretches(np.ones(len(w.start), bool))
+                for k, bucket in enumerate(w.prefixes(first, self.bucket_bits)):
                     counts[k] += np.bincount(bucket, minlength=1 << self.bucket_bits)
-                new = np.append(True, (w.anchor[1:] != w.anchor[:-1]) | (w.text[1:] != w.text[:-1]))
-                held.append((w.anchor[new], piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[w.text[new]]))
-                rows += int(new.sum())
+                held.append((w.anchor[first], piece.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[w.text[first]]))
+                rows += len(first)
                 if rows >= self.buffer:
                     yield combined()
                     held, rows = [], 0
         if rows:
             yield combined()
         if counts.any():
-            yield pa.record_batch([pa.array([1 << self.part_bits], pa.int32()), pa.array([counts.tobytes()]), pa.array([b""]), pa.array([b""])], names=names)
+            for k, own in enumerate(np.split(counts, counts.shape[1] // SLICE, axis=1)):
+                yield pa.record_batch([pa.array([(1 << self.part_bits) + k], pa.int32()), pa.array([own.astype("<u4").tobytes()]), pa.array([b""]), pa.array([b""])], names=names)
 
 
 class Repeated:
@@ -156,8 +170,8 @@ class Repeated:
     @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, rows in _by_part(batches):
-            if part == 1 << self.part_bits:
-                out = np.sum([np.frombuffer(r[0], np.int64) for r in rows], axis=0)
+            if part >= 1 << self.part_bits:
+                out = np.sum([np.frombuffer(r[0], "<u4").astype(np.int64) for r in rows], axis=0)
             else:
                 anchor, doc, several = (_array([r[k] for r in rows], t) for k, t in enumerate(("<u8", "<i8", "u1")))
                 order = np.argsort(anchor, kind="stable")
@@ -207,21 +221,22 @@ def _split(order: np.ndarray, value: np.ndarray) -> list[np.ndarray]:
     return np.split(order, np.flatnonzero(np.diff(value[order])) + 1) if len(order) else []
 
 
-def _by_bucket(doc: np.ndarray, key: np.ndarray, place: np.ndarray, buckets: int, first: int = 0) -> Iterator[pa.RecordBatch]:
-    """Windows to the spans that they cover, a row for each bucket of documents."""
+def _by_bucket(doc: np.ndarray, key: np.ndarray, place: np.ndarray, windows: np.ndarray, buckets: int, first: int = 0) -> Iterator[pa.RecordBatch]:
+    """Runs of windows to the spans that they cover, a row for each bucket of documents."""
     with np.errstate(over="ignore"):
         bucket = (textvec.mix64(doc.view(np.uint64)) % _U(buckets)).astype(np.int64)
     for own in _split(np.lexsort((place, key, doc, bucket)), bucket):
         d, k, at = doc[own], key[own], place[own].astype(np.int64)
+        end = at + windows[own] + WINDOW - 1
         text = np.append(True, (d[1:] != d[:-1]) | (k[1:] != k[:-1]))
-        begins = text | np.append(True, at[1:] > at[:-1] + WINDOW)
-        ends = np.append(begins[1:], True)
-        spans = np.stack([at[begins], at[ends] + WINDOW], axis=1).astype("<u4")
+        begins = text | np.append(True, at[1:] > end[:-1])
+        spans = np.stack([at[begins], end[np.append(begins[1:], True)]], axis=1).astype("<u4")
         counts = np.add.reduceat(begins.astype("<u4"), np.flatnonzero(text)).astype("<u4")
         yield _row(first + int(bucket[own[0]]), d[text], k[text], counts, spans, b"", b"")
 
 
-#: What goes to the trees: (docs, keys, which of them, place, dictionary, words), or spans: (docs, keys, counts, spans).
+#: Stretches for the trees: (docs, keys, which of them with the number of windows, place, high, low); or spans:
+#: (docs, keys, counts, spans).
 BLOBS = "part int, a binary, b binary, c binary, d binary, e binary, f binary"
 
 
@@ -237,46 +252,48 @@ class Suffixes:
         self.bitmap, self.bits, self.bucket_bits, self.parts, self.n, self.buffer = bitmap, bits, bucket_bits, parts, n, BUFFER
 
     def candidates(self, marks: np.ndarray, piece: pa.RecordBatch) -> tuple[np.ndarray, ...] | None:
-        """Words of the piece, and of each suffix: start, words left, doc_id, key, place in the text, part, label."""
+        """Words of the piece, and of each stretch: start, windows, doc_id, key, place in the text, part, two labels."""
         w = Windows(piece.column(2))
         slot = (w.anchor >> _U(64 - self.bits)).astype(np.int64)
-        own = marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0
-        start, text = w.start[own], w.text[own]
-        if not len(start):
+        at, windows = w.stretches(marks[slot >> 3] >> (slot & 7).astype(np.uint8) & 1 > 0)
+        if not len(at):
             return None
-        part = np.full(len(start), -1, np.int64)
-        for k, bucket in enumerate(w.prefixes(start, self.bucket_bits)):
+        part = np.full(len(at), -1, np.int64)
+        for k, bucket in enumerate(w.prefixes(at, self.bucket_bits)):
             left = part < 0
             part[left] = self.parts[k][bucket[left]]
             if not left.any():
                 break
+        start, text, label = w.start[at], w.text[at], textvec.combine(w.h, WINDOW)
         doc, key = (piece.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[text] for k in (0, 1))
-        return w.h, start, w.at[text + 1] - start, doc, key, (start - w.at[text]).astype("<u4"), part, textvec.combine(w.h, WINDOW)[start]
+        return w.h, start, windows, doc, key, (start - w.at[text]).astype("<u4"), part, label[start], label[start + windows - 1]
 
     def combined(self, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         base = np.cumsum([0, *(len(x[0]) for x in held[:-1])])
-        dictionary, rank = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+        # 0 is the end of a stretch.
+        every = np.maximum(np.concatenate([x[0] for x in held]) >> _U(24), _U(1))
         start = np.concatenate([x[1] + b for x, b in zip(held, base, strict=True)])
-        left, doc, key, place, part, label = (np.concatenate([x[k] for x in held]) for k in range(2, 8))
-        # 0 is the end of a text.
-        words = np.zeros((DEPTH, len(start)), np.uint32)
+        windows, doc, key, place, part, head, tail = (np.concatenate([x[k] for x in held]) for k in range(2, 9))
+        words = np.zeros((DEPTH, len(start)), np.uint64)
         for k in range(DEPTH):
-            there = left > k
-            words[k, there] = rank[start[there] + k] + 1
-        order = np.lexsort((doc, label))
-        first = np.append(True, label[order[1:]] != label[order[:-1]])
+            there = windows + WINDOW - 1 > k
+            words[k, there] = every[start[there] + k]
+        order = np.lexsort((doc, windows, tail, head))
+        first = np.zeros(len(order), bool)
+        first[:1] = True
+        for x in (windows, tail, head):
+            first[1:] |= x[order[1:]] != x[order[:-1]]
         lead = order[np.flatnonzero(first)][np.cumsum(first) - 1]
         known = doc[order] > doc[lead]
-        for k in range(WINDOW):
-            known &= words[k, order] == words[k, lead]
+        for row in words:
+            known &= row[order] == row[lead]
         again = order[known]
-        yield from _by_bucket(doc[again], key[again], place[again], self.n, self.n)
+        yield from _by_bucket(doc[again], key[again], place[again], windows[again], self.n, self.n)
         tree = order[~known]
         for own in _split(tree[np.lexsort((*words[2::-1, tree], part[tree]))], part):
             documents, which = np.unique(np.stack([doc[own], key[own]]), axis=1, return_inverse=True)
-            used, local = np.unique(np.append(words[:, own], 0), return_inverse=True)
-            local = local[:-1].astype("<u2" if len(used) <= 1 << 16 else "<u4")
-            yield _row(int(part[own[0]]), documents[0], documents[1], which.astype("<u4"), place[own], dictionary[used[1:] - 1], local)
+            body = words[:, own]
+            yield _row(int(part[own[0]]), documents[0], documents[1], (which << 3 | windows[own]).astype("<u4"), place[own], (body >> _U(8)).astype("<u4"), body.astype(np.uint8))
 
     @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,6 +324,7 @@ def sorted_suffixes(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarra
             key = key << _U(bits) | row.astype(np.uint64)
         keys.append(key)
     order = np.lexsort(keys[::-1])
+    del keys
     common, equal = np.zeros(len(order), np.uint8), np.ones(max(0, len(order) - 1), bool)
     for row in words:
         own = row[order]
@@ -337,24 +355,28 @@ class Subtrees:
         self.n = n
 
     def tree(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        dictionaries = [np.frombuffer(r[4], "<u8") for r in rows]
-        every, rank = np.unique(np.concatenate(dictionaries), return_inverse=True)
-        cuts = np.cumsum([len(x) for x in dictionaries])[:-1]
-        which = [np.frombuffer(r[2], "<u4") for r in rows]
-        words, at = np.empty((DEPTH, sum(map(len, which))), np.uint32), 0
-        for r, own, names, w in zip(rows, dictionaries, np.split(rank, cuts), which, strict=True):
-            local = np.frombuffer(r[5], "<u2" if len(own) < 1 << 16 else "<u4").reshape(DEPTH, -1)
-            words[:, at : at + len(w)] = np.append(0, names + 1).astype(np.uint32)[local]
-            at += len(w)
-        doc, key = (np.concatenate([np.frombuffer(r[k], "<i8")[x] for r, x in zip(rows, which, strict=True)]) for k in (0, 1))
-        place = np.frombuffer(b"".join(r[3] for r in rows), "<u4")
+        marked = [np.frombuffer(r[2], "<u4") for r in rows]
+        high, low = (np.concatenate([np.frombuffer(r[k], t).reshape(DEPTH, -1) for r in rows], axis=1) for k, t in ((4, "<u4"), (5, "u1")))
+        every, rank = np.unique(np.append(high.astype(np.uint64) << _U(8) | low, _U(0)), return_inverse=True)
+        stretch = rank[:-1].astype(np.uint32).reshape(high.shape)
+        del high, low, rank
+        doc, key = (np.concatenate([np.frombuffer(r[k], "<i8")[x >> 3] for r, x in zip(rows, marked, strict=True)]) for k in (0, 1))
+        place, windows = np.frombuffer(b"".join(r[3] for r in rows), "<u4"), np.concatenate(marked) & 7
+        # Each window of a stretch begins a suffix.
+        owner = [np.flatnonzero(windows > k) for k in range(WINDOWS)]
+        words, at = np.zeros((DEPTH, sum(map(len, owner))), np.uint32), 0
+        for k, own in enumerate(owner):
+            words[: DEPTH - k, at : at + len(own)] = stretch[k:, own]
+            at += len(own)
+        place = np.concatenate([place[own] + k for k, own in enumerate(owner)])
+        doc, key = (x[np.concatenate(owner)] for x in (doc, key))
         order, common = sorted_suffixes(words, len(every))
         # The outermost deep nodes: what is below them shares the window, too.
         first = np.flatnonzero(common < WINDOW)
         least = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(order))))
         again = order[doc[order] > least]
         if len(again):
-            yield from _by_bucket(doc[again], key[again], place[again], self.n)
+            yield from _by_bucket(doc[again], key[again], place[again], np.ones(len(again), np.int64), self.n)
 
     @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,20 +420,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     plain = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    part_bits = max(3, int(size // (8 * GROUP)).bit_length())
+    part_bits = max(3, int(size // (32 * GROUP)).bit_length())
     bucket_bits = min(MOST_BUCKET_BITS, max(FEWEST_BUCKET_BITS, int(size // (8 * GROUP)).bit_length() + 8))
     counted = 1 << part_bits
     anchors = plain.mapInArrow(Anchors(part_bits, bucket_bits), "part int, anchors binary, docs binary, several binary")
-    found = materialise(_dealt(anchors, counted + 1, Repeated(part_bits), "part int, n long, body binary"), "anchors")
+    found = materialise(_dealt(anchors, counted + (1 << bucket_bits) // SLICE, Repeated(part_bits), "part int, n long, body binary"), "anchors")
     total = found.filter(F.col("part") < counted).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = max(part_bits + 3, 16, min(MOST_BITS, (16 * total).bit_length()))
+    bits = max(part_bits + 3, 16, min(MOST_BITS, (32 * total).bit_length()))
     bitmap = bytearray(1 << (bits - 3))
     step = 1 << (bits - 3 - part_bits)
     # The slices make up one bitmap of at most 2**MOST_BITS bits.
     for r in found.filter(F.col("part") < counted).mapInArrow(Slices(part_bits, bits), "part int, body binary").toLocalIterator():
         bitmap[r["part"] * step : (r["part"] + 1) * step] = r["body"]
-    row = found.filter(F.col("part") == counted).first()
-    counts = np.frombuffer(row["body"], np.int64).reshape(len(LENGTHS), -1) if row else np.zeros((len(LENGTHS), 1 << bucket_bits), np.int64)
+    counts = np.zeros((len(LENGTHS), 1 << bucket_bits), np.int64)
+    for r in found.filter(F.col("part") >= counted).toLocalIterator():
+        low = (r["part"] - counted) * SLICE
+        counts[:, low : low + SLICE] = np.frombuffer(r["body"], np.int64).reshape(len(LENGTHS), -1)
     parts, n = _groups(counts)
     sent = spark.sparkContext.broadcast(bytes(bitmap))
     keyed = plain.select("doc_id", F.xxhash64("text").alias("key"), "text")

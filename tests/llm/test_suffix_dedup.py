@@ -79,7 +79,7 @@ def test_one_passage_in_most_documents_is_spread(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "GROUP", 4000)
     monkeypatch.setattr(suffix_dedup, "BUFFER", 2000)
     check(spark, documents(spark, rows))
-    counts = np.zeros((6, 16), np.int64)
+    counts = np.zeros((5, 16), np.int64)
     counts[:, 3] = 10 * suffix_dedup.GROUP
     counts[4, 3:13] = suffix_dedup.GROUP
     parts, n = suffix_dedup._groups(counts)
@@ -92,10 +92,10 @@ def test_equal_labels_of_different_words_remove_nothing(spark, monkeypatch):
     own = suffix_dedup.textvec.combine
     same = lambda h, width: own(h, width) * np.uint64(0) if width == suffix_dedup.WINDOW else own(h, width)
     monkeypatch.setattr(suffix_dedup.textvec, "combine", same)
-    rows = [(k, f"p{k} " + " ".join(f"w{i}" for i in range(13 + k % 2 * 3)) + f" s{k} " + " ".join(f"v{k % 5}x{i}" for i in range(15)), "en", "s") for k in range(12)]
+    rows = [(k, "same " * 40 + f"p{k} " + " ".join(f"w{i}" for i in range(13 + k % 2 * 3)) + f" s{k} " + " ".join(f"v{k % 5}x{i}" for i in range(15)), "en", "s") for k in range(12)]
     docs = documents(spark, rows)
     given = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    w = suffix_dedup.Suffixes(None, 16, 10, np.zeros((6, 1 << 10), np.int64), 1)
+    w = suffix_dedup.Suffixes(None, 16, 10, np.zeros((5, 1 << 10), np.int64), 1)
     marks = np.full(1 << 13, 255, np.uint8)
     batch = suffix_dedup.pa.record_batch([suffix_dedup.pa.array([g[0] for g in given]), suffix_dedup.pa.array([0] * len(given)), suffix_dedup.pa.array([g[1] for g in given])], names=["doc_id", "key", "text"])
     sent = list(w.combined([w.candidates(marks, batch)]))
