@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import posixpath
 import tempfile
@@ -22,20 +23,46 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session that names none gets one
+    of its own; on a cluster that is an error, for each machine would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(_own[app])
-    return _own[app]
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
+        context.setCheckpointDir(_own[context.applicationId])
+    return _own[context.applicationId]
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder; nothing is made yet."""
-    return posixpath.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    """A new path below the application's part of the shared folder; nothing is made yet."""
+    return posixpath.join(shared_dir(spark), f"corpusloom-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove all intermediate tables and files of this application. What it returned must have been written by then."""
+    remove(posixpath.dirname(fresh_dir(spark, "")))
+
+
+def remove(*uris: str) -> None:
+    """Remove files or folders; those that aren't there are no error."""
+    for uri in uris:
+        fs, path = filesystem(uri)
+        kind = fs.get_file_info(path).type
+        if kind == pafs.FileType.Directory:
+            fs.delete_dir(path)
+        elif kind == pafs.FileType.File:
+            fs.delete_file(path)
+
+
+def sweep_up(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: only then are the shuffle files of jobs that have ended removed, which a
+    quick succession of jobs would otherwise pile up on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -57,14 +84,17 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_whole(uri: str, write) -> None:
-    """Call write(stream) on a temporary file beside uri, then move it there: readers see whole files only, and a
-    second attempt of a task puts the same bytes in place."""
+    """Call write(stream) on a temporary file beside uri, then move it there: readers see whole files only. What is there
+    already stays: a former attempt of the task wrote the same."""
     fs, path = filesystem(uri)
     fs.create_dir(posixpath.dirname(path), recursive=True)
     temporary = f"{path}.{uuid.uuid4().hex}.part"
     with fs.open_output_stream(temporary, compression=None) as out:
         write(out)
-    fs.move(temporary, path)
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        fs.move(temporary, path)
+    else:
+        fs.delete_file(temporary)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -27,21 +28,119 @@ def test_base_columns_match_brute_force(spark, monkeypatch):
     assert all(-math.inf < r["score"] < 0 for r in found)
 
 
-def test_probabilities_of_every_context_sum_to_one(spark, tmp_path):
-    """The predictive distribution over the vocabulary and the unknown word, from the scores of single pairs."""
-    rows = [(i, t, "en", "s") for i, t in enumerate(["a b a c", "a b b", "c a b d", "b a c c", "d a b"])]
-    words = ["a", "b", "c", "d", "zzz", None]
-    probes = [(10_000 + 7 * k, f"{u} {w}" if w else u, "en", "s") for k, (u, w) in enumerate((u, w) for u in ("a", "zzz") for w in words)]
-    probes = [(next(i for i in range(r[0] * 100, r[0] * 100 + 100) if zlib.crc32(str(i).encode()) % 7 == 2), *r[1:]) for r in probes]
-    train = [(next(i for i in range(r[0] * 100, r[0] * 100 + 100) if zlib.crc32(str(i).encode()) % 7 != 2), *r[1:]) for r in rows]
-    score = {r["doc_id"]: r["score"] for r in hpylm.score(documents(spark, train + probes)).collect()}
-    end = {}
-    for r in probes:
-        end[r[1]] = 10 ** score[r[0]]
-    # P(u w end) / P(u end) = P(w | u) P(end | w) / P(end | u): too tangled to invert here, so check bounds and order.
-    assert all(0 < p < 1 for p in end.values())
-    assert end["a b"] > end["a d"] > 0
-    assert end["a zzz"] < end["a b"]
+def ids(k, held):
+    """A doc_id from k's own hundred that is held out, or isn't."""
+    return next(i for i in range(k * 100, k * 100 + 100) if (zlib.crc32(str(i).encode()) % 7 == 2) == held)
+
+
+TRAIN = ["a b a c", "a b b", "c a b d", "b a c c", "d a b a b a b a c a b", "a b a c"]
+
+
+@pytest.mark.parametrize("hot", [hpylm.HOT, 3])
+def test_probabilities_of_every_context_sum_to_one(spark, monkeypatch, hot):
+    """Over the vocabulary, its end included, and the unknown word; whole contexts and split ones, one piece and many."""
+    monkeypatch.setattr(hpylm, "HOT", hot)
+    monkeypatch.setattr(hpylm, "PART", hpylm.PART if hot > 3 else 8)
+    monkeypatch.setattr(hpylm, "WORD_PART", hpylm.WORD_PART if hot > 3 else 2)
+    words = ["a", "b", "c", "d", "zzz"]
+    probes = [f"{u} {w}" for u in words for w in words] + words + [""]
+    rows = [(ids(k, False), t, "en", "s") for k, t in enumerate(TRAIN)] + [(ids(100 + k, True), t, "en", "s") for k, t in enumerate(probes)]
+    found = {r["doc_id"]: r for r in hpylm.score(documents(spark, rows), 1, 2, by_token=True).collect()}
+    chance = {}
+    for i, text, *_ in rows:
+        row = found[i]
+        assert sum(row["token_scores"]) == pytest.approx(row["score"])
+        said = tokens(text)
+        for u, w, x in zip(["begin", *said], said, row["token_scores"], strict=False):
+            chance.setdefault((u, w), []).append(10**x)
+    assert all(max(v) == pytest.approx(min(v)) for v in chance.values())
+    for u in ["begin", *words]:
+        assert sum(chance[u, w][0] for w in [*words, None]) == pytest.approx(1, abs=1e-6)
+    assert chance["a", "b"][0] > chance["a", "d"][0] > chance["a", "zzz"][0] > 0
+
+
+class Slow:
+    """Customers sat down and taken away one at a time, in restaurants of lists of tables (Teh 2006)."""
+
+    def __init__(self, texts, seed):
+        self.rng = random.Random(seed)
+        self.pairs = [p for t in texts for p in zip(["begin", *tokens(t)], tokens(t), strict=False)]
+        self.base = 1 / (len({w for _, w in self.pairs}) + 1)
+        self.house, self.at = {}, {}
+        for k, (u, w) in enumerate(self.pairs):
+            self.at[k] = self.sit(u, w)
+
+    def chance(self, u, w):
+        strength, discount = hpylm.PARENT if u is ... else hpylm.CONTEXT
+        tables = self.house.get(u, {})
+        guests, total = sum(sum(x) for x in tables.values()), sum(map(len, tables.values()))
+        above = self.base if u is ... else self.chance(..., w)
+        own = tables.get(w, [])
+        return (sum(own) - discount * len(own) + (strength + discount * total) * above) / (strength + guests)
+
+    def sit(self, u, w):
+        strength, discount = hpylm.PARENT if u is ... else hpylm.CONTEXT
+        tables = self.house.setdefault(u, {}).setdefault(w, [])
+        above = self.base if u is ... else self.chance(..., w)
+        fresh = (strength + discount * sum(map(len, self.house[u].values()))) * above
+        weights = [x - discount for x in tables] + [fresh]
+        k = self.rng.choices(range(len(weights)), weights)[0]
+        if k == len(tables):
+            tables.append(0)
+            if u is not ...:
+                self.sit(..., w)
+        tables[k] += 1
+
+    def leave(self, u, w):
+        tables = self.house[u][w]
+        k = self.rng.choices(range(len(tables)), tables)[0]
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            if u is not ...:
+                self.leave(..., w)
+
+    def sweep(self):
+        for u, w in self.pairs:
+            self.leave(u, w)
+            self.sit(u, w)
+
+
+def test_scores_match_a_sampler_that_moves_one_customer_at_a_time(spark):
+    held = ["a b a", "c d zzz", "d d b c a", ""]
+    slow, total = Slow(TRAIN, 1), Counter()
+    for k in range(3300):
+        slow.sweep()
+        if k >= 300:
+            for t in held:
+                for u, w in zip(["begin", *tokens(t)], tokens(t), strict=False):
+                    total[t, u, w] += slow.chance(u, w) / 3000 / sum((u, w) == p for p in zip(["begin", *tokens(t)], tokens(t), strict=False))
+    rows = [(ids(k, False), t, "en", "s") for k, t in enumerate(TRAIN)] + [(ids(100 + k, True), t, "en", "s") for k, t in enumerate(held)]
+    found = {r["doc_id"]: r["token_scores"] for r in hpylm.score(documents(spark, rows), 3, 30, by_token=True).collect()}
+    for k, t in enumerate(held):
+        expected = [math.log10(total[t, u, w]) for u, w in zip(["begin", *tokens(t)], tokens(t), strict=False)]
+        assert found[ids(100 + k, True)] == pytest.approx(expected, abs=0.06)
+
+
+@pytest.mark.parametrize("customers", [2, 10, 30, 64, 65, 1000])
+@pytest.mark.parametrize("elsewhere", [0, 100, 1000])
+def test_mean_tables_are_within_five_percent_of_the_exact_posterior(customers, elsewhere):
+    """One dish beside other tables: weights S(c, t) * share**t * (strength)(strength + discount)... of all tables."""
+    strength, discount, share = 1.0, 0.8, 0.1 if elsewhere else 0.3
+    t = np.arange(1, customers + 1)
+    weight = hpylm.stirling_table(discount)[customers, t] + t * math.log(share) + np.cumsum(np.log(strength + discount * (elsewhere + t - 1)))
+    weight = np.exp(weight - weight.max())
+    n = 300 if customers == 1000 else 3000
+    tables, _ = hpylm.seat(np.full(n, customers), np.arange(n), np.full(n, share), strength, discount, 4, contexts=n, elsewhere=elsewhere, sweeps=40)
+    assert tables.mean() == pytest.approx((weight * t).sum() / weight.sum(), rel=0.05)
+
+
+def test_a_very_long_text_against_small_pieces(spark, monkeypatch):
+    monkeypatch.setattr(hpylm, "PIECE", 100)
+    monkeypatch.setattr(hpylm, "PART", 50_000)
+    rows = [(1, "w1 w2 w3 " * 100_000, "en", "s"), *((k, f"w1 w{k}", "en", "s") for k in range(2, 40))]
+    found = {r["doc_id"]: r["n_tokens"] for r in hpylm.score(documents(spark, rows), 1, 1).collect()}
+    assert found == {1: 300_001, **dict.fromkeys(range(2, 40), 3)}
 
 
 def test_seating_is_within_bounds_and_close_to_the_exact_posterior():
