@@ -93,24 +93,30 @@ def save(uri: str, arrays: dict[str, np.ndarray], names: list[str] = ()) -> None
 
 
 class File:
-    """The arrays of a file as attributes; names: its list of texts."""
+    """The arrays of a file as attributes, but those to skip; names: its list of texts."""
 
-    def __init__(self, uri: str) -> None:
+    def __init__(self, uri: str, skip: tuple[str, ...] = ()) -> None:
         fs, path = filesystem(uri)
         with fs.open_input_file(path) as f:
             (n,) = struct.unpack("<I", f.read(4))
             head = json.loads(f.read(n))
             self.names = head["names"]
             for k, (kind, size) in head["arrays"].items():
-                setattr(self, k, unpack(f.read(size), kind))
+                if k in skip:
+                    f.seek(size, 1)
+                else:
+                    setattr(self, k, unpack(f.read(size), kind))
 
 
 def pack(a: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(a).tobytes(), 1)
+    """Compressed, byte by byte of significance: the high bytes of most numbers are alike."""
+    a = np.ascontiguousarray(a)
+    return zstandard.compress(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes(), 1) if len(a) else b""
 
 
 def unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(b), kind) if b else np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel() if b else np.zeros(0, kind)
 
 
 def steps(a: np.ndarray) -> np.ndarray:
@@ -313,21 +319,25 @@ class Build(Tables):
             h.guests[context_at] = np.concatenate([unpack(r[3], "<u4") for r in rows])
             context = np.repeat(context_at, np.concatenate(sizes))
             follower = np.concatenate([unpack(r[4], "<u4").astype(np.uint64) << _U(16) | unpack(r[5], "<u2") for r in rows])
-            order = np.lexsort((follower, context))
-            c, f = context[order], follower[order]
-            new = np.append(True, (c[1:] != c[:-1]) | (f[1:] != f[:-1]))
+            words, word = np.unique(follower, return_inverse=True)
+            # Every row comes in this order already, which the sort makes use of.
+            key = context << 32 | word
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            new = np.append(True, key[1:] != key[:-1])
             first = np.flatnonzero(new)
             place = np.empty(len(order), np.int64)
             place[order] = np.cumsum(new) - 1
             customers = np.add.reduceat(np.concatenate([unpack(r[6], "<u4") for r in rows])[order].astype(np.int64), first)
-            h.words, h.word_of = np.unique(f[first], return_inverse=True)
-            h.dishes = np.bincount(c[first], minlength=len(h.contexts))
+            h.words, h.word_of = words, key[first] & 0xFFFFFFFF
+            owner = key[first] >> 32
+            h.dishes = np.bincount(owner, minlength=len(h.contexts))
             asked = np.array([int(x.sum()) for x in sizes])
             places = np.concatenate([steps(x) for x in np.split(place, np.cumsum(asked)[:-1])])
             arrays = {"contexts": h.contexts, "guests": h.guests, "dishes": h.dishes.astype("<u4"), "words": h.words, "word_of": h.word_of.astype("<u4"), "customers": customers.astype("<u4"), "asked": asked.astype("<u4"), "places": places}
             save(self.house(part), arrays, [r[0] for r in rows])
             tables = np.minimum(customers, 1)
-            totals = np.bincount(c[first], tables, len(h.contexts))
+            totals = np.bincount(owner, tables, len(h.contexts))
             save(self.state(part, 0), {"tables": tables.astype("<u4"), "totals": totals.astype("<u4")})
             yield from self.told(part, h, tables, totals, True)
 
@@ -396,7 +406,7 @@ class Sweep(Tables):
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, drawn, rest = self.numbers
         for part, rows in _grouped(batches):
-            h, before, reply = File(self.house(part)), File(self.state(part, self.sweep - 1)), Reply(rows)
+            h, before, reply = File(self.house(part), ("asked", "places")), File(self.state(part, self.sweep - 1)), Reply(rows)
             rng = np.random.default_rng([SEED, 1, self.sweep, part])
             share = (reply.drawn + rest / (self.known + 1)) / (drawn + rest)
             totals = before.totals.astype(np.float64)
@@ -564,14 +574,23 @@ def likely(c: np.ndarray, w: np.ndarray, d: float) -> tuple[np.ndarray, np.ndarr
     return low.astype(np.int64), np.clip(np.ceil(mean + reach), low, c).astype(np.int64)
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma(x) for x >= 1: Stirling's series at x + 8, carried back by the recurrence."""
+    y = x + 8.0
+    back = np.log(x)
+    for k in range(1, 8):
+        back += np.log(x + k)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - back
 
 
 def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
     """log S(c, t) for any t > 0: the coefficient of z**c in ((1 - (1 - z)**d) / d)**t, times c! / t!.
 
-    It is a contour integral around the cut from 1 on, by the trapezoid rule on a parabola through the saddle point.
+    It is a contour integral around the cut from 1 on, by the trapezoid rule on a parabola through the saddle point;
+    for d of one half it has a closed form.
     """
+    if d == 0.5:
+        return _lgamma(2 * c - t) - _lgamma(c - t + 1.0) - _lgamma(t) - (c - t) * math.log(4)
     saddle = _bisect(lambda u: t * d * u ** (d - 1) * (1 - u) - (c + 1) * (1 - u**d), len(t))
     u = np.maximum(saddle, 3 / c)
     first = -t * d * u ** (d - 1) / (1 - u**d) + (c + 1) / (1 - u)
@@ -588,7 +607,7 @@ def log_stirling(c: int, t: np.ndarray, d: float) -> np.ndarray:
 def stirling_row(c: int, low: int, high: int, d: float) -> np.ndarray:
     """log S(c, t) for t from low to high; long rows by Chebyshev interpolation, for S is analytic in t."""
     t = np.arange(low, high + 1, dtype=np.float64)
-    if len(t) <= 400:
+    if len(t) <= 400 or d == 0.5:
         return log_stirling(c, t, d)
     nodes = np.polynomial.chebyshev.chebpts1(40)
     middle, half = (low + high) / 2, (high - low) / 2
@@ -650,7 +669,7 @@ def score(docs: DataFrame, burn_in: int = BURN_IN, samples: int = SAMPLES, by_to
     folder = fresh_dir(spark, "pieces")
     pieces = materialise(plain.mapInArrow(Cutter(folder), "uri string, tokens long, train_tokens long"), "pieces")
     tokens, train = pieces.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
-    parts, word_parts = max(4, -(-tokens // PART)), max(2, -(-tokens // (8 * WORD_PART)))
+    parts, word_parts = max(4, -(-tokens // PART)), max(2, -(-tokens // (4 * WORD_PART)))
     uris = pieces.select("uri")
     counts = materialise(_by_part(_by_uri(uris, AskWords(word_parts), "part long, uri string, words binary, counts binary"), "part", word_parts, tell_words, "uri string, part long, counts binary"), "counts")
     known = int(sum(np.frombuffer(r["counts"], "<f8")[0] for r in counts.filter("uri = ''").select("counts").toLocalIterator()))

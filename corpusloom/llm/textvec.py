@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import gc
+import mmap
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -59,13 +59,26 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
     return p[:n]
 
 
+#: A task gives memory back only where the process holds more: giving back and taking again costs time.
+MOST_HELD = 256 << 20
+
+
 def release() -> None:
     """Give back what a task has freed: workers are used again, and their allocators keep memory otherwise."""
-    _powers.clear()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    if _trim:
-        _trim(0)
+    if resident() > MOST_HELD:
+        _powers.clear()
+        pa.default_memory_pool().release_unused()
+        if _trim:
+            _trim(0)
+
+
+def resident() -> int:
+    """Bytes that this process holds now; 0 where the system doesn't say."""
+    try:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * mmap.PAGESIZE
+    except OSError:
+        return 0
 
 
 def releasing(f: Callable) -> Callable:
