@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 from corpusloom.llm import components, simhash
@@ -93,6 +94,58 @@ def test_keep_one_keeps_the_smallest_id_and_all_columns(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(3, "a b c d e"), (9, "quite another text here")] or sorted((r["doc_id"] or -1, r["text"]) for r in kept.collect()) == [(-1, "alone with no id at all"), (3, "a b c d e"), (9, "quite another text here")]
 
 
+def jaccard(a, b, n=5):
+    x, y = ({tuple(t[i : i + n]) for i in range(max(1, len(t) - n + 1))} for t in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts_are_linked_and_others_are_not(spark):
+    """Edited copies against brute force: recall at five-word similarities of 0.9 and 0.8, no clean text lost."""
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for k in range(150):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(60, 300))]
+        copy = list(words)
+        for i in rng.sample(range(len(copy)), rng.randint(0, len(copy) // 40 + 1)):
+            copy[i] = f"e{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, " ".join(copy).upper() if k % 9 == 0 else " ".join(copy), "en", "s")]
+        pairs.append((k, jaccard(rows[-2][1], rows[-1][1].lower())))
+    rows += [(1000 + k, " ".join(f"c{rng.randrange(3000)}" for _ in range(rng.randint(10, 200))), "en", "s") for k in range(150)]
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert {r[0] for r in rows if r[0] >= 1000 or r[0] % 2 == 0} <= kept
+    for least, recall in ((0.9, 0.9), (0.8, 0.75)):
+        near = [k for k, x in pairs if x >= least]
+        assert len(near) > 30
+        assert sum(2 * k + 1 not in kept for k in near) >= recall * len(near)
+    assert all(2 * k + 1 in kept for k, x in pairs if x < 0.5)
+
+
+def test_margins_and_best_codewords_match_brute_force():
+    texts = ["a b c d e f g A", "one two", "", None, "x " * 5000, "a b c d e f g a"]
+    margin = simhash.margins(pa.array(texts, pa.string()), 5)
+    assert (margin[2:4] == 0).all()
+    assert (margin[0] == margin[5]).all()
+    assert (np.abs(margin[4]) == 4996).all()
+    assert (np.abs(margin[1]) == 1).all()
+    signs = simhash.Codewords().signs
+    row = np.random.default_rng(1).normal(size=(40, 23)).astype(np.float32)
+    assert (simhash.Codewords().best(row) == np.argsort(-(row @ signs.T), axis=1)[:, :3]).all()
+    # A code of distance seven with 4096 words.
+    assert (23 - np.delete(signs @ signs[77], 77)).min() / 2 == 7
+
+
+def test_large_groups_by_blocks_give_the_same_components():
+    rng = np.random.default_rng(5)
+    fp = rng.integers(0, 1 << 62, (60, 1)).astype(np.uint64)
+    fp = np.concatenate([fp ^ np.uint64(1 << int(b)) for b in rng.integers(0, 62, 40)])[:, :1]
+    node = np.arange(len(fp))
+    linker = simhash.Linker(3)
+    whole = components.forest(*np.array(linker.group(node[:900], fp[:900])).T)
+    linker.LARGE = 2
+    parts = components.forest(*np.array(linker.group(node[:900], fp[:900])).T)
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(nothing(spark)).count() == 0
     assert simhash.keep_one(nothing(spark)).count() == 0
