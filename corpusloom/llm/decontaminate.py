@@ -164,14 +164,26 @@ class Items:
         return both[0], both[1]
 
 
+#: Of each worker process: the block that it looked for last, by the broadcast's path.
+_last: dict[str, Items] = {}
+
+
 class Finder:
     """mapInArrow function: the columns key, text first, and all others passed on.
 
+    block: a broadcast of (ids, texts), of bounded size; a worker makes its tables once.
     matches: yields a row (key, item_id, distance, start) per document and item. Else: rows without a match go on.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], matches: bool) -> None:
-        self.ids, self.texts, self.matches = ids, texts, matches
+    def __init__(self, block, matches: bool) -> None:
+        self.block, self.matches = block, matches
+
+    def items(self) -> Items:
+        name = str(self.block._path)
+        if name not in _last:
+            _last.clear()
+            _last[name] = Items(*self.block.value)
+        return _last[name]
 
     def found(self, items: Items, texts: pa.Array, first: bool) -> list[tuple[int, int, int, int]]:
         """(text, item id, distance, start); with first, at most one for each text."""
@@ -196,8 +208,9 @@ class Finder:
                 best[t, i] = (distance, s - begin)
         return [(t, items.ids[i], d, s) for (t, i), (d, s) in sorted(best.items())]
 
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(self.ids, self.texts)
+        items = self.items()
         for batch in batches:
             for piece in textvec.pieces(batch, "text"):
                 rows = self.found(items, piece.column("text"), not self.matches) if items.words else []
@@ -225,14 +238,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("start_word", T.LongType())])
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
-    for k, (ids, texts) in enumerate(blocks(benchmark)):
-        found = plain.mapInArrow(Finder(ids, texts, True), schema)
+    for k, block in enumerate(blocks(benchmark)):
+        found = plain.mapInArrow(Finder(docs.sparkSession.sparkContext.broadcast(block), True), schema)
         out = found if k == 0 else out.union(found)
     return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no item; all columns as they were. One narrow pass per block of items."""
-    for ids, texts in blocks(benchmark):
-        docs = docs.mapInArrow(Finder(ids, texts, False), docs.schema)
+    for block in blocks(benchmark):
+        docs = docs.mapInArrow(Finder(docs.sparkSession.sparkContext.broadcast(block), False), docs.schema)
     return docs

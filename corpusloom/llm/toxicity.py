@@ -6,7 +6,8 @@ evidence exceeds it, so the model is a short list of weights, which is broadcast
 prediction", 2013). Words are runs of letters, digits and bytes beyond ASCII; A to Z are folded.
 
 The model is fitted on a bounded sample of labelled rows: about MOST_ROWS, half of them toxic where there are so
-many, chosen by the hash of doc_id. The intercept is then moved back to the share of toxic rows among all labels.
+many, of about MOST_FEATURES features, chosen by the hash of doc_id and learnt from in the order of the hashes of
+doc_id and text, so that reruns agree. The intercept is then moved back to the share of toxic rows among all labels.
 Only text is an input.
 
 Defined results: a null text is an empty one, whose score is the intercept's; a doc_id with several labels is toxic if
@@ -30,6 +31,8 @@ from corpusloom.llm.common import materialise
 
 BITS = 20
 MOST_ROWS = 12_000
+#: Features in the sample, in all; with more, a share of its rows by hash.
+MOST_FEATURES = 40_000_000
 EPOCHS = 8
 RATE, BETA, L1, L2 = 1.0, 1.0, 16.0, 0.1
 FOLDS = 5
@@ -56,15 +59,16 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(texts), (np.concatenate(coordinates) >> _U(64 - BITS)).astype(np.int32)
 
 
+@textvec.releasing
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(order, label, text) to (order, label, distinct coordinates)."""
+    """(order, tie, label, text) to (order, tie, label, distinct coordinates)."""
     for batch in batches:
         for piece in textvec.pieces(batch, "text"):
-            text, at = features(piece.column(2))
+            text, at = features(piece.column(3))
             both = np.unique((text.astype(np.int64) << 32) | at)
             ends = np.searchsorted(both, np.arange(piece.num_rows + 1, dtype=np.int64) << 32)
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((both & 0xFFFFFFFF).astype(np.int32)))
-            yield pa.record_batch([piece.column(0), piece.column(1), lists], names=["order", "label", "at"])
+            yield pa.record_batch([*piece.columns[:3], lists], names=["order", "tie", "label", "at"])
 
 
 class Ftrl:
@@ -86,11 +90,12 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
+@textvec.releasing
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bounded sample, in order, to the weights that aren't zero; coordinate 2**BITS is the intercept."""
     rows = []
     for batch in batches:
-        for label, at in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+        for label, at in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
             rows.append((label, np.append(at.values.to_numpy(), np.int32(1 << BITS))))
     model = Ftrl()
     for _ in range(EPOCHS):
@@ -115,9 +120,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
     limit = F.when(F.col("label") == 1, share[1]).otherwise(share[0]) * float(1 << 31)
     sample = known.filter((F.col("order").bitwiseAND((1 << 31) - 1)) < limit)
     # About MOST_ROWS rows of three numbers: a broadcast with a bound.
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("order", "label", "text")
-    rows = materialise(found.mapInArrow(_rows, "order long, label int, at array<int>"), "features")
-    fitted = rows.repartition(1).sortWithinPartitions("order").mapInArrow(_train, "at int, weight double")
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("order", F.xxhash64("text").alias("tie"), "label", "text")
+    rows = materialise(found.mapInArrow(_rows, "order long, tie long, label int, at array<int>"), "features")
+    total = rows.agg(F.coalesce(F.sum(F.size("at")), F.lit(0))).first()[0]
+    if total > MOST_FEATURES:
+        rows = rows.filter(F.pmod(F.xxhash64("order", "tie"), F.lit(1 << 20)) < int(MOST_FEATURES / total * (1 << 20)))
+    fitted = rows.repartition(1).sortWithinPartitions("order", "tie").mapInArrow(_train, "at int, weight double")
     weights = {r["at"]: r["weight"] for r in fitted.collect()}
     sampled = math.log((toxic * share[1] + 1) / (clean * share[0] + 1))
     weights[1 << BITS] = weights.get(1 << BITS, 0.0) + prior - sampled
@@ -125,14 +133,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict[int, float]:
 
 
 class Scorer:
-    """mapInArrow function: (doc_id, held_out, text) to scores, with the weights at hand."""
+    """mapInArrow function: (doc_id, held_out, text) to scores; model: a broadcast of at most 2**BITS + 1 weights."""
 
-    def __init__(self, at: list[int], weight: list[float]) -> None:
-        self.at, self.weight = at, weight
+    def __init__(self, model) -> None:
+        self.model = model
 
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dense = np.zeros((1 << BITS) + 1)
-        dense[self.at] = self.weight
+        at, weight = self.model.value
+        dense[at] = weight
         used = dense != 0
         for batch in batches:
             for piece in textvec.pieces(batch, "text"):
@@ -148,4 +158,5 @@ def score(docs: DataFrame, weights: dict[int, float]) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     plain = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(Scorer(list(weights), list(weights.values())), schema)
+    model = (np.array(list(weights), np.int64), np.array(list(weights.values())))
+    return plain.mapInArrow(Scorer(docs.sparkSession.sparkContext.broadcast(model)), schema)

@@ -120,4 +120,16 @@ def test_windows_with_repeated_words_are_not_passed_over():
             assert 12 in start.tolist()
             assert len(set(start.tolist())) == len(start)
             if not k:
-                assert [r[2] for r in decontaminate.Finder([1], [" ".join(item)], True).found(items, pa.array([text]), False)] == [0]
+                assert [r[2] for r in decontaminate.Finder(None, True).found(items, pa.array([text]), False)] == [0]
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(12)
+    item = " ".join(invented(rng, 30))
+    long = " ".join(invented(rng, 300_000))
+    docs = documents(spark, [(1, f"{long} {item}", "en", "s"), (2, long, "en", "s"), (3, item, "en", "s")])
+    known = benchmark(spark, [(7, item)])
+    found = {r["doc_id"]: r for r in decontaminate.leaks(docs, known).collect()}
+    assert set(found) == {1, 3} and all(r["edits"] == 0 for r in found.values())
+    assert abs(found[1]["start_word"] - 300_000) < 30
+    assert [r["doc_id"] for r in decontaminate.without_leaks(docs, known).collect()] == [2]
