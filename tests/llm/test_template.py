@@ -1,3 +1,8 @@
+import random
+import time
+
+import pytest
+
 from corpusloom.llm import template
 
 PAGE = """<!DOCTYPE html><html><head><title>T {n}</title><style>p{{}}</style><script>var x="</p>";if(a<b)c();</script></head><body>
@@ -47,3 +52,47 @@ def test_odd_pages(spark):
 
 def test_no_pages(spark):
     assert template.main_text(pages(spark, [])).count() == 0
+
+
+def test_the_template_decides_where_nothing_tells(spark):
+    """No article, no telling names: the element with the text is found, its repeated texts and link records left out."""
+    words = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k))
+    page = "<html><body><div><ul>{menu}</ul></div><div><span>Hello visitor {n}</span></div><section><h2>{title}</h2>{text}<ul>{more}</ul><b>Read on below</b></section><div><i>tail {n}</i></div></body></html>"
+    rows, expected = [], {}
+    for n in range(8):
+        paragraphs = [words(f"{n}p{k}", 30) for k in range(2 + n % 3)]
+        menu = "".join(f"<li><a href=x>menu {n} {k}</a></li>" for k in range(5))
+        more = "".join(f"<li><a href=x>see {n} {k}</a></li>" for k in range(3 + n % 2))
+        rows.append((n, f"http://plain.example/{n}", page.format(n=n, menu=menu, more=more, title=f"Title {n}", text="".join(f"<p>{p}</p>" for p in paragraphs))))
+        expected[n] = "\n\n".join([f"Title {n}", *paragraphs])
+    assert {r["page_id"]: r["text"] for r in template.main_text(pages(spark, rows)).collect()} == expected
+
+
+def test_classes_match_brute_force(spark):
+    rng = random.Random(3)
+    rows = [(k, f"http://{'ab'[k % 2]}.example/", "<html><body>" + "".join(rng.choice(["<p>one</p>", "<div>two</div>", f"<i>{k}</i>", "<ul><li>x<li>y</ul>"]) for _ in range(rng.randint(2, 6))) + "<hr><p>end</p></body></html>") for k in range(12)]
+    found = {}
+    for r in template.classes(pages(spark, rows)).collect():
+        found.setdefault((r["host"], r["low"], r["high"]), set()).add((r["token"], r["is_text"], r["pages"], r["times"]))
+    expected = []
+    for host in "ab":
+        own = [[(template._hash(t.key), t.text is not None) for t in template.tokens(h)] for _, u, h in rows if u == f"http://{host}.example/"]
+        vectors = {}
+        for token in {t for page in own for t in page}:
+            vectors.setdefault(tuple(page.count(token) for page in own), set()).add(token)
+        for vector, members in vectors.items():
+            n = sum(v > 0 for v in vector)
+            if len(members) > 1 and n >= max(2, len(own) / 2):
+                expected.append({(*t, n, sum(vector)) for t in members})
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected))
+
+
+@pytest.mark.parametrize("html", ["<div>" * 100_000, '<a "' * 100_000, "<p>x" * 100_000, "<!" * 100_000, "</i>" * 100_000, "<b class='x'>" * 100_000, "<li><div><a '\">" * 30_000, "<script>" * 100_000, "<" * 300_000, "<div><p><span>" * 30_000 + "</div>" * 30_000])
+def test_broken_pages_take_linear_time(html):
+    began = time.process_time()
+    template.extract(html, [], set())
+    assert time.process_time() - began < 4
+
+
+def test_unclosed_quotes_leave_later_tags(spark):
+    assert [t.text for t in template.tokens("<p>a <x 'b <i>c</i><p>d \"<b>e</b>") if t.text] == ["a <x 'b c", 'd "e']
