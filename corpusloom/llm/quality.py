@@ -2,15 +2,16 @@
 
 Base rule: at least ten words, and at most a fifth of them in five-word windows that the text repeats.
 
-Beyond it, each rule compares a share measured on the text with a cutoff that a labelled holdout selects, separately
-per stratum (language). A cutoff is admitted if the exact (Clopper-Pearson) upper confidence bound of the share of
-good documents that it would reject is at most ALPHA. Cutoffs of a rule are tested in a fixed order from the loosest
-on, and testing stops at the first that fails, so a rule spends its error once; the error DELTA is divided by rules
-times strata (Bonferroni). With probability 1 - DELTA no rule of any stratum rejects more than ALPHA of the good
-documents. Cutoffs are fixed values that no label has shaped, so all labelled documents serve as the holdout.
+Beyond it, RULES measure shares of a text, and a document is rejected if any of them reaches the cutoff of its stratum
+(language), so that the largest share decides. A cutoff is admitted if the exact (Clopper-Pearson) upper confidence
+bound of the share of good documents that it rejects, by any rule, is at most ALPHA. Cutoffs are tested in a fixed
+order from the loosest on, and testing stops at the first that fails, so a stratum spends its error once; the error
+DELTA is divided by the strata tested (Bonferroni). With probability 1 - DELTA all rules together reject at most ALPHA
+of the good documents of every stratum. Cutoffs are fixed values that no label has shaped, so all labelled documents
+serve as the holdout. Repeated words have no rule of their own beyond the base rule.
 
-Strata with too few good documents to admit any cutoff are pooled, and so is everything beyond the MOST_STRATA with
-the most labels; a null language is a stratum too. Without labels only the base rule rejects.
+A stratum with fewer good documents than could admit any cutoff has none, and isn't tested; a null language is a
+stratum too. Without labels only the base rule rejects.
 
 Defined results: a null text has no words and fails the base rule; a doc_id with several labels counts as good only
 if all of them say so; labels with nulls are ignored; repeated documents count each time; empty tables give empty
@@ -24,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialise
+from corpusloom.llm.common import materialise, maybe_broadcast
 
 SEPARATORS = "\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = "#*$%&|<>"
@@ -33,10 +34,11 @@ LEAST_WORDS = 10
 MOST_REPEATED_PERCENT = 20
 ALPHA = 0.01
 DELTA = 0.05
-MOST_STRATA = 200
+#: Good documents of a stratum below which not even a cutoff that rejects none of them could be admitted.
+LEAST_GOOD = math.log(DELTA) / math.log1p(-ALPHA)
 #: Rules reject a share of at least the cutoff. Fixed values, from loose to strict.
 CUTOFFS = (3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05)
-RULES = ("symbols", "repeated", "repeated_lines", "shouts")
+RULES = ("symbols", "repeated_lines", "shouts")
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -75,10 +77,9 @@ def base_failed() -> Column:
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
 
 
-def shares() -> dict[str, Column]:
-    """What each rule looks at; null (no words) never reaches a cutoff."""
-    per_word = lambda c: F.when(F.col("n_words") > 0, F.col(c) / F.col("n_words"))
-    return dict(zip(RULES, map(per_word, ("n_symbols", "n_repeat_words", "n_dup_lines", "shouts")), strict=True))
+def worst() -> Column:
+    """The largest share of all rules; null (no words) reaches no cutoff."""
+    return F.when(F.col("n_words") > 0, F.greatest("n_symbols", "n_dup_lines", "shouts") / F.col("n_words"))
 
 
 def _log_gamma(x: Column) -> Column:
@@ -106,63 +107,38 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(holdout: DataFrame) -> DataFrame:
-    """holdout: (stratum, one share per rule) of good documents. (stratum, rule, cutoff) of the admitted cutoffs.
+    """holdout: (lang, worst) of good documents. (lang, cutoff) of the strata with an admitted cutoff.
 
-    Documents are counted by stratum, rule and the first cutoff that rejects them; only these counts go on.
-    """
-    reached = lambda share: F.coalesce(F.array_position(F.transform(F.array(*map(F.lit, CUTOFFS)), lambda c: share >= c), True), F.lit(0))
-    long = holdout.select("stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), reached(F.col(r)).alias("level")) for r in RULES])).alias("x"))
-    counted = long.groupBy("stratum", "x.rule", "x.level").count()
-    # A row for every cutoff, also those that reject no document of the holdout.
-    per_rule = counted.groupBy("stratum", "rule").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "count"))).alias("by"))
-    strata = Window.partitionBy("rule")
-    levels = per_rule.withColumn("strata", F.count(F.lit(1)).over(strata)).select("stratum", "rule", "n", "strata", F.posexplode(F.array(*map(F.lit, CUTOFFS))).alias("at", "cutoff"), "by")
-    run = Window.partitionBy("stratum", "rule").orderBy("at")
-    tested = levels.withColumn("k", F.sum(F.coalesce(F.try_element_at("by", (F.col("at") + 1).cast("long")), F.lit(0))).over(run)).withColumn("admitted", binomial_tail(F.col("k"), F.col("n"), ALPHA) <= F.lit(DELTA / len(RULES)) / F.col("strata"))
-    return tested.withColumn("passed", F.min(F.col("admitted").cast("int")).over(run)).filter("passed = 1").groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
-
-
-def thresholds(docs: DataFrame, labels: DataFrame) -> tuple[dict, dict]:
-    """Cutoffs by language, and those of the pool, as {rule: cutoff}; at most MOST_STRATA languages come to the driver.
-
-    docs: (doc_id, lang, the five counts, shouts).
+    Documents are counted by stratum and the first cutoff that rejects them; only these counts go on.
     """
+    first = F.coalesce(F.array_position(F.transform(F.array(*map(F.lit, CUTOFFS)), lambda c: F.col("worst") >= c), True), F.lit(0))
+    counted = holdout.groupBy("lang", first.alias("level")).count()
+    strata = counted.groupBy("lang").agg(F.sum("count").alias("n"), F.map_from_entries(F.collect_list(F.struct("level", "count"))).alias("by"))
+    strata = materialise(strata.filter(F.col("n") >= LEAST_GOOD), "strata")
+    levels = strata.select("lang", "n", F.posexplode(F.array(*map(F.lit, CUTOFFS))).alias("at", "cutoff"), "by")
+    run = Window.partitionBy("lang").orderBy("at")
+    tested = levels.withColumn("k", F.sum(F.coalesce(F.try_element_at("by", (F.col("at") + 1).cast("long")), F.lit(0))).over(run))
+    admitted = binomial_tail(F.col("k"), F.col("n"), ALPHA) <= F.lit(DELTA / max(1, strata.count()))
+    return tested.withColumn("passed", F.min(admitted.cast("int")).over(run)).filter("passed = 1").groupBy("lang").agg(F.min("cutoff").alias("cutoff"))
+
+
+def thresholds(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(at, cutoff) by language, broadcast if they are few. docs: (doc_id, lang, the five counts, shouts)."""
     good = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).filter("quality = 1").select("doc_id")
-    held = materialise(docs.filter(~base_failed()).join(good, "doc_id").select("lang", *[c.alias(r) for r, c in shares().items()]), "holdout")
-    need = math.log(len(RULES) * MOST_STRATA / DELTA) / -math.log1p(-ALPHA)
-    own = [r["lang"] for r in held.groupBy("lang").count().filter(F.col("count") >= need).orderBy(F.desc("count"), "lang").limit(MOST_STRATA).collect()]
-    is_own = F.lit(False)
-    if own:
-        is_own = F.col("lang").isin([x for x in own if x is not None])
-        is_own = F.coalesce(is_own, F.lit(False)) | (F.col("lang").isNull() if None in own else F.lit(False))
-    named = held.select(F.when(is_own, F.struct(F.lit(True).alias("own"), F.col("lang"))).otherwise(F.struct(F.lit(False).alias("own"), F.lit(None).cast("string").alias("lang"))).alias("stratum"), *RULES)
-    by: dict = {x: {} for x in own}
-    pool: dict = {}
-    for r in cutoffs(named).collect():
-        (by[r["stratum"]["lang"]] if r["stratum"]["own"] else pool)[r["rule"]] = r["cutoff"]
-    return by, pool
-
-
-def rejected(lang: Column, by: dict, pool: dict) -> Column:
-    """Whether any rule's share reaches the cutoff of the row's stratum."""
-
-    def fires(limits: dict) -> Column:
-        found = F.lit(False)
-        for rule, cutoff in sorted(limits.items()):
-            found = found | F.coalesce(shares()[rule] >= cutoff, F.lit(False))
-        return found
-
-    out = fires(pool)
-    for name, limits in by.items():
-        out = F.when(lang.eqNullSafe(F.lit(name)), fires(limits)).otherwise(out)
-    return out
+    held = docs.filter(~base_failed()).join(good, "doc_id").select("lang", worst().alias("worst"))
+    return maybe_broadcast(materialise(cutoffs(held).select(F.col("lang").alias("at"), "cutoff"), "cutoffs"))
+
+
+def passes() -> Column:
+    """Whether a row beside its stratum's cutoff is kept."""
+    return ~base_failed() & ~F.coalesce(worst() >= F.col("cutoff"), F.lit(False))
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Every row of docs as (doc_id, n_words, the four counts, base_failed, kept)."""
     flat = materialise(measured(docs.select("doc_id", "lang", "text")).select("row.doc_id", "row.lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "shouts"), "measured")
-    by, pool = thresholds(flat, labels)
-    return flat.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~rejected(F.col("lang"), by, pool)).alias("kept"))
+    named = flat.join(thresholds(flat, labels), F.col("lang").eqNullSafe(F.col("at")), "left")
+    return named.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), passes().alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -172,8 +148,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     wide = materialise(measured(docs), "measured")
     counts = wide.select("row.doc_id", "row.lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "shouts")
-    by, pool = thresholds(counts, labels)
-    return wide.filter(~base_failed() & ~rejected(F.col("row.lang"), by, pool)).select("row.*")
+    named = wide.join(thresholds(counts, labels), F.col("row.lang").eqNullSafe(F.col("at")), "left")
+    return named.filter(passes()).select("row.*")
 
 
 ORACLE_SQL = r"""
@@ -192,22 +168,17 @@ m AS (
          coalesce(n, 0)::BIGINT AS n_repeat_words, (length(t) - length(replace(t, '!', '')))::BIGINT AS shouts
   FROM f LEFT JOIN covered USING (id)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-shares AS (
-  SELECT id, doc_id, lang, base_failed, unnest(['symbols', 'repeated', 'repeated_lines', 'shouts']) AS rule,
-         unnest([n_symbols / n_words, n_repeat_words / n_words, n_dup_lines / n_words, shouts / n_words]) AS share
-  FROM b),
+w AS (SELECT *, CASE WHEN n_words > 0 THEN greatest(n_symbols, n_dup_lines, shouts) / n_words END AS worst FROM b),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-own AS (SELECT lang, true AS own FROM b JOIN good USING (doc_id) WHERE NOT base_failed GROUP BY lang HAVING count(*) >= ln(4 * 200 / 0.05) / -ln(0.99) ORDER BY count(*) DESC, lang LIMIT 200),
-named AS (SELECT s.*, coalesce(own, false) AS own, CASE WHEN own THEN s.lang END AS stratum FROM shares s LEFT JOIN own o ON s.lang IS NOT DISTINCT FROM o.lang),
-held AS (SELECT n.* FROM named n JOIN good USING (doc_id) WHERE NOT base_failed),
+held AS (SELECT lang, worst FROM w JOIN good USING (doc_id) WHERE NOT base_failed),
+strata AS (SELECT lang, count(*) AS n FROM held GROUP BY lang HAVING count(*) >= ln(0.05) / ln(0.99)),
 cuts AS (SELECT unnest([3.0, 2.0, 1.5, 1.0, 0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.08, 0.06, 0.05]::DOUBLE[]) AS cutoff),
-counted AS (SELECT own, stratum, rule, cutoff, count(*) AS n, count(*) FILTER (share >= cutoff) AS k FROM held, cuts GROUP BY ALL),
+counted AS (SELECT s.lang, n, cutoff, count(*) FILTER (worst >= cutoff) AS k FROM held h JOIN strata s ON h.lang IS NOT DISTINCT FROM s.lang, cuts GROUP BY ALL),
 tail AS (
-  SELECT *, CASE WHEN k < n * 0.01 THEN list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) ELSE 1 END AS p,
-         (SELECT count(*) FROM (SELECT DISTINCT own, stratum FROM held)) AS strata
+  SELECT *, CASE WHEN k < n * 0.01 THEN list_sum(list_transform(range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.01) + (n - i) * ln(0.99)))) ELSE 1 END AS p
   FROM counted),
-passed AS (SELECT *, min((p <= 0.05 / 4 / strata)::INT) OVER (PARTITION BY own, stratum, rule ORDER BY cutoff DESC) AS ok FROM tail),
-chosen AS (SELECT own, stratum, rule, min(cutoff) AS cutoff FROM passed WHERE ok = 1 GROUP BY ALL),
-rejected AS (SELECT DISTINCT id FROM named n JOIN chosen c ON n.own = c.own AND n.stratum IS NOT DISTINCT FROM c.stratum AND n.rule = c.rule AND n.share >= c.cutoff)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND id NOT IN (SELECT id FROM rejected) AS kept FROM b
+passed AS (SELECT *, min((p <= 0.05 / (SELECT count(*) FROM strata))::INT) OVER (PARTITION BY lang ORDER BY cutoff DESC) AS ok FROM tail),
+chosen AS (SELECT lang, min(cutoff) AS cutoff FROM passed WHERE ok = 1 GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(worst >= cutoff, false) AS kept
+FROM w LEFT JOIN chosen c ON w.lang IS NOT DISTINCT FROM c.lang
 """

@@ -4,8 +4,12 @@ Records are responses, whose block is an HTTP response with the page as payload,
 header alone: their payload equals that of the response which WARC-Refers-To names. WARC-Payload-Digest is the
 SHA-256 of the full payload in both; the HTTP Content-Length is its full length.
 
+Archives of others are read too: warcinfo, request, metadata and other records come with their whole block as payload
+and the digest of it, whatever their ids; a record that isn't valid is refused with its reason, and counted.
+
 Defined results: a null html is an empty payload; payloads under LEAST_BYTES are always responses; rows with equal
-page_id and payload are the same page and get the same type; a null page_id is never the smallest while another is
+page_id and payload are the same page and get the same type; rows with one page_id get one record id, whatever their
+payloads; a very long page is a record like others; a null page_id is never the smallest while another is
 there; a null url is left out of the record; no pages: no archives. Other columns are ignored.
 """
 
@@ -21,6 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.llm import textvec
 from corpusloom.llm.common import filesystem, fresh_dir, materialise, maybe_broadcast, write_whole
 
 LEAST_BYTES = 100
@@ -35,15 +40,17 @@ SKIPPABLE = range(0x184D2A50, 0x184D2A60)
 FRAME_MAGIC = 0xFD2FB528
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
+KINDS = frozenset("warcinfo response resource request metadata revisit conversion continuation".split())
 
 
 def record_id(page_id: int | None) -> str:
     return f"<urn:page:{'none' if page_id is None else page_id}>"
 
 
-def page_of(name: str) -> int | None:
-    body = name.removeprefix("<urn:page:").removesuffix(">")
-    return None if body == "none" else int(body)
+def page_of(name: str | None) -> int | None:
+    """The page of one of our own record ids; null for any other."""
+    body = (name or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(body) if (name or "").startswith("<urn:page:") and body.removeprefix("-").isdigit() else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -73,6 +80,7 @@ class ArchiveWriter:
     def __init__(self, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
         self.folder, self.archive_bytes = folder, archive_bytes
 
+    @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def records() -> Iterator[bytes]:
             for batch in batches:
@@ -207,9 +215,16 @@ def parse(data: bytes) -> dict:
     length = int(head["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError(f"record {head['warc-record-id']} has {len(rest) - 4} bytes, its header says {length}")
-    http, payload = _headers(rest[:length], b"HTTP/", "block")
-    kind, size = head["warc-type"], int(http.get("content-length", -1))
-    digest = head.get("warc-payload-digest", "").removeprefix("sha256:")
+    kind, block = head["warc-type"], rest[:length]
+    if kind not in KINDS:
+        raise ValueError(f"record {head['warc-record-id']} is neither a response nor of another known type")
+    if kind not in ("response", "revisit") or not head.get("content-type", "").startswith("application/http"):
+        return {"id": head["warc-record-id"], "type": kind, "url": head.get("warc-target-uri"), "bytes": len(block), "digest": hashlib.sha256(block).hexdigest(), "refers_to": head.get("warc-refers-to"), "payload": block}
+    http, payload = _headers(block, b"HTTP/", "block")
+    given = head.get("warc-payload-digest", "")
+    size = int(http.get("content-length", len(payload) if kind == "response" and not given.startswith("sha256:") else -1))
+    # Digests of other algorithms aren't checked.
+    digest = given.removeprefix("sha256:") if given.startswith("sha256:") or kind == "revisit" else hashlib.sha256(payload).hexdigest()
     if kind == "response":
         if size != len(payload):
             raise ValueError(f"record {head['warc-record-id']} has a payload of {len(payload)} bytes, its header says {size}")
@@ -220,8 +235,8 @@ def parse(data: bytes) -> dict:
     return {"id": head["warc-record-id"], "type": kind, "url": head.get("warc-target-uri"), "bytes": size, "digest": digest, "refers_to": head.get("warc-refers-to"), "payload": payload}
 
 
-def records(stream) -> Iterator[dict]:
-    """The records of an archive; the dictionary, if any, is in the leading frame, and each frame is a record."""
+def raw_records(stream) -> Iterator[bytes]:
+    """The bytes of an archive's records; the dictionary, if any, is in the leading frame, and each frame is a record."""
     unpack = zstandard.ZstdDecompressor()
     for k, (magic, frame) in enumerate(frames(stream)):
         if magic == DICTIONARY_MAGIC and k == 0:
@@ -231,24 +246,35 @@ def records(stream) -> Iterator[dict]:
             unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
         elif magic == FRAME_MAGIC:
             size = zstandard.get_frame_parameters(frame[:18]).content_size
-            data = unpack.decompress(frame) if size != zstandard.CONTENTSIZE_UNKNOWN else unpack.decompressobj().decompress(frame)
-            yield parse(data)
+            yield unpack.decompress(frame) if size != zstandard.CONTENTSIZE_UNKNOWN else unpack.decompressobj().decompress(frame)
+
+
+def records(stream) -> Iterator[dict]:
+    """The records of an archive; one that isn't valid raises ValueError."""
+    return map(parse, raw_records(stream))
+
+
+COLUMNS = {"page_id": "long", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "url": "string", "record_id": "string", "refused": "string"}
 
 
+@textvec.releasing
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
-    types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
+    types = [pa.int64() if t == "long" else pa.string() for t in COLUMNS.values()]
 
     def rows(held: list[tuple]) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=list(names))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names=list(COLUMNS))
 
     for batch in batches:
         for uri in batch.column(0).to_pylist():
             fs, path = filesystem(uri)
             held: list[tuple] = []
             with fs.open_input_stream(path, compression=None) as stream:
-                for r in records(stream):
-                    held.append((page_of(r["id"]), r["bytes"], r["digest"], r["type"], page_of(r["refers_to"]) if r["refers_to"] else None, r["url"]))
+                for data in raw_records(stream):
+                    try:
+                        r = parse(data)
+                        held.append((page_of(r["id"]), r["bytes"], r["digest"], r["type"], page_of(r["refers_to"]), r["url"], r["id"], None))
+                    except ValueError as e:
+                        held.append((*[None] * 7, str(e)))
                     if len(held) == 4096:
                         yield rows(held)
                         held = []
@@ -257,9 +283,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, uris: list[str]) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to, url) of every record; an archive is a task."""
+    """COLUMNS of every record, refused says why one isn't valid; an archive is a task. A stream that isn't whole, or
+    isn't of frames, fails."""
     listed = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, len(uris)))
-    return listed.mapInArrow(_read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return listed.mapInArrow(_read, ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
 
 
 def archive(pages: DataFrame) -> DataFrame:

@@ -76,6 +76,20 @@ def test_sql_agrees_where_cutoffs_are_admitted(spark, tmp_path):
     assert any(r[kept] == r[failed] == "False" for r in found[1])
 
 
+def test_all_rules_together_keep_the_bound(spark):
+    """Three kinds of good documents would each pass a bound of their own, but not together; a small stratum has none."""
+    filler = lambda k: " ".join(f"w{k}x{i}" for i in range(20))
+    lines = [f"line{i}" for i in range(12)]
+    odd = {0: filler("a") + " " + "|" * 60, 1: "\n".join(lines + lines[::-1]), 2: filler("c") + " wow" + "!" * 50}
+    rows = [(k, odd[k % 150] if k % 150 in odd else filler(k), "en", "s") for k in range(6000)]
+    rows += [(10_000 + k, filler(k), "fr", "s") for k in range(200)] + [(20_000, filler("j") + "|" * 90, "fr", "s"), (20_001, filler("j") + "|" * 90, "en", "s")]
+    good = labels(spark, [(r[0], 1, 0) for r in rows if r[0] < 20_000])
+    kept = {r["doc_id"] for r in quality.judge(documents(spark, rows), good).filter("kept").collect()}
+    assert 20_000 in kept and 20_001 not in kept
+    # 40 of each kind, 2 % in all: one kind alone may go, not all three.
+    assert len([r for r in rows if r[0] < 6000 and r[0] not in kept]) <= 60
+
+
 def test_no_rows_and_no_labels(spark):
     none = labels(spark, [])
     assert quality.judge(nothing(spark), none).count() == 0

@@ -82,5 +82,25 @@ def test_bad_streams_are_refused():
     assert [r["id"] for r in warc.records(io.BytesIO(struct.pack("<II", 0x184D2A50, 3) + b"abc" + frame + body))] == ["<urn:page:1>", "<urn:page:2>"]
 
 
+def test_archives_of_others_are_read_and_bad_records_counted(spark, tmp_path):
+    """warcinfo, request and metadata records, urn:uuid ids, digests of other algorithms, and one record cut short."""
+
+    def other(kind, block, content="application/warc-fields", **more):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{kind}>", "WARC-Date": "2020-02-02T00:00:00Z", "Content-Type": content, **more, "Content-Length": len(block)}
+        return "WARC/1.0\r\n".encode() + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x</p>"
+    made = [other("warcinfo", b"software: x\r\n"), other("request", b"GET / HTTP/1.1\r\n\r\n", "application/http;msgtype=request"), other("response", http, "application/http;msgtype=response", **{"WARC-Payload-Digest": "sha1:ABC", "WARC-Target-URI": "http://x/"}), other("metadata", b""), other("response", http)[:-9], other("nonsense", b"")]
+    path = f"{tmp_path}/foreign.warc.zst"
+    with open(path, "wb") as f:
+        f.write(b"".join(map(_archive, [*made, warc.record(5, "u", b"own", None, False)])))
+    found = {r["record_id"]: r for r in warc.read_archives(spark, [f"file://{path}"]).collect() if r["refused"] is None}
+    assert sorted(r["record_type"] for r in found.values()) == ["metadata", "request", "response", "response", "warcinfo"]
+    assert found["<urn:uuid:response>"]["payload_digest"] == hashlib.sha256(b"<p>x</p>").hexdigest()
+    assert found["<urn:uuid:response>"]["url"] == "http://x/" and found["<urn:uuid:response>"]["page_id"] is None
+    assert found["<urn:page:5>"]["page_id"] == 5
+    assert warc.read_archives(spark, [f"file://{path}"]).filter("refused is not null").count() == 2
+
+
 def test_no_pages(spark):
     assert warc.archive(pages(spark, [])).count() == 0
