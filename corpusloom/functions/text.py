@@ -128,6 +128,18 @@ def first_tokens(text: Column, most: int | None) -> Column:
     return F.when(F.size(found) <= most, text).otherwise(F.array_join(F.slice(found, 1, most), " "))
 
 
+def build_inputs(text: Column, system: str | None = None, thinking: bool = True, most: int | None = None) -> Column:
+    """What a generator is given: the templated conversation, cut to its first tokens if asked for."""
+    return first_tokens(chat(text, system, thinking), most)
+
+
+def mask_id(vocabulary: Mapping[str, int], token: str = "<mask>") -> int:
+    """The mask's id; a vocabulary that lacks it is an error."""
+    if token not in vocabulary:
+        raise ValueError(f"the vocabulary has no {token}; add it first")
+    return vocabulary[token]
+
+
 def base_name(path: Column) -> Column:
     """The last part of a path without its extension."""
     last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
@@ -146,16 +158,21 @@ def sanitised(text: Column) -> Column:
 
 
 def short_number(x: Column) -> Column:
-    """Scientific, without decimals, below 1e-3 and from 1e3 on; else plain."""
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.6f", x), "0+$", ""), r"\.$", "")
+    """Scientific, without decimals, below 1e-3 and from 1e3 on; else plain, with six significant digits."""
+    digits = F.format_string("%.3f", x)
+    for decimals, below in ((4, 99.9995), (5, 9.99995), (6, 0.9999995), (7, 0.09999995), (8, 0.009999995)):
+        digits = F.when(F.abs(x) < below, F.format_string(f"%.{decimals}f", x)).otherwise(digits)
+    plain = F.regexp_replace(F.regexp_replace(digits, "0+$", ""), r"\.$", "")
     return F.when((x != 0) & ((x < 1e-3) | (x >= 1e3)), F.format_string("%.0e", x)).otherwise(plain)
 
 
-def run_name(model: Column, data: Column, batch: Column, rate: Column, draft: Column, rank: Column, seed: Column, fused: Column) -> Column:
-    """<model>-<data>-bsz<batch>-lr<rate>-MTP<draft>-lora<rank>-SoftSCE[-fused]-seed<seed>, sanitised."""
+def run_name(model: Column, data: Column, batch: Column, rate: Column, draft: Column, rank: Column, seed: Column, fused: Column, at: Column | None = None) -> Column:
+    """<model>-<data>-bsz<batch>-lr<rate>-MTP<draft>-lora<rank>-SoftSCE[-fused]-seed<seed>[-<time>], sanitised."""
+    # The names of the parts, and the form of the time.
     parts = [
         model_name(model), base_name(data), F.concat(F.lit("bsz"), F.greatest(F.lit(1), batch).cast("string")), F.concat(F.lit("lr"), short_number(rate)),
         F.concat(F.lit("MTP"), draft.cast("string")), F.concat(F.lit("lora"), rank.cast("string")), F.lit("SoftSCE"), F.when(fused, "fused"), F.concat(F.lit("seed"), seed.cast("string")),
+        *([] if at is None else [F.date_format(at, "yyyyMMdd-HHmmss")]),
     ]
     return sanitised(F.concat_ws("-", *parts))
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from corpusloom.functions import text as T
+from corpusloom.storage import materialise
 
 
 def ranked(rows: DataFrame, order: Column, name: str = "rn") -> DataFrame:
@@ -57,33 +61,131 @@ def row_bytes(total_len: Column) -> Column:
     return (F.lit(72) + 32 * total_len).cast("long")
 
 
-class ShardCutter:
-    """Greedy contiguous cut by bytes, over rows in order: a row of the budget or more has a shard of its own."""
+def total_bytes(sizes: DataFrame) -> DataFrame:
+    """(rows, bytes) of all rows together."""
+    return sizes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
+def epoch_batches(rows: DataFrame, key: str, length: str, *, epochs: int, accumulate: int, seed: int, **settings: int) -> DataFrame:
+    """Batches of several epochs one after another, each shuffled anew: (epoch, batch, rank, slot, ..., step, micro).
+    Steps are filled across the end of an epoch."""
+    size = settings["per_device"] * settings["ranks"]
+    whole = rows.count() // size
+    out = None
+    for epoch in range(epochs):
+        own = grouped_batches(rows, key, length, seed=seed, epoch=epoch, **settings).withColumn("batch", F.col("batch") + epoch * whole).withColumn("epoch", F.lit(epoch))
+        out = own if out is None else out.unionByName(own)
+    return micro_batches(out, accumulate)
+
+
+def last_flags(batches: DataFrame, accumulate: int) -> DataFrame:
+    """Adds last_micro: whether a micro-batch closes its step, where gradients are exchanged."""
+    return batches.withColumn("last_micro", F.col("micro") == accumulate - 1)
+
+
+def next_cuts(sizes: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums before each row, and for a shard that begins at each row where the next one begins."""
+    before = np.append(0, np.cumsum(sizes))
+    alone = np.flatnonzero(sizes >= budget)
+    nearest = np.append(alone, len(sizes))[np.searchsorted(alone, np.arange(len(sizes)) + 1)]
+    fits = np.searchsorted(before, before[:-1] + budget, "right") - 1
+    return before, np.where(sizes >= budget, np.arange(len(sizes)) + 1, np.minimum(fits, nearest))
+
+
+def _held(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[list]:
+    """The columns of a range's rows, put together."""
+    held = list(batches)
+    if held and sum(b.num_rows for b in held):
+        yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(columns)]
+
+
+class Numbered:
+    """mapInArrow function: a range's rows in order with its number and their places."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            places = pa.array(np.arange(at, at + batch.num_rows))
+            at += batch.num_rows
+            yield pa.record_batch([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), places], names=["row_id", "bytes", "range", "place"])
+
+
+class Outcomes:
+    """mapInArrow function: a range's sizes to what becomes of a shard that is open where the range begins.
+
+    For each row that may be the first of a new shard, those within the first budget: the shards that begin from there
+    on, and the bytes in the last one, -1 if it is closed. before: running sums up to these rows; alone: the first row
+    of the budget or more.
+    """
 
     def __init__(self, budget: int) -> None:
         self.budget = budget
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, filled, empty = 0, 0, True
-        for batch in batches:
-            out = []
-            for size in batch.column(1).to_pylist():
-                alone = size >= self.budget
-                if not empty and (alone or filled + size > self.budget):
-                    shard, filled = shard + 1, 0
-                out.append(shard)
-                if alone:
-                    shard, filled, empty = shard + 1, 0, True
-                else:
-                    filled, empty = filled + size, False
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["row_id", "bytes", "shard_id"])
-
-
-def shard_plan(sizes: DataFrame, budget: int) -> DataFrame:
-    """(row_id, bytes, shard_id) from (row_id, bytes). Each cut depends on the last: one ordered pass that holds a
-    batch at a time, over two numbers a row."""
-    narrow = sizes.select(F.col("row_id").cast("long").alias("row_id"), F.col("bytes").cast("long").alias("bytes"))
-    return narrow.coalesce(1).sortWithinPartitions("row_id").mapInArrow(ShardCutter(budget), "row_id long, bytes long, shard_id long")
+        for part, _, size in _held(batches, 3):
+            sizes = size.to_numpy()
+            before, following = next_cuts(sizes, self.budget)
+            n, alone = len(sizes), np.flatnonzero(sizes >= self.budget)
+            first = min(n, int(np.searchsorted(before, self.budget, "right")) + 1, int(alone[0]) + 1 if len(alone) else n)
+            at, shards = np.arange(first), np.ones(first, np.int64)
+            while (more := following[at] < n).any():
+                at, shards = np.where(more, following[at], at), shards + more
+            last = np.where(sizes[at] >= self.budget, -1, before[n] - before[at])
+            row = (part[0].as_py(), int(before[n]), int(alone[0]) if len(alone) else n, n, before[: first + 1].tobytes(), shards.tobytes(), last.tobytes())
+            kinds = (pa.int32(), *[pa.int64()] * 3, *[pa.binary()] * 3)
+            yield pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["range", "total", "alone", "n", "before", "shards", "last"])
+
+
+class Assigned:
+    """mapInArrow function: a range's rows, with the shard that is open and its bytes (-1: none), to their shards."""
+
+    def __init__(self, budget: int) -> None:
+        self.budget = budget
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, size, shard, filled in _held(batches, 4):
+            sizes, open_ = size.to_numpy(), filled[0].as_py()
+            before, following = next_cuts(sizes, self.budget)
+            cuts = np.zeros(len(sizes), np.int64)
+            at = first_cut(before, int(np.append(np.flatnonzero(sizes >= self.budget), len(sizes))[0]), open_, self.budget)
+            while at < len(sizes):
+                cuts[at] = 1
+                at = int(following[at])
+            ids = shard[0].as_py() + np.cumsum(cuts)
+            yield pa.record_batch([rows, size, pa.array(ids)], names=["row_id", "bytes", "shard_id"])
+
+
+def first_cut(before: np.ndarray, alone: int, filled: int, budget: int) -> int:
+    """The first row of a range that begins a shard; filled: bytes in the open one, -1 if there is none."""
+    return 0 if filled < 0 else min(int(np.searchsorted(before, budget - filled, "right")) - 1, alone)
+
+
+def shard_plan(sizes: DataFrame, budget: int, range_rows: int = 1_000_000) -> DataFrame:
+    """(row_id, bytes, shard_id) from (row_id, bytes): a greedy contiguous cut; a row of the budget or more is alone.
+
+    Each cut depends on the last, but within a range only on the bytes that are open where it begins. So ranges work
+    out every outcome in parallel, the driver goes from range to range, a lookup each, and ranges then number their
+    rows. Two numbers a row are shuffled; no task sees all rows.
+    """
+    plain = sizes.select("row_id", F.col("bytes").cast("long").alias("bytes"))
+    n = max(1, -(-plain.count() // range_rows))
+    numbered = T_.StructType([*plain.schema.fields, T_.StructField("range", T_.IntegerType()), T_.StructField("place", T_.LongType())])
+    rows = materialise(plain.repartitionByRange(n, "row_id").sortWithinPartitions("row_id").mapInArrow(Numbered(), numbered), "ranges")
+    dealt = lambda df: df.repartitionById(n, "range").sortWithinPartitions("place")
+    outcomes = dealt(rows.select("range", "place", "bytes")).mapInArrow(Outcomes(budget), "range int, total long, alone long, n long, before binary, shards binary, last binary")
+    begins, shard, filled = [], -1, -1
+    for r in materialise(outcomes, "outcomes").orderBy("range").toLocalIterator():
+        begins.append((r["range"], shard, filled))
+        at = first_cut(np.frombuffer(r["before"], np.int64), r["alone"], filled, budget)
+        if at >= r["n"]:
+            filled += r["total"]
+        else:
+            shard += int(np.frombuffer(r["shards"], np.int64)[at])
+            filled = int(np.frombuffer(r["last"], np.int64)[at])
+    known = rows.sparkSession.createDataFrame(begins, "range int, shard long, filled long")
+    placed = dealt(rows).join(F.broadcast(known), "range").select("row_id", "bytes", "shard", "filled")
+    schema = T_.StructType([*plain.schema.fields, T_.StructField("shard_id", T_.LongType())])
+    return placed.mapInArrow(Assigned(budget), schema)
 
 
 def rotated(checkpoints: DataFrame, keep: int) -> DataFrame:

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
 
+#: Width of the ranges that sums of exponentials are kept by; exp(-width) is far above the floor of a sum.
+BINNED = 16.0
+
 
 def with_next(vectors: DataFrame, key: str, value: str, offset: int = 1) -> DataFrame:
     """(key, value, next): each row beside the one whose key is ``offset`` greater. An equi-join on the key."""
@@ -15,13 +18,25 @@ def with_next(vectors: DataFrame, key: str, value: str, offset: int = 1) -> Data
 
 
 def log_sum_exp_parts(rows: DataFrame, keys: list[str], student: str, teacher: str) -> DataFrame:
-    """(keys, loss) of long rows, a row per coordinate: maxima first, then mergeable sums, so that vectors may be of
-    any width and are never gathered."""
-    w = Window.partitionBy(*keys)
-    top = rows.withColumn("_ms", F.max(student).over(w)).withColumn("_mt", F.max(teacher).over(w))
-    weight = F.exp(F.col(teacher) - F.col("_mt"))
-    sums = top.groupBy(*keys).agg(F.sum(F.exp(F.col(student) - F.col("_ms"))).alias("dx"), F.sum(weight).alias("dt"), F.sum(weight * F.col(student)).alias("s"), F.max("_ms").alias("m"))
-    return sums.select(*keys, (-(F.col("s") / F.greatest("dt", F.lit(V.FLOOR))) + F.col("m") + F.ln(F.greatest("dx", F.lit(V.FLOOR)))).alias("loss"))
+    """(keys, loss) of long rows, a row per coordinate, in one pass with mergeable sums, so that vectors may be of any
+    width and are never gathered.
+
+    Sums are kept by range of BINNED of student and teacher, relative to the range's upper end, so that no maximum is
+    needed first; the few ranges of a vector are then rescaled to its highest ones and merged.
+    """
+    ends = [F.ceil(F.col(c) / BINNED).alias(f"_{k}") for c, k in ((student, "x"), (teacher, "t"))]
+    weight = F.exp(F.col(teacher) - BINNED * F.col("_t"))
+    sums = (F.sum(F.exp(F.col(student) - BINNED * F.col("_x"))).alias("dx"), F.sum(weight).alias("dt"), F.sum(weight * F.col(student)).alias("s"))
+    parts = rows.select(*keys, F.col(student), F.col(teacher), *ends).groupBy(*keys, "_x", "_t").agg(*sums)
+    whole = parts.groupBy(*keys).agg(F.max("_x").alias("m"), F.max("_t").alias("mt"), F.collect_list(F.struct("_x", "_t", "dx", "dt", "s")).alias("parts"))
+    merged = lambda part, end, top: F.aggregate("parts", F.lit(0.0), lambda a, p: a + p[part] * F.exp((p[end] - F.col(top)) * BINNED))
+    dx, dt, s = merged("dx", "_x", "m"), merged("dt", "_t", "mt"), merged("s", "_t", "mt")
+    return whole.select(*keys, (-(s / F.greatest(dt, F.lit(V.FLOOR))) + BINNED * F.col("m") + F.ln(F.greatest(dx, F.lit(V.FLOOR)))).alias("loss"))
+
+
+def mean_pair_loss(pairs: DataFrame, loss: str) -> DataFrame:
+    """(ce, pairs, mean): the sum of losses over the number of pairs, one at least."""
+    return pairs.agg(F.coalesce(F.sum(loss), F.lit(0.0)).alias("ce"), F.count(loss).alias("pairs")).withColumn("mean", F.col("ce") / F.greatest(F.lit(1), F.col("pairs")))
 
 
 def draft_accuracy(blocks: DataFrame, keys: list[str], order: str, student: str, teacher: str, draft: int) -> DataFrame:
@@ -38,17 +53,20 @@ def draft_accuracy(blocks: DataFrame, keys: list[str], order: str, student: str,
 
 
 def step_statistics(chunk_rows: DataFrame, draft: int, loss_by: str = "chunk") -> DataFrame:
-    """chunk_rows: (rank, batch, row, loss, scale, valid, tokens, correct array). One row (d, loss, acc, chunks, batches).
+    """chunk_rows: (rank, batch, row, loss, scale, valid, tokens, correct array). A row (d, loss, acc, chunks, batches,
+    batches_for_acc) for each d.
 
     Sums by batch and row, accuracies averaged over a batch's rows, then over batches without weights: partial and
-    final aggregation, whatever rank the rows come from.
+    final aggregation, whatever rank the rows come from. Every batch counts for the loss; only those with a valid chunk
+    count for accuracies.
     """
-    rows = chunk_rows.filter("valid").groupBy("rank", "batch", "row").agg(F.sum(F.col("loss") * F.col("scale")).alias("ce"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("chunks"), *[F.sum(F.col("correct")[d]).alias(f"c{d}") for d in range(draft)])
+    own = lambda c: F.sum(F.when(F.col("valid"), c))
+    rows = chunk_rows.groupBy("rank", "batch", "row").agg(own(F.col("loss") * F.col("scale")).alias("ce"), own(F.col("tokens")).alias("tokens"), F.count_if("valid").alias("chunks"), *[own(F.col("correct")[d]).alias(f"c{d}") for d in range(draft)])
     percent = lambda d: F.avg(F.col(f"c{d}") / (F.col("tokens") + 1e-8) * 100)
     batches = rows.groupBy("rank", "batch").agg(F.sum("ce").alias("ce"), F.sum("chunks").alias("chunks"), *[percent(d).alias(f"a{d}") for d in range(draft)])
-    final = batches.agg(F.sum("ce").alias("ce"), F.sum("chunks").alias("chunks"), F.count(F.lit(1)).alias("batches"), *[F.avg(f"a{d}").alias(f"a{d}") for d in range(draft)])
+    final = batches.agg(F.coalesce(F.sum("ce"), F.lit(0.0)).alias("ce"), F.sum("chunks").alias("chunks"), F.count(F.lit(1)).alias("batches"), F.count_if(F.col("chunks") > 0).alias("batches_for_acc"), *[F.avg(f"a{d}").alias(f"a{d}") for d in range(draft)])
     by = {"chunk": F.greatest(F.lit(1), F.col("chunks")), "batch": F.greatest(F.lit(1), F.col("batches")), "none": F.lit(1)}[loss_by]
-    return final.select((F.col("ce") / by).alias("loss"), "chunks", "batches", F.posexplode(F.array(*[F.col(f"a{d}") for d in range(draft)])).alias("d", "acc"))
+    return final.select((F.col("ce") / by).alias("loss"), "chunks", "batches", "batches_for_acc", F.posexplode(F.array(*[F.col(f"a{d}") for d in range(draft)])).alias("d", "acc"))
 
 
 def mean_vector(rows: DataFrame, vector: str) -> DataFrame:

@@ -17,7 +17,7 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def expand(pairs: DataFrame, draft: int) -> DataFrame:
+def expand(pairs: DataFrame, draft: int, mask: int = MASK_ID) -> DataFrame:
     """pairs: (keys..., in_ids, out_ids). Adds the four arrays and total_len, drops the ids.
 
     Each output token is followed by ``draft`` masks. Output j, slot k has position prompt + j + k; a mask's gate is
@@ -27,7 +27,7 @@ def expand(pairs: DataFrame, draft: int) -> DataFrame:
     slots = F.array(*[F.lit(k).cast("long") for k in range(draft + 1)])
     block = lambda f: F.flatten(F.transform(_range(n_out), lambda j: F.transform(slots, lambda k: f(j, k))))
     fill = lambda v: F.transform("in_ids", lambda _: F.lit(v).cast("long"))
-    masks = F.array(*[F.lit(MASK_ID).cast("long")] * draft) if draft else F.array().cast("array<bigint>")
+    masks = F.array(*[F.lit(mask).cast("long")] * draft) if draft else F.array().cast("array<bigint>")
     out = {
         "input_ids": F.concat("in_ids", F.flatten(F.transform("out_ids", lambda t: F.concat(F.array(t), masks)))),
         "position_ids": F.concat(_range(n_in), block(lambda j, k: n_in + j + k)),
@@ -94,6 +94,23 @@ def is_valid(gate: Column) -> Column:
     return F.exists(gate, lambda g: F.greatest(g, F.lit(0)) > 0)
 
 
+def gated_regulars(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk_idx, n): regular tokens of each chunk from its first gated block on, none without a gate."""
+    first = F.array_position("gate_mask", 1)
+    rest = F.slice("regular_token_mask", F.greatest(F.lit(1), first - 1).cast("int"), F.size("regular_token_mask"))
+    return parts.select(*keys, "chunk_idx", F.when(first > 0, V.total(V.doubles(rest))).otherwise(0).cast("long").alias("n"))
+
+
+def require_no_mask(rows: DataFrame, columns: list[str], mask: int = MASK_ID) -> DataFrame:
+    """rows, if none of the columns' ids is the mask's; a vocabulary that has it would open gates in plain text."""
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.array_contains(F.col(c), F.lit(mask).cast("long"))
+    if rows.filter(F.coalesce(hit, F.lit(False))).limit(1).count():
+        raise ValueError(f"{mask} is the mask's id, but texts have it")
+    return rows
+
+
 def past_seen(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Adds n_regular and past: regular tokens of the chunk, and of all before it."""
     before = Window.partitionBy(*keys).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)

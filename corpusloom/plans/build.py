@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import batches, prompts, sequences
+from corpusloom.sources import readers, writers
+from corpusloom.storage import Files
 
 
 @dataclass(frozen=True)
@@ -48,13 +50,34 @@ def prompt_table(turns: DataFrame, mix: Mapping[str, float], seed: int = 42) ->
     return prompts.keep_first(found, prompts.text_key(F.col("prompt")), "conv_id")
 
 
-def pair_table(turns: DataFrame) -> DataFrame:
-    """(conv_id, turn, in_ids, out_ids) of all training pairs."""
-    return prompts.training_pairs(turns).select(*KEYS, T.token_ids(F.col("input")).alias("in_ids"), T.token_ids(F.col("output")).alias("out_ids"))
+def pair_table(turns: DataFrame, tokenise: Callable[[Column], Column] = T.token_ids) -> DataFrame:
+    """(conv_id, turn, in_ids, out_ids) of all training pairs; tokenise: text to an array of ids, a Pandas UDF say."""
+    return prompts.training_pairs(turns).select(*KEYS, tokenise(F.col("input")).alias("in_ids"), tokenise(F.col("output")).alias("out_ids"))
 
 
-def sequence_table(turns: DataFrame, s: Settings) -> DataFrame:
-    return sequences.expand(pair_table(turns), s.draft)
+def sequence_table(turns: DataFrame, s: Settings, tokenise: Callable[[Column], Column] = T.token_ids, mask: int | None = None) -> DataFrame:
+    """Expanded pairs. A tokenizer of one's own needs its mask's id, which no text may have."""
+    pairs = pair_table(turns, tokenise)
+    if mask is None:
+        return sequences.expand(pairs, s.draft)
+    return sequences.expand(sequences.require_no_mask(pairs, ["in_ids", "out_ids"], mask), s.draft, mask)
+
+
+def cached_sequences(turns: DataFrame, s: Settings, root: str, source: str, tokenizer: str) -> DataFrame:
+    """The expanded pairs of a source, from the cache below root if it is complete, else built and written there."""
+    spark = turns.sparkSession
+    folder = writers.cache_folder(root, Files(spark).status(source), tokenizer, s.draft, s.seed)
+    found = readers.read_dataset(spark, folder)
+    if found is None:
+        rows = sequence_table(turns, s).withColumn("row_id", row_key())
+        writers.write_dataset(rows, folder, "row_id", s.shard_bytes, asdict(s))
+        found = readers.read_dataset(spark, folder)
+    return found.drop("row_id", "shard_id")
+
+
+def row_key() -> Column:
+    """One key for a pair: conversation and turn."""
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
 def chunk_table(turns: DataFrame, s: Settings) -> DataFrame:
@@ -65,7 +88,7 @@ def length_table(turns: DataFrame, s: Settings) -> DataFrame:
     """(seq_id, total_len): lengths need token counts only, no arrays."""
     pairs = prompts.training_pairs(turns)
     n = lambda c: F.regexp_count(F.col(c), F.lit(r"\S+")).cast("long")
-    return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("seq_id"), (n("input") + n("output") * (s.draft + 1)).alias("total_len"))
+    return pairs.select(row_key().alias("seq_id"), (n("input") + n("output") * (s.draft + 1)).alias("total_len"))
 
 
 def batch_table(turns: DataFrame, s: Settings) -> DataFrame:

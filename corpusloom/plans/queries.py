@@ -5,7 +5,7 @@ Parameters are small so that small tables reach every branch; the operators take
 
 from __future__ import annotations
 
-import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from corpusloom.functions import vectors as V
 from corpusloom.operators import batches, metrics, prompts, sequences
 from corpusloom.plans import build
 from corpusloom.sources import readers, writers
+from corpusloom.storage import fresh_dir
 from corpusloom.streaming import streams
 
 S = build.Settings()
@@ -340,7 +341,7 @@ def visibility_pairs(spark, d):
 # Batches and shards.
 
 _BATCHES = f"""{_PAIRS},
-shuffled AS (SELECT conv_id * 1000 + turn AS seq_id, l AS total_len, row_number() OVER (ORDER BY md5('42-' || (conv_id * 1000 + turn)), conv_id * 1000 + turn) AS rn FROM sizes),
+shuffled AS (SELECT conv_id || '-' || turn AS seq_id, l AS total_len, row_number() OVER (ORDER BY md5('42-' || conv_id || '-' || turn), conv_id || '-' || turn) AS rn FROM sizes),
 tiled AS (SELECT *, (rn - 1) // 40 AS tile FROM shuffled),
 placed AS (SELECT *, tile * 40 + row_number() OVER (PARTITION BY tile ORDER BY total_len DESC, rn) - 1 AS pos FROM tiled),
 batches AS (SELECT seq_id, total_len, pos::BIGINT AS pos, (pos // 8)::BIGINT AS batch, (pos % 8 // 2)::BIGINT AS rank, (pos % 2)::BIGINT AS slot FROM placed WHERE pos // 8 < (SELECT count(*) // 8 FROM sizes))"""
@@ -377,13 +378,13 @@ def padding_ratio(spark, d):
     return out
 
 
-@query(f"WITH {_PAIRS} SELECT conv_id * 1000 + turn AS row_id, 72 + 32 * l AS bytes FROM sizes")
+@query(f"WITH {_PAIRS} SELECT conv_id || '-' || turn AS row_id, 72 + 32 * l AS bytes FROM sizes")
 def row_sizes(spark, d):
     return build.length_table(_conversations(spark, d), S).select(F.col("seq_id").alias("row_id"), batches.row_bytes(F.col("total_len")).alias("bytes"))
 
 
 @query(f"""WITH RECURSIVE {_PAIRS},
-rows AS (SELECT conv_id * 1000 + turn AS row_id, 72 + 32 * l AS bytes, row_number() OVER (ORDER BY conv_id * 1000 + turn) AS n FROM sizes),
+rows AS (SELECT conv_id || '-' || turn AS row_id, 72 + 32 * l AS bytes, row_number() OVER (ORDER BY conv_id || '-' || turn) AS n FROM sizes),
 fold(n, shard, filled, own) AS (
   SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, -1::BIGINT
   UNION ALL
@@ -462,18 +463,19 @@ def draft_accuracy(spark, d):
     return metrics.draft_accuracy(rows, ["label"], "vec_id", "s", "t", S.draft)
 
 
-@query("""WITH c AS (SELECT (vec_id % 4) AS rank, label AS batch, vec_id % 8 AS row, abs(embedding[1])::DOUBLE AS loss, 0.5::DOUBLE AS scale, vec_id % 7 <> 0 AS valid, 10 + vec_id % 5 AS tokens,
+@query("""WITH c AS (SELECT (vec_id % 4) AS rank, label AS batch, vec_id % 8 AS row, abs(embedding[1])::DOUBLE AS loss, 0.5::DOUBLE AS scale, vec_id % 7 <> 0 AND label <> 3 AS valid, 10 + vec_id % 5 AS tokens,
 (vec_id % 5)::BIGINT AS c0, (vec_id % 4)::BIGINT AS c1, (vec_id % 3)::BIGINT AS c2, (vec_id % 2)::BIGINT AS c3 FROM embeddings),
-r AS (SELECT rank, batch, row, sum(loss * scale) AS ce, sum(tokens)::DOUBLE AS tokens, count(*) AS chunks, sum(c0)::DOUBLE AS c0, sum(c1)::DOUBLE AS c1, sum(c2)::DOUBLE AS c2, sum(c3)::DOUBLE AS c3 FROM c WHERE valid GROUP BY ALL),
+r AS (SELECT rank, batch, row, sum(loss * scale) FILTER (valid) AS ce, sum(tokens) FILTER (valid)::DOUBLE AS tokens, count(*) FILTER (valid) AS chunks, sum(c0) FILTER (valid)::DOUBLE AS c0, sum(c1) FILTER (valid)::DOUBLE AS c1, sum(c2) FILTER (valid)::DOUBLE AS c2, sum(c3) FILTER (valid)::DOUBLE AS c3 FROM c GROUP BY ALL),
 b AS (SELECT rank, batch, sum(ce) AS ce, sum(chunks) AS chunks, avg(c0 / (tokens + 1e-8) * 100) AS a0, avg(c1 / (tokens + 1e-8) * 100) AS a1, avg(c2 / (tokens + 1e-8) * 100) AS a2, avg(c3 / (tokens + 1e-8) * 100) AS a3 FROM r GROUP BY ALL),
-f AS (SELECT sum(ce) / greatest(1, sum(chunks)) AS loss, sum(chunks)::BIGINT AS chunks, count(*)::BIGINT AS batches, [avg(a0), avg(a1), avg(a2), avg(a3)] AS acc FROM b)
-SELECT round(loss, 6) AS loss, chunks, batches, unnest(range(4))::BIGINT AS d, round(unnest(acc), 6) AS acc FROM f""")
+f AS (SELECT sum(ce) / greatest(1, sum(chunks)) AS loss, sum(ce) / greatest(1, count(*)) AS loss_by_batch, sum(chunks)::BIGINT AS chunks, count(*)::BIGINT AS batches, count(*) FILTER (chunks > 0)::BIGINT AS batches_for_acc, [avg(a0), avg(a1), avg(a2), avg(a3)] AS acc FROM b)
+SELECT round(loss, 6) AS loss, round(loss_by_batch, 6) AS loss_by_batch, chunks, batches, batches_for_acc, unnest(range(4))::BIGINT AS d, round(unnest(acc), 6) AS acc FROM f""")
 def step_stats_partial_final(spark, d):
     v = F.col("vec_id")
     correct = F.array(v % 5, v % 4, v % 3, v % 2)
-    rows = _table(spark, d, "embeddings").select((v % 4).alias("rank"), F.col("label").alias("batch"), (v % 8).alias("row"), F.abs(F.col("embedding")[0]).cast("double").alias("loss"), F.lit(0.5).alias("scale"), (v % 7 != 0).alias("valid"), (10 + v % 5).alias("tokens"), correct.alias("correct"))
-    out = metrics.step_statistics(rows, S.draft)
-    return out.select(F.round("loss", 6).alias("loss"), "chunks", "batches", F.col("d").cast("long").alias("d"), F.round("acc", 6).alias("acc"))
+    rows = _table(spark, d, "embeddings").select((v % 4).alias("rank"), F.col("label").alias("batch"), (v % 8).alias("row"), F.abs(F.col("embedding")[0]).cast("double").alias("loss"), F.lit(0.5).alias("scale"), ((v % 7 != 0) & (F.col("label") != 3)).alias("valid"), (10 + v % 5).alias("tokens"), correct.alias("correct"))
+    by_batch = metrics.step_statistics(rows, S.draft, "batch").select("d", F.col("loss").alias("loss_by_batch"))
+    out = metrics.step_statistics(rows, S.draft).join(by_batch, "d")
+    return out.select(F.round("loss", 6).alias("loss"), F.round("loss_by_batch", 6).alias("loss_by_batch"), "chunks", "batches", "batches_for_acc", F.col("d").cast("long").alias("d"), F.round("acc", 6).alias("acc"))
 
 
 @query("WITH l AS (SELECT unnest(range(len(embedding)))::BIGINT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT dim, round(avg(x), 6) AS mean FROM l GROUP BY dim")
@@ -482,10 +484,11 @@ def mean_vector(spark, d):
     return rows.select(F.col("dim").cast("long").alias("dim"), F.round("mean", 6).alias("mean"))
 
 
-@query("SELECT c.conv_id, c.turn, e.vec_id, round(e.embedding[1]::DOUBLE, 6) AS first FROM conversations c JOIN embeddings e ON e.vec_id = (c.conv_id * 7 + c.turn) % 500")
+@query("SELECT c.conv_id, c.turn, e.vec_id, round(e.embedding[1]::DOUBLE, 6) AS first FROM conversations c JOIN embeddings e ON e.vec_id = (c.conv_id * 7 + c.turn) % (SELECT count(*) FROM embeddings)")
 def embedding_lookup(spark, d):
-    tokens = _conversations(spark, d).select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % 500).alias("vec_id"))
-    return tokens.join(_table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id").select("conv_id", "turn", "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    vectors = _table(spark, d, "embeddings")
+    tokens = _conversations(spark, d).select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn")) % vectors.count()).alias("vec_id"))
+    return tokens.join(vectors.select("vec_id", "embedding"), "vec_id").select("conv_id", "turn", "vec_id", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
 
 
 @query("WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) / len(embedding) + 1e-6) AS scale FROM embeddings) SELECT vec_id, unnest(range(len(v)))::BIGINT AS dim, round(unnest(list_transform(v, lambda x: x / scale)), 6) AS x FROM s")
@@ -562,7 +565,7 @@ def length_buckets(spark, d):
 @query(f"WITH {_PAIRS}, r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS i, * FROM pairs) SELECT conv_id, turn, length(input)::BIGINT AS n_in, length(output)::BIGINT AS n_out FROM r")
 def positional_join(spark, d):
     """Prompts with what a generator gave back, by row id; the generator echoes the known output."""
-    pairs = prompts.training_pairs(_conversations(spark, d)).withColumn("i", F.col("conv_id") * 1000 + F.col("turn"))
+    pairs = prompts.training_pairs(_conversations(spark, d)).withColumn("i", build.row_key())
     outputs = pairs.select("i", "output")
     return pairs.drop("output").join(outputs, "i").select("conv_id", "turn", F.length("input").cast("long").alias("n_in"), F.length("output").cast("long").alias("n_out"))
 
@@ -581,10 +584,76 @@ def results_round_trip(spark, d):
     return documents.select("conv_id", F.inline(parsed["results"]))
 
 
-@query("SELECT '" + writers.cache_key({"b": 2, "a": "x"}) + "' AS key, substr(sha1('{\"a\": \"x\", \"b\": 2}'), 1, 16) AS again")
+@query("""SELECT substr(sha1('{"a": "x\\u00e9", "b": 2}'), 1, 16) AS key""")
 def cache_key(spark, d):
-    body = json.dumps({"a": "x", "b": 2}, sort_keys=True)
-    return spark.range(1).select(F.lit(writers.cache_key({"b": 2, "a": "x"})).alias("key"), F.substring(F.sha1(F.lit(body)), 1, 16).alias("again"))
+    return spark.range(1).select(F.lit(writers.cache_key({"b": 2, "a": "xé"})).alias("key"))
+
+
+@query(f"WITH {_FIRST}, given AS (SELECT conv_id, '<|im_start|>system' || chr(10) || '{SYSTEM}<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS t FROM first_prompt) SELECT conv_id, CASE WHEN len(regexp_extract_all(t, '\\S+')) <= 16 THEN t ELSE array_to_string(regexp_extract_all(t, '\\S+')[1:16], ' ') END AS input FROM given")
+def build_inputs(spark, d):
+    return first_user_prompt(spark, d).select("conv_id", T.build_inputs(F.col("prompt"), SYSTEM, most=16).alias("input"))
+
+
+@query("SELECT p_partkey, NOT (ends_with(p_type, 'TIN') OR ends_with(p_type, 'steel')) AS decayed FROM part")
+def parameter_groups(spark, d):
+    return prompts.parameter_groups(_table(spark, d, "part"), "p_type", ("TIN", "steel")).select("p_partkey", "decayed")
+
+
+@query(f"WITH {_EXPS}, losses AS (SELECT -(list_sum(list_transform(list_zip(et, x), lambda z: z[1] * z[2])) / list_sum(et)) + mx + ln(list_sum(ex)) AS loss FROM exps) SELECT round(sum(loss), 6) AS ce, count(*)::BIGINT AS pairs, round(sum(loss) / greatest(1, count(*)), 6) AS mean FROM losses")
+def mean_pair_loss(spark, d):
+    losses = _beside(spark, d).select(V.soft_cross_entropy(F.col("x"), F.col("t")).alias("loss"))
+    return metrics.mean_pair_loss(losses, "loss").select(F.round("ce", 6).alias("ce"), "pairs", F.round("mean", 6).alias("mean"))
+
+
+@query(f"WITH {_SLOTS}, g AS (SELECT conv_id, turn, chunk_idx, min(pos) FILTER (gate = 1) AS first FROM slots GROUP BY ALL) SELECT s.conv_id, s.turn, s.chunk_idx, count(*) FILTER (regular = 1 AND pos >= first - 1)::BIGINT AS n FROM slots s JOIN g USING (conv_id, turn, chunk_idx) GROUP BY ALL")
+def gated_regulars(spark, d):
+    return sequences.gated_regulars(build.chunk_table(_conversations(spark, d), S), build.KEYS)
+
+
+@query(f"WITH {_PAIRS} SELECT count(*)::BIGINT AS rows, coalesce(sum(72 + 32 * l), 0)::BIGINT AS bytes FROM sizes")
+def total_bytes(spark, d):
+    return batches.total_bytes(row_sizes(spark, d))
+
+
+@query(f"WITH {_BATCHES} SELECT seq_id, batch, batch % 2 = 1 AS last_micro FROM batches")
+def last_micro(spark, d):
+    made = batches.micro_batches(build.batch_table(_conversations(spark, d), S), S.accumulate)
+    return batches.last_flags(made, S.accumulate).select("seq_id", "batch", "last_micro")
+
+
+def _epochs_sql() -> str:
+    parts = []
+    for e in range(2):
+        one = _BATCHES.removeprefix(_PAIRS + ",\n").replace("'42-'", f"'{42 + e}-'")
+        for name in ("shuffled", "tiled", "placed", "batches"):
+            one = re.sub(rf"\b{name}\b", f"{name}_{e}", one)
+        parts.append(one)
+    whole = "(SELECT count(*) // 8 FROM sizes)"
+    return f"WITH {_PAIRS}, {', '.join(parts)}, both_ AS (SELECT 0 AS epoch, seq_id, batch FROM batches_0 UNION ALL SELECT 1, seq_id, batch + {whole} FROM batches_1) SELECT epoch::INT AS epoch, seq_id, batch::BIGINT AS batch, (batch // 3)::BIGINT AS step, (batch % 3)::BIGINT AS micro FROM both_"
+
+
+@query(_epochs_sql())
+def epoch_batches(spark, d):
+    """Two epochs in steps of three batches, which don't divide an epoch."""
+    made = batches.epoch_batches(build.length_table(_conversations(spark, d), S), "seq_id", "total_len", epochs=2, accumulate=3, seed=S.seed, per_device=S.per_device, ranks=S.ranks, window=S.window)
+    return made.select("epoch", "seq_id", "batch", "step", "micro")
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, l AS total_len FROM sizes")
+def cached_build(spark, d):
+    """Sequences written as shards with a manifest, then read back from the cache."""
+    turns, root = _conversations(spark, d), fresh_dir(spark, "cache")
+    built = build.cached_sequences(turns, S, root, f"{d}/conversations.parquet", "stand-in")
+    again = build.cached_sequences(turns.limit(0), S, root, f"{d}/conversations.parquet", "stand-in")
+    return built.select(*build.KEYS, "total_len").intersectAll(again.select(*build.KEYS, "total_len"))
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, input, output FROM pairs")
+def json_lines_round_trip(spark, d):
+    """Pairs as JSON lines, and scanned back with an explicit schema."""
+    path = fresh_dir(spark, "lines")
+    writers.write_json_lines(prompts.training_pairs(_conversations(spark, d)), path)
+    return readers.read_records(spark, path, "conv_id long, turn long, input string, output string")
 
 
 # Streams.

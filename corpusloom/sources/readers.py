@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.operators import prompts
+from corpusloom.storage import Files
+
 MESSAGE = "array<struct<`from`:string,value:string,role:string,content:string>>"
 #: Everything a raw record may have; what it lacks is null.
 RECORD = f"conversations {MESSAGE}, messages {MESSAGE}, prompt string, input string, question string, output string"
@@ -25,9 +28,10 @@ def read_tagged(spark: SparkSession, paths: list[str], bucket_of: dict[str, str]
     return read_records(spark, paths).select("*", name.alias("file")).withColumn("bucket", F.try_element_at(F.create_map(*pairs), F.col("file")))
 
 
-def read_column(df: DataFrame, column: str) -> DataFrame:
-    """One column as prompt."""
-    return df.select(F.col(column).alias("prompt"))
+def read_column(df: DataFrame, column: str, most: int | None = None, seed: int = 42) -> DataFrame:
+    """One column as prompt; of more than ``most`` rows a seeded sample, equal texts counting each."""
+    rows = df.select(F.col(column).alias("prompt"))
+    return rows if most is None else prompts.sample(rows, most, seed, "prompt")
 
 
 def normalised_prompts(records: DataFrame) -> DataFrame:
@@ -45,8 +49,7 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return Files(spark).exists(path)
 
 
 def read_dataset(spark: SparkSession, folder: str) -> DataFrame | None:
@@ -71,6 +74,24 @@ def weight_files(index: DataFrame) -> DataFrame:
     return index.select(F.explode(F.map_values("weight_map")).alias("file")).distinct()
 
 
+def resolve_weights(spark: SparkSession, folder: str, ends: tuple[str, ...] = (".safetensors", ".bin")) -> list[str]:
+    """The weight files of a folder: those that its index names, or else its only one; none or several are an error."""
+    names = Files(spark).names(folder)
+    index = [x for x in names if x.endswith(".index.json")]
+    if len(index) == 1:
+        rows = spark.read.schema("weight_map map<string,string>").option("multiLine", True).json(f"{folder}/{index[0]}")
+        return sorted(r["file"] for r in weight_files(rows).collect())
+    found = [x for x in names if x.endswith(ends)]
+    if len(index) > 1 or len(found) != 1:
+        raise ValueError(f"{folder} has {len(index)} indexes and {len(found)} weight files")
+    return found
+
+
+def fingerprint(spark: SparkSession, path: str) -> tuple[str, int, int]:
+    """(whole path, seconds of modification, bytes) of a file; zeros if it isn't there."""
+    return Files(spark).status(path)
+
+
 def fingerprints(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:
     """(file, bytes, modified) of the files at a path; contents aren't read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)

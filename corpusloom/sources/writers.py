@@ -6,23 +6,30 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Mapping
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.batches import latest, rotated, row_bytes, shard_plan
+from corpusloom.storage import Files, materialise
 
 VERSION = 1
 
 
 def put_text(df_or_spark, path: str, text: str) -> None:
     """A small text file by way of Hadoop, so that any store that Spark writes to will do."""
-    spark = df_or_spark.sparkSession if isinstance(df_or_spark, DataFrame) else df_or_spark
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
-    out.write(bytearray(text.encode()))
-    out.close()
+    Files(df_or_spark.sparkSession if isinstance(df_or_spark, DataFrame) else df_or_spark).write(path, text)
+
+
+class Timer:
+    """with Timer() as t: ... ; then t.seconds is the time that went by."""
+
+    def __enter__(self) -> Timer:
+        self.began, self.seconds = time.perf_counter(), 0.0
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.seconds = time.perf_counter() - self.began
 
 
 def write_json_lines(df: DataFrame, path: str, order: str | None = None, files: int | None = None) -> None:
@@ -45,7 +52,10 @@ def throughput(pairs: DataFrame, elapsed: float) -> DataFrame:
 
 
 def write_payload(pairs: DataFrame, folder: str, prefix: str, config: Mapping[str, object], elapsed: float) -> str:
-    """Results as JSON lines, config and runtime as JSON beside them; the folder's name carries the time."""
+    """Results as JSON lines, config and runtime as JSON beside them; the folder's name carries the time.
+
+    Fixed values: the names of the payload's parts.
+    """
     path = f"{folder}/{prefix}_{time.strftime('%Y%m%d-%H%M%S')}"
     pairs.select("input", "output").write.mode("overwrite").json(f"{path}/results")
     runtime = {"elapsed_sec": elapsed} | throughput(pairs, elapsed).first().asDict()
@@ -59,52 +69,67 @@ def generate(prompts: DataFrame, generator: Callable, schema: str) -> DataFrame:
 
 
 def cache_key(meta: Mapping[str, object]) -> str:
-    return hashlib.sha1(json.dumps(meta, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:16]
+    """Sixteen hexadecimal digits that follow from the settings, in whatever order they are."""
+    return hashlib.sha1(json.dumps(meta, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def tokenizer_fingerprint(name: str, vocabulary: int, added: int, mask: int) -> dict[str, object]:
+    """What tells tokenizers apart. The names."""
+    return {"name_or_path": name, "vocab_size": vocabulary, "added_tokens": added, "mask_id": mask}
 
 
-def cache_folder(root: str, source: tuple[str, int, int], tokenizer: str, draft: int, seed: int) -> str:
+def cache_folder(root: str, source: tuple[str, int, int], tokenizer: object, draft: int, seed: int) -> str:
     """Where the rows of these sources and settings are kept: the name follows from all of them."""
     return f"{root}/{cache_key({'version': VERSION, 'source': list(source), 'tokenizer': tokenizer, 'draft_length': draft, 'shuffle_seed': seed})}"
 
 
-def write_dataset(rows: DataFrame, folder: str, row_id: str, budget: int, meta: Mapping[str, object]) -> dict:
+def write_dataset(rows: DataFrame, folder: str, row_id: str, budget: int, meta: Mapping[str, object], per_job: int = 64) -> dict:
     """Expanded rows as Parquet in shards of at most ``budget`` estimated bytes, with a manifest.
 
-    Shards are planned on two numbers a row, then joined back; Spark's commit leaves whole shards or none.
+    Shards are planned on two numbers a row, then joined back, and written ``per_job`` at a time; what a broken-off
+    call has finished is not written again, nor is anything if the manifest is there. A job replaces just its shards.
     """
-    plan = shard_plan(rows.select(F.col(row_id).alias("row_id"), row_bytes(F.col("total_len")).alias("bytes")), budget)
-    placed = rows.join(plan.select(F.col("row_id").alias(row_id), "shard_id"), row_id)
-    placed.write.mode("overwrite").partitionBy("shard_id").parquet(f"{folder}/rows")
-    found = rows.sparkSession.read.parquet(f"{folder}/rows").groupBy("shard_id").count().orderBy("shard_id").collect()
-    manifest = {"version": VERSION, "mode": "sharded", "target_bytes_per_shard": budget, "total_rows": sum(r["count"] for r in found), "num_shards": len(found), "shards": [f"shard_id={r['shard_id']}" for r in found], "build_meta": dict(meta)}
+    files, done = Files(rows.sparkSession), f"{folder}/done"
+    if files.exists(f"{folder}/manifest.json"):
+        return json.loads(files.read(f"{folder}/manifest.json"))
+    plan = materialise(shard_plan(rows.select(F.col(row_id).alias("row_id"), row_bytes(F.col("total_len")).alias("bytes")), budget), "plan")
+    known = plan.select(F.col("row_id").alias(row_id), "shard_id")
+    counts = {r["shard_id"]: r["count"] for r in plan.groupBy("shard_id").count().collect()}
+    for low in range(0, len(counts) or 1, per_job):
+        if files.exists(f"{done}/{low}"):
+            continue
+        own = known.filter((F.col("shard_id") >= low) & (F.col("shard_id") < low + per_job))
+        rows.join(own, row_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(f"{folder}/rows")
+        files.write(f"{done}/{low}", "")
+    # The names of the manifest's parts.
+    manifest = {"version": VERSION, "mode": "sharded", "target_bytes_per_shard": budget, "total_rows": sum(counts.values()), "num_shards": len(counts), "shards": [f"shard_id={k}" for k in sorted(counts)], "build_meta": dict(meta)}
+    files.write(f"{folder}/rows/_SUCCESS", "")
     put_text(rows, f"{folder}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2))
     return manifest
 
 
 class Checkpoints:
-    """Folders step_<n> under a root: save by a writer, keep the latest few, resume after the greatest step."""
+    """Folders step_<n> under a root of any store: save by a writer, keep the latest few, resume after the greatest."""
 
     def __init__(self, root: str, keep: int = 3) -> None:
-        self.root, self.keep = Path(root), keep
+        self.root, self.keep = root.rstrip("/"), keep
 
     def listed(self, spark) -> DataFrame:
-        rows = [(str(p), int(p.name[5:])) for p in self.root.glob("step_*") if p.name[5:].isdigit()]
+        rows = [(f"{self.root}/{x}", int(x[5:])) for x in Files(spark).names(self.root) if x.startswith("step_") and x[5:].isdigit()]
         return spark.createDataFrame(rows, "path string, step long")
 
     def save(self, spark, step: int, write: Callable[[str], None]) -> None:
-        path = self.root / f"step_{step}"
-        path.mkdir(parents=True, exist_ok=True)
-        write(str(path))
-        (self.root / "latest.json").write_text(json.dumps({"path": str(path), "step": step}))
+        files, path = Files(spark), f"{self.root}/step_{step}"
+        files.make_dir(path)
+        write(path)
+        files.write(f"{self.root}/latest.json", json.dumps({"path": path, "step": step}))
         for r in rotated(self.listed(spark), self.keep).filter("not stays").collect():
-            for f in sorted(Path(r["path"]).rglob("*"), reverse=True):
-                f.rmdir() if f.is_dir() else f.unlink()
-            Path(r["path"]).rmdir()
+            files.remove(r["path"])
 
     def resume(self, spark) -> tuple[str, int] | None:
         """(path, next step), by latest.json or else by the greatest step."""
-        mark = self.root / "latest.json"
-        if mark.exists() and Path((found := json.loads(mark.read_text()))["path"]).exists():
+        files, mark = Files(spark), f"{self.root}/latest.json"
+        if files.exists(mark) and files.exists((found := json.loads(files.read(mark)))["path"]):
             return found["path"], found["step"] + 1
         r = latest(self.listed(spark)).first()
         return (r["path"], r["next_step"]) if r["path"] else None

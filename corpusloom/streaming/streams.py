@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.storage import fresh_dir
+
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
     """The files at a path as a stream, with ts as a timestamp, which watermarks need."""
@@ -44,8 +45,34 @@ def past_seen(stream: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream over present files amounts to: run to its end into memory. For tests and small results."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """What a stream over present files amounts to: run to its end into a table in the shared folder.
+
+    A batch is a folder, written over if it is run again. In append mode all batches are the result, else the last one.
+    """
+    spark, done = stream.sparkSession, []
+    path = fresh_dir(spark, "drained")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        done.append(number)
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    parts = sorted(set(done)) if mode == "append" else done[-1:]
+    return spark.read.schema(stream.schema).parquet(*[f"{path}/{k}" for k in parts]) if parts else spark.createDataFrame([], stream.schema)
+
+
+def metric_rows(batch: DataFrame, step: str = "step") -> DataFrame:
+    """(step, name, value): the numeric columns of a batch of metrics, a row each; texts, flags and nulls are left out."""
+    numbers = [c for c, kind in batch.dtypes if c != step and (kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"))]
+    each = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in numbers])
+    return batch.select(F.col(step).cast("long").alias("step"), F.inline(each)).filter("value is not null")
+
+
+def log_metrics(stream: DataFrame, path: str, step: str = "step"):
+    """A running query that appends a stream of metrics to a table by foreachBatch; a batch that is run again replaces
+    what it wrote."""
+    def write(batch: DataFrame, number: int) -> None:
+        metric_rows(batch, step).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start()

@@ -206,3 +206,50 @@ def test_step_statistics(spark):
     assert found[0]["acc"] == pytest.approx(50)
     assert found[1]["acc"] == pytest.approx(50)
     assert metrics.step_statistics(df, 2, "batch").first()["loss"] == pytest.approx(4.5)
+
+
+def test_shards_over_many_ranges(spark):
+    """Shards of several ranges, ranges of several shards, rows alone at the edges of ranges; keys of any kind."""
+    rng = random.Random(8)
+    for budget, most in ((100, 40), (100, 130), (1000, 30), (5, 9)):
+        sizes = [rng.choice([rng.randint(0, most), rng.randint(0, 5), budget]) if k % 3 else rng.randint(0, most) for k in range(300)]
+        rows = spark.createDataFrame([(f"k{k:05d}", s) for k, s in enumerate(sizes)], "row_id string, bytes long")
+        found = batches.shard_plan(rows, budget, 17).orderBy("row_id").collect()
+        assert [r["shard_id"] for r in found] == slow_cut(sizes, budget)
+
+
+def test_quota_scans_grow_with_the_files(spark):
+    rows = spark.range(600).selectExpr("concat('f', id % 6) file", "id `order`", "md5(cast(id % 400 as string)) key")
+    chosen = prompts.sample_by_quota(rows, {f"f{k}": 20 for k in range(6)})
+    assert chosen.count() == 120
+    assert chosen._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 6
+
+
+def test_samples_larger_than_the_population_are_refused(spark):
+    rows = spark.range(5).withColumnRenamed("id", "k")
+    assert prompts.sample_exactly(rows, 5, 1, "k").count() == 5
+    with pytest.raises(ValueError):
+        prompts.sample_exactly(rows, 6, 1, "k")
+
+
+def test_batches_without_a_valid_chunk_count_for_the_loss(spark):
+    rows = [(0, 0, 0, 2.0, 1.0, True, 4, [4]), (0, 1, 0, 9.0, 1.0, False, 4, [0])]
+    df = spark.createDataFrame(rows, "rank int, batch int, row int, loss double, scale double, valid boolean, tokens long, correct array<long>")
+    r = metrics.step_statistics(df, 1, "batch").first()
+    assert (r["loss"], r["batches"], r["batches_for_acc"]) == (1.0, 2, 1)
+    assert r["acc"] == pytest.approx(100)
+
+
+def test_six_significant_digits(spark):
+    given = [123.456789, 0.00123456789, 0.5, 99.99999, 0.099999999, 999.9996]
+    assert [one(spark, T.short_number(F.col("x")), x=x) for x in given] == [f"{x:g}" for x in given]
+
+
+def test_the_mask_must_be_known_and_in_no_text(spark):
+    assert T.mask_id({"<mask>": 7}) == 7
+    with pytest.raises(ValueError):
+        T.mask_id({"a": 1})
+    rows = spark.createDataFrame([([1, 2], [3])], "in_ids array<long>, out_ids array<long>")
+    assert sequences.require_no_mask(rows, ["in_ids", "out_ids"], 9).count() == 1
+    with pytest.raises(ValueError):
+        sequences.require_no_mask(rows, ["in_ids", "out_ids"], 3)

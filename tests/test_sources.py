@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import sequences
@@ -114,3 +115,45 @@ def test_stream_keeps_state_by_sequence(spark, tmp_path):
 def test_weight_files(spark):
     df = spark.createDataFrame([({"a": "f1", "b": "f2", "c": "f1"},)], "weight_map map<string,string>")
     assert sorted(r["file"] for r in readers.weight_files(df.select(F.col("weight_map"))).collect()) == ["f1", "f2"]
+
+
+def test_a_broken_off_dataset_goes_on_where_it_stopped(spark, tmp_path):
+    pairs = spark.createDataFrame([(k, [1, 2], [3] * (k % 5)) for k in range(40)], "id long, in_ids array<long>, out_ids array<long>")
+    rows, folder = sequences.expand(pairs, 2), str(tmp_path / "cache")
+    whole = writers.write_dataset(rows, folder, "id", 1000, {}, per_job=2)
+    (tmp_path / "cache" / "manifest.json").unlink()
+    kept = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache" / "rows").glob("shard_id=*/part-*")}
+    next((tmp_path / "cache" / "done").glob("2")).unlink()
+    assert writers.write_dataset(rows, folder, "id", 1000, {}, per_job=2) == whole
+    now = {p: p.stat().st_mtime_ns for p in (tmp_path / "cache" / "rows").glob("shard_id=*/part-*")}
+    again = {p.parent.name for p in set(now) - set(kept)}
+    assert again == {"shard_id=2", "shard_id=3"}
+    assert readers.read_dataset(spark, folder).count() == 40
+
+
+def test_weights_and_fingerprints_of_files(spark, tmp_path):
+    with pytest.raises(ValueError):
+        readers.resolve_weights(spark, str(tmp_path))
+    (tmp_path / "model.safetensors").write_text("x")
+    assert readers.resolve_weights(spark, str(tmp_path)) == ["model.safetensors"]
+    (tmp_path / "other.safetensors").write_text("x")
+    with pytest.raises(ValueError):
+        readers.resolve_weights(spark, str(tmp_path))
+    (tmp_path / "model.index.json").write_text('{"weight_map": {"a": "f1", "b": "f2", "c": "f1"}}')
+    assert readers.resolve_weights(spark, str(tmp_path)) == ["f1", "f2"]
+    assert readers.fingerprint(spark, str(tmp_path / "model.safetensors"))[2] == 1
+    assert readers.fingerprint(spark, str(tmp_path / "none")) == (str(tmp_path / "none"), 0, 0)
+
+
+def test_streamed_metrics_go_to_a_table(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 0.5, "x", True, 3), (2, None, "y", False, 4)], "step long, loss double, name string, flag boolean, n int")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    streams.log_metrics(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out")).select("step", "name", "value").collect()
+    assert sorted(map(tuple, found)) == [(1, "loss", 0.5), (1, "n", 3.0), (2, "n", 4.0)]
+
+
+def test_elapsed_seconds():
+    with writers.Timer() as t:
+        sum(range(1000))
+    assert 0 < t.seconds < 5
