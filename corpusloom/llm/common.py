@@ -5,43 +5,22 @@ from __future__ import annotations
 import gc
 import os
 import posixpath
-import tempfile
 import uuid
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.storage import fresh_dir, materialise, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "WORD", "clean", "filesystem", "fresh_dir", "materialise", "maybe_broadcast", "remove", "shared_dir", "sweep_up", "table", "write_whole"]
+
 #: What separates words, as a pattern for Java and RE2: blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A broadcast side may have so many rows; beyond, the join shuffles.
 BROADCAST_ROWS = 250_000
 
 
-#: By application: the folder of sessions that name none, as in tests.
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session that names none gets one
-    of its own; on a cluster that is an error, for each machine would write to its own disk."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if context.applicationId not in _own:
-        _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
-        context.setCheckpointDir(_own[context.applicationId])
-    return _own[context.applicationId]
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the application's part of the shared folder; nothing is made yet."""
-    return posixpath.join(shared_dir(spark), f"corpusloom-{spark.sparkContext.applicationId}", f"{name}-{uuid.uuid4().hex}")
-
-
 def clean(spark: SparkSession) -> None:
     """Remove all intermediate tables and files of this application. What it returned must have been written by then."""
     remove(posixpath.dirname(fresh_dir(spark, "")))
@@ -65,14 +44,6 @@ def sweep_up(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage ends there, lost executors lose nothing."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast of a materialised narrow df if it has at most ``rows`` rows; else leave it to a shuffle join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

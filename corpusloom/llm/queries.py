@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_archive": warc.ORACLE_SQL, "op5_mix_to_weights": mixing.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL}
+    return {"op1_warc_archive": warc.ORACLE_SQL, "op5_mix_to_weights": mixing.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL, "op7_substring_dedup": suffix_dedup.ORACLE_SQL}

@@ -483,3 +483,17 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     named = spans.select(F.col("doc_id").alias("at"), "key", "spans")
     joined = plain.join(named, (F.col("doc_id").cast("long") == F.col("at")) & (F.xxhash64("text") == F.col("key")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(Remover(texts), schema).withColumnRenamed("kept", "kept_text" if texts else "kept_sha256")
+
+
+ORACLE_SQL = r"""
+WITH t AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS i FROM t),
+win AS (SELECT rid, doc_id, w, unnest(range(len(w) - 12)) AS i FROM t WHERE len(w) >= 13 AND doc_id IS NOT NULL),
+runs AS (SELECT rid, doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS run FROM win),
+again AS (SELECT rid, i FROM (SELECT rid, i, doc_id, min(doc_id) OVER (PARTITION BY run) AS first FROM runs) WHERE doc_id > first),
+gone AS MATERIALIZED (SELECT DISTINCT rid, i + k AS i FROM again, range(13) r(k)),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY i) AS body FROM p ANTI JOIN gone USING (rid, i) GROUP BY rid),
+removed AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM t LEFT JOIN removed USING (rid) LEFT JOIN kept USING (rid)
+"""
