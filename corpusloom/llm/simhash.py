@@ -12,13 +12,16 @@ Equal fingerprints are one node, so exact copies never meet as pairs; a group em
 not its pairs.
 
 Two schemes: FINE, for the digest, as above, on three-word shingles, complete within its three bits. SIMILAR, for
-filters: 128 bits on five-word shingles, where texts are near duplicates whose fingerprints differ in at most 20 bits,
-which is what a similarity (Jaccard) of 0.8 makes of them on average. So many errors are beyond guarantees by the
-pigeonhole; instead segments are decoded softly: every bit counts by its margin, the surplus of shingles that vote for
-it, and a segment's keys are the indices of the three best codewords. Bits that flip between similar texts have small
-margins, so that their best codewords agree. Keys of two of four segments are put together, best ones first. By
-simulation such keys meet for 90 % of pairs at a similarity of 0.8 and 99 % at 0.85; of these 64 and 87 % are within
-20 bits, at 0.9 it is 97 %, at 0.7 17 % and at 0.6 3 %.
+filters: 128 bits on five-word shingles, where texts are near duplicates whose sets of shingles have a similarity
+(Jaccard) of 0.8 or more, which about 20 differing bits suggest. So many errors are beyond guarantees by the pigeonhole;
+instead segments are decoded softly: every bit counts by its margin, the surplus of shingles that vote for it, and a
+segment's keys are the indices of the three best codewords. Bits that flip between similar texts have small margins, so
+that their best codewords agree. Keys of two of five segments are put together, best ones first. By simulation such
+keys meet for 95 % of pairs at a similarity of 0.8 and 99 % at 0.86. Pairs that share a key and differ in at most 32
+bits are candidates; ``verified`` compares their sets of shingles, so that no less similar pair is linked. Nodes are
+distinct texts there. Where more than FEW of them hang together within 32 bits, a group emits a star around
+their centre and spanning forests at several distances instead of all pairs, and a link that fails the comparison isn't
+replaced in that group.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any other;
 A to Z are folded; a text with fewer words than a shingle is one shingle; repeated rows are rows of one component;
@@ -52,7 +55,8 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 
 @dataclass(frozen=True)
 class Scheme:
-    """What counts as near: words of a shingle, differing bits, and whether fingerprints are wide and decoded softly."""
+    """What counts as near: words of a shingle, differing bits, and whether fingerprints are wide, decoded softly and
+    only candidates, whose shingles are compared."""
 
     shingle: int
     most_bits: int
@@ -60,9 +64,14 @@ class Scheme:
 
 
 FINE = Scheme(SHINGLE, MOST_BITS, False)
-SIMILAR = Scheme(5, 20, True)
+SIMILAR = Scheme(5, 32, True)
+#: Least similarity of near duplicates, as a fraction.
+SIMILARITY = (4, 5)
+#: Candidates: texts that hang together of which all pairs are, the distances of the forests beyond, and links of one
+#: text that a task compares.
+FEW, FORESTS, SHARE = 64, (8, 16, 24, 32), 2048
 #: Of wide fingerprints: bits, segments that are decoded, codewords of each, and shingles whose bits are added at once.
-WIDTH, SOFT_SEGMENTS, BEST, CHUNK = 128, 4, 3, 1 << 15
+WIDTH, SOFT_SEGMENTS, BEST, CHUNK = 128, 5, 3, 1 << 15
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -170,8 +179,8 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(key), pa.array(fp[i : i + 4096][row])], names=["key", "fp"])
 
 
-def margins(texts: pa.Array, shingle: int) -> np.ndarray:
-    """Of each text and bit, how many more shingles have the bit set than haven't; texts without words have zeros."""
+def shingles(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all shingles, repeats included, the text of each, and how many each text has."""
     w = textvec.words(texts, lower=True)
     first, n = w.at[:-1], np.diff(w.at)
     count = np.where(n > 0, np.maximum(1, n - shingle + 1), 0)
@@ -183,7 +192,13 @@ def margins(texts: pa.Array, shingle: int) -> np.ndarray:
         own = width == k
         if own.any():
             h[own] = textvec.combine(w.hashes, k)[start[own]]
-    out = np.zeros((len(n), WIDTH), np.int32)
+    return h, owner, count
+
+
+def margins(texts: pa.Array, shingle: int) -> np.ndarray:
+    """Of each text and bit, how many more shingles have the bit set than haven't; texts without words have zeros."""
+    h, owner, count = shingles(texts, shingle)
+    out = np.zeros((len(count), WIDTH), np.int32)
     with np.errstate(over="ignore"):
         for low in range(0, len(h), CHUNK):
             part, of = h[low : low + CHUNK], owner[low : low + CHUNK]
@@ -220,16 +235,16 @@ _codewords: list[Codewords] = []
 
 @textvec.releasing
 def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to (doc_id, high, low, codes): the halves of the fingerprint, and the codewords of its segments."""
+    """(doc_id, fp, text) to (doc_id, fp, high, low, codes): halves of the fingerprint, codewords of its segments."""
     if not _codewords:
         _codewords.append(Codewords())
     for batch in batches:
         for piece in textvec.pieces(batch, "text"):
-            margin = margins(piece.column(1), SIMILAR.shingle)
+            margin = margins(piece.column(2), SIMILAR.shingle)
             halves = np.packbits(margin > 0, axis=1, bitorder="little").view("<i8")
             codes = np.concatenate([_codewords[0].best(margin[:, 23 * k : 23 * k + 23]) for k in range(SOFT_SEGMENTS)], axis=1)
             body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(codes.shape[1] * 2), len(codes), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
-            yield pa.record_batch([piece.column(0), pa.array(halves[:, 1]), pa.array(halves[:, 0]), body], names=["doc_id", "high", "low", "codes"])
+            yield pa.record_batch([*piece.columns[:2], pa.array(halves[:, 1]), pa.array(halves[:, 0]), body], names=["doc_id", "fp", "high", "low", "codes"])
 
 
 def _wide_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,6 +276,35 @@ def spanning_links(fp: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int
     return out
 
 
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def candidate_links(fp: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
+    """Places of pairs within most_bits: all of them where up to FEW rows hang together; beyond, the star around the row
+    nearest to the majority of all bits, which is most like the source of the copies, and forests from both ends at
+    growing distances. Their links grow with the rows and not with their pairs."""
+    root = np.arange(len(fp))
+    for a, b in spanning_links(fp, most_bits):
+        root[b] = root[a]
+    order = np.argsort(root, kind="stable")
+    out: list[tuple[int, int]] = []
+    for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+        if len(own) <= FEW:
+            a, b = np.triu_indices(len(own), 1)
+            near = _bits(fp[own[a]], fp[own[b]]) <= most_bits
+            out += zip(own[a[near]].tolist(), own[b[near]].tolist(), strict=True)
+            continue
+        votes = np.unpackbits(fp[own].view(np.uint8), axis=1).sum(axis=0)
+        far = _bits(fp[own], np.packbits(2 * votes > len(own)).view(np.uint64))
+        centre = int(own[far.argmin()])
+        out += [(centre, x) for x in own[_bits(fp[own], fp[centre]) <= most_bits].tolist() if x != centre]
+        for way in (own, own[::-1]):
+            for bits in FORESTS:
+                out += [(int(way[a]), int(way[b])) for a, b in spanning_links(fp[way], bits)]
+    return out
+
+
 class Linker:
     """mapInArrow function: rows (key, node, fingerprint...) sorted by key to links of nodes; only the last, unfinished
     group is held over. A group's links are looked for by 16-bit blocks, one of which near fingerprints share, where it
@@ -268,10 +312,13 @@ class Linker:
 
     LARGE = 1024
 
-    def __init__(self, most_bits: int) -> None:
+    def __init__(self, most_bits: int, candidates: bool = False) -> None:
         self.most_bits = most_bits
+        self.candidates = candidates
 
     def group(self, node: np.ndarray, fp: np.ndarray) -> list[tuple[int, int]]:
+        if self.candidates:
+            return [(node[a], node[b]) for a, b in candidate_links(fp, self.most_bits)]
         if len(fp) < self.LARGE or self.most_bits >= 4 * fp.shape[1]:
             return [(node[a], node[b]) for a, b in spanning_links(fp, self.most_bits)]
         out = []
@@ -316,22 +363,63 @@ class Linker:
 
 
 def near_links(classes: DataFrame, scheme: Scheme = FINE) -> DataFrame:
-    """(a, b): links of at most scheme.most_bits differing bits that connect the distinct fingerprints.
+    """(a, b), a < b: links of at most scheme.most_bits differing bits that connect the distinct fingerprints.
 
-    classes: column fp, or for a wide scheme (fp, high, low, codes), fp naming the fingerprint.
+    classes: column fp, or for a wide scheme (fp, high, low, codes), fp naming the text; links are candidates there.
     """
     if scheme.wide:
         keyed = classes.select("fp", "high", "low", "codes").mapInArrow(_wide_keyed, "key int, node long, high long, low long")
     else:
         keyed = classes.select("fp").mapInArrow(_keyed, "key long, fp long").select("key", F.col("fp").alias("node"), "fp")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(Linker(scheme.most_bits), "a long, b long").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(Linker(scheme.most_bits, scheme.wide), "a long, b long").distinct()
+
+
+def _named(docs: DataFrame, *columns: str) -> DataFrame:
+    """The given columns, fp, a name of the text, and the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(*columns, F.xxhash64(text).alias("fp"), text.alias("text"))
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, high, low, codes) of every row; fp names the fingerprint by a hash of its halves."""
-    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("high", "low")], T.StructField("codes", T.BinaryType())])
-    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_wide, schema)
-    return found.select("doc_id", F.xxhash64("high", "low").alias("fp"), "high", "low", "codes")
+    """(doc_id, fp, high, low, codes) of every row; fp names the text by a hash."""
+    schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("fp", "high", "low")], T.StructField("codes", T.BinaryType())])
+    return _named(docs, "doc_id").mapInArrow(_wide, schema)
+
+
+@textvec.releasing
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, text) to (fp, shingles), the distinct hashes of the text's shingles."""
+    for batch in batches:
+        for piece in textvec.pieces(batch, "text"):
+            h, _, count = shingles(piece.column(1), SIMILAR.shingle)
+            own = [np.unique(x) for x in np.split(h.view(np.int64), np.cumsum(count)[:-1])]
+            at = np.cumsum([0, *map(len, own)]).astype(np.int32)
+            yield pa.record_batch([piece.column(0), pa.ListArray.from_arrays(at, np.concatenate(own))], names=["fp", "shingles"])
+
+
+def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the links (a, b) whose texts' sets of five-word shingles have a similarity of SIMILARITY or more.
+
+    Sets are made of the linked texts only. A text of many links is dealt to several tasks, about SHARE links to each.
+    """
+    links = materialise(links, "candidates")
+    nodes = materialise(links.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "nodes")
+    texts = _named(docs).join(maybe_broadcast(nodes), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
+    sets = materialise(texts.mapInArrow(_sets, "fp long, shingles array<long>"), "sets")
+    hubs = {}
+    for end in ("a", "b"):
+        many = links.groupBy(end).count().filter(F.col("count") > SHARE)
+        hubs[end] = maybe_broadcast(materialise(many.select(end, F.floor(F.col("count") / SHARE).alias("last")), "hubs"))
+    last = F.coalesce("last", F.lit(0).cast("long"))
+    found = links
+    for end in ("a", "b"):
+        found = found.join(hubs[end], end, "left").withColumn(f"part_{end}", F.pmod(F.xxhash64("a", "b"), last + 1)).drop("last")
+    for end in ("a", "b"):
+        own = sets.withColumnRenamed("fp", end).join(hubs[end], end, "left")
+        own = own.select(end, F.explode(F.sequence(F.lit(0).cast("long"), last)).alias(f"part_{end}"), F.col("shingles").alias(f"set_{end}"))
+        found = found.join(own, [end, f"part_{end}"])
+    both, (over, under) = F.size(F.array_intersect("set_a", "set_b")), SIMILARITY
+    return found.filter((over + under) * both >= over * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = FINE) -> DataFrame:
@@ -339,11 +427,13 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = FINE) -> DataFrame:
 
     component_id: the smallest doc_id that links reach, its own included; null only if all of them are null. root names
     the component also then. Rows with equal doc_id are kept apart; other columns of docs are ignored; no rows: none.
+    In a wide scheme fp names the text, and links are those that the comparison of shingles confirms.
     """
     prints = materialise(wide_fingerprints(docs) if scheme.wide else fingerprints(docs), "fingerprints")
     more = [F.min(c).alias(c) for c in ("high", "low", "codes")] if scheme.wide else []
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *more), "classes")
-    up = components(near_links(classes, scheme))
+    links = near_links(classes, scheme)
+    up = components(verified(links, docs) if scheme.wide else links)
     named = classes.join(up.withColumnRenamed("child", "fp"), "fp", "left").select("fp", "least", F.coalesce("parent", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     member = materialise(named.select("fp", "root").join(least, "root"), "members")

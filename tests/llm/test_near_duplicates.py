@@ -120,6 +120,72 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert all(2 * k + 1 in kept for k, x in pairs if x < 0.5)
 
 
+def _edited(rng, words, n):
+    words = list(words)
+    for i in rng.sample(range(len(words)), n):
+        words[i] = f"e{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_only_texts_of_similarity_08_go(spark):
+    """Edited copies on both sides of the bound: none below it goes, and of those above it few are missed."""
+    rng = random.Random(12)
+    rows, near, far = [], [], []
+    for k in range(300):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        copy = _edited(rng, words, rng.randint(1, len(words) // 20))
+        rows += [(2 * k, " ".join(words), "en", "s"), (2 * k + 1, copy, "en", "s")]
+        (near if jaccard(rows[-2][1], copy) >= 0.8 else far).append(2 * k + 1)
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert len(near) > 80 and len(far) > 80
+    assert set(far) <= kept
+    assert sum(k not in kept for k in near) >= 0.9 * len(near)
+
+
+def test_a_large_family_leaves_one(spark):
+    """More texts than are compared in pairs, of which most are below 0.8 to each other but above it to the first."""
+    rng = random.Random(13)
+    words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    rows = [(k, _edited(rng, words, 3 if k else 0), "en", "s") for k in range(4 * simhash.FEW)]
+    rows += [(1000 + k, " ".join(f"c{rng.randrange(5000)}" for _ in range(100)), "en", "s") for k in range(50)]
+    kept = {r["doc_id"] for r in simhash.keep_one(documents(spark, rows)).collect()}
+    assert {r[0] for r in rows if r[0] >= 1000} <= kept
+    assert len([k for k in kept if k < 1000]) <= 3
+
+
+def test_verified_links_match_brute_force(spark, monkeypatch):
+    """Short, empty and repeated texts too, whether or not a text of many links is dealt to several tasks."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(80)]
+    texts = [_edited(rng, base, rng.randint(0, 5)) for _ in range(40)] + ["", " ", "one two", "One  two", "one two three", " ".join(base).upper()]
+    texts = list(dict.fromkeys(texts))
+    docs = documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts + texts[:9] + [None])])
+    name = {r["text"]: r["fp"] for r in simhash._named(docs).collect()}
+    pairs = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if a != b]
+    links = [sorted((name[a], name[b])) for a, b in pairs]
+    same = lambda a, b: a == b or (a and b and jaccard(a, b) >= 0.8)
+    expected = {tuple(x) for x, (a, b) in zip(links, pairs, strict=True) if same(*(" ".join(t.lower().split()) for t in (a, b)))}
+    assert 15 < len(expected) < len(links)
+    for share in (simhash.SHARE, 4):
+        monkeypatch.setattr(simhash, "SHARE", share)
+        found = simhash.verified(spark.createDataFrame(links, "a long, b long"), docs).collect()
+        assert len(found) == len(expected) and {tuple(r) for r in found} == expected
+
+
+def test_candidates_of_few_rows_are_all_pairs_and_of_many_span_them():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 1 << 62, (30, 2)).astype(np.uint64)
+    flips = np.packbits(rng.random((300, 128)) < 0.06, axis=1).view(np.uint64)
+    few = fp[np.arange(300) % 30] ^ flips
+    found = {tuple(sorted(x)) for x in simhash.candidate_links(few, 32)}
+    bits = np.bitwise_count(few[:, None] ^ few[None]).sum(axis=2)
+    assert found == {(int(a), int(b)) for a, b in np.argwhere(bits <= 32) if a < b}
+    links = simhash.candidate_links(fp[:1] ^ flips, 32)
+    near = np.bitwise_count((fp[:1] ^ flips)[:, None] ^ (fp[:1] ^ flips)[None]).sum(axis=2) <= 32
+    assert len(links) <= 9 * 300 and all(near[a, b] for a, b in links)
+    assert len(components.forest(*np.array(links).T)[0]) == 299
+
+
 def test_margins_and_best_codewords_match_brute_force():
     texts = ["a b c d e f g A", "one two", "", None, "x " * 5000, "a b c d e f g a"]
     margin = simhash.margins(pa.array(texts, pa.string()), 5)
