@@ -20,7 +20,7 @@ that their best codewords agree. Keys of two of five segments are put together,
 keys meet for 95 % of pairs at a similarity of 0.8 and 99 % at 0.86. Pairs that share a key and differ in at most 32
 bits are candidates; ``verified`` compares their sets of shingles, so that no less similar pair is linked. Nodes are
 distinct texts there. Where more than FEW of them hang together within 32 bits, a group emits a star around
-their centre and spanning forests at several distances instead of all pairs, and a link that fails the comparison isn't
+their centre and spanning forests at two distances instead of all pairs, and a link that fails the comparison isn't
 replaced in that group.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any other;
@@ -69,7 +69,7 @@ SIMILAR = Scheme(5, 32, True)
 SIMILARITY = (4, 5)
 #: Candidates: texts that hang together of which all pairs are, the distances of the forests beyond, and links of one
 #: text that a task compares.
-FEW, FORESTS, SHARE = 64, (8, 16, 24, 32), 2048
+FEW, FORESTS, SHARE = 8, (16, 32), 2048
 #: Of wide fingerprints: bits, segments that are decoded, codewords of each, and shingles whose bits are added at once.
 WIDTH, SOFT_SEGMENTS, BEST, CHUNK = 128, 5, 3, 1 << 15
 
@@ -282,8 +282,8 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def candidate_links(fp: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
     """Places of pairs within most_bits: all of them where up to FEW rows hang together; beyond, the star around the row
-    nearest to the majority of all bits, which is most like the source of the copies, and forests from both ends at
-    growing distances. Their links grow with the rows and not with their pairs."""
+    nearest to the majority of all bits, which is most like the source of the copies, and forests at two distances.
+    Their links grow with the rows and not with their pairs."""
     root = np.arange(len(fp))
     for a, b in spanning_links(fp, most_bits):
         root[b] = root[a]
@@ -299,9 +299,8 @@ def candidate_links(fp: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
         far = _bits(fp[own], np.packbits(2 * votes > len(own)).view(np.uint64))
         centre = int(own[far.argmin()])
         out += [(centre, x) for x in own[_bits(fp[own], fp[centre]) <= most_bits].tolist() if x != centre]
-        for way in (own, own[::-1]):
-            for bits in FORESTS:
-                out += [(int(way[a]), int(way[b])) for a, b in spanning_links(fp[way], bits)]
+        for bits in FORESTS:
+            out += [(int(own[a]), int(own[b])) for a, b in spanning_links(fp[own], bits)]
     return out
 
 
