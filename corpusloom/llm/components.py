@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm import textvec
 from corpusloom.llm.common import materialise
 
 
@@ -35,6 +36,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[root[child]]
 
 
+@textvec.releasing
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges replaced by a spanning forest of each run of batches; connectivity is the same, paths are shorter."""
     held: list[np.ndarray] = []

@@ -171,6 +171,7 @@ def fuzzy_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
+@textvec.releasing
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         fp = batch.column(0).to_numpy()
@@ -247,6 +248,7 @@ def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*piece.columns[:2], pa.array(halves[:, 1]), pa.array(halves[:, 0]), body], names=["doc_id", "fp", "high", "low", "codes"])
 
 
+@textvec.releasing
 def _wide_keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, high, low, codes) to a row for each key."""
     ranks = [(a, b) for a in range(BEST) for b in range(BEST - a)]

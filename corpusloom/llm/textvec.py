@@ -60,7 +60,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
 
 
 #: A task gives memory back only where the process holds more: giving back and taking again costs time.
-MOST_HELD = 256 << 20
+MOST_HELD = 160 << 20
 
 
 def release() -> None:
