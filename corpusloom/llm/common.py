@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.storage import fresh_dir, materialise, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "clean", "filesystem", "fresh_dir", "materialise", "maybe_broadcast", "remove", "shared_dir", "sweep_up", "table", "write_whole"]
+__all__ = ["BROADCAST_ROWS", "WORD", "clean", "filesystem", "fresh_dir", "hub_join", "materialise", "maybe_broadcast", "remove", "shared_dir", "sweep_up", "table", "write_whole"]
 
 #: What separates words, as a pattern for Java and RE2: blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,6 +49,21 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def hub_join(left: DataFrame, right: DataFrame, keys: list[str], n: str, rows: int, share: int = 10_000, how: str = "inner") -> DataFrame:
+    """left joined with right, whose keys are unique and whose column n says how many rows of left have them.
+
+    Keys of many rows, hubs, are joined in several places, about ``share`` rows of left in each, or more where left has
+    so many that there would be over BROADCAST_ROWS hubs: their list is always broadcast, and its size has that bound.
+    rows: the rows of left, or an upper bound. left is dealt by a hash of its rows: equal ones go together.
+    """
+    share = max(share, rows // BROADCAST_ROWS + 1)
+    last = F.floor(F.col(n) / share).cast("long")
+    hubs = materialise(right.filter(F.col(n) >= share).select(*keys, last.alias("_last")), "hubs")
+    dealt = left.join(F.broadcast(hubs), keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), F.coalesce("_last", F.lit(0).cast("long")) + 1)).drop("_last")
+    copies = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """An Arrow file system and the path in it."""
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import dac, decontaminate, hpylm, mixing, prefix_trie, quality, simhash, suffix_dedup, template, toxicity, warc
+from corpusloom.llm import bwt_dedup, dac, decontaminate, hpylm, mixing, prefix_trie, quality, simhash, suffix_dedup, template, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -59,15 +59,19 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, convs = prefix_trie.spliced(prefix_trie.numbered(table(spark, sf_dir, "conversations")), FAMILY, MOST_SHARED)
     return prefix_trie.digest(prefix_trie.trie(turns, convs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc_archive, op2_pitman_yor, op3_token_files, op4_main_text, op5_mix_to_weights, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate, op13_prefix_trie)
+    named = (op1_warc_archive, op2_pitman_yor, op3_token_files, op4_main_text, op5_mix_to_weights, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate, op11_byte_dedup, op13_prefix_trie)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_archive": warc.ORACLE_SQL, "op5_mix_to_weights": mixing.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL, "op7_substring_dedup": suffix_dedup.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
+    return {"op1_warc_archive": warc.ORACLE_SQL, "op5_mix_to_weights": mixing.ORACLE_SQL, "op6_quality_rules": quality.ORACLE_SQL, "op7_substring_dedup": suffix_dedup.ORACLE_SQL, "op11_byte_dedup": bwt_dedup.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}

@@ -180,3 +180,39 @@ def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     """The runs of data that begin at start, one after another."""
     total = np.cumsum(length)
     return data[np.repeat(start - (total - length), length) + np.arange(total[-1] if len(total) else 0)]
+
+
+def grams(data: np.ndarray, width: int) -> np.ndarray:
+    """Hash of each run of ``width`` bytes."""
+    n = len(data)
+    if n < width:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.empty(n + 1, np.uint64)
+        sums[0] = 0
+        np.cumsum(_BYTE[data] * _power("up", _ROOT, n), out=sums[1:])
+        return mix64((sums[width:] - sums[:-width]) * _power("down", _BACK, n)[: n - width + 1])
+
+
+def sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
+    """Of each run of ``width`` values the place of the least, the leftmost of equal ones.
+
+    By blocks of that width: a run is the end of one block and the beginning of the next.
+    """
+    n = len(h) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    blocks = np.full((-(-len(h) // width), width), ~_U(0))
+    blocks.reshape(-1)[: len(h)] = h
+    column = np.arange(width, dtype=np.int64)
+    up = np.minimum.accumulate(blocks, axis=1)
+    newer = np.ones(blocks.shape, bool)
+    newer[:, 1:] = blocks[:, 1:] < up[:, :-1]
+    first = np.maximum.accumulate(np.where(newer, column, 0), axis=1)
+    down = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1]
+    newer[:] = True
+    newer[:, :-1] = blocks[:, :-1] <= down[:, 1:]
+    last = np.minimum.accumulate(np.where(newer, column, width)[:, ::-1], axis=1)[:, ::-1]
+    base = np.arange(len(blocks))[:, None] * width
+    head, tail = (first + base).reshape(-1)[width - 1 : len(h)], (last + base).reshape(-1)[:n]
+    return np.where(down.reshape(-1)[:n] <= up.reshape(-1)[width - 1 : len(h)], tail, head)

@@ -12,11 +12,11 @@ SF = "/root/testdata/sf0.01"
 
 def test_every_operator_is_registered_once():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == sorted({*range(1, 11), 13})
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == sorted({*range(1, 12), 13})
     assert "pipeline" in __spark_entry__.queries()
 
 
-@pytest.mark.parametrize("name", ["op1_warc_archive", "op5_mix_to_weights", "op6_quality_rules", "op7_substring_dedup", "op13_prefix_trie"])
+@pytest.mark.parametrize("name", ["op1_warc_archive", "op5_mix_to_weights", "op6_quality_rules", "op7_substring_dedup", "op11_byte_dedup", "op13_prefix_trie"])
 def test_queries_equal_their_sql(spark, name):
     found = from_spark(queries.queries()[name](spark, SF))
     assert found == from_duck(connection(SF), queries.oracle_sql()[name])
