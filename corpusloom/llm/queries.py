@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.llm import bwt_dedup, dac, decontaminate, hpylm, mixing, prefix_trie, quality, simhash, suffix_dedup, template, toxicity, warc
+from corpusloom.llm import alignment, bwt_dedup, dac, decontaminate, hpylm, mixing, prefix_trie, quality, simhash, suffix_dedup, template, toxicity, warc
 from corpusloom.llm.common import table
 
 
@@ -63,13 +63,18 @@ def op11_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bwt_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (alignment.ByteTokens, public_tokenizers.path("byte_bpe_50k.json")), (alignment.PieceTokens, public_tokenizers.path("piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), a, b)
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns, convs = prefix_trie.spliced(prefix_trie.numbered(table(spark, sf_dir, "conversations")), FAMILY, MOST_SHARED)
     return prefix_trie.digest(prefix_trie.trie(turns, convs))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_warc_archive, op2_pitman_yor, op3_token_files, op4_main_text, op5_mix_to_weights, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate, op11_byte_dedup, op13_prefix_trie)
+    named = (op1_warc_archive, op2_pitman_yor, op3_token_files, op4_main_text, op5_mix_to_weights, op6_quality_rules, op7_substring_dedup, op8_simhash_near_dedup, op9_toxicity, op10_decontaminate, op11_byte_dedup, op12_token_alignment, op13_prefix_trie)
     return {f.__name__: f for f in named}
 
 
