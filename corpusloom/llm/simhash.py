@@ -17,11 +17,13 @@ filters: 128 bits on five-word shingles, where texts are near duplicates whose s
 instead segments are decoded softly: every bit counts by its margin, the surplus of shingles that vote for it, and a
 segment's keys are the indices of the three best codewords. Bits that flip between similar texts have small margins, so
 that their best codewords agree. Keys of two of five segments are put together, best ones first. By simulation such
-keys meet for 95 % of pairs at a similarity of 0.8 and 99 % at 0.86. Pairs that share a key and differ in at most 32
-bits are candidates; ``verified`` compares their sets of shingles, so that no less similar pair is linked. Nodes are
-distinct texts there. Where more than FEW of them hang together within 32 bits, a group emits a star around
-their centre and spanning forests at two distances instead of all pairs, and a link that fails the comparison isn't
-replaced in that group.
+keys meet for 95 % of pairs at a similarity of 0.8 and 99 % at 0.86. Texts that share a key and differ in at most 32 bits
+hang together; of each group a star around its centre and a spanning forest are candidates, whose sets of shingles
+``confirmed`` compares, so that no less similar pair is linked. What hangs together but isn't linked after that, for
+lack of a similar text at the other end of a candidate, is linked anew: each text that isn't in the largest part of its
+cluster is compared with the nearest texts of the other parts, eight times as many in each round, until all pairs of
+different parts have been compared or there is one part. That holds for families of any size, and members of a cluster
+are dealt in blocks. Nodes are distinct texts there.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any other;
 A to Z are folded; a text with fewer words than a shingle is one shingle; repeated rows are rows of one component;
@@ -67,9 +69,8 @@ FINE = Scheme(SHINGLE, MOST_BITS, False)
 SIMILAR = Scheme(5, 32, True)
 #: Least similarity of near duplicates, as a fraction.
 SIMILARITY = (4, 5)
-#: Candidates: texts that hang together of which all pairs are, the distances of the forests beyond, and links of one
-#: text that a task compares.
-FEW, FORESTS, SHARE = 8, (16, 32), 2048
+#: Links of one text that a task compares, nearest texts of a first round, members and queries of a block.
+SHARE, NEAREST, MEMBERS, QUERIES = 2048, 8, 1 << 16, 1 << 14
 #: Of wide fingerprints: bits, segments that are decoded, codewords of each, and shingles whose bits are added at once.
 WIDTH, SOFT_SEGMENTS, BEST, CHUNK = 128, 5, 3, 1 << 15
 
@@ -283,26 +284,20 @@ def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidate_links(fp: np.ndarray, most_bits: int) -> list[tuple[int, int]]:
-    """Places of pairs within most_bits: all of them where up to FEW rows hang together; beyond, the star around the row
-    nearest to the majority of all bits, which is most like the source of the copies, and forests at two distances.
-    Their links grow with the rows and not with their pairs."""
+    """Places of pairs within most_bits that span what hangs together, and the star around the row nearest to the majority
+    of all bits, which is most like the source of the copies. Links grow with the rows and not with their pairs."""
+    forest = spanning_links(fp, most_bits)
     root = np.arange(len(fp))
-    for a, b in spanning_links(fp, most_bits):
+    for a, b in forest:
         root[b] = root[a]
     order = np.argsort(root, kind="stable")
-    out: list[tuple[int, int]] = []
+    out = list(forest)
     for own in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
-        if len(own) <= FEW:
-            a, b = np.triu_indices(len(own), 1)
-            near = _bits(fp[own[a]], fp[own[b]]) <= most_bits
-            out += zip(own[a[near]].tolist(), own[b[near]].tolist(), strict=True)
-            continue
-        votes = np.unpackbits(fp[own].view(np.uint8), axis=1).sum(axis=0)
-        far = _bits(fp[own], np.packbits(2 * votes > len(own)).view(np.uint64))
-        centre = int(own[far.argmin()])
-        out += [(centre, x) for x in own[_bits(fp[own], fp[centre]) <= most_bits].tolist() if x != centre]
-        for bits in FORESTS:
-            out += [(int(own[a]), int(own[b])) for a, b in spanning_links(fp[own], bits)]
+        if len(own) > 2:
+            votes = np.unpackbits(fp[own].view(np.uint8), axis=1).sum(axis=0)
+            far = _bits(fp[own], np.packbits(2 * votes > len(own)).view(np.uint64))
+            centre = int(own[far.argmin()])
+            out += [(centre, x) for x in own[_bits(fp[own], fp[centre]) <= most_bits].tolist() if x != centre]
     return out
 
 
@@ -398,15 +393,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([piece.column(0), pa.ListArray.from_arrays(at, np.concatenate(own))], names=["fp", "shingles"])
 
 
-def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the links (a, b) whose texts' sets of five-word shingles have a similarity of SIMILARITY or more.
-
-    Sets are made of the linked texts only. A text of many links is dealt to several tasks, about SHARE links to each.
-    """
-    links = materialise(links, "candidates")
+def shingle_sets(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """(fp, shingles) of the texts that the links (a, b) name."""
     nodes = materialise(links.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "nodes")
     texts = _named(docs).join(maybe_broadcast(nodes), "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text"))
-    sets = materialise(texts.mapInArrow(_sets, "fp long, shingles array<long>"), "sets")
+    return materialise(texts.mapInArrow(_sets, "fp long, shingles array<long>"), "sets")
+
+
+def confirmed(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of the links (a, b) whose sets of shingles have a similarity of SIMILARITY or more.
+
+    A text of many links is dealt to several tasks, about SHARE links to each.
+    """
     hubs = {}
     for end in ("a", "b"):
         many = links.groupBy(end).count().filter(F.col("count") > SHARE)
@@ -423,18 +421,112 @@ def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
     return found.filter((over + under) * both >= over * (F.size("set_a") + F.size("set_b"))).select("a", "b")
 
 
+def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the links (a, b) whose texts' sets of five-word shingles have a similarity of SIMILARITY or more.
+
+    Sets are made of the linked texts only.
+    """
+    links = materialise(links, "candidates")
+    return confirmed(links, shingle_sets(links, docs))
+
+
+class Nearest:
+    """mapInArrow function: rows (cluster, members, queries, query, node, part, high, low), sorted, to links of each query
+    to the ``most`` nearest members of other parts within most_bits; a block of a cluster is held at a time."""
+
+    def __init__(self, most: int, most_bits: int) -> None:
+        self.most, self.most_bits = most, most_bits
+
+    def links(self, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(rows)
+        query, node, part = (table.column(k).to_numpy() for k in ("query", "node", "part"))
+        fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("high", "low")], axis=1)
+        asked, there = np.flatnonzero(query), np.flatnonzero(~query)
+        step = max(1, (1 << 21) // max(1, len(there)))
+        for low in range(0, len(asked), step):
+            own = asked[low : low + step]
+            far = np.bitwise_count(fp[own][:, None] ^ fp[there][None]).sum(axis=2, dtype=np.int16)
+            far[(part[own][:, None] == part[there][None]) | (far > self.most_bits)] = 999
+            if self.most < len(there):
+                column = np.argpartition(far, self.most - 1, axis=1)[:, : self.most]
+            else:
+                column = np.broadcast_to(np.arange(len(there)), far.shape)
+            good = np.take_along_axis(far, column, axis=1) < 999
+            a, b = node[np.repeat(own, good.sum(axis=1))], node[there[column[good]]]
+            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    @textvec.releasing
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+        for batch in batches:
+            group = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            edge = [0, *(np.flatnonzero((np.diff(group, axis=0) != 0).any(axis=1)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edge, edge[1:], strict=False):
+                if low == high:
+                    continue
+                if own != (key := tuple(group[low].tolist())):
+                    if held:
+                        yield from self.links(held)
+                    own, held = key, []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from self.links(held)
+
+
+def _relinked(state: DataFrame, classes: DataFrame, most: int, most_bits: int) -> DataFrame:
+    """(a, b): links of the members of open clusters (cluster, node, part, size, asked, query) to their nearest in other parts.
+
+    asked: how many members of the cluster are queries. Members and queries of a cluster are dealt in blocks.
+    """
+    own = state.join(classes.select(F.col("fp").alias("node"), "high", "low"), "node")
+    blocks = lambda n, most: F.floor((F.col(n) - 1) / most).cast("long")
+    every = lambda n, most: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n, most)))
+    at = lambda n, most: F.pmod(F.xxhash64("node"), blocks(n, most) + 1)
+    columns = ["cluster", "members", "queries", "query", "node", "part", "high", "low"]
+    members = own.withColumn("members", at("size", MEMBERS)).withColumn("queries", every("asked", QUERIES)).withColumn("query", F.lit(False))
+    queries = own.filter("query").withColumn("queries", at("asked", QUERIES)).withColumn("members", every("size", MEMBERS))
+    rows = members.select(*columns).unionByName(queries.select(*columns))
+    key = ["cluster", "members", "queries"]
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(Nearest(most, most_bits), "a long, b long").distinct()
+
+
+def similar_links(classes: DataFrame, docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
+    """(a, b): confirmed links that connect all texts that confirmed links among those that hang together can connect."""
+    tried = materialise(near_links(classes, scheme), "candidates")
+    sets = shingle_sets(tried, docs)
+    good = materialise(confirmed(tried, sets), "links")
+    up = components(tried)
+    cluster = materialise(up.unionByName(up.select(F.col("parent").alias("child"), "parent").distinct()).select(F.col("child").alias("node"), F.col("parent").alias("cluster")), "clusters")
+    done, most = 2, NEAREST
+    while True:
+        part = components(good).withColumnsRenamed({"child": "node", "parent": "part"})
+        named = cluster.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        # The largest part of each cluster isn't asked.
+        sizes = named.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("first"), F.count(F.lit(1)).alias("parts"))
+        open_ = materialise(sizes.filter((F.col("parts") > 1) & (F.col("size") > done)).select("cluster", "size", (F.col("size") - F.col("first.n")).alias("asked"), F.col("first.part").alias("first")), "open")
+        largest = open_.agg(F.max("size")).first()[0]
+        if largest is None:
+            return good
+        state = named.join(maybe_broadcast(open_), "cluster").withColumn("query", F.col("part") != F.col("first")).drop("first")
+        more = materialise(_relinked(state, classes, most, scheme.most_bits).join(tried, ["a", "b"], "left_anti"), "candidates")
+        found = materialise(confirmed(more, sets), "links")
+        tried, good = tried.unionByName(more), good.unionByName(found)
+        # With as many nearest ones as there are others, all pairs of a cluster's parts have been compared.
+        done, most = max(done, most + 1), most * 8
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = FINE) -> DataFrame:
     """Every row of docs as (doc_id, fp, root, component_id).
 
     component_id: the smallest doc_id that links reach, its own included; null only if all of them are null. root names
     the component also then. Rows with equal doc_id are kept apart; other columns of docs are ignored; no rows: none.
-    In a wide scheme fp names the text, and links are those that the comparison of shingles confirms.
+    In a wide scheme fp names the text, and links are those that the comparison of shingles confirms, until nothing that
+    hangs together can be linked any more.
     """
     prints = materialise(wide_fingerprints(docs) if scheme.wide else fingerprints(docs), "fingerprints")
     more = [F.min(c).alias(c) for c in ("high", "low", "codes")] if scheme.wide else []
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *more), "classes")
-    links = near_links(classes, scheme)
-    up = components(verified(links, docs) if scheme.wide else links)
+    up = components(similar_links(classes, docs, scheme) if scheme.wide else near_links(classes, scheme))
     named = classes.join(up.withColumnRenamed("child", "fp"), "fp", "left").select("fp", "least", F.coalesce("parent", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     member = materialise(named.select("fp", "root").join(least, "root"), "members")
@@ -452,10 +544,13 @@ def keep_one(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     left = docs.join(maybe_broadcast(gone), "doc_id", "left_anti")
     if found.filter("doc_id is null and component_id is not null").limit(1).count():
         left = left.filter("doc_id is not null")
-    again = materialise(found.filter(stays).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("again")), "again")
+    name = "again"
+    while name in (c.lower() for c in docs.columns):
+        name += "_"
+    again = materialise(found.filter(stays).groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(name)), "again")
     if not again.limit(1).count():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    same = F.col("doc_id").eqNullSafe(F.col(name))
     again = maybe_broadcast(again)
     return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
