@@ -8,10 +8,12 @@ tokens, one of each tokenizer, are links.
    of text the units become numbers, and its distinct ones a dictionary.
 2. Alignment, by joins and windows, of each distinct unit of the corpus once: tokens are exploded with their places,
    running sums of their lengths are their ends, a full join on (unit, end) finds the cuts, running counts of cuts
-   number the groups, and the tokens of a group are linked.
-3. Counts. Units with their pairs of ids go to the blocks that have them, where a document's distinct pairs are counted;
-   blocks send a row for each pair. Sums by pair are joined to the units' links, and the commonest of each id is marked.
-4. Totals. What units add up to goes to the blocks that have them, and makes up the documents' rows.
+   number the groups, and the tokens of a group are linked. SLICES of the units one after another, so that what the
+   shuffles leave on disk is a fraction.
+3. Counts. Groups go to the blocks that have their units, where documents get their own sums, and each document's
+   distinct pairs are counted; blocks send a row for each pair. Sums by pair are joined to the units' links, and the
+   commonest of each id is marked.
+4. What the counts of a unit's links add up to goes to the blocks that have it, and completes the documents' rows.
 
 Pairs that are in a great many units are joined in several places; nothing is gathered beyond a block, whose bytes are
 bounded, or a unit.
@@ -36,10 +38,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import textvec
-from corpusloom.llm.common import hub_join, materialise, sweep_up
+from corpusloom.llm.common import hub_join, materialise, remove, stored, sweep_up
 
 #: Bytes of text in a block, and pairs of documents and units that are looked at at once.
 BLOCK, CHUNK = 32 << 20, 1 << 20
+#: Parts in which units are aligned, and rows that are packed together.
+SLICES, PACK = 4, 1 << 16
 #: A character that a blank may be cut off from ends in one of these bytes. Fixed values, last two bytes of white space
 #: beyond ASCII in UTF-8, whatever leads them: there no cut is made.
 _PRINTS = np.array([0x21 <= i <= 0x7E or i >= 0x80 for i in range(256)])
@@ -197,31 +201,119 @@ def token_groups(a: DataFrame, b: DataFrame) -> DataFrame:
     return numbered.groupBy("uid", "group").agg(ordered("a"), ordered("b"))
 
 
-def _times(ids: Column) -> Column:
-    """Distinct ids with how often each is there."""
-    return F.transform(F.array_distinct(ids), lambda x: F.struct(x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).cast("long").alias("n")))
+def unit_groups(groups: DataFrame) -> DataFrame:
+    """(uid, groups): the groups (a, b) of each unit in order."""
+    own = groups.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("group", "a", "b"))).alias("own"))
+    return own.select("uid", F.transform("own", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups"))
+
+
+def as_text(groups: Column) -> Column:
+    """a1,a2|b1;a3|b2,b3: decimal ids of each group in order."""
+    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
+    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
+
+
+def as_links(groups: Column) -> Column:
+    """(pair, times) of the groups' links, a pair being its two ids in one number; ids that a group repeats count at once."""
+    counted = lambda ids: F.transform(F.array_distinct(ids), lambda x: F.struct(x.cast("long").alias("id"), F.size(F.filter(ids, lambda y: y == x)).cast("long").alias("n")))
+    both = lambda x, y: F.struct(F.shiftleft(x["id"], 32).bitwiseOR(y["id"]).alias("pair"), (x["n"] * y["n"]).alias("times"))
+    return F.flatten(F.transform(groups, lambda g: F.flatten(F.transform(counted(g["a"]), lambda x: F.transform(counted(g["b"]), lambda y: both(x, y))))))
+
+
+#: Stands for the groups of a unit whose tokens aren't its bytes.
+NOT_OK = "!"
+
+
+class Parsed:
+    """Groups of units as lines of text, to arrays: of each unit the sums, and its links from at[k] to at[k + 1]."""
+
+    def __init__(self, lines: list[bytes]) -> None:
+        data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+        place = np.arange(len(data))
+        ends = data == 10
+        breaks = ends | (data == ord(";"))
+        digit = (data >= 48) & (data <= 57)
+        start = np.flatnonzero(digit & ~np.append(False, digit[:-1]))
+        stop = np.flatnonzero(digit & ~np.append(digit[1:], False)) + 1
+        worth = np.where(digit, data.astype(np.int64) - 48, 0)
+        size = stop - start
+        for k in range(1, int(size.max(initial=0))):
+            # The digit k places before the last of its number.
+            worth[stop[size > k] - 1 - k] *= 10**k
+        ids = np.add.reduceat(worth, start) if len(start) else np.zeros(0, np.int64)
+        bar = np.maximum.accumulate(np.where(data == ord("|"), place, -1))
+        second = bar[start] > np.maximum.accumulate(np.where(breaks, place, -1))[start]
+        group, unit = np.cumsum(breaks)[start], np.cumsum(ends)
+        n = len(lines)
+        first_of, last_of = group[~second], group[second]
+        many = int(breaks.sum())
+        there = np.bincount(last_of, minlength=many)
+        times = there[first_of]
+        row = np.repeat(np.cumsum(there)[first_of] - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        self.pairs = np.repeat(ids[~second], times) << 32 | ids[second][row]
+        of = np.repeat(unit[start[~second]], times)
+        self.at = np.append(0, np.cumsum(np.bincount(of, minlength=n)))
+        bars = unit[data == ord("|")]
+        self.sums = [np.bincount(unit[start[~second]], minlength=n), np.bincount(unit[start[second]], minlength=n), np.bincount(bars, minlength=n), np.diff(self.at)]
+        head = np.append(0, np.flatnonzero(ends)[:-1] + 1)
+        self.ok = data[head] != ord(NOT_OK)
+
+
+class Packed:
+    """mapInArrow function: rows (block, code, values...) to one for each block and PACK of them: codes and values,
+    compressed; texts are lines, numbers 64 bits each."""
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= PACK:
+                yield self.packed(held)
+                held, rows = [], 0
+        if rows:
+            yield self.packed(held)
+
+    def packed(self, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        block = table.column(0).to_numpy()
+        edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        out = []
+        for low, high in zip(edge, edge[1:], strict=False):
+            own = table.slice(low, high - low)
+            bodies = [own.column(1).to_numpy().astype("<i4").tobytes()]
+            for c in own.columns[2:]:
+                bodies.append("\n".join(c.to_pylist()).encode() if pa.types.is_string(c.type) else c.to_numpy().astype("<i8").tobytes())
+            out.append((int(block[low]), self.joined(bodies)))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["block", "packed"])
 
+    @staticmethod
+    def joined(bodies: list[bytes]) -> bytes:
+        whole = b"".join(len(b).to_bytes(8, "little") + b for b in bodies)
+        return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
 
-def unit_links(groups: DataFrame) -> DataFrame:
-    """(uid, n_a, n_b, n_groups, n_links, groups, links): a row for each unit; links are (a, b, n), n links alike."""
-    own = groups.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("group", "a", "b"))).alias("own"))
-    total = lambda f: F.aggregate("own", F.lit(0).cast("long"), lambda s, g: s + f(g))
-    said = F.array_join(F.transform("own", lambda g: F.concat(F.array_join(g["a"].cast("array<string>"), ","), F.lit("|"), F.array_join(g["b"].cast("array<string>"), ","))), ";")
-    links = F.flatten(F.transform("own", lambda g: F.flatten(F.transform(_times(g["a"]), lambda x: F.transform(_times(g["b"]), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b"), (x["n"] * y["n"]).alias("n")))))))
-    return own.select("uid", total(lambda g: F.size(g["a"])).alias("n_a"), total(lambda g: F.size(g["b"])).alias("n_b"), F.size("own").cast("long").alias("n_groups"), total(lambda g: F.size(g["a"]).cast("long") * F.size(g["b"])).alias("n_links"), said.alias("groups"), links.alias("links"))
+    @staticmethod
+    def opened(body: bytes) -> list[bytes]:
+        whole = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+        out, at = [], 0
+        while at < len(whole):
+            size = int.from_bytes(whole[at : at + 8], "little")
+            out.append(whole[at + 8 : at + 8 + size])
+            at += 8 + size
+        return out
 
 
 class Blocks:
-    """mapInArrow function: rows sorted by block and code, the dictionary's before the documents', to what a subclass makes
-    of them; a block's dictionary is held at a time."""
+    """mapInArrow function: rows (block, packed, and the columns of documents) sorted by block, packed ones first, to what a
+    subclass makes of them; a block's units are held at a time."""
 
     @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, ready = None, [], None
         for batch in batches:
             block, document = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero((np.diff(block) != 0) | (document[1:] != document[:-1])) + 1
-            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            edge = [0, *(np.flatnonzero((np.diff(block) != 0) | (document[1:] != document[:-1])) + 1).tolist(), batch.num_rows]
+            for low, high in zip(edge, edge[1:], strict=False):
                 if low == high:
                     continue
                 if block[low] != own:
@@ -229,10 +321,11 @@ class Blocks:
                         yield from self.finish(ready)
                     own, held, ready = block[low], [], None
                 if not document[low]:
-                    held.append(batch.slice(low, high - low))
+                    held += [Packed.opened(x) for x in batch.column(1)[low:high].to_pylist()]
                     continue
                 if ready is None:
-                    ready, held = self.prepare(pa.Table.from_batches(held, batch.schema).combine_chunks()), []
+                    codes = np.frombuffer(b"".join(x[0] for x in held), "<i4")
+                    ready, held = self.prepare(codes, held), []
                 yield from self.documents(ready, batch.slice(low, high - low))
         if ready is not None:
             yield from self.finish(ready)
@@ -253,73 +346,98 @@ class Blocks:
             low = high
 
 
-def _bad(ok: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Which documents have a unit that isn't ok."""
-    return np.bincount(np.repeat(np.arange(len(n)), n), ~ok[codes], len(n)) > 0
+def _sums(one: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of each document the sum over its units."""
+    before, at = np.append(0, np.cumsum(one[codes])), np.append(0, np.cumsum(n, dtype=np.int64))
+    return before[at[1:]] - before[at[:-1]]
+
+
+#: What a document's own units add up to, and what the counts of its links do.
+OWN, COUNTED = ("n_a", "n_b", "n_groups", "n_links"), ("n_best", "count_sum")
 
 
-class PairCounts(Blocks):
-    """Units' distinct pairs of ids, each a number, to how many documents of the block have it: (pair, n)."""
+class Grouped(Blocks):
+    """Units' groups to documents with their OWN sums and their groups or the digest of these, and to rows (pair, docs):
+    how many documents of the block have a pair."""
 
-    def prepare(self, table: pa.Table) -> tuple[np.ndarray, ...]:
-        pairs = pc.fill_null(table.column("pairs").combine_chunks(), pa.scalar([], table.column("pairs").type)) if table.num_rows else pa.array([], pa.list_(pa.int64()))
-        at = np.append(0, np.cumsum(pc.list_value_length(pairs).to_numpy()))
-        every, which = np.unique(pairs.flatten().to_numpy(), return_inverse=True)
-        return at, every, which, np.zeros(len(every), np.int64), table.column("ok").to_numpy()
+    def __init__(self, texts: bool, schema: T.StructType) -> None:
+        self.texts, self.names = texts, schema.fieldNames()
+
+    def prepare(self, codes: np.ndarray, held: list[list[bytes]]) -> tuple:
+        lines = b"\n".join(x[1] for x in held).split(b"\n") if held else []
+        order = np.argsort(codes)
+        lines = [lines[k] for k in order.tolist()]
+        own = Parsed(lines) if lines else None
+        every, which = np.unique(own.pairs, return_inverse=True) if own else (np.zeros(0, np.int64), None)
+        return lines, own, every, which, np.zeros(len(every), np.int64)
 
     def documents(self, ready, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        at, every, which, counts, ok = ready
-        for _, _, n, codes in self.codes(rows):
+        lines, own, every, which, counts = ready
+        for low, high, n, codes in self.codes(rows):
+            part = rows.slice(low, high - low)
             document = np.repeat(np.arange(len(n)), n)
-            good = ~_bad(ok, n, codes)[document]
-            own = np.unique(document[good] << 32 | codes[good])
-            document, code = own >> 32, own & 0xFFFFFFFF
-            size = at[code + 1] - at[code]
-            places = np.repeat(at[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-            found = np.unique(np.repeat(document, size) << 32 | which[places])
-            counts += np.bincount(found & 0xFFFFFFFF, minlength=len(counts))
-        yield from ()
+            none = n == 0
+            if own:
+                none |= np.bincount(document, ~own.ok[codes], len(n)) > 0
+                good = ~none[document]
+                found = np.unique(document[good] << 32 | codes[good])
+                at, code = found >> 32, found & 0xFFFFFFFF
+                size = own.at[code + 1] - own.at[code]
+                places = np.repeat(own.at[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                found = np.unique(np.repeat(at, size) << 32 | which[places])
+                counts += np.bincount(found & 0xFFFFFFFF, minlength=len(counts))
+            sums = [np.where(none, 0, _sums(one, n, codes)) if own else np.zeros(len(n), np.int64) for one in (own.sums if own else OWN)]
+            at = np.append(0, np.cumsum(n, dtype=np.int64))
+            said = []
+            for a, b, bad in zip(at[:-1].tolist(), at[1:].tolist(), none.tolist(), strict=True):
+                text = b"" if bad else b";".join([lines[k] for k in codes[a:b].tolist()])
+                said.append(text.decode() if self.texts or bad else hashlib.sha256(text).hexdigest())
+            left = pa.array(np.where(none, 0, n).astype(np.int32))
+            bodies = pc.if_else(pa.array(none), pa.scalar(b"", pa.binary()), part.column("codes"))
+            empty = pa.nulls(len(n), pa.int64())
+            yield pa.record_batch([part.column(0), part.column("doc_id"), left, bodies, *(pa.array(x) for x in sums), pa.array(said, pa.string()), empty, empty], names=self.names)
 
     def finish(self, ready) -> Iterator[pa.RecordBatch]:
-        _, every, _, counts, _ = ready
+        _, _, every, _, counts = ready
         some = np.flatnonzero(counts)
         for low in range(0, len(some), 1 << 16):
             own = some[low : low + (1 << 16)]
-            yield pa.record_batch([pa.array(every[own]), pa.array(counts[own])], names=["pair", "n"])
+            values = {"pair": pa.array(every[own]), "docs": pa.array(counts[own])}
+            yield pa.record_batch([values.get(f.name, pa.nulls(len(own), f.type)) for f in self.arrow], schema=self.arrow)
 
+    @textvec.releasing
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        self.arrow = None
+        for batch in super().__call__(self._seen(batches)):
+            yield batch
 
-#: What units add up to.
-SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-
+    def _seen(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.binary(), *[pa.int64()] * len(OWN), pa.string(), pa.int64(), pa.int64()]
+            self.arrow = pa.schema(list(zip(self.names, kinds, strict=True)))
+            yield batch
 
-class Totals(Blocks):
-    """Units' sums and groups to those of documents: doc_id, SUMS, and the groups or their digest."""
 
-    def __init__(self, texts: bool) -> None:
-        self.texts = texts
+class Completed(Blocks):
+    """Units' COUNTED sums and documents with their own sums to whole rows."""
 
-    def prepare(self, table: pa.Table) -> tuple:
-        return table.column("ok").to_numpy(), [pc.fill_null(table.column(c), 0).to_numpy() for c in SUMS], table.column("groups").to_pylist()
+    def prepare(self, codes: np.ndarray, held: list[list[bytes]]) -> list[np.ndarray]:
+        out = [np.zeros(int(codes.max(initial=-1)) + 1, np.int64) for _ in COUNTED]
+        for k, one in enumerate(out):
+            one[codes] = np.frombuffer(b"".join(x[k + 1] for x in held), "<i8")
+        return out
 
     def documents(self, ready, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ok, sums, groups = ready
         for low, high, n, codes in self.codes(rows):
-            none = _bad(ok, n, codes) | (n == 0)
-            at = np.append(0, np.cumsum(n, dtype=np.int64))
-            columns = []
-            for one in sums:
-                before = np.append(0, np.cumsum(one[codes]))
-                columns.append(pa.array(np.where(none, 0, before[at[1:]] - before[at[:-1]])))
-            said = []
-            for a, b, bad in zip(at[:-1].tolist(), at[1:].tolist(), none.tolist(), strict=True):
-                text = "" if bad else ";".join([groups[k] for k in codes[a:b].tolist()])
-                said.append(text if self.texts or bad else hashlib.sha256(text.encode()).hexdigest())
-            yield pa.record_batch([rows.column("doc_id")[low:high], *columns, pa.array(said, pa.string())], names=["doc_id", *SUMS, "said"])
+            part = rows.slice(low, high - low)
+            sums = [pa.array(_sums(one, n, codes)) if n.any() else pa.array(np.zeros(len(n), np.int64)) for one in ready]
+            yield pa.record_batch([part.column("doc_id"), *(part.column(c) for c in OWN), *sums, part.column("said")], names=["doc_id", *OWN, *COUNTED, "said"])
 
 
 def _by_block(units: DataFrame, documents: DataFrame, f: Blocks, schema) -> DataFrame:
-    rows = units.unionByName(documents, allowMissingColumns=True).select("block", "code", *[c for c in units.columns if c not in ("block", "code")], *[c for c in documents.columns if c != "block"])
-    return rows.repartition("block").sortWithinPartitions("block", F.asc_nulls_last("code")).mapInArrow(f, schema)
+    """units: (block, code, values...). They are packed where they are, and meet their block's documents."""
+    rows = units.mapInArrow(Packed(), "block long, packed binary").unionByName(documents, allowMissingColumns=True)
+    return rows.repartition("block").sortWithinPartitions("block", F.col("packed").isNull()).mapInArrow(f, schema)
 
 
 def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool = False) -> DataFrame:
@@ -329,30 +447,41 @@ def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool
     links whose count no other pair of their first id exceeds; count_sum sums the counts of all links.
     """
     spark, cut = docs.sparkSession, all(kind.cuts(path) for kind, path in (a, b))
-    doc_id = docs.schema["doc_id"]
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("code", T.IntegerType()), T.StructField("unit", T.StringType()), doc_id, T.StructField("n", T.IntegerType()), T.StructField("codes", T.BinaryType())])
+    long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
+    document = [docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("codes", T.BinaryType())]
+    schema = T.StructType([*long("block"), T.StructField("code", T.IntegerType()), T.StructField("unit", T.StringType()), *document])
     coded = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(Coder(cut, schema, BLOCK), schema), "coded")
     used = coded.filter("code is not null").select("block", "code", "unit")
-    documents = coded.filter("code is null").select("block", "doc_id", "n", "codes")
-    pairs = F.array_distinct(F.transform("links", lambda x: F.shiftleft(x["a"].cast("long"), 32).bitwiseOR(x["b"].cast("long"))))
     encoded = used.select("unit").distinct().mapInArrow(Encoder(a, b), "unit string, a array<int>, a_size array<int>, b array<int>, b_size array<int>, ok boolean")
-    encoded = materialise(encoded.withColumn("uid", F.monotonically_increasing_id()), "encoded")
-    sweep_up(spark)
-    dealt = encoded.repartition("uid")
-    links = unit_links(token_groups(token_ends(dealt, "a", "a_size"), token_ends(dealt, "b", "b_size")))
-    aligned = materialise(encoded.select("uid", "unit", "ok").join(links, "uid", "left").withColumn("pairs", pairs), "aligned")
+    encoded, encoded_at = stored(encoded.withColumn("uid", F.monotonically_increasing_id()), "encoded")
+    parts = []
+    for k in range(SLICES):
+        sweep_up(spark)
+        dealt = encoded.filter(F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k).repartition("uid")
+        groups = unit_groups(token_groups(token_ends(dealt, "a", "a_size"), token_ends(dealt, "b", "b_size")))
+        parts.append(materialise(groups, "groups"))
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    aligned = materialise(encoded.select("uid", "unit", "ok").join(every, "uid", "left"), "aligned")
+    remove(encoded_at)
     sweep_up(spark)
-    held = _by_block(used.join(aligned.select("unit", "ok", "pairs"), "unit").drop("unit"), documents.select("block", "n", "codes"), PairCounts(), "pair long, n long")
-    counts = materialise(held.groupBy("pair").agg(F.sum("n").alias("n_docs")), "pairs")
+    said = F.when(F.col("ok"), as_text(F.col("groups"))).otherwise(NOT_OK)
+    first = T.StructType([*long("block"), *document, *long(*OWN), T.StructField("said", T.StringType()), *long("pair", "docs")])
+    given = used.join(aligned.select("unit", said.alias("said")), "unit").select("block", "code", "said")
+    held = materialise(_by_block(given, coded.filter("code is null").select("block", "doc_id", "n", "codes"), Grouped(texts, first), first), "grouped")
     sweep_up(spark)
-    each = aligned.select("uid", F.inline("links")).withColumn("pair", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long"))).select("uid", "pair", F.col("n").alias("times"))
+    counts = materialise(held.filter("pair is not null").groupBy("pair").agg(F.sum("docs").alias("n_docs")), "pairs")
+    each = aligned.select("uid", F.inline(as_links(F.col("groups"))))
     # As many rows as the first vocabulary has ids.
     most = F.broadcast(counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n_docs").alias("most")))
     marked = counts.withColumn("a", F.shiftright("pair", 32)).join(most, "a").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).cast("long").alias("best"))
     sized = materialise(marked.join(each.groupBy("pair").agg(F.count(F.lit(1)).alias("units")), "pair"), "sized")
     number = sized.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
     sums = hub_join(each, sized, ["pair"], "units", number).groupBy("uid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n_docs")).alias("count_sum"))
-    rated = materialise(aligned.drop("links", "pairs").join(sums, "uid", "left").drop("uid"), "rated")
+    rated = materialise(aligned.select("uid", "unit").join(sums, "uid").drop("uid"), "rated")
     sweep_up(spark)
-    out = T.StructType([doc_id, *[T.StructField(c, T.LongType()) for c in SUMS], T.StructField("said", T.StringType())])
-    return _by_block(used.join(rated, "unit").drop("unit"), documents, Totals(texts), out).withColumnRenamed("said", "groups" if texts else "groups_sha256")
+    out = T.StructType([document[0], *long(*OWN, *COUNTED), T.StructField("said", T.StringType())])
+    counted = used.join(rated, "unit").select("block", "code", *COUNTED)
+    whole = _by_block(counted, held.filter("pair is null").drop("pair", "docs"), Completed(), out)
+    return whole.withColumnRenamed("said", "groups" if texts else "groups_sha256")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.storage import fresh_dir, materialise, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WORD", "clean", "filesystem", "fresh_dir", "hub_join", "materialise", "maybe_broadcast", "remove", "shared_dir", "sweep_up", "table", "write_whole"]
+__all__ = ["BROADCAST_ROWS", "WORD", "clean", "filesystem", "fresh_dir", "hub_join", "materialise", "maybe_broadcast", "remove", "shared_dir", "stored", "sweep_up", "table", "write_whole"]
 
 #: What separates words, as a pattern for Java and RE2: blank, tab, line feed, vertical tab, form feed, return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -37,6 +37,13 @@ def remove(*uris: str) -> None:
             fs.delete_file(path)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """What materialise gives, and the path, for remove once nothing reads it any more."""
+    path = fresh_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def sweep_up(spark: SparkSession) -> None:
     """Have the driver collect its garbage: only then are the shuffle files of jobs that have ended removed, which a
     quick succession of jobs would otherwise pile up on the executors' disks."""
