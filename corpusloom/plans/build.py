@@ -8,10 +8,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions import text as T
+from corpusloom.functions.vocabulary import STAND_IN, StandIn, Vocabulary
 from corpusloom.operators import batches, prompts, sequences
 from corpusloom.sources import readers, writers
-from corpusloom.storage import Files
 
 
 @dataclass(frozen=True)
@@ -50,29 +49,40 @@ def prompt_table(turns: DataFrame, mix: Mapping[str, float], seed: int = 42) ->
     return prompts.keep_first(found, prompts.text_key(F.col("prompt")), "conv_id")
 
 
-def pair_table(turns: DataFrame, tokenise: Callable[[Column], Column] = T.token_ids) -> DataFrame:
-    """(conv_id, turn, in_ids, out_ids) of all training pairs; tokenise: text to an array of ids, a Pandas UDF say."""
+def pair_table(turns: DataFrame, tokenise: Callable[[Column], Column] = STAND_IN) -> DataFrame:
+    """(conv_id, turn, in_ids, out_ids) of all training pairs; tokenise: text to an array of ids."""
     return prompts.training_pairs(turns).select(*KEYS, tokenise(F.col("input")).alias("in_ids"), tokenise(F.col("output")).alias("out_ids"))
 
 
-def sequence_table(turns: DataFrame, s: Settings, tokenise: Callable[[Column], Column] = T.token_ids, mask: int | None = None) -> DataFrame:
-    """Expanded pairs. A tokenizer of one's own needs its mask's id, which no text may have."""
+def sequence_table(turns: DataFrame, s: Settings, tokenise: Callable[[Column], Column] = STAND_IN, mask: int | None = None) -> DataFrame:
+    """Expanded pairs. A vocabulary knows its mask's id, and that no text has it; any other function of one's own needs
+    the id, and texts that have it are an error."""
     pairs = pair_table(turns, tokenise)
+    if isinstance(tokenise, Vocabulary | StandIn) and mask is None:
+        return sequences.expand(pairs, s.draft, tokenise.mask)
     if mask is None:
         return sequences.expand(pairs, s.draft)
     return sequences.expand(sequences.require_no_mask(pairs, ["in_ids", "out_ids"], mask), s.draft, mask)
 
 
-def cached_sequences(turns: DataFrame, s: Settings, root: str, source: str, tokenizer: str) -> DataFrame:
-    """The expanded pairs of a source, from the cache below root if it is complete, else built and written there."""
+def cached_sequences(turns: DataFrame, s: Settings, root: str, source: str, tokenizer: Vocabulary | StandIn | str = STAND_IN, build: bool = True) -> DataFrame:
+    """The expanded pairs of a source, from the cache below root if it is complete, else built and written there.
+
+    The cache is found by the source's files and the tokenizer's content. Without ``build`` a missing cache is an error.
+    """
+    if isinstance(tokenizer, str):
+        if tokenizer != STAND_IN.fingerprint:
+            raise ValueError(f"{tokenizer} is a name; a tokenizer is needed to build with")
+        tokenizer = STAND_IN
     spark = turns.sparkSession
-    folder = writers.cache_folder(root, Files(spark).status(source), tokenizer, s.draft, s.seed)
+    folder = writers.cache_folder(root, readers.fingerprint(spark, source), tokenizer.fingerprint, s.draft, s.seed)
     found = readers.read_dataset(spark, folder)
     if found is None:
-        rows = sequence_table(turns, s).withColumn("row_id", row_key())
-        writers.write_dataset(rows, folder, "row_id", s.shard_bytes, asdict(s))
+        if not build:
+            raise FileNotFoundError(f"{folder} has no complete dataset")
+        writers.write_dataset(sequence_table(turns, s, tokenizer), folder, KEYS, s.shard_bytes, asdict(s))
         found = readers.read_dataset(spark, folder)
-    return found.drop("row_id", "shard_id")
+    return found.drop("shard_id")
 
 
 def row_key() -> Column:
@@ -80,16 +90,20 @@ def row_key() -> Column:
     return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
 
 
-def chunk_table(turns: DataFrame, s: Settings) -> DataFrame:
-    return sequences.chunks(sequence_table(turns, s), KEYS, s.draft, s.chunk, s.least, s.buckets)
+def chunk_table(turns: DataFrame, s: Settings, tokenise: Callable[[Column], Column] = STAND_IN) -> DataFrame:
+    return sequences.chunks(sequence_table(turns, s, tokenise), KEYS, s.draft, s.chunk, s.least, s.buckets)
 
 
-def length_table(turns: DataFrame, s: Settings) -> DataFrame:
+def length_table(turns: DataFrame, s: Settings, tokenise: Vocabulary | StandIn = STAND_IN) -> DataFrame:
     """(seq_id, total_len): lengths need token counts only, no arrays."""
     pairs = prompts.training_pairs(turns)
-    n = lambda c: F.regexp_count(F.col(c), F.lit(r"\S+")).cast("long")
+    n = lambda c: tokenise.count(F.col(c))
     return pairs.select(row_key().alias("seq_id"), (n("input") + n("output") * (s.draft + 1)).alias("total_len"))
 
 
-def batch_table(turns: DataFrame, s: Settings) -> DataFrame:
-    return batches.grouped_batches(length_table(turns, s), "seq_id", "total_len", seed=s.seed, epoch=s.epoch, per_device=s.per_device, ranks=s.ranks, window=s.window)
+def batch_table(turns: DataFrame, s: Settings, tokenise: Vocabulary | StandIn = STAND_IN, grouped: bool = True, drop_last: bool = True) -> DataFrame:
+    """Batches of rows of like lengths, or, if they aren't to be grouped, in plain shuffled order."""
+    lengths = length_table(turns, s, tokenise)
+    if grouped:
+        return batches.grouped_batches(lengths, "seq_id", "total_len", seed=s.seed, epoch=s.epoch, per_device=s.per_device, ranks=s.ranks, window=s.window)
+    return batches.plain_batches(lengths, "seq_id", seed=s.seed, epoch=s.epoch, per_device=s.per_device, ranks=s.ranks, drop_last=drop_last)

@@ -53,20 +53,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_dataset(spark: SparkSession, folder: str) -> DataFrame | None:
-    """The rows of a cached dataset, shard by shard as its manifest lists them, or whole; None if it isn't complete."""
+    """The rows of a cached dataset with their shard_id, shard by shard as its manifest lists them, or whole; None if it
+    isn't complete. A dataset without rows has the columns that its manifest names."""
     if not _exists(spark, f"{folder}/rows/_SUCCESS"):
         return None
     manifest = read_manifest(spark, folder)
     if manifest is None:
         return spark.read.parquet(f"{folder}/rows")
+    schema = T.StructType([*T.StructType.fromJson(manifest["schema"]).fields, T.StructField("shard_id", T.LongType())])
     shards = [f"{folder}/rows/{s}" for s in manifest["shards"]]
-    return spark.read.option("basePath", f"{folder}/rows").parquet(*shards)
+    return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(*shards) if shards else spark.createDataFrame([], schema)
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict | None:
-    if not _exists(spark, f"{folder}/manifest.json"):
-        return None
-    return json.loads("\n".join(r[0] for r in spark.read.text(f"{folder}/manifest.json", wholetext=True).collect()))
+    files = Files(spark)
+    return json.loads(files.read(f"{folder}/manifest.json")) if files.exists(f"{folder}/manifest.json") else None
 
 
 def weight_files(index: DataFrame) -> DataFrame:
@@ -87,9 +88,18 @@ def resolve_weights(spark: SparkSession, folder: str, ends: tuple[str, ...] = ("
     return found
 
 
-def fingerprint(spark: SparkSession, path: str) -> tuple[str, int, int]:
-    """(whole path, seconds of modification, bytes) of a file; zeros if it isn't there."""
-    return Files(spark).status(path)
+def fingerprint(spark: SparkSession, path: str) -> tuple:
+    """(whole path, seconds of modification, bytes) of a file; zeros if it isn't there.
+
+    Of a folder the latest time and the bytes of all its files, and a digest of their places, times and bytes.
+    """
+    whole, seconds, size, folder = Files(spark).status(path)
+    if not folder:
+        return whole, seconds, size
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    mark = F.sum(F.xxhash64("path", "modificationTime", "length").cast("decimal(38,0)")).cast("string")
+    r = found.agg(F.max(F.unix_seconds("modificationTime")).alias("seconds"), F.sum("length").alias("size"), mark.alias("mark")).first()
+    return whole, r["seconds"] or 0, r["size"] or 0, r["mark"] or ""
 
 
 def fingerprints(spark: SparkSession, path: str, pattern: str = "*.parquet") -> DataFrame:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import hashlib
 import json
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusloom.operators.batches import latest, rotated, row_bytes, shard_plan
+from corpusloom.operators.batches import latest, rotated, row_size, shard_plan
 from corpusloom.storage import Files, materialise
 
 VERSION = 1
@@ -73,38 +75,123 @@ def cache_key(meta: Mapping[str, object]) -> str:
     return hashlib.sha1(json.dumps(meta, sort_keys=True).encode()).hexdigest()[:16]
 
 
-def tokenizer_fingerprint(name: str, vocabulary: int, added: int, mask: int) -> dict[str, object]:
-    """What tells tokenizers apart. The names."""
-    return {"name_or_path": name, "vocab_size": vocabulary, "added_tokens": added, "mask_id": mask}
-
-
-def cache_folder(root: str, source: tuple[str, int, int], tokenizer: object, draft: int, seed: int) -> str:
+def cache_folder(root: str, source: tuple, tokenizer: object, draft: int, seed: int) -> str:
     """Where the rows of these sources and settings are kept: the name follows from all of them."""
     return f"{root}/{cache_key({'version': VERSION, 'source': list(source), 'tokenizer': tokenizer, 'draft_length': draft, 'shuffle_seed': seed})}"
 
 
-def write_dataset(rows: DataFrame, folder: str, row_id: str, budget: int, meta: Mapping[str, object], per_job: int = 64) -> dict:
-    """Expanded rows as Parquet in shards of at most ``budget`` estimated bytes, with a manifest.
+@dataclass
+class Report:
+    """What a run says about itself: sums over the rows that a job has written, from that job, and the seconds it took.
+
+    Columns are aggregates over the rows that are written; a job that is run again says it anew.
+    """
+
+    counts: dict[str, object] = field(default_factory=dict)
+    seconds: float = 0.0
+
+    def write(self, df: DataFrame, save: Callable[[DataFrame], None], *sums: Column) -> Report:
+        """Have save write df and note its sums; an alias names each of them."""
+        seen = Observation()
+        with Timer() as t:
+            save(df.observe(seen, F.count(F.lit(1)).alias("rows"), *sums))
+        self.counts, self.seconds = dict(seen.get), t.seconds
+        return self
 
-    Shards are planned on two numbers a row, then joined back, and written ``per_job`` at a time; what a broken-off
-    call has finished is not written again, nor is anything if the manifest is there. A job replaces just its shards.
+    def text(self, **extra: object) -> str:
+        n = self.counts.get("rows", 0)
+        return report(self.counts, elapsed_sec=self.seconds, rows_per_sec=n / self.seconds if self.seconds else None, **extra)
+
+
+#: Columns of staged rows: the range that a task sorted, the place in all of them, and the estimated bytes.
+RANGE, AT, BYTES = "_range", "_at", "_bytes"
+
+
+def _staged(rows: DataFrame, folder: str, order: list[str]) -> tuple[DataFrame, int]:
+    """rows in order, with their places and bytes, and a digest of them whatever their ranges; written once.
+
+    Equal orders are told apart by a hash of the row, so that the same rows are always in the same order.
+    """
+    spark, at, mark = rows.sparkSession, f"{folder}/staged", f"{folder}/staged.json"
+    files = Files(spark)
+    tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes])
+    if not files.exists(mark):
+        keyed = rows.withColumns({BYTES: row_size(rows), "_tie": tie})
+        keys = [*order, "_tie"]
+        placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(AT, F.monotonically_increasing_id())
+        # The range is in the upper bits of the place.
+        out = placed.withColumn(RANGE, F.shiftright(AT, 33).cast("int"))
+        digest = F.sum(F.xxhash64("_tie", BYTES).cast("decimal(38,0)")).cast("string")
+        seen = Report().write(out, lambda df: df.drop("_tie").write.mode("overwrite").partitionBy(RANGE).parquet(at), F.coalesce(F.sum(F.col(BYTES)), F.lit(0)).alias("bytes"), digest.alias("digest"))
+        files.write(mark, json.dumps(seen.counts))
+    known = json.loads(files.read(mark))
+    schema = T.StructType([*rows.schema.fields, T.StructField(BYTES, T.LongType()), T.StructField(AT, T.LongType()), T.StructField(RANGE, T.IntegerType())])
+    return (spark.read.schema(schema).parquet(at) if known["rows"] else spark.createDataFrame([], schema)), known
+
+
+def _runs(shards: list[int], most: int) -> Iterator[list[int]]:
+    """Numbers in order, cut where one is left out and after ``most``."""
+    own: list[int] = []
+    for k in shards:
+        if own and (k != own[-1] + 1 or len(own) == most):
+            yield own
+            own = []
+        own.append(k)
+    if own:
+        yield own
+
+
+def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget: int, meta: Mapping[str, object], per_job: int | None = None) -> dict:
+    """Rows as Parquet in shards of at most ``budget`` estimated bytes, contiguous in the order of row_id, with a manifest.
+
+    1. One job sorts the rows by range and stages them with their places; the source isn't read after that. Repeated
+       ids are rows of their own.
+    2. Places and bytes make up the plan. Its digest follows from rows, order and budget.
+    3. Jobs of ``per_job`` shards each read their stretch of the staged rows and replace just their shards; a mark,
+       written after a job, names the plan, the shards and their rows, as counted by the job that wrote them.
+    4. The manifest is made of the marks; a sum of rows that isn't the source's is an error.
+
+    Broken off anywhere and called again, with this budget or another and any ``per_job``, it goes on with the shards that no
+    mark of the same plan names. Marks of another plan are removed before anything is written. Once there is a manifest,
+    nothing is written. No rows: no shards, and a manifest that has their schema.
     """
-    files, done = Files(rows.sparkSession), f"{folder}/done"
+    spark = rows.sparkSession
+    files, marks = Files(spark), f"{folder}/done"
     if files.exists(f"{folder}/manifest.json"):
         return json.loads(files.read(f"{folder}/manifest.json"))
-    plan = materialise(shard_plan(rows.select(F.col(row_id).alias("row_id"), row_bytes(F.col("total_len")).alias("bytes")), budget), "plan")
-    known = plan.select(F.col("row_id").alias(row_id), "shard_id")
-    counts = {r["shard_id"]: r["count"] for r in plan.groupBy("shard_id").count().collect()}
-    for low in range(0, len(counts) or 1, per_job):
-        if files.exists(f"{done}/{low}"):
-            continue
-        own = known.filter((F.col("shard_id") >= low) & (F.col("shard_id") < low + per_job))
-        rows.join(own, row_id).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(f"{folder}/rows")
-        files.write(f"{done}/{low}", "")
-    # The names of the manifest's parts.
-    manifest = {"version": VERSION, "mode": "sharded", "target_bytes_per_shard": budget, "total_rows": sum(counts.values()), "num_shards": len(counts), "shards": [f"shard_id={k}" for k in sorted(counts)], "build_meta": dict(meta)}
+    staged, known = _staged(rows, folder, [row_id] if isinstance(row_id, str) else list(row_id))
+    plan = shard_plan(staged.select(F.col(AT).alias("row_id"), F.col(BYTES).alias("bytes")), budget)
+    shards = plan.groupBy("shard_id").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    # One row for each shard.
+    shards = {r["shard_id"]: r for r in materialise(shards, "shards").collect()}
+    digest = cache_key({"budget": budget, "rows": known, "shards": [shards[k]["rows"] for k in sorted(shards)]})
+    done: dict[int, int] = {}
+    for name in files.names(marks):
+        mark = json.loads(files.read(f"{marks}/{name}") or "{}")
+        if mark.get("plan") == digest:
+            done |= {int(k): n for k, n in mark["rows"].items()}
+        else:
+            files.remove(f"{marks}/{name}")
+    for own in _runs([k for k in sorted(shards) if k not in done], per_job or max(64, -(-len(shards) // 32))):
+        first, last = shards[own[0]]["first"], shards[own[-1]]["last"]
+        part = staged.filter((F.col(RANGE) >= first >> 33) & (F.col(RANGE) <= last >> 33) & F.col(AT).between(first, last))
+        begins = F.array(*[F.lit(shards[k]["first"]) for k in own])
+        shard = F.lit(own[0] - 1) + F.size(F.filter(begins, lambda x: x <= F.col(AT)))
+        out = part.withColumn("shard_id", shard.cast("long")).repartition(F.col(RANGE)).sortWithinPartitions("shard_id", AT).drop(RANGE, AT, BYTES)
+        save = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(f"{folder}/rows")
+        wrote = Report().write(out, save).counts["rows"]
+        if wrote != (planned := sum(shards[k]["rows"] for k in own)):
+            raise RuntimeError(f"shards {own[0]} to {own[-1]} have {wrote} rows of {planned}")
+        files.write(f"{marks}/{own[0]}", json.dumps({"plan": digest, "rows": {k: shards[k]["rows"] for k in own}}))
+        done |= {k: shards[k]["rows"] for k in own}
+    if sum(done.values()) != known["rows"]:
+        raise RuntimeError(f"the shards have {sum(done.values())} rows of {known['rows']}")
+    # The names of the manifest's parts, but for the schema's.
+    manifest = {"version": VERSION, "mode": "sharded", "target_bytes_per_shard": budget, "total_rows": known["rows"], "num_shards": len(done), "shards": [f"shard_id={k}" for k in sorted(done)], "build_meta": dict(meta), "schema": rows.schema.jsonValue()}
     files.write(f"{folder}/rows/_SUCCESS", "")
     put_text(rows, f"{folder}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2))
+    files.remove(f"{folder}/staged")
+    files.remove(f"{folder}/staged.json")
     return manifest
 
 

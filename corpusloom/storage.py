@@ -54,14 +54,14 @@ class Files:
         fs, at = self._at(path)
         return fs.exists(at)
 
-    def status(self, path: str) -> tuple[str, int, int]:
-        """(whole path, seconds of modification, bytes); zeros for a file that isn't there."""
+    def status(self, path: str) -> tuple[str, int, int, bool]:
+        """(whole path, seconds of modification, bytes, whether it is a folder); zeros for what isn't there."""
         fs, at = self._at(path)
         whole = fs.makeQualified(at).toUri().getPath()
         if not fs.exists(at):
-            return whole, 0, 0
+            return whole, 0, 0, False
         found = fs.getFileStatus(at)
-        return whole, found.getModificationTime() // 1000, found.getLen()
+        return whole, found.getModificationTime() // 1000, found.getLen(), found.isDirectory()
 
     def names(self, folder: str) -> list[str]:
         fs, at = self._at(folder)

@@ -218,6 +218,100 @@ def test_shards_over_many_ranges(spark):
         assert [r["shard_id"] for r in found] == slow_cut(sizes, budget)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_shards_over_a_tree_of_ranges(spark, fan):
+    """Outcomes of ranges put together over several levels; empty and single ranges too."""
+    rng = random.Random(fan)
+    for budget, most, size in ((100, 40, 9), (100, 130, 5), (2000, 30, 11), (50, 3, 4), (10**6, 9, 7)):
+        sizes = [rng.choice([rng.randint(0, most), 0, budget if rng.random() < 0.05 else 1]) for _ in range(160)]
+        rows = spark.createDataFrame(list(enumerate(sizes)), "row_id long, bytes long")
+        found = batches.shard_plan(rows, budget, size, fan).orderBy("row_id").collect()
+        assert [r["shard_id"] for r in found] == slow_cut(sizes, budget)
+
+
+def test_outcomes_put_together_are_those_of_the_whole():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        budget = int(rng.integers(1, 60))
+        runs = [rng.integers(0, int(rng.choice([2, 20, 80])), int(rng.integers(0, 9))) for _ in range(int(rng.integers(1, 6)))]
+        parts = [batches.Outcomes.of(r, budget) for r in runs if len(r)]
+        joined = batches.Outcomes.joined(iter(parts), budget)
+        for filled in (-1, *range(0, budget + 1, 3)):
+            shards, left = np.array([0]), np.array([filled])
+            for part in parts:
+                shards, left = part.step(shards, left, budget)
+            found = joined.step(np.array([0]), np.array([filled]), budget)
+            assert (int(shards[0]), int(left[0])) == (int(found[0][0]), int(found[1][0]))
+
+
+@pytest.mark.parametrize("few", [1, 8, 1 << 16])
+def test_first_rows_without_a_sort(spark, few):
+    rng = random.Random(few)
+    rows = [(k, f"k{rng.randrange(60)}", rng.randrange(-5, 5)) for k in range(300)] + [(7, "same", 1)] * 40
+    df = spark.createDataFrame(rows, "id long, name string, n int")
+    for k in (0, 1, 2, 57, 150, 339, 340, 1000):
+        for column, kind in (("id", "bigint"), ("n", "int"), ("name", "string")):
+            found = prompts.first_rows(df, k, prompts.sort_key(F.col(column), kind), few).collect()
+            order = df.columns.index(column)
+            expected = sorted(r[order] for r in rows)[:k]
+            assert sorted(r[order] for r in found) == expected
+            assert not set(map(tuple, found)) - set(rows)
+            assert len(found) == len(expected)
+
+
+def test_half_of_the_rows_come_from_all_tasks(spark):
+    """The sample is the sorted one, and no task gives more than its share of it."""
+    rows = spark.range(20_000).repartition(8)
+    found = prompts.sample(rows, 10_000, 3, "id")
+    assert sorted(r[0] for r in found.collect()) == sorted(r[0] for r in rows.orderBy(T.order_hash(F.col("id"), 3), "id").limit(10_000).collect())
+    sizes = sorted(r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect())
+    assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_duplicates_are_counted_up_to_the_last_that_is_taken(spark):
+    rows = [("a", 1, "x"), ("a", 2, "x"), ("a", 3, "y"), ("a", 4, "y"), ("a", 5, "z"), ("b", 1, "x"), ("b", 2, "w"), ("b", 3, "w"), ("b", 4, "z"), ("c", 1, "q")]
+    df, targets = spark.createDataFrame(rows, "file string, order long, key string"), {"a": 2, "b": 5, "c": 0, "d": 3}
+    found = prompts.quota_report(df, targets, prompts.sample_by_quota(df, targets)).collect()
+    assert sorted(map(tuple, found)) == [("a", 2, 2, 1), ("b", 5, 2, 2), ("c", 0, 0, 0), ("d", 3, 0, 0)]
+
+
+def test_plain_batches(spark):
+    rows = spark.createDataFrame([(f"k{k}",) for k in range(23)], "key string")
+    for drop in (True, False):
+        found = batches.plain_batches(rows, "key", seed=1, epoch=0, per_device=2, ranks=4, drop_last=drop).collect()
+        own = {r: [x["key"] for x in sorted(found, key=lambda x: x["pos"]) if x["rank"] == r] for r in range(4)}
+        assert {len(v) for v in own.values()} == ({4} if drop else {6})
+        assert len({x["key"] for x in found}) == (16 if drop else 23)
+        assert max(sum(1 for x in found if (x["batch"], x["rank"]) == at) for at in {(x["batch"], x["rank"]) for x in found}) == 2
+    few = batches.plain_batches(rows.limit(1), "key", seed=1, epoch=0, per_device=2, ranks=4, drop_last=False).collect()
+    assert sorted(x["rank"] for x in few) == [0, 1, 2, 3]
+
+
+def test_row_sizes_of_any_schema(spark):
+    row = {"a": None, "flag": True, "n": 5, "x": 1.5, "t": "é", "b": b"abc", "ids": [1, 2, None], "nest": [["a", "bc"], []], "rec": {"who": "me", "deep": [{"k": 1}, {"k": None}]}, "map": {"key": "v", "k2": None}}
+    schema = "a string, flag boolean, n int, x double, t string, b binary, ids array<long>, nest array<array<string>>, rec struct<who:string,deep:array<struct<k:long>>>, map map<string,string>"
+
+    def size(v):
+        if v is None:
+            return 0
+        if isinstance(v, bool):
+            return 1
+        if isinstance(v, int | float):
+            return 8
+        if isinstance(v, str):
+            return len(v.encode())
+        if isinstance(v, bytes):
+            return len(v)
+        if isinstance(v, list):
+            return sum(map(size, v))
+        return sum(len(k) + size(x) for k, x in v.items())
+
+    df = spark.createDataFrame([row, dict.fromkeys(row)], schema)
+    assert [r[0] for r in df.select(batches.row_size(df)).collect()] == [64 + sum(map(size, row.values())), 64]
+    wide = spark.createDataFrame([([1, 2, 3],)], "ids array<long>")
+    assert wide.select(batches.row_size(wide)).first()[0] == 64 + 24
+
+
 def test_quota_scans_grow_with_the_files(spark):
     rows = spark.range(600).selectExpr("concat('f', id % 6) file", "id `order`", "md5(cast(id % 400 as string)) key")
     chosen = prompts.sample_by_quota(rows, {f"f{k}": 20 for k in range(6)})

@@ -131,6 +131,81 @@ def test_a_broken_off_dataset_goes_on_where_it_stopped(spark, tmp_path):
     assert readers.read_dataset(spark, folder).count() == 40
 
 
+def _sequences(spark, n=40):
+    return sequences.expand(spark.createDataFrame([(k // 2 * 2, [k, 2], [3] * (k % 5)) for k in range(n)], "id long, in_ids array<long>, out_ids array<long>"), 2)
+
+
+def _content(df):
+    return sorted(map(str, df.select("id", "input_ids", "total_len").collect()))
+
+
+@pytest.mark.parametrize("again", [{"budget": 2600}, {"budget": 1300, "per_job": 5}, {"budget": 5000, "per_job": 1}, {"budget": 1300, "per_job": 2}])
+def test_a_dataset_broken_off_and_called_again_has_all_rows(spark, tmp_path, monkeypatch, again):
+    """Broken off after two jobs and at a third, with repeated ids; then another budget or size of jobs."""
+    rows, folder = _sequences(spark), str(tmp_path / "cache")
+    own, calls = writers.Report.write, []
+
+    def breaks(self, df, save, *sums):
+        calls.append(1)
+        if len(calls) == 4:
+            save(df)
+            raise KeyboardInterrupt
+        return own(self, df, save, *sums)
+
+    monkeypatch.setattr(writers.Report, "write", breaks)
+    with pytest.raises(KeyboardInterrupt):
+        writers.write_dataset(rows, folder, "id", 1300, {}, per_job=2)
+    assert readers.read_dataset(spark, folder) is None
+    monkeypatch.setattr(writers.Report, "write", own)
+    manifest = writers.write_dataset(rows, folder, "id", meta={}, **again)
+    back = readers.read_dataset(spark, folder)
+    assert _content(back) == _content(rows)
+    assert manifest["total_rows"] == 40
+    order = back.groupBy("shard_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).orderBy("shard_id").collect()
+    assert all(x["b"] <= y["a"] for x, y in zip(order, order[1:], strict=False))
+    # And back to the first budget, where shards of the second were written meanwhile.
+    (tmp_path / "cache" / "manifest.json").unlink()
+    writers.write_dataset(rows, folder, "id", 1300, {}, per_job=3)
+    assert _content(readers.read_dataset(spark, folder)) == _content(rows)
+
+
+def test_a_dataset_reads_its_source_a_constant_number_of_times(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = _sequences(spark)
+    writers.write_dataset(rows.mapInPandas(passed, rows.schema), str(tmp_path / "cache"), "id", 700, {}, per_job=1)
+    assert readers.read_manifest(spark, str(tmp_path / "cache"))["num_shards"] > 6
+    assert seen.value <= 3 * 40
+
+
+def test_a_dataset_without_rows_keeps_its_schema(spark, tmp_path):
+    rows = _sequences(spark).limit(0)
+    assert writers.write_dataset(rows, str(tmp_path / "cache"), "id", 700, {})["num_shards"] == 0
+    back = readers.read_dataset(spark, str(tmp_path / "cache"))
+    assert back.count() == 0 and back.drop("shard_id").columns == rows.columns
+
+
+def test_reports_come_from_the_job_that_writes(spark, tmp_path):
+    df = spark.range(10).withColumn("lang", F.when(F.col("id") < 3, "en").otherwise("fr"))
+    found = writers.Report().write(df, lambda x: x.write.parquet(str(tmp_path / "out")), F.count_if(F.col("lang") == "en").alias("en"), F.sum("id").alias("total"))
+    assert found.counts == {"rows": 10, "en": 3, "total": 45}
+    said = json.loads(found.text(kind="x"))
+    assert said["rows"] == 10 and said["kind"] == "x" and said["rows_per_sec"] > 0
+
+
+def test_a_folder_has_a_fingerprint_of_its_files(spark, tmp_path):
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "t"))
+    first = readers.fingerprint(spark, str(tmp_path / "t"))
+    assert first[2] > 0 and first == readers.fingerprint(spark, str(tmp_path / "t"))
+    spark.range(6).coalesce(1).write.mode("append").parquet(str(tmp_path / "t"))
+    assert readers.fingerprint(spark, str(tmp_path / "t")) != first
+
+
 def test_weights_and_fingerprints_of_files(spark, tmp_path):
     with pytest.raises(ValueError):
         readers.resolve_weights(spark, str(tmp_path))
