@@ -20,10 +20,10 @@ that their best codewords agree. Keys of two of five segments are put together,
 keys meet for 95 % of pairs at a similarity of 0.8 and 99 % at 0.86. Texts that share a key and differ in at most 32 bits
 hang together; of each group a star around its centre and a spanning forest are candidates, whose sets of shingles
 ``confirmed`` compares, so that no less similar pair is linked. What hangs together but isn't linked after that, for
-lack of a similar text at the other end of a candidate, is linked anew: each text that isn't in the largest part of its
-cluster is compared with the nearest texts of the other parts, eight times as many in each round, until all pairs of
-different parts have been compared or there is one part. That holds for families of any size, and members of a cluster
-are dealt in blocks. Nodes are distinct texts there.
+lack of a similar text at the other end of a candidate, is compared once more: each text that isn't in the largest part
+of its cluster with all texts of the other parts, by counts of common shingles from an inverted index, in blocks of
+queries and members. Only links that hold and join two parts leave a task, no pairs. So what hangs together ends in the
+exact components at that similarity, in families of any size. Nodes are distinct texts there.
 
 Defined results: a null text is an empty one; texts without words have fingerprint zero and are linked like any other;
 A to Z are folded; a text with fewer words than a shingle is one shingle; repeated rows are rows of one component;
@@ -69,8 +69,8 @@ FINE = Scheme(SHINGLE, MOST_BITS, False)
 SIMILAR = Scheme(5, 32, True)
 #: Least similarity of near duplicates, as a fraction.
 SIMILARITY = (4, 5)
-#: Links of one text that a task compares, nearest texts of a first round, members and queries of a block.
-SHARE, NEAREST, MEMBERS, QUERIES = 2048, 8, 1 << 16, 1 << 14
+#: Links of one text that a task compares; members and queries of a block.
+SHARE, MEMBERS, QUERIES = 2048, 1 << 12, 1 << 10
 #: Of wide fingerprints: bits, segments that are decoded, codewords of each, and shingles whose bits are added at once.
 WIDTH, SOFT_SEGMENTS, BEST, CHUNK = 128, 5, 3, 1 << 15
 
@@ -430,30 +430,45 @@ def verified(links: DataFrame, docs: DataFrame) -> DataFrame:
     return confirmed(links, shingle_sets(links, docs))
 
 
-class Nearest:
-    """mapInArrow function: rows (cluster, members, queries, query, node, part, high, low), sorted, to links of each query
-    to the ``most`` nearest members of other parts within most_bits; a block of a cluster is held at a time."""
-
-    def __init__(self, most: int, most_bits: int) -> None:
-        self.most, self.most_bits = most, most_bits
+class Compared:
+    """mapInArrow function: rows (cluster, members, queries, query, node, part, shingles), sorted, to links that hold between
+    queries and members and join different parts; a block of a cluster is held at a time."""
 
     def links(self, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(rows)
+        table = pa.Table.from_batches(rows).combine_chunks()
         query, node, part = (table.column(k).to_numpy() for k in ("query", "node", "part"))
-        fp = np.stack([table.column(c).to_numpy().view(np.uint64) for c in ("high", "low")], axis=1)
-        asked, there = np.flatnonzero(query), np.flatnonzero(~query)
-        step = max(1, (1 << 21) // max(1, len(there)))
-        for low in range(0, len(asked), step):
-            own = asked[low : low + step]
-            far = np.bitwise_count(fp[own][:, None] ^ fp[there][None]).sum(axis=2, dtype=np.int16)
-            far[(part[own][:, None] == part[there][None]) | (far > self.most_bits)] = 999
-            if self.most < len(there):
-                column = np.argpartition(far, self.most - 1, axis=1)[:, : self.most]
-            else:
-                column = np.broadcast_to(np.arange(len(there)), far.shape)
-            good = np.take_along_axis(far, column, axis=1) < 999
-            a, b = node[np.repeat(own, good.sum(axis=1))], node[there[column[good]]]
-            yield pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        sets = table.column("shingles").combine_chunks()
+        at = np.append(0, np.cumsum(sets.value_lengths().to_numpy()))
+        every = sets.flatten().to_numpy()
+        size, there = np.diff(at), np.flatnonzero(~query)
+        # Members by shingle: an inverted index.
+        held = np.concatenate([every[at[k] : at[k + 1]] for k in there.tolist()]) if len(there) else every[:0]
+        owner = np.repeat(np.arange(len(there)), size[there])
+        order = np.argsort(held, kind="stable")
+        held, owner = held[order], owner[order]
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        over, under = SIMILARITY
+        out = []
+        for k in np.flatnonzero(query).tolist():
+            own = every[at[k] : at[k + 1]]
+            low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+            n = high - low
+            place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[place], minlength=len(there))
+            near = there[np.flatnonzero(((over + under) * both >= over * (size[k] + size[there])) & (part[there] != part[k]))]
+            for other in near[np.unique(part[near], return_index=True)[1]].tolist():
+                a, b = top(int(part[k])), top(int(part[other]))
+                if a != b:
+                    root[a] = b
+                    out.append((min(node[k], node[other]), max(node[k], node[other])))
+        both = np.array(out, np.int64).reshape(-1, 2)
+        yield pa.record_batch([pa.array(np.ascontiguousarray(both[:, k])) for k in (0, 1)], names=["a", "b"])
 
     @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,46 +488,38 @@ class Nearest:
             yield from self.links(held)
 
 
-def _relinked(state: DataFrame, classes: DataFrame, most: int, most_bits: int) -> DataFrame:
-    """(a, b): links of the members of open clusters (cluster, node, part, size, asked, query) to their nearest in other parts.
+def _compared(state: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): links that hold between the queries of open clusters and their members, joining different parts.
 
-    asked: how many members of the cluster are queries. Members and queries of a cluster are dealt in blocks.
+    state: (cluster, node, part, size, asked, query); asked is how many members of the cluster are queries. Members and
+    queries are dealt in blocks, and each block of the ones meets each of the others.
     """
-    own = state.join(classes.select(F.col("fp").alias("node"), "high", "low"), "node")
+    own = state.join(sets.withColumnRenamed("fp", "node"), "node")
     blocks = lambda n, most: F.floor((F.col(n) - 1) / most).cast("long")
     every = lambda n, most: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n, most)))
     at = lambda n, most: F.pmod(F.xxhash64("node"), blocks(n, most) + 1)
-    columns = ["cluster", "members", "queries", "query", "node", "part", "high", "low"]
+    columns = ["cluster", "members", "queries", "query", "node", "part", "shingles"]
     members = own.withColumn("members", at("size", MEMBERS)).withColumn("queries", every("asked", QUERIES)).withColumn("query", F.lit(False))
     queries = own.filter("query").withColumn("queries", at("asked", QUERIES)).withColumn("members", every("size", MEMBERS))
     rows = members.select(*columns).unionByName(queries.select(*columns))
     key = ["cluster", "members", "queries"]
-    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(Nearest(most, most_bits), "a long, b long").distinct()
+    return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(Compared(), "a long, b long").distinct()
 
 
 def similar_links(classes: DataFrame, docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """(a, b): confirmed links that connect all texts that confirmed links among those that hang together can connect."""
+    """(a, b): confirmed links that connect all texts which confirmed links among those that hang together can connect."""
     tried = materialise(near_links(classes, scheme), "candidates")
     sets = shingle_sets(tried, docs)
     good = materialise(confirmed(tried, sets), "links")
     up = components(tried)
-    cluster = materialise(up.unionByName(up.select(F.col("parent").alias("child"), "parent").distinct()).select(F.col("child").alias("node"), F.col("parent").alias("cluster")), "clusters")
-    done, most = 2, NEAREST
-    while True:
-        part = components(good).withColumnsRenamed({"child": "node", "parent": "part"})
-        named = cluster.join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        # The largest part of each cluster isn't asked.
-        sizes = named.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("first"), F.count(F.lit(1)).alias("parts"))
-        open_ = materialise(sizes.filter((F.col("parts") > 1) & (F.col("size") > done)).select("cluster", "size", (F.col("size") - F.col("first.n")).alias("asked"), F.col("first.part").alias("first")), "open")
-        largest = open_.agg(F.max("size")).first()[0]
-        if largest is None:
-            return good
-        state = named.join(maybe_broadcast(open_), "cluster").withColumn("query", F.col("part") != F.col("first")).drop("first")
-        more = materialise(_relinked(state, classes, most, scheme.most_bits).join(tried, ["a", "b"], "left_anti"), "candidates")
-        found = materialise(confirmed(more, sets), "links")
-        tried, good = tried.unionByName(more), good.unionByName(found)
-        # With as many nearest ones as there are others, all pairs of a cluster's parts have been compared.
-        done, most = max(done, most + 1), most * 8
+    cluster = up.unionByName(up.select(F.col("parent").alias("child"), "parent").distinct()).select(F.col("child").alias("node"), F.col("parent").alias("cluster"))
+    part = components(good).withColumnsRenamed({"child": "node", "parent": "part"})
+    named = materialise(cluster.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+    # Two texts have been compared as candidates. The largest part of a cluster isn't asked.
+    sizes = named.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("first"), F.count(F.lit(1)).alias("parts"))
+    open_ = materialise(sizes.filter("parts > 1 and size > 2").select("cluster", "size", (F.col("size") - F.col("first.n")).alias("asked"), F.col("first.part").alias("first")), "open")
+    state = named.join(maybe_broadcast(open_), "cluster").withColumn("query", F.col("part") != F.col("first")).drop("first")
+    return good.unionByName(materialise(_compared(state, sets), "links"))
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = FINE) -> DataFrame:
@@ -520,8 +527,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = FINE) -> DataFrame:
 
     component_id: the smallest doc_id that links reach, its own included; null only if all of them are null. root names
     the component also then. Rows with equal doc_id are kept apart; other columns of docs are ignored; no rows: none.
-    In a wide scheme fp names the text, and links are those that the comparison of shingles confirms, until nothing that
-    hangs together can be linked any more.
+    In a wide scheme fp names the text, and links are those that the comparison of shingles confirms, and connect all that
+    such links among texts that hang together can connect.
     """
     prints = materialise(wide_fingerprints(docs) if scheme.wide else fingerprints(docs), "fingerprints")
     more = [F.min(c).alias(c) for c in ("high", "low", "codes")] if scheme.wide else []

@@ -233,20 +233,17 @@ def test_families_of_any_size_go_to_one_of_each_component(spark, monkeypatch, si
 
 
 def test_all_pairs_of_different_parts_are_compared_in_the_end(spark, monkeypatch):
-    """One cluster whose candidates all fail: the one link that holds is found all the same, with few nearest at a time."""
-    monkeypatch.setattr(simhash, "NEAREST", 2)
+    """One cluster whose candidates all fail: the one link that holds is found all the same, over many blocks."""
+    monkeypatch.setattr(simhash, "MEMBERS", 7)
+    monkeypatch.setattr(simhash, "QUERIES", 5)
     rng = random.Random(3)
     n = 60
     fp = [int(x) for x in np.random.default_rng(1).permutation(10_000)[:n]]
-    near = np.random.default_rng(2).integers(0, 128, (n, 9))
-    halves = [[sum(1 << int(b % 64) for b in {*row.tolist()} if b // 64 == h) for h in (0, 1)] for row in near]
-    signed = lambda x: x - (x >> 63 << 64)
-    classes = spark.createDataFrame([(f, signed(h), signed(low), None) for f, (h, low) in zip(fp, halves, strict=True)], "fp long, high long, low long, codes binary")
     sets = [[rng.randrange(1 << 40) for _ in range(50)] for _ in range(n)]
     sets[41] = sets[17][:48] + [1, 2]
     monkeypatch.setattr(simhash, "near_links", lambda *a: spark.createDataFrame([tuple(sorted((fp[0], f))) for f in fp[1:]], "a long, b long"))
     monkeypatch.setattr(simhash, "shingle_sets", lambda *a: spark.createDataFrame(list(zip(fp, sets, strict=True)), "fp long, shingles array<long>"))
-    assert [set(r) for r in simhash.similar_links(classes, None).collect()] == [{fp[17], fp[41]}]
+    assert [set(r) for r in simhash.similar_links(None, None).collect()] == [{fp[17], fp[41]}]
 
 
 def test_extra_columns_may_have_any_name(spark):
