@@ -41,7 +41,7 @@ from corpusloom.llm import textvec
 from corpusloom.llm.common import hub_join, materialise, remove, stored, sweep_up
 
 #: Bytes of text in a block, and pairs of documents and units that are looked at at once.
-BLOCK, CHUNK = 32 << 20, 1 << 20
+BLOCK, CHUNK = 32 << 20, 1 << 17
 #: Parts in which units are aligned, and rows that are packed together.
 SLICES, PACK = 4, 1 << 16
 #: A character that a blank may be cut off from ends in one of these bytes. Fixed values, last two bytes of white space
@@ -224,39 +224,42 @@ def as_links(groups: Column) -> Column:
 NOT_OK = "!"
 
 
+def _parsed(lines: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Groups of units as lines of text, to the pairs of all links, and of each unit how many tokens of either kind,
+    groups and links it has."""
+    data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
+    place, ends = np.arange(len(data), dtype=np.int32), data == 10
+    breaks = ends | (data == ord(";"))
+    digit = (data >= 48) & (data <= 57)
+    start = np.flatnonzero(digit & ~np.append(False, digit[:-1]))
+    stop = np.flatnonzero(digit & ~np.append(digit[1:], False)) + 1
+    worth = np.where(digit, data.astype(np.int64) - 48, 0)
+    size = stop - start
+    for k in range(1, int(size.max(initial=0))):
+        # The digit k places before the last of its number.
+        worth[stop[size > k] - 1 - k] *= 10**k
+    ids = np.add.reduceat(worth, start) if len(start) else np.zeros(0, np.int64)
+    bar = np.maximum.accumulate(np.where(data == ord("|"), place, -1))
+    second = bar[start] > np.maximum.accumulate(np.where(breaks, place, -1))[start]
+    group, unit = np.cumsum(breaks)[start], np.cumsum(ends)
+    n, first_of = len(lines), group[~second]
+    there = np.bincount(group[second], minlength=int(breaks.sum()))
+    times = there[first_of]
+    row = np.repeat(np.cumsum(there)[first_of] - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    of = unit[start[~second]]
+    counted = [np.bincount(x, minlength=n) for x in (of, unit[start[second]], unit[data == ord("|")], np.repeat(of, times))]
+    return np.repeat(ids[~second], times) << 32 | ids[second][row], *counted
+
+
 class Parsed:
-    """Groups of units as lines of text, to arrays: of each unit the sums, and its links from at[k] to at[k + 1]."""
-
-    def __init__(self, lines: list[bytes]) -> None:
-        data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-        place = np.arange(len(data))
-        ends = data == 10
-        breaks = ends | (data == ord(";"))
-        digit = (data >= 48) & (data <= 57)
-        start = np.flatnonzero(digit & ~np.append(False, digit[:-1]))
-        stop = np.flatnonzero(digit & ~np.append(digit[1:], False)) + 1
-        worth = np.where(digit, data.astype(np.int64) - 48, 0)
-        size = stop - start
-        for k in range(1, int(size.max(initial=0))):
-            # The digit k places before the last of its number.
-            worth[stop[size > k] - 1 - k] *= 10**k
-        ids = np.add.reduceat(worth, start) if len(start) else np.zeros(0, np.int64)
-        bar = np.maximum.accumulate(np.where(data == ord("|"), place, -1))
-        second = bar[start] > np.maximum.accumulate(np.where(breaks, place, -1))[start]
-        group, unit = np.cumsum(breaks)[start], np.cumsum(ends)
-        n = len(lines)
-        first_of, last_of = group[~second], group[second]
-        many = int(breaks.sum())
-        there = np.bincount(last_of, minlength=many)
-        times = there[first_of]
-        row = np.repeat(np.cumsum(there)[first_of] - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        self.pairs = np.repeat(ids[~second], times) << 32 | ids[second][row]
-        of = np.repeat(unit[start[~second]], times)
-        self.at = np.append(0, np.cumsum(np.bincount(of, minlength=n)))
-        bars = unit[data == ord("|")]
-        self.sums = [np.bincount(unit[start[~second]], minlength=n), np.bincount(unit[start[second]], minlength=n), np.bincount(bars, minlength=n), np.diff(self.at)]
-        head = np.append(0, np.flatnonzero(ends)[:-1] + 1)
-        self.ok = data[head] != ord(NOT_OK)
+    """Groups of units as lines of text: the pairs of unit k's links from at[k] to at[k + 1], the units' sums, and which are
+    ok. A few thousand lines are looked at at once."""
+
+    def __init__(self, lines: list[bytes], step: int = 1 << 13) -> None:
+        parts = [_parsed(lines[low : low + step]) for low in range(0, len(lines), step)]
+        self.pairs, *self.sums = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.at = np.append(0, np.cumsum(self.sums[3]))
+        self.ok = np.array([x != NOT_OK.encode() for x in lines])
 
 
 class Packed:
@@ -459,12 +462,12 @@ def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool
         sweep_up(spark)
         dealt = encoded.filter(F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k).repartition("uid")
         groups = unit_groups(token_groups(token_ends(dealt, "a", "a_size"), token_ends(dealt, "b", "b_size")))
-        parts.append(materialise(groups, "groups"))
-    every = parts[0]
-    for part in parts[1:]:
+        parts.append(stored(groups, "groups"))
+    every = parts[0][0]
+    for part, _ in parts[1:]:
         every = every.unionByName(part)
     aligned = materialise(encoded.select("uid", "unit", "ok").join(every, "uid", "left"), "aligned")
-    remove(encoded_at)
+    remove(encoded_at, *(at for _, at in parts))
     sweep_up(spark)
     said = F.when(F.col("ok"), as_text(F.col("groups"))).otherwise(NOT_OK)
     first = T.StructType([*long("block"), *document, *long(*OWN), T.StructField("said", T.StringType()), *long("pair", "docs")])
