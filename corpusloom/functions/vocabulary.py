@@ -87,5 +87,24 @@ class Vocabulary:
 
         return counts(text)
 
+    def text(self, ids: Column) -> Column:
+        """The text that an array of ids stands for."""
+        sent = self.sent
+
+        @F.pandas_udf("string")
+        def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            from tokenizers import Tokenizer
+
+            made = Tokenizer.from_str(sent.value)
+            for rows in batches:
+                yield pd.Series([None if x is None else made.decode([int(i) for i in x], skip_special_tokens=False) for x in rows], dtype=object)
+
+        return texts(ids)
+
+    def first_tokens(self, text: Column, most: int) -> Column:
+        """The text of its first tokens, the whole if it has no more."""
+        ids = self(text)
+        return F.when(F.size(ids) <= most, text).otherwise(self.text(F.slice(ids, 1, most)))
+
 
 STAND_IN = StandIn()

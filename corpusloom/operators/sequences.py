@@ -166,3 +166,54 @@ def visible_pairs(block_rows: DataFrame, keys: list[str]) -> DataFrame:
     masked = r["query_masked"] & (r["key_plain"] | r["key_masked"] & r["same_block"])
     seen = r["causal"] & r["query_not_pad"] & r["key_not_pad"] & (plain | masked)
     return block_rows.alias("q").join(block_rows.alias("k"), [*on, seen]).select(*[F.col(f"q.{c}").alias(c) for c in (*keys, "chunk_idx")], F.col("q.pos").alias("q"), F.col("k.pos").alias("k"))
+
+
+def visibility_runs(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk_idx, past, run, gate, first, last, plain): positions of a chunk with one gate in a row, a row each, and how
+    many plain positions there are before it. Rows grow with the blocks and not with the tokens."""
+    gate = F.col("gate_mask")
+    begins = F.filter(_range(F.size(gate).cast("long")), lambda i: (i == 0) | (F.get(gate, i.cast("int")) != F.get(gate, (i - 1).cast("int"))))
+    cut = past_seen(parts, keys).select(*keys, "chunk_idx", "past", begins.alias("begins"), gate.alias("gates"))
+    ends = lambda i: F.coalesce(F.get("begins", i + 1), F.size("gates").cast("long")) - 1
+    runs = F.transform("begins", lambda x, i: F.struct(F.get("gates", x.cast("int")).alias("gate"), x.alias("first"), ends(i).alias("last")))
+    each = cut.select(*keys, "chunk_idx", "past", F.posexplode(runs).alias("run", "r")).select(*keys, "chunk_idx", "past", "run", "r.gate", "r.first", "r.last")
+    before = Window.partitionBy(*keys, "chunk_idx").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    plain = F.sum(F.when(F.col("gate") == 0, F.col("last") - F.col("first") + 1).otherwise(0)).over(before)
+    return each.withColumn("plain", F.coalesce(plain, F.lit(0).cast("long")))
+
+
+def run_counts(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk_idx, first, last, at_first, pairs): keys that the first query of a run sees, each next one seeing one
+    more, and what all of the run see together; pads see none. In closed form, without a row for a token."""
+    n = F.col("last") - F.col("first") + 1
+    seen = F.when(F.col("gate") < 0, 0).otherwise(F.col("past") + F.col("plain") + 1)
+    total = F.when(F.col("gate") < 0, 0).otherwise(n * seen + F.floor(n * (n - 1) / 2))
+    return runs.select(*keys, "chunk_idx", "run", "gate", "first", "last", seen.cast("long").alias("at_first"), total.cast("long").alias("pairs"))
+
+
+def intersected(a: Column, b: Column) -> Column:
+    """What both of two sorted arrays of ranges (first, last) hold, as ranges."""
+    both = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: F.struct(F.greatest(x["first"], y["first"]).alias("first"), F.least(x["last"], y["last"]).alias("last")))))
+    return F.filter(both, lambda z: z["first"] <= z["last"])
+
+
+def key_ranges(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk_idx, first, last, ranges): for each run of queries the ranges of keys in the chunk that its last query
+    sees: those of the rules, intersected. Earlier queries of the run see them up to their own place.
+
+    Plain keys are one set of ranges for a chunk; a masked query adds its own run, for a block's masks are in a row.
+    """
+    chunk = [*keys, "chunk_idx"]
+    span = F.struct("first", "last")
+    plain = runs.groupBy(*chunk).agg(F.array_sort(F.collect_list(F.when(F.col("gate") == 0, span))).alias("plain_keys"))
+    causal = F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("last")))
+    own = F.when(F.col("gate") == 1, F.array(span)).otherwise(F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    seen = F.array_sort(F.concat(intersected(F.col("plain_keys"), causal), intersected(own, causal)))
+    return runs.filter("gate >= 0").join(plain, chunk).select(*chunk, "first", "last", seen.alias("ranges"))
+
+
+def expanded_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk_idx, q, k): the visible pairs inside a chunk that key ranges stand for."""
+    q = ranges.select(*keys, "chunk_idx", "ranges", F.explode(F.sequence("first", "last")).alias("q"))
+    k = q.select(*keys, "chunk_idx", "q", F.explode(intersected(F.col("ranges"), F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("q").alias("last"))))).alias("r"))
+    return k.select(*keys, "chunk_idx", "q", F.explode(F.sequence("r.first", "r.last")).alias("k"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
-from corpusloom.storage import fresh_dir
+from corpusloom.storage import Files, fresh_dir
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -29,19 +30,113 @@ def windowed(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes")
     return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")).select(F.col("window.start").alias("start"), "event_type", "n", "value")
 
 
-def _running(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    seen = state.get[0] if state.exists else 0
-    for frame in frames:
-        ordered = frame.sort_values("chunk_idx")
-        before = seen + ordered["n_regular"].cumsum() - ordered["n_regular"]
-        seen += int(ordered["n_regular"].sum())
-        yield pd.DataFrame({"seq_id": key[0], "chunk_idx": ordered["chunk_idx"], "past": before.astype("int64")})
-    state.update((seen,))
+class _Folded(StatefulProcessor):
+    """A sequence's chunks in their own order, whatever order they come in: a chunk is folded in once all before it are."""
+
+    def __init__(self, patience: int | None) -> None:
+        #: Milliseconds that a sequence with a gap waits for what is missing; None: for ever.
+        self.patience = patience
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.done = handle.getValueState("done", "chunk_idx long, past long")
+        self.waiting = handle.getListState("waiting", "chunk_idx long, kept array<long>, last boolean")
+
+    def _rows(self, key, waiting: list[tuple], following: int, past: int) -> tuple[list[tuple], list[tuple], int, int]:
+        out = []
+        held = {w[0]: w for w in waiting}
+        while following in held:
+            _, kept, last = held.pop(following)
+            out.append((key, following, past, kept))
+            past, following = past + len(kept), -1 if last else following + 1
+        return out, [held[k] for k in sorted(held)], following, past
+
+    @staticmethod
+    def _frame(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["seq_id", "chunk_idx", "past", "kept"]).astype({"past": "Int64"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        following, past = self.done.get() if self.done.exists() else (0, 0)
+        # A chunk that comes again replaces itself; one that has been folded in is passed over.
+        held = {int(w[0]): (int(w[0]), [int(x) for x in w[1]], bool(w[2])) for w in self.waiting.get()} if self.waiting.exists() else {}
+        for frame in rows:
+            for idx, ids, regular, last in zip(frame["chunk_idx"], frame["input_ids"], frame["regular_token_mask"], frame["last"], strict=True):
+                if idx >= following >= 0:
+                    held[int(idx)] = (int(idx), [int(x) for x, r in zip(ids, regular, strict=True) if r], bool(last))
+        out, left, following, past = self._rows(key[0], list(held.values()), following, past)
+        if following < 0:
+            # Whole. That it is done is all that is kept, so that what comes again gives nothing.
+            left = []
+        if self.patience is not None:
+            for timer in [int(t) for t in self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            if left:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+        self.done.update((following, past))
+        self.waiting.put(left) if left else self.waiting.clear()
+        if out:
+            yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """What waits is given without a past, and the sequence is over."""
+        left = [(int(w[0]), [int(x) for x in w[1]]) for w in self.waiting.get()] if self.waiting.exists() else []
+        self.waiting.clear()
+        self.done.update((-1, 0))
+        if left:
+            yield self._frame([(key[0], idx, None, kept) for idx, kept in sorted(left)])
+
+    def close(self) -> None:
+        pass
+
+
+def kept_state(stream: DataFrame, patience: str | None = None) -> DataFrame:
+    """(seq_id, chunk_idx, past, kept) from chunks (seq_id, chunk_idx, input_ids, regular_token_mask, last): the regular
+    tokens of each chunk and how many came before it, as in a batch, though chunks come in any order, over any batches.
+
+    A chunk waits in the state for those before it, at most ``patience`` of processing time if one is given; then what waits
+    is given with a null past. After the chunk that is marked last a sequence is over. The state store must keep lists:
+    RocksDB. With a patience a query has timers to look after, and doesn't end by itself when its input does.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    made = _Folded(None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000))
+    return stream.groupBy("seq_id").transformWithStateInPandas(made, "seq_id long, chunk_idx long, past long, kept array<long>", "Append", "None" if patience is None else "ProcessingTime")
+
+
+def past_seen(stream: DataFrame, patience: str | None = None) -> DataFrame:
+    """(seq_id, chunk_idx, past) from (seq_id, chunk_idx, n_regular): tokens seen before each chunk, in the chunks' order."""
+    ones = F.array_repeat(F.lit(1).cast("long"), F.col("n_regular").cast("int"))
+    named = stream.select("seq_id", "chunk_idx", ones.alias("input_ids"), ones.alias("regular_token_mask"), F.lit(False).alias("last"))
+    return kept_state(named, patience).select("seq_id", "chunk_idx", "past")
 
 
-def past_seen(stream: DataFrame) -> DataFrame:
-    """(seq_id, chunk_idx, past) from (seq_id, chunk_idx, n_regular): tokens seen before each chunk, kept by sequence."""
-    return stream.groupBy("seq_id").applyInPandasWithState(_running, "seq_id long, chunk_idx long, past long", "seen long", "append", "NoTimeout")
+def endless_batches(spark: SparkSession, plan: Callable[[int], DataFrame], whole: int, folder: str, deliver: Callable[[DataFrame, int], None], each: int = 1):
+    """A writer of batches that go on from epoch to epoch, ``each`` at a time, with a cursor that outlives the query.
+
+    plan: an epoch to its batches (batch, ...), numbered from 0 up to ``whole``; it is made once for an epoch and kept in
+    the folder. deliver gets the rows of the next batches, with epoch and cursor, the number of the batch over all epochs,
+    and the number of the delivery, which is the same if it is made again. The cursor is the offset of a source of numbers, in
+    the query's checkpoint: started again, it goes on after what was delivered.
+    """
+    def made(epoch: int) -> DataFrame:
+        path = f"{folder}/plan/epoch={epoch}"
+        if not Files(spark).exists(f"{path}/_SUCCESS"):
+            plan(epoch).write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path).withColumns({"epoch": F.lit(epoch).cast("long"), "cursor": (F.col("batch") + epoch * whole).cast("long")})
+
+    def write(ticks: DataFrame, number: int) -> None:
+        low, high = ticks.agg(F.min("value"), F.max("value")).first()
+        if low is None:
+            return
+        parts = [made(e).filter(F.col("cursor").between(low, high)) for e in range(low // whole, high // whole + 1)]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        deliver(out, number)
+
+    if whole < 1:
+        raise ValueError("an epoch has no whole batch")
+    numbers = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", each).load()
+    return numbers.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
