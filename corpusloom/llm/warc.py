@@ -235,8 +235,12 @@ def parse(data: bytes) -> dict:
     return {"id": head["warc-record-id"], "type": kind, "url": head.get("warc-target-uri"), "bytes": size, "digest": digest, "refers_to": head.get("warc-refers-to"), "payload": payload}
 
 
-def raw_records(stream) -> Iterator[bytes]:
-    """The bytes of an archive's records; the dictionary, if any, is in the leading frame, and each frame is a record."""
+def raw_records(stream, lenient: bool = False) -> Iterator[bytes | ValueError]:
+    """The bytes of an archive's records; the dictionary, if any, is in the leading frame, and each frame is a record.
+
+    A damaged frame, whose checksum or content isn't right, is a ValueError; with lenient it is given in the record's
+    place, and the frames after it are read.
+    """
     unpack = zstandard.ZstdDecompressor()
     for k, (magic, frame) in enumerate(frames(stream)):
         if magic == DICTIONARY_MAGIC and k == 0:
@@ -245,8 +249,14 @@ def raw_records(stream) -> Iterator[bytes]:
                 body = unpack.decompress(body)
             unpack = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
         elif magic == FRAME_MAGIC:
-            size = zstandard.get_frame_parameters(frame[:18]).content_size
-            yield unpack.decompress(frame) if size != zstandard.CONTENTSIZE_UNKNOWN else unpack.decompressobj().decompress(frame)
+            try:
+                size = zstandard.get_frame_parameters(frame[:18]).content_size
+                data = unpack.decompress(frame) if size != zstandard.CONTENTSIZE_UNKNOWN else unpack.decompressobj().decompress(frame)
+            except zstandard.ZstdError as e:
+                if not lenient:
+                    raise ValueError(f"damaged frame: {e}") from e
+                data = ValueError(f"damaged frame: {e}")
+            yield data
 
 
 def records(stream) -> Iterator[dict]:
@@ -269,8 +279,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fs, path = filesystem(uri)
             held: list[tuple] = []
             with fs.open_input_stream(path, compression=None) as stream:
-                for data in raw_records(stream):
+                for data in raw_records(stream, lenient=True):
                     try:
+                        if isinstance(data, ValueError):
+                            raise data
                         r = parse(data)
                         held.append((page_of(r["id"]), r["bytes"], r["digest"], r["type"], page_of(r["refers_to"]), r["url"], r["id"], None))
                     except ValueError as e:
@@ -283,7 +295,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_archives(spark: SparkSession, uris: list[str]) -> DataFrame:
-    """COLUMNS of every record, refused says why one isn't valid; an archive is a task. A stream that isn't whole, or
+    """COLUMNS of every record, refused says why one isn't valid, or its frame is damaged; an archive is a task. A stream that isn't whole, or
     isn't of frames, fails."""
     listed = spark.createDataFrame([(u,) for u in uris], "uri string").repartition(max(1, len(uris)))
     return listed.mapInArrow(_read, ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))

@@ -102,5 +102,22 @@ def test_archives_of_others_are_read_and_bad_records_counted(spark, tmp_path):
     assert warc.read_archives(spark, [f"file://{path}"]).filter("refused is not null").count() == 2
 
 
+def test_damaged_frames_are_refused_and_the_others_read(spark, tmp_path):
+    """A wrong checksum, and content that isn't right, in the middle of an archive."""
+    pack = zstandard.ZstdCompressor(write_content_size=True, write_checksum=True)
+    made = [pack.compress(warc.record(k, "u", f"payload {k} ".encode() * 9, None, False)) for k in range(5)]
+    made[1] = made[1][:-1] + bytes([made[1][-1] ^ 1])
+    middle = len(made[3]) // 2
+    made[3] = made[3][:middle] + bytes(x ^ 255 for x in made[3][middle : middle + 4]) + made[3][middle + 4 :]
+    path = f"{tmp_path}/damaged.warc.zst"
+    with open(path, "wb") as f:
+        f.write(b"".join(made))
+    found = warc.read_archives(spark, [f"file://{path}"]).collect()
+    assert sorted(r["page_id"] for r in found if r["refused"] is None) == [0, 2, 4]
+    assert sum("damaged" in r["refused"] for r in found if r["refused"]) == 2
+    with pytest.raises(ValueError):
+        list(warc.records(io.BytesIO(made[1])))
+
+
 def test_no_pages(spark):
     assert warc.archive(pages(spark, [])).count() == 0
