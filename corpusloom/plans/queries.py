@@ -8,11 +8,12 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
+from corpusloom.functions.vocabulary import Vocabulary
 from corpusloom.operators import batches, metrics, prompts, sequences
 from corpusloom.plans import build
 from corpusloom.sources import readers, writers
@@ -105,13 +106,15 @@ _LITERALS = [
     "  plain\tprompt ",
     "return YOUR final response within \\boxed{}.",
 ]
-_VALUES = ", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(_LITERALS))
+_PREFIXES = "[" + ", ".join("'{}'".format(x.replace("'", "''")) for x in _LITERALS) + "]"
 
 
-@query(f"WITH v(id, text) AS (VALUES {_VALUES}) SELECT id::BIGINT AS id, {_fill(_DOMAIN, 'text')} AS domain, {_fill(_REWRITE, 'text', chr(39) + 'solve' + chr(39))} AS prompt FROM v")
+@query(f"WITH v AS (SELECT doc_id, {_PREFIXES}[(doc_id % {len(_LITERALS)} + 1)::INT] || ' ' || text AS text FROM documents) SELECT doc_id, {_fill(_DOMAIN, 'text')} AS domain, {_fill(_REWRITE, 'text', chr(39) + 'solve' + chr(39))} AS prompt FROM v")
 def strip_inject_prefix(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_LITERALS)), "id long, text string")
-    return rows.select("id", T.domain(F.col("text")).alias("domain"), T.rewritten(F.col("text"), F.lit("solve")).alias("prompt"))
+    """Documents as code, math and other prompts: each begins with one of the literals."""
+    prefix = F.element_at(F.array(*[F.lit(x) for x in _LITERALS]), (F.col("doc_id") % len(_LITERALS) + 1).cast("int"))
+    rows = _table(spark, d, "documents").select("doc_id", F.concat(prefix, F.lit(" "), F.col("text")).alias("text"))
+    return rows.select("doc_id", T.domain(F.col("text")).alias("domain"), T.rewritten(F.col("text"), F.lit("solve")).alias("prompt"))
 
 
 @query(f"SELECT doc_id, {_NORM.format('text')} AS text FROM documents")
@@ -160,9 +163,12 @@ def quota_topup(spark, d):
     return prompts.top_up(rows, prompts.sample_by_quota(rows, QUOTAS), "en", 150).select("file", F.col("order").alias("doc_id"))
 
 
-@query("SELECT * FROM (VALUES ('chat', 0), ('math', 5360), ('code', 3110), ('science', 1530), ('if', 0)) v(bucket, quota)")
+@query("""WITH n AS (SELECT count(*) AS total FROM documents), w AS (SELECT * FROM (VALUES ('math', 0.536::DOUBLE, 0), ('code', 0.311, 1), ('science', 0.153, 2), ('chat', 0.0, 3), ('if', 0.0, 4)) v(bucket, weight, place)),
+q AS (SELECT *, round_even(total * weight, 0)::BIGINT AS quota FROM w, n), short AS (SELECT any_value(total) - sum(quota) AS units FROM q)
+SELECT bucket, (quota + CASE WHEN units > 0 THEN units // 5 + (place < units % 5)::INT WHEN units < 0 THEN -(place < -units)::INT ELSE 0 END)::INT AS quota FROM q, short""")
 def bucket_quotas(spark, d):
-    quota = prompts.bucket_quotas(10_000, prompts.bucket_weights())
+    """The documents' number dealt to buckets; rounding leaves two units at most."""
+    quota = prompts.bucket_quotas(_table(spark, d, "documents").count(), prompts.bucket_weights())
     return spark.createDataFrame(list(quota.items()), "bucket string, quota int")
 
 
@@ -497,26 +503,31 @@ def rms_norm(spark, d):
     return rows.select("vec_id", F.col("dim").cast("long").alias("dim"), F.round("x", 6).alias("x"))
 
 
-@query("SELECT range::BIGINT AS step, round(0.0002::DOUBLE * (0.01 + 0.99 * least(range, 100) / 100.0::DOUBLE), 12) AS rate FROM range(200)")
+@query("SELECT event_id AS step, round(0.0002::DOUBLE * (0.01 + 0.99 * least(event_id, 100) / 100.0::DOUBLE), 12) AS rate FROM events")
 def lr_schedule(spark, d):
-    return spark.range(200).select(F.col("id").alias("step"), F.round(metrics.warmed_rate(F.col("id"), 2e-4, 100), 12).alias("rate"))
+    return _table(spark, d, "events").select(F.col("event_id").alias("step"), F.round(metrics.warmed_rate(F.col("event_id"), 2e-4, 100), 12).alias("rate"))
 
 
 # Names, maps, JSON, files.
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'Some-8B-data.v1-bsz16-lr2e-04-MTP4-lora16-SoftSCE-seed42'), (2, 'mod-x-y-bsz1-lr0.01-MTP2-lora8-SoftSCE-fused-seed0')) v(id, name)")
+@query("""SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9._-]+', '', 'g') || '-data.v' || p_size || '-bsz' || greatest(1, p_size - 25) || '-lr' || CASE WHEN p_size % 3 = 0 THEN '2e-04' WHEN p_size % 3 = 1 THEN '0.01' ELSE '5e-05' END
+|| '-MTP4-lora' || p_size || '-SoftSCE' || CASE WHEN p_size % 2 = 0 THEN '-fused' ELSE '' END || '-seed' || p_partkey AS name FROM part""")
 def run_name_parts(spark, d):
-    rows = spark.createDataFrame([(1, "hub/Some-8B", "/data/data.v1.json", 16, 2e-4, 4, 16, 42, False), (2, "hub/mo d-x", "y/", 0, 0.01, 2, 8, 0, True)], "id long, model string, data string, bsz int, lr double, draft int, rank int, seed int, fused boolean")
-    c = [F.col(x) for x in ("model", "data", "bsz", "lr", "draft", "rank", "seed", "fused")]
-    return rows.select("id", T.run_name(*c).alias("name"))
+    size = F.col("p_size")
+    rate = F.when(size % 3 == 0, 2e-4).when(size % 3 == 1, 0.01).otherwise(5e-5)
+    data = F.concat(F.lit("/data/data.v"), size.cast("string"), F.lit(".json"))
+    name = T.run_name(F.concat(F.lit("hub/"), F.col("p_brand")), data, size - 25, rate, F.lit(4), size, F.col("p_partkey"), size % 2 == 0)
+    return _table(spark, d, "part").select("p_partkey", name.alias("name"))
 
 
-@query("SELECT * FROM (VALUES ('Step 7 | LR: 2.0e-04 | Loss: 1.2346 | Acc: 50.00%, 25.50% | Num. Processed Chunks: 12')) v(line)")
+@query("""WITH m AS (SELECT label, count(*) AS n, avg(embedding[1]::DOUBLE) AS loss, 100.0 * avg((embedding[1] > 0)::INT) AS a0, 100.0 * avg((embedding[2] > 0)::INT) AS a1 FROM embeddings GROUP BY label)
+SELECT label, 'Step ' || label || ' | LR: 2.0e-04 | Loss: ' || printf('%.4f', loss) || ' | Acc: ' || printf('%.2f%%', a0) || ', ' || printf('%.2f%%', a1) || ' | Num. Processed Chunks: ' || n AS line FROM m""")
 def metrics_line(spark, d):
-    rows = spark.createDataFrame([({"train/acc_1": 25.5, "train/acc_0": 50.0},)], "m map<string,double>")
+    share = lambda k: 100.0 * F.avg((F.col("embedding")[k] > 0).cast("int"))
+    rows = _table(spark, d, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("embedding")[0].cast("double")).alias("loss"), F.create_map(F.lit("train/acc_1"), share(1), F.lit("train/acc_0"), share(0)).alias("m"))
     acc = F.transform(F.map_entries("m"), lambda e: F.struct(T.suffix_number(e["key"]).alias("place"), e["value"].alias("percent")))
-    return rows.select(metrics.metrics_line(F.lit(7), F.lit(2e-4), F.lit(1.23456), acc, F.lit(12)).alias("line"))
+    return rows.select("label", metrics.metrics_line(F.col("label"), F.lit(2e-4), F.col("loss"), acc, F.col("n")).alias("line"))
 
 
 @query("SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, regexp_extract(source, '(\\d+)$', 1)::BIGINT AS number FROM documents")
@@ -584,9 +595,12 @@ def results_round_trip(spark, d):
     return documents.select("conv_id", F.inline(parsed["results"]))
 
 
-@query("""SELECT substr(sha1('{"a": "x\\u00e9", "b": 2}'), 1, 16) AS key""")
+@query("""SELECT n_nationkey, substr(sha1('{"a": "' || n_name || '", "b": ' || n_regionkey || '}'), 1, 16) AS key FROM nation""")
 def cache_key(spark, d):
-    return spark.range(1).select(F.lit(writers.cache_key({"b": 2, "a": "xé"})).alias("key"))
+    """Settings that a table holds; one row for each, of a table that is as small at any size."""
+    rows = _table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    schema = "n_nationkey int, key string"
+    return rows.mapInPandas(lambda frames: (f.assign(key=[writers.cache_key({"b": int(b), "a": a}) for a, b in zip(f["n_name"], f["n_regionkey"], strict=True)])[["n_nationkey", "key"]] for f in frames), schema)
 
 
 @query(f"WITH {_FIRST}, given AS (SELECT conv_id, '<|im_start|>system' || chr(10) || '{SYSTEM}<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || prompt || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) AS t FROM first_prompt) SELECT conv_id, CASE WHEN len(regexp_extract_all(t, '\\S+')) <= 16 THEN t ELSE array_to_string(regexp_extract_all(t, '\\S+')[1:16], ' ') END AS input FROM given")
@@ -656,6 +670,87 @@ def json_lines_round_trip(spark, d):
     return readers.read_records(spark, path, "conv_id long, turn long, input string, output string")
 
 
+@query(
+    _quota_sql()
+    + """, firsts AS (SELECT k.file, k.doc_id, k.key, row_number() OVER (PARTITION BY k.file, k.key ORDER BY k.doc_id) AS nth FROM keyed k),
+given AS (SELECT file, doc_id, key FROM chosen),
+fold AS (SELECT f.file, f.doc_id, f.nth = 1 AND NOT EXISTS (SELECT 1 FROM given g WHERE g.key = f.key AND g.file < f.file) AS accepted FROM firsts f),
+steps AS (SELECT *, coalesce(sum(accepted::INT) OVER (PARTITION BY file ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM fold),
+quota AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{f}', {k})" for f, k in QUOTAS.items())
+    + """) v(file, target))
+SELECT q.file, q.target::BIGINT AS target, count(*) FILTER (accepted AND before < target)::BIGINT AS taken, count(*) FILTER (NOT accepted AND before < target)::BIGINT AS skipped FROM quota q LEFT JOIN steps s ON s.file = q.file GROUP BY q.file, q.target"""
+)
+def skipped_before_quota(spark, d):
+    """Duplicates that were passed over until a file had given its quota, against a fold row by row; files are in the order of their names."""
+    rows = _filed(spark, d)
+    return prompts.quota_report(rows, QUOTAS, prompts.sample_by_quota(rows, QUOTAS))
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (ORDER BY md5('42-' || doc_id), doc_id) <= (SELECT count(*) // 2 FROM documents)")
+def half_sample(spark, d):
+    rows = _table(spark, d, "documents").select("doc_id")
+    return prompts.sample(rows, rows.count() // 2, S.seed, "doc_id")
+
+
+@query(f"""WITH {_PAIRS}, s AS (SELECT conv_id || '-' || turn AS seq_id, row_number() OVER (ORDER BY md5('42-' || conv_id || '-' || turn), conv_id || '-' || turn) - 1 AS pos FROM sizes), n AS (SELECT count(*) AS n, (count(*) + 3) // 4 * 4 AS whole FROM s),
+dealt AS (SELECT seq_id, pos FROM s UNION ALL SELECT seq_id, pos + n FROM s, n WHERE pos + n < whole)
+SELECT seq_id, pos::BIGINT AS pos, (pos // 4 // 2)::BIGINT AS batch, (pos % 4)::BIGINT AS rank, (pos // 4 % 2)::BIGINT AS slot FROM dealt""")
+def plain_batches(spark, d):
+    """Batches without grouping by length: ranks in turn, the first rows again where a rank is short."""
+    return build.batch_table(_conversations(spark, d), S, grouped=False, drop_last=False)
+
+
+@query("""SELECT 'conversations' AS name, conv_id AS id, (64 + 8 + sum(strlen('turn') + 8 + strlen('role') + strlen(role) + strlen('text') + strlen(text)))::BIGINT AS bytes FROM conversations GROUP BY conv_id
+UNION ALL SELECT 'documents', doc_id, (64 + 8 + strlen(text) + strlen(lang) + strlen(source) + 8)::BIGINT FROM documents
+UNION ALL SELECT 'events', event_id, (64 + 8 + 8 + 8 + strlen(event_type) + 8 + strlen(props))::BIGINT FROM events
+UNION ALL SELECT 'embeddings', vec_id, (64 + 8 + 8 * len(embedding) + 8)::BIGINT FROM embeddings""")
+def record_bytes(spark, d):
+    """Estimated bytes of records of any schema, nested ones too."""
+    turns = _conversations(spark, d).groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("turns"))
+    out = None
+    for name, key, rows in (("conversations", "conv_id", turns), *((t, k, _table(spark, d, t)) for t, k in (("documents", "doc_id"), ("events", "event_id"), ("embeddings", "vec_id")))):
+        part = rows.select(F.lit(name).alias("name"), F.col(key).alias("id"), batches.row_size(rows).alias("bytes"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"WITH {_PAIRS} SELECT conv_id, turn, input, output, true AS agree FROM pairs")
+def vocabulary_round_trip(spark, d):
+    """Pairs through a vocabulary of 50,257 tokens and its mask: ids back to text, and lengths as chunks and the cache have them."""
+    import public_tokenizers
+
+    turns, v, root = _conversations(spark, d), Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json")), fresh_dir(spark, "cache")
+    pairs = build.pair_table(turns, v).select(*build.KEYS, v.text(F.col("in_ids")).alias("input"), v.text(F.col("out_ids")).alias("output"))
+    lengths = build.length_table(turns, S, v)
+    kept = build.chunk_table(turns, S, v).groupBy(*build.KEYS).agg(F.max("end").alias("in_chunks"))
+    cached = build.cached_sequences(turns, S, root, f"{d}/conversations.parquet", v).select(*build.KEYS, F.col("total_len").alias("in_cache"))
+    out = pairs.withColumn("seq_id", build.row_key()).join(lengths, "seq_id").join(kept, build.KEYS).join(cached, build.KEYS)
+    return out.select(*build.KEYS, "input", "output", ((F.col("total_len") == F.col("in_chunks")) & (F.col("total_len") == F.col("in_cache"))).alias("agree"))
+
+
+@query(f"""WITH {_BLOCKS}, v AS (SELECT conv_id, turn, chunk_idx, pos, (CASE WHEN gate < 0 THEN 0 ELSE block_id + CASE WHEN gate = 1 THEN sum(CASE WHEN gate = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, chunk_idx, block_id ORDER BY pos) ELSE 0 END END)::BIGINT AS n FROM blocks)
+SELECT conv_id, turn, chunk_idx, sum(n)::BIGINT AS pairs FROM v GROUP BY ALL""")
+def visibility_by_runs(spark, d):
+    """What all queries of a chunk see together, from runs of positions instead of positions."""
+    runs = sequences.visibility_runs(build.chunk_table(_conversations(spark, d), S), build.KEYS)
+    return sequences.run_counts(runs, build.KEYS).groupBy(*build.KEYS, "chunk_idx").agg(F.sum("pairs").alias("pairs"))
+
+
+@query(f"WITH {_SLOTS}, l AS (SELECT conv_id, turn, chunk_idx, pos, input_id FROM slots WHERE regular = 1) SELECT conv_id, turn, chunk_idx, count(*)::BIGINT AS n, sum(input_id)::BIGINT AS mark FROM l GROUP BY ALL")
+def stream_kept_state(spark, d):
+    """The kept state of sequences as a stream folds it, from chunks in files in an order of their own."""
+    path, s = fresh_dir(spark, "chunks"), build.chunk_table(_conversations(spark, d), S)
+    top = F.max("chunk_idx").over(Window.partitionBy(*build.KEYS))
+    chunks = s.select(build.row_key().alias("seq_id"), "chunk_idx", "input_ids", "regular_token_mask", (F.col("chunk_idx") == top).alias("last"))
+    chunks.repartition(3, F.xxhash64("seq_id", "chunk_idx")).write.parquet(path)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    found = streams.drained(streams.kept_state(stream), "append")
+    key = F.split("seq_id", "-")
+    ids = F.aggregate("kept", F.lit(0).cast("long"), lambda a, x: a + x)
+    return found.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "chunk_idx", F.size("kept").cast("long").alias("n"), ids.alias("mark")).filter("n > 0")
+
+
 # Streams.
 
 

@@ -99,7 +99,8 @@ def kept_state(stream: DataFrame, patience: str | None = None) -> DataFrame:
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     made = _Folded(None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000))
-    return stream.groupBy("seq_id").transformWithStateInPandas(made, "seq_id long, chunk_idx long, past long, kept array<long>", "Append", "None" if patience is None else "ProcessingTime")
+    key = stream.schema["seq_id"].dataType.simpleString()
+    return stream.groupBy("seq_id").transformWithStateInPandas(made, f"seq_id {key}, chunk_idx long, past long, kept array<long>", "Append", "None" if patience is None else "ProcessingTime")
 
 
 def past_seen(stream: DataFrame, patience: str | None = None) -> DataFrame:
