@@ -17,6 +17,10 @@ from corpusloom.llm import textvec
 from corpusloom.llm.common import materialise
 
 
+#: Edges that a task replaces by a forest at once.
+RUN = 1 << 20
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each node of the edges a-b but the least of its component, with that least node."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -51,7 +55,7 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]))
         rows += batch.num_rows
-        if rows >= 1 << 20:
+        if rows >= RUN:
             yield stars()
             held, rows = [], 0
     if rows:
@@ -77,7 +81,10 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = links.columns
     plain = links.filter(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("child"), F.least(a, b).alias("parent")).distinct()
-    edges = materialise(plain.mapInArrow(_local, "child long, parent long"), "edges")
+    schema = "child long, parent long"
+    edges = materialise(plain.mapInArrow(_local, schema), "edges")
+    # Forests of tasks are put together to runs of RUN edges, which many tasks share nodes in; few are one run.
+    edges = materialise(edges.repartition(-(-edges.count() // RUN) or 1).mapInArrow(_local, schema), "edges")
     mark = None
     for _ in range(most_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first()

@@ -507,7 +507,7 @@ def _compared(state: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_links(classes: DataFrame, docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
-    """(a, b): confirmed links that connect all texts which confirmed links among those that hang together can connect."""
+    """(a, b): pairs of one component, which connect all texts that confirmed links among those that hang together connect."""
     tried = materialise(near_links(classes, scheme), "candidates")
     sets = shingle_sets(tried, docs)
     good = materialise(confirmed(tried, sets), "links")
@@ -519,7 +519,9 @@ def similar_links(classes: DataFrame, docs: DataFrame, scheme: Scheme = SIMILAR)
     sizes = named.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.sum("n").alias("size"), F.max(F.struct("n", "part")).alias("first"), F.count(F.lit(1)).alias("parts"))
     open_ = materialise(sizes.filter("parts > 1 and size > 2").select("cluster", "size", (F.col("size") - F.col("first.n")).alias("asked"), F.col("first.part").alias("first")), "open")
     state = named.join(maybe_broadcast(open_), "cluster").withColumn("query", F.col("part") != F.col("first")).drop("first")
-    return good.unionByName(materialise(_compared(state, sets), "links"))
+    # Each text with the least of its part stands for the links that held.
+    found = materialise(_compared(state, sets), "links")
+    return named.filter("node <> part").select(F.col("node").alias("a"), F.col("part").alias("b")).unionByName(found)
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = FINE) -> DataFrame:
