@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from corpusloom.operators.batches import latest, rotated, row_size, shard_plan
 from corpusloom.storage import Files, materialise
 
-VERSION = 1
+VERSION = 2
 
 
 def put_text(df_or_spark, path: str, text: str) -> None:
