@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import textvec
-from corpusloom.llm.common import hub_join, materialise, remove, stored, sweep_up
+from corpusloom.llm.common import fresh_dir, hub_join, materialise, remove, stored, sweep_up
+from corpusloom.storage import Files
 
 #: Bytes of text in a block, and pairs of documents and units that are looked at at once.
 BLOCK, CHUNK = 32 << 20, 1 << 17
@@ -453,8 +454,14 @@ def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool
     long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
     document = [docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("codes", T.BinaryType())]
     schema = T.StructType([*long("block"), T.StructField("code", T.IntegerType()), T.StructField("unit", T.StringType()), *document])
-    coded = materialise(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(Coder(cut, schema, BLOCK), schema), "coded")
-    used = coded.filter("code is not null").select("block", "code", "unit")
+    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(Coder(cut, schema, BLOCK), schema)
+    # Units and documents in folders of their own: documents are written anew with their sums.
+    coded_at = fresh_dir(spark, "coded")
+    made.withColumn("document", F.col("code").isNull()).write.partitionBy("document").parquet(coded_at)
+    folder = lambda document: spark.read.schema(schema).parquet(f"{coded_at}/document={document}")
+    none, kinds = spark.createDataFrame([], schema), Files(spark).names(coded_at)
+    read = lambda document: folder(document) if f"document={document}" in kinds else none
+    used = read("false").select("block", "code", "unit")
     encoded = used.select("unit").distinct().mapInArrow(Encoder(a, b), "unit string, a array<int>, a_size array<int>, b array<int>, b_size array<int>, ok boolean")
     encoded, encoded_at = stored(encoded.withColumn("uid", F.monotonically_increasing_id()), "encoded")
     parts = []
@@ -472,7 +479,8 @@ def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool
     said = F.when(F.col("ok"), as_text(F.col("groups"))).otherwise(NOT_OK)
     first = T.StructType([*long("block"), *document, *long(*OWN), T.StructField("said", T.StringType()), *long("pair", "docs")])
     given = used.join(aligned.select("unit", said.alias("said")), "unit").select("block", "code", "said")
-    held = materialise(_by_block(given, coded.filter("code is null").select("block", "doc_id", "n", "codes"), Grouped(texts, first), first), "grouped")
+    held = materialise(_by_block(given, read("true").select("block", "doc_id", "n", "codes"), Grouped(texts, first), first), "grouped")
+    remove(f"{coded_at}/document=true")
     sweep_up(spark)
     counts = materialise(held.filter("pair is not null").groupBy("pair").agg(F.sum("docs").alias("n_docs")), "pairs")
     each = aligned.select("uid", F.inline(as_links(F.col("groups"))))
@@ -481,8 +489,13 @@ def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool
     marked = counts.withColumn("a", F.shiftright("pair", 32)).join(most, "a").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).cast("long").alias("best"))
     sized = materialise(marked.join(each.groupBy("pair").agg(F.count(F.lit(1)).alias("units")), "pair"), "sized")
     number = sized.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
-    sums = hub_join(each, sized, ["pair"], "units", number).groupBy("uid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n_docs")).alias("count_sum"))
-    rated = materialise(aligned.select("uid", "unit").join(sums, "uid").drop("uid"), "rated")
+    rated = None
+    for k in range(SLICES):
+        sweep_up(spark)
+        mine = F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k
+        sums = hub_join(each.filter(mine), sized, ["pair"], "units", number).groupBy("uid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n_docs")).alias("count_sum"))
+        part = materialise(aligned.filter(mine).select("uid", "unit").join(sums, "uid").drop("uid"), "rated")
+        rated = part if rated is None else rated.unionByName(part)
     sweep_up(spark)
     out = T.StructType([document[0], *long(*OWN, *COUNTED), T.StructField("said", T.StringType())])
     counted = used.join(rated, "unit").select("block", "code", *COUNTED)
