@@ -61,8 +61,13 @@ def read_dataset(spark: SparkSession, folder: str) -> DataFrame | None:
     if manifest is None:
         return spark.read.parquet(f"{folder}/rows")
     schema = T.StructType([*T.StructType.fromJson(manifest["schema"]).fields, T.StructField("shard_id", T.LongType())])
-    shards = [f"{folder}/rows/{s}" for s in manifest["shards"]]
-    return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(*shards) if shards else spark.createDataFrame([], schema)
+    n = len(manifest["shards"])
+    if not n:
+        return spark.createDataFrame([], schema)
+    if manifest["shards"] == [f"shard_id={k}" for k in range(n)]:
+        # Numbered through: one folder to list, whatever the number of shards; others there are left out by their number.
+        return spark.read.schema(schema).parquet(f"{folder}/rows").filter(F.col("shard_id") < n)
+    return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(*[f"{folder}/rows/{s}" for s in manifest["shards"]])
 
 
 def read_manifest(spark: SparkSession, folder: str) -> dict | None:

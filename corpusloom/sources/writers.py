@@ -129,6 +129,28 @@ def _staged(rows: DataFrame, folder: str, order: list[str]) -> tuple[DataFrame,
     return (spark.read.schema(schema).parquet(at) if known["rows"] else spark.createDataFrame([], schema)), known
 
 
+#: Places are looked up in blocks of so many, or of more where there would be over MOST_BLOCKS blocks; bytes that a task writes.
+PLACES, MOST_BLOCKS, TASK_BYTES = 64, 100_000, 64 << 20
+
+
+def _block(at: str, rows: int) -> Column:
+    """The block of a place within its range."""
+    return F.floor(F.col(at).bitwiseAND((1 << 33) - 1) / max(PLACES, rows // MOST_BLOCKS)).cast("long")
+
+
+def _begins(plan: DataFrame, rows: int) -> DataFrame:
+    """(range, block, begins): for each block of places where shards begin in it, the open one at its first place."""
+    each = plan.groupBy(F.shiftright("row_id", 33).cast("int").alias(RANGE), _block("row_id", rows).alias("_block"), "shard_id").agg(F.min("row_id").alias("at"))
+    return each.groupBy(RANGE, "_block").agg(F.array_sort(F.collect_list(F.struct("at", "shard_id"))).alias("_begins"))
+
+
+def _in_shards(staged: DataFrame, begins: DataFrame, rows: int) -> DataFrame:
+    """Staged rows with their shard_id, without a shuffle: a row for each block and an element for each shard are broadcast."""
+    found = staged.withColumn("_block", _block(AT, rows)).join(F.broadcast(begins), [RANGE, "_block"])
+    shard = F.element_at(F.filter("_begins", lambda x: x["at"] <= F.col(AT)), -1)["shard_id"]
+    return found.withColumn("shard_id", shard).drop("_block", "_begins")
+
+
 def _runs(shards: list[int], most: int) -> Iterator[list[int]]:
     """Numbers in order, cut where one is left out and after ``most``."""
     own: list[int] = []
@@ -147,8 +169,9 @@ def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget:
     1. One job sorts the rows by range and stages them with their places; the source isn't read after that. Repeated
        ids are rows of their own.
     2. Places and bytes make up the plan. Its digest follows from rows, order and budget.
-    3. Jobs of ``per_job`` shards each read their stretch of the staged rows and replace just their shards; a mark,
-       written after a job, names the plan, the shards and their rows, as counted by the job that wrote them.
+    3. Jobs of ``per_job`` shards each read their stretch of the staged rows and replace just their shards, a task some
+       shards that are next to each other, however the rows were staged; a mark, written after a job, names the plan, the
+       shards and their rows, as counted by the job that wrote them.
     4. The manifest is made of the marks; a sum of rows that isn't the source's is an error.
 
     Broken off anywhere and called again, with this budget or another and any ``per_job``, it goes on with the shards that no
@@ -160,8 +183,9 @@ def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget:
     if files.exists(f"{folder}/manifest.json"):
         return json.loads(files.read(f"{folder}/manifest.json"))
     staged, known = _staged(rows, folder, [row_id] if isinstance(row_id, str) else list(row_id))
-    plan = shard_plan(staged.select(F.col(AT).alias("row_id"), F.col(BYTES).alias("bytes")), budget)
-    shards = plan.groupBy("shard_id").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("rows"))
+    plan = materialise(shard_plan(staged.select(F.col(AT).alias("row_id"), F.col(BYTES).alias("bytes")), budget), "plan")
+    shards = plan.groupBy("shard_id").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
+    begins = materialise(_begins(plan, known["rows"]), "begins")
     # One row for each shard.
     shards = {r["shard_id"]: r for r in materialise(shards, "shards").collect()}
     digest = cache_key({"budget": budget, "rows": known, "shards": [shards[k]["rows"] for k in sorted(shards)]})
@@ -172,13 +196,13 @@ def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget:
             done |= {int(k): n for k, n in mark["rows"].items()}
         else:
             files.remove(f"{marks}/{name}")
-    for own in _runs([k for k in sorted(shards) if k not in done], per_job or max(64, -(-len(shards) // 32))):
+    for own in _runs([k for k in sorted(shards) if k not in done], per_job or max(4096, -(-len(shards) // 8))):
         first, last = shards[own[0]]["first"], shards[own[-1]]["last"]
         part = staged.filter((F.col(RANGE) >= first >> 33) & (F.col(RANGE) <= last >> 33) & F.col(AT).between(first, last))
-        begins = F.array(*[F.lit(shards[k]["first"]) for k in own])
-        shard = F.lit(own[0] - 1) + F.size(F.filter(begins, lambda x: x <= F.col(AT)))
-        out = part.withColumn("shard_id", shard.cast("long")).repartition(F.col(RANGE)).sortWithinPartitions("shard_id", AT).drop(RANGE, AT, BYTES)
-        save = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(f"{folder}/rows")
+        tasks = min(len(own), max(4 * spark.sparkContext.defaultParallelism, sum(shards[k]["bytes"] for k in own) // TASK_BYTES))
+        task = F.floor((F.col("shard_id") - own[0]) * tasks / len(own)).cast("int")
+        out = _in_shards(part, begins, known["rows"]).repartitionById(tasks, task).sortWithinPartitions("shard_id", AT).drop(RANGE, AT, BYTES)
+        save = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("shard_id").parquet(f"{folder}/rows")
         wrote = Report().write(out, save).counts["rows"]
         if wrote != (planned := sum(shards[k]["rows"] for k in own)):
             raise RuntimeError(f"shards {own[0]} to {own[-1]} have {wrote} rows of {planned}")

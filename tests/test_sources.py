@@ -232,3 +232,16 @@ def test_elapsed_seconds():
     with writers.Timer() as t:
         sum(range(1000))
     assert 0 < t.seconds < 5
+
+
+def test_shards_of_one_range_are_written_by_many_tasks(spark, tmp_path):
+    """Rows that one task has staged: their shards are dealt to tasks of their own, each whole shards next to each other."""
+    rows, folder = _sequences(spark), str(tmp_path / "cache")
+    n = writers.write_dataset(rows, folder, "id", 700, {})["num_shards"]
+    files = {int(p.parent.name[9:]): int(p.name[5:10]) for p in (tmp_path / "cache" / "rows").glob("shard_id=*/part-*")}
+    assert len(files) == n > 6 and len(list((tmp_path / "cache" / "rows").glob("shard_id=*/part-*"))) == n
+    assert len(set(files.values())) > n // 2
+    assert [files[k] for k in range(n)] == sorted(files.values())
+    # A shard that the manifest doesn't have is none of the dataset's.
+    (tmp_path / "cache" / "rows" / "shard_id=0").rename(tmp_path / "cache" / "rows" / f"shard_id={n}")
+    assert readers.read_dataset(spark, folder).count() < 40
