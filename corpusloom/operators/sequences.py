@@ -82,11 +82,14 @@ def chunk_bounds(rows: DataFrame, keys: list[str], draft: int, chunk: int, least
 
 
 def chunks(rows: DataFrame, keys: list[str], draft: int, chunk: int, least: int, sizes: list[int]) -> DataFrame:
-    """Chunks with their slices of the arrays, padded to target_len. One pass, no join: rows are exploded in place."""
+    """Chunks with their slices of the arrays, padded to target_len, and past, the regular tokens of the row before them.
+    One pass, no join and no sort: rows are exploded in place."""
     kept = F.struct(*ARRAYS).alias("arrays")
-    cut = chunk_bounds(rows.select(*keys, kept, prompt_length(F.col("gate_mask")).alias("prompt_len"), "total_len"), [*keys, "arrays"], draft, chunk, least, sizes)
+    regular = V.places_of(F.col("regular_token_mask")).alias("regular")
+    cut = chunk_bounds(rows.select(*keys, kept, regular, prompt_length(F.col("gate_mask")).alias("prompt_len"), "total_len"), [*keys, "arrays", "regular"], draft, chunk, least, sizes)
     part = lambda a: V.padded(F.slice(F.col(f"arrays.{a}"), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")), F.col("target_len"), PADS[a])
-    return cut.select(*keys, "chunk_idx", "start", "end", "target_len", *[part(a).alias(a) for a in ARRAYS])
+    past = F.size(F.filter("regular", lambda i: i < F.col("start"))).cast("long").alias("past")
+    return cut.select(*keys, "chunk_idx", "start", "end", "target_len", *[part(a).alias(a) for a in ARRAYS], past)
 
 
 def is_valid(gate: Column) -> Column:
@@ -112,9 +115,12 @@ def require_no_mask(rows: DataFrame, columns: list[str], mask: int = MASK_ID) ->
 
 
 def past_seen(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds n_regular and past: regular tokens of the chunk, and of all before it."""
+    """Adds n_regular and past: regular tokens of the chunk, and of all before it. Chunks that have their past keep it."""
+    counted = parts.withColumn("n_regular", V.total(V.doubles(F.col("regular_token_mask"))).cast("long"))
+    if "past" in parts.columns:
+        return counted
     before = Window.partitionBy(*keys).orderBy("chunk_idx").rowsBetween(Window.unboundedPreceding, -1)
-    return parts.withColumn("n_regular", V.total(V.doubles(F.col("regular_token_mask"))).cast("long")).withColumn("past", F.coalesce(F.sum("n_regular").over(before), F.lit(0)))
+    return counted.withColumn("past", F.coalesce(F.sum("n_regular").over(before), F.lit(0)))
 
 
 def seen_state(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,25 +130,59 @@ def seen_state(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def position_gaps(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Regular tokens whose position isn't the number of those before them; empty for well-formed rows."""
-    rows = positions(past_seen(parts, keys), *keys, "chunk_idx", "past").filter("regular = 1")
-    w = Window.partitionBy(*keys, "chunk_idx").orderBy("pos")
-    return rows.withColumn("expected", F.col("past") + F.row_number().over(w) - 1).filter(F.col("expected") != F.col("position_id"))
+    found = past_seen(parts, keys).withColumn("places", V.places_of(F.col("regular_token_mask")))
+    each = found.select(*keys, "chunk_idx", "past", "position_ids", F.posexplode("places").alias("nth", "pos"))
+    return each.select(*keys, "chunk_idx", "pos", (F.col("past") + F.col("nth")).alias("expected"), F.get("position_ids", F.col("pos").cast("int")).alias("position_id")).filter(F.col("expected") != F.col("position_id"))
+
+
+def _spread(places: Column, length: Column, value) -> Column:
+    """An array of ``length``: 0 before the first place, and from place x, the i-th of them, to the next one value(x, i)."""
+    upto = lambda i: F.coalesce(F.get(places, i + 1), length)
+    first = F.array_repeat(F.lit(0).cast("long"), F.coalesce(F.get(places, F.lit(0)), length).cast("int"))
+    return F.concat(first, F.flatten(F.transform(places, lambda x, i: F.array_repeat(value(x, i), (upto(i) - x).cast("int")))))
+
+
+def block_arrays(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk_idx, past, plain, masked, each): a row for a chunk, worked out inside of it. plain and masked are the places
+    of gates 0 and 1; each has for every position its gate, how many of either kind there are up to here, and before, how many
+    masked ones up to the last plain one."""
+    at = lambda gate, v: F.filter(F.transform(gate, lambda g, i: F.when(g == v, i.cast("long"))), lambda i: i.isNotNull())
+    # Inside a lambda an array is worked out for every element, unless it is let stand.
+    placed = V.let(F.col("gate_mask"), lambda g: F.struct(g.alias("gate"), F.size(g).cast("long").alias("length"), at(g, 0).alias("plain"), at(g, 1).alias("masked")))
+    count = lambda x, i: (i + 1).cast("long")
+    counted = V.let(placed, lambda s: F.struct(s["gate"].alias("gate"), s["length"].alias("length"), s["plain"].alias("plain"), s["masked"].alias("masked"), _spread(s["plain"], s["length"], count).alias("n_plain"), _spread(s["masked"], s["length"], count).alias("n_masked")))
+
+    def whole(s: Column) -> Column:
+        before = _spread(s["plain"], s["length"], lambda x, i: F.get(s["n_masked"], x.cast("int")))
+        each = F.arrays_zip(s["gate"].alias("gate"), s["n_plain"].alias("n_plain"), s["n_masked"].alias("n_masked"), before.alias("before"))
+        return F.struct(s["plain"].alias("plain"), s["masked"].alias("masked"), each.alias("each"))
+
+    return past_seen(parts, keys).select(*keys, "chunk_idx", "past", V.let(counted, whole).alias("s")).select(*keys, "chunk_idx", "past", "s.plain", "s.masked", "s.each")
 
 
 def blocks(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, chunk_idx, pos, gate, block_id): the block counts positions with gate 0 up to here, past ones too."""
-    rows = positions(past_seen(parts, keys), *keys, "chunk_idx", "past")
-    w = Window.partitionBy(*keys, "chunk_idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(*keys, "chunk_idx", "pos", "gate", "past", (F.col("past") + F.sum((F.col("gate") == 0).cast("long")).over(w)).alias("block_id"))
+    """(keys, chunk_idx, pos, gate, past, block_id, nth): the block counts positions with gate 0 up to here, past ones too;
+    nth counts those of gate 1 in the block up to here. Chunks are exploded in place: no row is sorted."""
+    rows = block_arrays(parts, keys).select(*keys, "chunk_idx", "past", F.posexplode("each").alias("pos", "x"))
+    return rows.select(*keys, "chunk_idx", F.col("pos").cast("long").alias("pos"), F.col("x.gate").alias("gate"), "past", (F.col("past") + F.col("x.n_plain")).alias("block_id"), (F.col("x.n_masked") - F.col("x.before")).alias("nth"))
 
 
 def visible_counts(block_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, chunk_idx, pos, n_visible): how many keys each query sees, by running sums instead of pairs."""
-    w = Window.partitionBy(*keys, "chunk_idx", "block_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.when(F.col("gate") == 1, F.sum((F.col("gate") == 1).cast("long")).over(w)).otherwise(0)
+    """(keys, chunk_idx, pos, n_visible): how many keys each query sees, from blocks, without pairs."""
+    own = F.when(F.col("gate") == 1, F.col("nth")).otherwise(0)
     return block_rows.withColumn("n_visible", F.when(F.col("gate") < 0, 0).otherwise(F.col("block_id") + own)).select(*keys, "chunk_idx", "pos", "n_visible")
 
 
+def chunk_pairs(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, chunk_idx, q, k): the visible pairs of each chunk, from its own arrays: no join and no sort. A query sees the plain
+    places up to its own, and a masked one those masked ones, too, that its block has up to here."""
+    each = block_arrays(parts, keys).select(*keys, "chunk_idx", "plain", "masked", F.posexplode("each").alias("q", "x"))
+    x = lambda c: F.col(f"x.{c}").cast("int")
+    plain = F.slice("plain", F.lit(1), x("n_plain"))
+    own = F.when(F.col("x.gate") == 1, F.slice("masked", x("before") + 1, x("n_masked") - x("before"))).otherwise(F.array().cast("array<bigint>"))
+    return each.filter("x.gate >= 0").select(*keys, "chunk_idx", F.col("q").cast("long").alias("q"), F.explode(F.concat(plain, own)).alias("k"))
+
+
 def visibility_rules(q: str, k: str) -> dict[str, Column]:
     """The single rules over a query and a key of a chunk."""
     at = lambda side, c: F.col(f"{side}.{c}")
@@ -159,7 +199,8 @@ def visibility_rules(q: str, k: str) -> dict[str, Column]:
 
 
 def visible_pairs(block_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, chunk_idx, q, k): visible pairs inside a chunk. Quadratic in the chunk's length, which is bounded."""
+    """(keys, chunk_idx, q, k): visible pairs inside a chunk, from the rules: a join of rows of positions, against which
+    chunk_pairs is tested. Quadratic in the chunk's length, which is bounded."""
     on = [F.col(f"q.{c}") == F.col(f"k.{c}") for c in (*keys, "chunk_idx")]
     r = visibility_rules("q", "k")
     plain = r["query_plain"] & r["key_plain"]

@@ -330,7 +330,7 @@ def continuity_check(spark, d):
 
 @query(f"WITH {_BLOCKS} SELECT * FROM blocks")
 def block_ids(spark, d):
-    return sequences.blocks(build.chunk_table(_conversations(spark, d), S), build.KEYS).drop("past")
+    return sequences.blocks(build.chunk_table(_conversations(spark, d), S), build.KEYS).drop("past", "nth")
 
 
 @query(f"""WITH {_BLOCKS} SELECT conv_id, turn, chunk_idx, pos, (CASE WHEN gate < 0 THEN 0 ELSE block_id + CASE WHEN gate = 1 THEN sum(CASE WHEN gate = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, chunk_idx, block_id ORDER BY pos) ELSE 0 END END)::BIGINT AS n_visible FROM blocks""")
@@ -340,7 +340,7 @@ def visibility_counts(spark, d):
 
 @query(f"""WITH {_BLOCKS} SELECT q.conv_id, q.turn, q.chunk_idx, count(*)::BIGINT AS n_pairs, sum(q.pos * 1000 + k.pos)::BIGINT AS mark FROM blocks q JOIN blocks k ON q.conv_id = k.conv_id AND q.turn = k.turn AND q.chunk_idx = k.chunk_idx AND k.pos <= q.pos AND q.gate >= 0 AND k.gate >= 0 AND (k.gate = 0 OR q.gate = 1 AND q.block_id = k.block_id) GROUP BY ALL""")
 def visibility_pairs(spark, d):
-    found = sequences.visible_pairs(sequences.blocks(build.chunk_table(_conversations(spark, d), S), build.KEYS), build.KEYS)
+    found = sequences.chunk_pairs(build.chunk_table(_conversations(spark, d), S), build.KEYS)
     return found.groupBy(*build.KEYS, "chunk_idx").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum(F.col("q") * 1000 + F.col("k")).alias("mark"))
 
 

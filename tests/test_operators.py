@@ -347,3 +347,26 @@ def test_the_mask_must_be_known_and_in_no_text(spark):
     assert sequences.require_no_mask(rows, ["in_ids", "out_ids"], 9).count() == 1
     with pytest.raises(ValueError):
         sequences.require_no_mask(rows, ["in_ids", "out_ids"], 3)
+
+
+def test_visibility_inside_chunks_sorts_nothing(spark):
+    """Gates in any order, pads between them too, against the rules; and no plan has a sort, a window or a join."""
+    rng = random.Random(8)
+    gates = [[rng.choice((-1, 0, 0, 1, 1, 1)) for _ in range(n)] for n in (0, 1, 2, 9, 30, 30)]
+    rows = [(k // 2, k % 2, g, [int(x == 0) for x in g], 0 if k % 2 == 0 else sum(x == 0 for x in gates[k - 1])) for k, g in enumerate(gates)]
+    whole = spark.createDataFrame([(*r[:2], [0] * len(r[2]), [0] * len(r[2]), *r[2:]) for r in rows], "seq long, chunk_idx long, input_ids array<long>, position_ids array<long>, gate_mask array<long>, regular_token_mask array<long>, past long")
+    found = sequences.blocks(whole, ["seq"])
+    assert sorted(found.collect()) == sorted(sequences.blocks(whole.drop("past"), ["seq"]).collect())
+    slow = {}
+    for seq, idx, g, _, past in rows:
+        block, nth = past, 0
+        for pos, x in enumerate(g):
+            block, nth = block + (x == 0), 0 if x == 0 else nth + (x == 1)
+            slow[(seq, idx, pos)] = (x, block, nth)
+    assert {(r["seq"], r["chunk_idx"], r["pos"]): (r["gate"], r["block_id"], r["nth"]) for r in found.collect()} == slow
+    pairs = sequences.chunk_pairs(whole, ["seq"])
+    expected = [(s, c, q, k) for (s, c, q), (gq, bq, _) in slow.items() for k in range(q + 1) for gk, bk, _ in [slow[(s, c, k)]] if gq >= 0 and gk >= 0 and (gk == 0 or gq == 1 and bq == bk)]
+    assert sorted(map(tuple, pairs.collect())) == sorted(expected) == sorted(map(tuple, sequences.visible_pairs(found, ["seq"]).collect()))
+    for df in (found, sequences.visible_counts(found, ["seq"]), pairs):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("Sort", "Window", "Join", "Exchange"))
