@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -39,7 +39,8 @@ class _Folded(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.done = handle.getValueState("done", "chunk_idx long, past long")
+        #: The chunk that is next, -1 once all are folded in; the tokens before it; how many chunks wait.
+        self.done = handle.getValueState("done", "chunk_idx long, past long, held long")
         self.waiting = handle.getListState("waiting", "chunk_idx long, kept array<long>, last boolean")
 
     def _rows(self, key, waiting: list[tuple], following: int, past: int) -> tuple[list[tuple], list[tuple], int, int]:
@@ -51,18 +52,14 @@ class _Folded(StatefulProcessor):
             past, following = past + len(kept), -1 if last else following + 1
         return out, [held[k] for k in sorted(held)], following, past
 
-    @staticmethod
-    def _frame(rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=["seq_id", "chunk_idx", "past", "kept"]).astype({"past": "Int64"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        following, past = self.done.get() if self.done.exists() else (0, 0)
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        """Rows there and back, not a frame for each sequence; the state is asked once, and once more where chunks wait."""
+        following, past, waits = self.done.get() or (0, 0, 0)
         # A chunk that comes again replaces itself; one that has been folded in is passed over.
-        held = {int(w[0]): (int(w[0]), [int(x) for x in w[1]], bool(w[2])) for w in self.waiting.get()} if self.waiting.exists() else {}
-        for frame in rows:
-            for idx, ids, regular, last in zip(frame["chunk_idx"], frame["input_ids"], frame["regular_token_mask"], frame["last"], strict=True):
-                if idx >= following >= 0:
-                    held[int(idx)] = (int(idx), [int(x) for x, r in zip(ids, regular, strict=True) if r], bool(last))
+        held = {int(w[0]): (int(w[0]), [int(x) for x in w[1]], bool(w[2])) for w in self.waiting.get()} if waits else {}
+        for r in rows:
+            if r["chunk_idx"] >= following >= 0:
+                held[r["chunk_idx"]] = (r["chunk_idx"], [x for x, kept in zip(r["input_ids"], r["regular_token_mask"], strict=True) if kept], r["last"])
         out, left, following, past = self._rows(key[0], list(held.values()), following, past)
         if following < 0:
             # Whole. That it is done is all that is kept, so that what comes again gives nothing.
@@ -72,18 +69,21 @@ class _Folded(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             if left:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
-        self.done.update((following, past))
-        self.waiting.put(left) if left else self.waiting.clear()
-        if out:
-            yield self._frame(out)
+        self.done.update((following, past, len(left)))
+        if left:
+            self.waiting.put(left)
+        elif waits:
+            self.waiting.clear()
+        for row in out:
+            yield Row(seq_id=row[0], chunk_idx=row[1], past=row[2], kept=row[3])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """What waits is given without a past, and the sequence is over."""
         left = [(int(w[0]), [int(x) for x in w[1]]) for w in self.waiting.get()] if self.waiting.exists() else []
         self.waiting.clear()
-        self.done.update((-1, 0))
-        if left:
-            yield self._frame([(key[0], idx, None, kept) for idx, kept in sorted(left)])
+        self.done.update((-1, 0, 0))
+        for idx, kept in sorted(left):
+            yield Row(seq_id=key[0], chunk_idx=idx, past=None, kept=kept)
 
     def close(self) -> None:
         pass
@@ -100,7 +100,7 @@ def kept_state(stream: DataFrame, patience: str | None = None) -> DataFrame:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     made = _Folded(None if patience is None else int(pd.Timedelta(patience).total_seconds() * 1000))
     key = stream.schema["seq_id"].dataType.simpleString()
-    return stream.groupBy("seq_id").transformWithStateInPandas(made, f"seq_id {key}, chunk_idx long, past long, kept array<long>", "Append", "None" if patience is None else "ProcessingTime")
+    return stream.groupBy("seq_id").transformWithState(made, f"seq_id {key}, chunk_idx long, past long, kept array<long>", "Append", "None" if patience is None else "ProcessingTime")
 
 
 def past_seen(stream: DataFrame, patience: str | None = None) -> DataFrame:

@@ -116,3 +116,33 @@ def test_runs_of_a_long_row_grow_with_its_blocks(spark):
     plain = 50_000 * 50_001 // 2
     expected = plain + sum(50_001 + b + sum(50_001 + b + m for m in range(1, 5)) for b in range(10_000))
     assert found["pairs"] == expected
+
+
+class _Counted:
+    """A state of one key that notes what is asked of it."""
+
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.calls.append(name)
+            if name in ("update", "put", "clear"):
+                self.value = args[0] if args else None
+            return self.value is not None if name == "exists" else self.value
+
+        return call
+
+
+def test_a_sequence_asks_its_state_no_more_than_it_must():
+    """Twice for chunks that come in their order, twice more where some wait; rows come and go, no frame for a sequence."""
+    calls = []
+    handle = type("Handle", (), {"getValueState": lambda *_: _Counted(calls), "getListState": lambda *_: _Counted(calls)})()
+    made = streams._Folded(None)
+    made.init(handle)
+    chunk = lambda idx, last=False: {"chunk_idx": idx, "input_ids": [idx, 9], "regular_token_mask": [1, 0], "last": last}
+    fold = lambda *chunks: [tuple(r) for r in made.handleInputRows(("s",), iter(chunks), None)]
+    assert fold(chunk(0)) == [("s", 0, 0, [0])] and calls == ["get", "update"]
+    assert fold(chunk(2)) == [] and calls[2:] == ["get", "update", "put"]
+    assert fold(chunk(3, True), chunk(1)) == [("s", 1, 1, [1]), ("s", 2, 2, [2]), ("s", 3, 3, [3])] and calls[5:] == ["get", "get", "update", "clear"]
+    assert fold(chunk(1)) == [] and calls[9:] == ["get", "update"]
