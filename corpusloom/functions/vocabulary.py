@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,18 @@ from corpusloom.storage import Files
 _made: dict[str, object] = {}
 
 
+def _tokenizer(name: str, sent: Broadcast):
+    """The tokenizer that was sent, made once a process. Of the module: what functions within others refer to goes with each
+    task as a copy, and so would the tokenizers."""
+    if name not in _made:
+        from tokenizers import Tokenizer
+
+        _made.clear()
+        _made[name] = Tokenizer.from_str(sent.value)
+        _made[name].encode_special_tokens = True
+    return _made[name]
+
+
 class StandIn:
     """Tokens without a vocabulary file: runs of anything but white space, 32 bits of their MD5 as ids."""
 
@@ -55,13 +68,7 @@ class Vocabulary:
         sent, name = self.sent, self.fingerprint
 
         def encoded(texts: list) -> list:
-            if name not in _made:
-                from tokenizers import Tokenizer
-
-                _made.clear()
-                _made[name] = Tokenizer.from_str(sent.value)
-                _made[name].encode_special_tokens = True
-            found = iter(_made[name].encode_batch_fast([t for t in texts if t is not None], add_special_tokens=False))
+            found = iter(_tokenizer(name, sent).encode_batch_fast([t for t in texts if t is not None], add_special_tokens=False))
             return [None if t is None else next(found).ids for t in texts]
 
         return encoded
@@ -89,15 +96,13 @@ class Vocabulary:
 
     def text(self, ids: Column) -> Column:
         """The text that an array of ids stands for."""
-        sent = self.sent
+        sent, name = self.sent, self.fingerprint
 
         @F.pandas_udf("string")
         def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            from tokenizers import Tokenizer
-
-            made = Tokenizer.from_str(sent.value)
             for rows in batches:
-                yield pd.Series([None if x is None else made.decode([int(i) for i in x], skip_special_tokens=False) for x in rows], dtype=object)
+                found = iter(_tokenizer(name, sent).decode_batch([[int(i) for i in x] for x in rows if x is not None], skip_special_tokens=False))
+                yield pd.Series([None if x is None else next(found) for x in rows], dtype=object)
 
         return texts(ids)
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return Files(spark).exists(path)
 
 
+@contextmanager
+def _few_listers(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by some tasks a core, not by one each."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def read_dataset(spark: SparkSession, folder: str) -> DataFrame | None:
     """The rows of a cached dataset with their shard_id, shard by shard as its manifest lists them, or whole; None if it
     isn't complete. A dataset without rows has the columns that its manifest names."""
@@ -66,7 +80,8 @@ def read_dataset(spark: SparkSession, folder: str) -> DataFrame | None:
         return spark.createDataFrame([], schema)
     if manifest["shards"] == [f"shard_id={k}" for k in range(n)]:
         # Numbered through: one folder to list, whatever the number of shards; others there are left out by their number.
-        return spark.read.schema(schema).parquet(f"{folder}/rows").filter(F.col("shard_id") < n)
+        with _few_listers(spark):
+            return spark.read.schema(schema).parquet(f"{folder}/rows").filter(F.col("shard_id") < n)
     return spark.read.schema(schema).option("basePath", f"{folder}/rows").parquet(*[f"{folder}/rows/{s}" for s in manifest["shards"]])
 
 

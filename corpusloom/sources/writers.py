@@ -5,9 +5,15 @@ from __future__ import annotations
 import hashlib
 import json
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,7 +122,9 @@ def _staged(rows: DataFrame, folder: str, order: list[str]) -> tuple[DataFrame,
     files = Files(spark)
     tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes])
     if not files.exists(mark):
-        keyed = rows.withColumns({BYTES: row_size(rows), "_tie": tie})
+        # As they come at first: the sort runs what it sorts twice, once for its bounds.
+        rows.withColumns({BYTES: row_size(rows), "_tie": tie}).write.mode("overwrite").parquet(f"{folder}/unsorted")
+        keyed = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(BYTES, T.LongType()), T.StructField("_tie", T.LongType())])).parquet(f"{folder}/unsorted")
         keys = [*order, "_tie"]
         placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(AT, F.monotonically_increasing_id())
         # The range is in the upper bits of the place.
@@ -124,6 +132,7 @@ def _staged(rows: DataFrame, folder: str, order: list[str]) -> tuple[DataFrame,
         digest = F.sum(F.xxhash64("_tie", BYTES).cast("decimal(38,0)")).cast("string")
         seen = Report().write(out, lambda df: df.drop("_tie").write.mode("overwrite").partitionBy(RANGE).parquet(at), F.coalesce(F.sum(F.col(BYTES)), F.lit(0)).alias("bytes"), digest.alias("digest"))
         files.write(mark, json.dumps(seen.counts))
+        files.remove(f"{folder}/unsorted")
     known = json.loads(files.read(mark))
     schema = T.StructType([*rows.schema.fields, T.StructField(BYTES, T.LongType()), T.StructField(AT, T.LongType()), T.StructField(RANGE, T.IntegerType())])
     return (spark.read.schema(schema).parquet(at) if known["rows"] else spark.createDataFrame([], schema)), known
@@ -163,11 +172,66 @@ def _runs(shards: list[int], most: int) -> Iterator[list[int]]:
         yield own
 
 
+class ShardFiles:
+    """mapInArrow function: rows sorted by shard_id, whole shards in a task, to one Parquet file for each, (shard_id, rows).
+
+    A file is written elsewhere and moved to its place, where it takes that of any other of its shard; its name follows from
+    the job and the task, so that another attempt puts the same there again.
+    """
+
+    def __init__(self, folder: str, work: str) -> None:
+        self.folder, self.work = folder, work
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+        for batch in batches:
+            shard = batch.column("shard_id").to_numpy()
+            edge = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for low, high in zip(edge, edge[1:], strict=False):
+                if low < high:
+                    if held and own != shard[low]:
+                        yield self.saved(own, held)
+                        held = []
+                    own = int(shard[low])
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield self.saved(own, held)
+
+    def saved(self, shard: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        fs, folder = pafs.FileSystem.from_uri(f"{self.folder}/shard_id={shard}")
+        job = pafs.FileSystem.from_uri(self.work)[1]
+        work, name = f"{job}/{uuid.uuid4().hex}", f"part-{TaskContext.get().partitionId():05d}-{job[-32:]}.parquet"
+        table = pa.Table.from_batches(held).drop_columns(["shard_id"])
+        pq.write_table(table, work, filesystem=fs, compression="snappy", store_schema=False)
+        fs.create_dir(folder)
+        for other in fs.get_file_info(pafs.FileSelector(folder)):
+            if other.base_name != name:
+                fs.delete_file(other.path)
+        fs.move(work, f"{folder}/{name}")
+        return pa.record_batch([pa.array([shard]), pa.array([table.num_rows])], names=["shard_id", "rows"])
+
+
+def _save_shards(df: DataFrame, folder: str) -> None:
+    """Write whole shards, which df's tasks have sorted, in place of what these shards had.
+
+    On a local disk Hadoop starts a process for each file and folder that is made, to set its permissions, where its native
+    library is missing; shards are small and many, so that their files are written from tasks there.
+    """
+    files, kinds = Files(df.sparkSession), df.schema.simpleString()
+    if files.local(folder) and not any(x in kinds for x in ("interval", "variant", "udt", "void")):
+        at, work = files.uri(folder), files.uri(f"{folder}-{uuid.uuid4().hex}")
+        files.make_dir(work)
+        df.mapInArrow(ShardFiles(at, work), "shard_id long, rows long").write.format("noop").mode("overwrite").save()
+        files.remove(work)
+    else:
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("shard_id").parquet(folder)
+
+
 def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget: int, meta: Mapping[str, object], per_job: int | None = None) -> dict:
     """Rows as Parquet in shards of at most ``budget`` estimated bytes, contiguous in the order of row_id, with a manifest.
 
-    1. One job sorts the rows by range and stages them with their places; the source isn't read after that. Repeated
-       ids are rows of their own.
+    1. One job writes the rows as they come, so that the source is run once; another sorts them by range and stages them with
+       their places. Repeated ids are rows of their own.
     2. Places and bytes make up the plan. Its digest follows from rows, order and budget.
     3. Jobs of ``per_job`` shards each read their stretch of the staged rows and replace just their shards, a task some
        shards that are next to each other, however the rows were staged; a mark, written after a job, names the plan, the
@@ -202,7 +266,7 @@ def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget:
         tasks = min(len(own), max(4 * spark.sparkContext.defaultParallelism, sum(shards[k]["bytes"] for k in own) // TASK_BYTES))
         task = F.floor((F.col("shard_id") - own[0]) * tasks / len(own)).cast("int")
         out = _in_shards(part, begins, known["rows"]).repartitionById(tasks, task).sortWithinPartitions("shard_id", AT).drop(RANGE, AT, BYTES)
-        save = lambda df: df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("shard_id").parquet(f"{folder}/rows")
+        save = lambda df: _save_shards(df, f"{folder}/rows")
         wrote = Report().write(out, save).counts["rows"]
         if wrote != (planned := sum(shards[k]["rows"] for k in own)):
             raise RuntimeError(f"shards {own[0]} to {own[-1]} have {wrote} rows of {planned}")

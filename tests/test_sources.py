@@ -245,3 +245,33 @@ def test_shards_of_one_range_are_written_by_many_tasks(spark, tmp_path):
     # A shard that the manifest doesn't have is none of the dataset's.
     (tmp_path / "cache" / "rows" / "shard_id=0").rename(tmp_path / "cache" / "rows" / f"shard_id={n}")
     assert readers.read_dataset(spark, folder).count() < 40
+
+
+def test_a_dataset_runs_its_source_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def passed(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = _sequences(spark)
+    writers.write_dataset(rows.mapInPandas(passed, rows.schema), str(tmp_path / "cache"), "id", 700, {})
+    assert seen.value == 40
+    assert not list((tmp_path / "cache").glob("unsorted*")) and not list((tmp_path / "cache").glob("rows-*"))
+
+
+def test_shards_are_the_same_on_a_local_disk_and_in_other_stores(spark, tmp_path, monkeypatch):
+    """Nulls, nested values and all; shards written from tasks take the place of those that Spark's writer has left."""
+    rows = _sequences(spark).selectExpr("*", "if(id % 3 = 0, null, named_struct('d', date'2020-01-01', 'm', map('a', timestamp'2020-01-01 01:02:03'))) AS x", "cast(id AS decimal(20, 3)) AS y")
+    monkeypatch.setattr(writers.Files, "local", lambda self, path: False)
+    plan = writers.write_dataset(rows, str(tmp_path / "a"), "id", 1300, {})
+    writers.write_dataset(rows, str(tmp_path / "b"), "id", 1300, {})
+    monkeypatch.undo()
+    (tmp_path / "b" / "manifest.json").unlink()
+    for mark in (tmp_path / "b" / "done").iterdir():
+        mark.unlink()
+    assert writers.write_dataset(rows, str(tmp_path / "b"), "id", 1300, {}) == plan
+    content = lambda name: sorted(map(str, readers.read_dataset(spark, str(tmp_path / name)).collect()))
+    assert content("a") == content("b") and plan["num_shards"] > 3
+    assert len(list((tmp_path / "b" / "rows").glob("shard_id=*/*.parquet"))) == plan["num_shards"]

@@ -76,3 +76,26 @@ def test_the_order_of_rows_is_that_of_the_dataset(spark, tmp_path):
     back = readers.read_dataset(spark, str(folder)).groupBy("shard_id").agg(F.collect_list("conv_id").alias("ids")).orderBy("shard_id").collect()
     assert [i for r in back for i in r["ids"]] == [1, 2, 10, 30]
     assert json.loads((folder / "manifest.json").read_text())["num_shards"] > 1
+
+
+def test_a_process_makes_a_tokenizer_once(spark, tmp_path):
+    """A function that was sent to a task uses the process' tokenizers, and brings none of its own."""
+    from types import SimpleNamespace
+
+    from pyspark.cloudpickle import dumps, loads
+
+    from corpusloom.functions import vocabulary
+
+    v = Vocabulary(spark, _file(tmp_path, "v.json", ["a", "b"]))
+    v.sent = SimpleNamespace(value=v.sent.value)
+    sent = dumps(v._encoder())
+    vocabulary._made.clear()
+    assert loads(sent)(["a b", None]) == [[1, 2], None]
+    (made,) = vocabulary._made.values()
+    assert loads(sent)(["b"]) == [[2]] and vocabulary._made == {v.fingerprint: made}
+
+
+def test_ids_back_to_texts(spark, tmp_path):
+    v = Vocabulary(spark, _file(tmp_path, "v.json", ["a", "b"]))
+    rows = spark.createDataFrame([(1, [1, 2, 1]), (2, None), (3, []), (4, [2, 3])], "k int, ids array<long>")
+    assert [r["t"] for r in rows.orderBy("k").select(v.text(F.col("ids")).alias("t")).collect()] == ["a b a", None, "", "b <mask>"]
