@@ -127,3 +127,11 @@ def test_kept_bytes_and_no_rows(spark):
     docs = documents(spark, [(1, passage, "en", "s"), (2, f"before {passage}after", "en", "s")])
     assert {r["doc_id"]: bytes(r["kept_bytes"]) for r in bwt_dedup.remove_repeats(docs, bodies=True).collect()} == {1: b"", 2: b"before after"}
     assert bwt_dedup.remove_repeats(nothing(spark)).count() == 0
+
+
+def test_tasks_do_several_parts(spark, monkeypatch):
+    """Small parts, several to a task: none is mixed up with the next one of its task."""
+    monkeypatch.setattr(bwt_dedup, "PART", 4000)
+    monkeypatch.setattr(bwt_dedup, "PARTS", 5)
+    check(documents(spark, rows(11)))
+    assert bwt_dedup.PART * bwt_dedup.PARTS <= 1 << 20
