@@ -6,17 +6,15 @@ tokens, one of each tokenizer, are links.
 1. Units. Where neither vocabulary has a token that goes on over a blank after a printing character, texts are cut there;
    such a unit has the same tokens wherever it stands. Otherwise the whole text is one. Of a block of up to BLOCK bytes
    of text the units become numbers, and its distinct ones a dictionary.
-2. Alignment, by joins and windows, of each distinct unit of the corpus once: tokens are exploded with their places,
-   running sums of their lengths are their ends, a full join on (unit, end) finds the cuts, running counts of cuts
-   number the groups, and the tokens of a group are linked. SLICES of the units one after another, so that what the
-   shuffles leave on disk is a fraction.
-3. Counts. Groups go to the blocks that have their units, where documents get their own sums, and each document's
-   distinct pairs are counted; blocks send a row for each pair. Sums by pair are joined to the units' links, and the
-   commonest of each id is marked.
-4. What the counts of a unit's links add up to goes to the blocks that have it, and completes the documents' rows.
-
-Pairs that are in a great many units are joined in several places; nothing is gathered beyond a block, whose bytes are
-bounded, or a unit.
+2. Alignment of each distinct unit of a block once. Units that may follow each other in a text are encoded as one, RUN
+   bytes of them at once. Running sums of the tokens' lengths are their ends, ends of both kinds are cuts, running counts
+   of cuts number the groups, and the distinct tokens of a group are linked, with how often. Documents get their own sums
+   and digests; a block sends a row for each of its pairs, with the number of its documents that have it.
+3. Counts. Sums by pair over all blocks, and by first id the highest of them, are joined to the blocks' pairs.
+4. These go back to the blocks, whose units they rate, and complete the documents' rows.
+
+Only pairs and what blocks keep are shuffled, never units or tokens. Pairs that are in a great many blocks are joined in
+several places; nothing is gathered beyond a block, whose bytes are bounded, or a unit.
 
 Defined results: null and empty texts, and those whose tokens' bytes aren't a blank and the text, have no tokens: zeros, and
 an empty text of groups; they count for no pair. Repeated rows are documents each; doc_id is handed through, null or not;
@@ -25,6 +23,7 @@ other columns are ignored; a text longer than BLOCK is a block of its own; no ro
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 from collections.abc import Iterator
@@ -33,18 +32,18 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import textvec
-from corpusloom.llm.common import fresh_dir, hub_join, materialise, remove, stored, sweep_up
-from corpusloom.storage import Files
+from corpusloom.llm.common import hub_join, materialise, sweep_up
 
 #: Bytes of text in a block, and pairs of documents and units that are looked at at once.
-BLOCK, CHUNK = 32 << 20, 1 << 17
-#: Parts in which units are aligned, and rows that are packed together.
-SLICES, PACK = 4, 1 << 16
+BLOCK, CHUNK = 16 << 20, 1 << 17
+#: Rows that are packed together or units that are aligned at once, the most bytes of these, and bytes of units that are
+#: encoded as one text.
+PACK, SLICE, RUN = 1 << 16, 1 << 20, 1 << 11
 #: A character that a blank may be cut off from ends in one of these bytes. Fixed values, last two bytes of white space
 #: beyond ASCII in UTF-8, whatever leads them: there no cut is made.
 _PRINTS = np.array([0x21 <= i <= 0x7E or i >= 0x80 for i in range(256)])
@@ -133,14 +132,17 @@ class Coder:
         edges = np.append(start, len(data)).astype(np.int64)
         units = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edges.tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())).dictionary_encode()
         codes, at_unit = units.indices.to_numpy().astype("<i4"), np.searchsorted(start, at)
-        n = len(units.dictionary)
+        known, doc_id, rows = units.dictionary, table.column(0).combine_chunks(), len(spaced)
+        # Whoever takes the rows needs room of their own.
+        batches.clear()
+        del table, text, spaced, data, start, edges, units
         empty = lambda kind, k: pa.nulls(k, kind)
-        for low in range(0, n, 1 << 16):
-            own = units.dictionary[low : low + (1 << 16)].cast(pa.string())
+        for low in range(0, len(known), 1 << 16):
+            own = known[low : low + (1 << 16)].cast(pa.string())
             k = len(own)
-            yield pa.record_batch([pa.array(np.full(k, number)), pa.array(np.arange(low, low + k), pa.int32()), own, empty(table.column(0).type, k), empty(pa.int32(), k), empty(pa.binary(), k)], names=self.names)
-        doc_id = table.column(0).combine_chunks()
-        for low in range(0, len(spaced), 4096):
+            yield pa.record_batch([pa.array(np.full(k, number)), pa.array(np.arange(low, low + k), pa.int32()), own, empty(doc_id.type, k), empty(pa.int32(), k), empty(pa.binary(), k)], names=self.names)
+        del known
+        for low in range(0, rows, 4096):
             places = list(zip(at_unit[low : low + 4096].tolist(), at_unit[low + 1 : low + 4097].tolist(), strict=False))
             bodies = [pa.compress(codes[a:b].tobytes(), "zstd", asbytes=True) for a, b in places]
             k = len(places)
@@ -160,112 +162,245 @@ class Coder:
             yield from self.coded(held, number)
 
 
-class Encoder:
-    """mapInArrow function: units to their tokens of both tokenizers, ids and lengths in bytes, none where they differ."""
+class Vocabulary:
+    """A tokenizer and its tokens' bytes, put together."""
+
+    def __init__(self, kind: type, path: str) -> None:
+        self.tokens = kind(path)
+        names = [self.tokens.bytes.get(i, b"") for i in range(max(self.tokens.bytes) + 1)]
+        self.size = np.array([len(x) for x in names])
+        self.at = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(names), np.uint8)
+
+    def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each text, and whether their bytes are the text."""
+        ids = [np.array(own, np.int64) for own in self.tokens.ids(texts)]
+        every = np.concatenate(ids)
+        size = self.size[every]
+        body = textvec.gather(self.data, self.at[every], size).tobytes()
+        edge = np.append(0, np.cumsum(size))[np.append(0, np.cumsum([len(own) for own in ids]))].tolist()
+        return ids, np.array([body[a:b] == t.encode() for a, b, t in zip(edge, edge[1:], texts, strict=False)])
+
+
+#: One for each process: workers are used again.
+vocabulary = functools.cache(Vocabulary)
+
+
+def unit_tokens(data: np.ndarray, at: np.ndarray, both: list[Vocabulary], cut: bool) -> tuple[list[np.ndarray], np.ndarray]:
+    """The ids of both kinds of all units, which are put together in data, and which units are ok; the others have none.
+
+    Units that may stand after each other in a text are encoded as one text. Where that differs from its tokens' bytes each
+    of its units is encoded by itself.
+    """
+    n = len(at) - 1
+    new = np.ones(n, bool)
+    if cut:
+        follows = np.zeros(len(data) + 1, bool)
+        follows[unit_starts(data, np.array([0, len(data)]), True)] = True
+        part = at[:-1] // RUN
+        new[1:] = ~follows[at[1:-1]] | (part[1:] != part[:-1])
+    run = np.append(np.flatnonzero(new), n)
+    body = data.tobytes()
+    texts = lambda edge: [body[i:j].decode() for i, j in zip(edge, edge[1:], strict=False)]
+    found = [v.encoded(texts(at[run].tolist())) for v in both]
+    ids, ok = [own for own, _ in found], np.ones(n, bool)
+    for k in np.flatnonzero(~(found[0][1] & found[1][1])).tolist():
+        low, high = run[k : k + 2].tolist()
+        alone = [v.encoded(texts(at[low : high + 1].tolist())) for v in both]
+        ok[low:high] = alone[0][1] & alone[1][1]
+        for own, (parts, _) in zip(ids, alone, strict=True):
+            own[k] = np.concatenate([x if good else x[:0] for x, good in zip(parts, ok[low:high].tolist(), strict=True)])
+    return [np.concatenate(own) for own in ids], ok
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of x, sorted; x is sorted in place."""
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
+
+
+def _counted(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (group, id), sorted, and how often they are there."""
+    found, n = np.unique(group << 32 | ids, return_counts=True)
+    return found >> 32, found & 0xFFFFFFFF, n
+
+
+class Units:
+    """Units' groups as text, each after a semicolon; how many tokens of either kind, groups and links each has, whether
+    it is ok, and of its links the pairs, a pair being its two ids in one number, and how often they are there: those of
+    unit k are pairs[at[k]:at[k + 1]]."""
+
+    def __init__(self, data: np.ndarray, edge: np.ndarray, both: list[Vocabulary], cut: bool) -> None:
+        ids, self.ok = unit_tokens(data, edge, both, cut)
+        size = np.where(self.ok, np.diff(edge), 0)
+        ends = [np.cumsum(v.size[own]) for v, own in zip(both, ids, strict=True)]
+        hits = np.zeros(int(size.sum()) + 1, np.int8)
+        for own in ends:
+            hits[own] += 1
+        # How many cuts there are up to each byte; a token's group is the number of those before its end.
+        cuts = np.cumsum(hits == 2)
+        a, b = (cuts[own - 1] for own in ends)
+        unit_end = cuts[np.cumsum(size)]
+        n = [np.bincount(own, minlength=int(cuts[-1])) for own in (a, b)]
+        upto = [np.append(0, np.cumsum(x)) for x in (*n, n[0] * n[1])]
+        last = np.append(0, unit_end)
+        self.sums = [np.diff(upto[0][last]), np.diff(upto[1][last]), np.diff(last), np.diff(upto[2][last])]
+        self.lines = self._lines(ids, (a, b), upto, last)
+        ga, ida, na = _counted(a, ids[0])
+        gb, idb, nb = _counted(b, ids[1])
+        there = np.bincount(gb, minlength=int(cuts[-1]))
+        times = there[ga]
+        row = np.repeat(np.cumsum(there)[ga] - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        self.pairs = np.repeat(ida, times) << 32 | idb[row]
+        self.times = np.repeat(na, times) * nb[row]
+        self.at = np.append(0, np.cumsum(np.bincount(np.repeat(ga, times), minlength=int(cuts[-1]))))[last]
+
+    @staticmethod
+    def _lines(ids: list[np.ndarray], groups: tuple[np.ndarray, np.ndarray], upto: list[np.ndarray], last: np.ndarray) -> pa.Array:
+        """a1,a2|b1;a3|b2,b3: decimal ids of each unit's groups in order, after a semicolon."""
+        (a, b), all_ = groups, len(ids[0]) + len(ids[1])
+        every, sign = np.empty(all_, np.int64), np.full(all_, ord(","), np.uint8)
+        first, second = np.arange(len(a)) + upto[1][a], np.arange(len(b)) + upto[0][b + 1]
+        every[first], every[second] = ids
+        sign[first[np.diff(a, prepend=-1) > 0]], sign[second[np.diff(b, prepend=-1) > 0]] = ord(";"), ord("|")
+        signs = pa.LargeStringArray.from_buffers(all_, pa.py_buffer(np.arange(all_ + 1).tobytes()), pa.py_buffer(sign.tobytes()))
+        text, at = textvec.raw(pc.binary_join_element_wise(signs, pa.array(every).cast(pa.large_string()), pa.scalar("", pa.large_string())))
+        edge = np.asarray(at)[(upto[0] + upto[1])[last]].astype(np.int64)
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(last) - 1, [None, pa.py_buffer(edge.tobytes()), pa.py_buffer(np.ascontiguousarray(text).tobytes())])
+
+
+class Dictionary:
+    """All units of a block, a slice of them at a time. every: its pairs, sorted; which: where those of links are in it."""
+
+    def __init__(self, units: list[pa.Array], both: list[Vocabulary], cut: bool) -> None:
+        made = []
+        for own in units:
+            data, at = textvec.raw(own)
+            at, low = np.asarray(at, np.int64), 0
+            while low < len(own):
+                high = min(low + PACK, max(low + 1, int(np.searchsorted(at, at[low] + SLICE, "right")) - 1))
+                made.append(Units(data[at[low] : at[high]], at[low : high + 1] - at[low], both, cut))
+                low = high
+        self.lines = pa.concat_arrays([x.lines for x in made])
+        self.sums = [np.concatenate(x) for x in zip(*(x.sums for x in made), strict=True)]
+        self.ok, self.times = (np.concatenate(x) for x in zip(*((x.ok, x.times) for x in made), strict=True))
+        self.size = np.concatenate([np.diff(x.at) for x in made])
+        self.at = np.append(0, np.cumsum(self.size))
+        pairs = [x.pairs for x in made]
+        del made
+        self.every, which = np.unique(np.concatenate(pairs), return_inverse=True)
+        self.which = which.astype(np.int32)
+        self.counts = np.zeros(len(self.every), np.int64)
+
+
+def joined(*bodies: np.ndarray) -> bytes:
+    """Arrays as one body, compressed."""
+    whole = b"".join(len(b).to_bytes(8, "little") + b for b in (x.tobytes() for x in bodies))
+    return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
+
+
+def opened(body: bytes) -> list[bytes]:
+    whole = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
+    out, at = [], 0
+    while at < len(whole):
+        size = int.from_bytes(whole[at : at + 8], "little")
+        out.append(whole[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
+
+
+def _codes(rows: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Documents from a row to another with about CHUNK units: their numbers of units, and these, put together."""
+    n = rows.column("n").to_numpy()
+    at = np.append(0, np.cumsum(n, dtype=np.int64))
+    low = 0
+    while low < len(n):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + CHUNK, "right")) - 1)
+        bodies = [pa.decompress(x, 4 * k, "zstd", asbytes=True) if k else b"" for x, k in zip(rows.column("codes")[low:high].to_pylist(), n[low:high].tolist(), strict=True)]
+        yield low, high, n[low:high], np.frombuffer(b"".join(bodies), "<i4").astype(np.int64)
+        low = high
+
+
+def _sums(one: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Of each document the sum over its units."""
+    before, at = np.append(0, np.cumsum(one[codes])), np.append(0, np.cumsum(n, dtype=np.int64))
+    return before[at[1:]] - before[at[:-1]]
+
+
+#: What a document's own units add up to, and what the counts of its links do.
+OWN, COUNTED = ("n_a", "n_b", "n_groups", "n_links"), ("n_best", "count_sum")
+
+
+class Aligned:
+    """mapInArrow function: (doc_id, text) to rows of three kinds. Documents (block, doc_id, n, codes, OWN sums, and their groups
+    or the digest of these); what a block keeps of its units, (block, part, packed); and (block, pair, docs): how many
+    documents of the block have a pair, in the pairs' order."""
 
-    def __init__(self, *made) -> None:
-        self.made = made
+    def __init__(self, coder: Coder, made: tuple, texts: bool, schema: T.StructType) -> None:
+        self.coder, self.made, self.texts, self.names = coder, made, texts, schema.fieldNames()
 
     @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = [kind(path) for kind, path in self.made]
-        for batch in batches:
-            for low in range(0, batch.num_rows, 4096):
-                units = batch.column(0)[low : low + 4096]
-                texts = units.to_pylist()
-                ok = np.ones(len(texts), bool)
-                found = []
-                for tokens in both:
-                    name = tokens.bytes
-                    ids = tokens.ids(texts)
-                    parts = [[name[i] for i in own] for own in ids]
-                    ok &= [b"".join(p) == t.encode() for p, t in zip(parts, texts, strict=True)]
-                    found.append((ids, [[len(x) for x in p] for p in parts]))
-                columns = [pa.array([x if good else [] for x, good in zip(c, ok, strict=True)], pa.list_(pa.int32())) for pair in found for c in pair]
-                yield pa.record_batch([units, *columns, pa.array(ok)], names=["unit", "a", "a_size", "b", "b_size", "ok"])
-
-
-def token_ends(units: DataFrame, ids: str, sizes: str) -> DataFrame:
-    """(uid, end, ids) of every token of the units: end is where it ends, in bytes."""
-    each = units.select("uid", F.posexplode(F.arrays_zip(ids, sizes)).alias("pos", "token"))
-    ends = F.sum(f"token.{sizes}").over(Window.partitionBy("uid").orderBy("pos"))
-    return each.select("uid", ends.alias("end"), F.col(f"token.{ids}").alias(ids))
-
-
-def token_groups(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(uid, group, a, b) from ends of tokens (uid, end, a) and (uid, end, b): the groups, and their ids in order."""
-    both = a.join(b, ["uid", "end"], "full")
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("long")
-    before = Window.partitionBy("uid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = both.select("uid", "end", "a", "b", F.coalesce(F.sum(cut).over(before), F.lit(0).cast("long")).alias("group"))
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c]).alias(c)
-    return numbered.groupBy("uid", "group").agg(ordered("a"), ordered("b"))
-
-
-def unit_groups(groups: DataFrame) -> DataFrame:
-    """(uid, groups): the groups (a, b) of each unit in order."""
-    own = groups.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("group", "a", "b"))).alias("own"))
-    return own.select("uid", F.transform("own", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"))).alias("groups"))
-
-
-def as_text(groups: Column) -> Column:
-    """a1,a2|b1;a3|b2,b3: decimal ids of each group in order."""
-    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
-    return F.array_join(F.transform(groups, lambda g: F.concat(ids(g["a"]), F.lit("|"), ids(g["b"]))), ";")
-
-
-def as_links(groups: Column) -> Column:
-    """(pair, times) of the groups' links, a pair being its two ids in one number; ids that a group repeats count at once."""
-    counted = lambda ids: F.transform(F.array_distinct(ids), lambda x: F.struct(x.cast("long").alias("id"), F.size(F.filter(ids, lambda y: y == x)).cast("long").alias("n")))
-    both = lambda x, y: F.struct(F.shiftleft(x["id"], 32).bitwiseOR(y["id"]).alias("pair"), (x["n"] * y["n"]).alias("times"))
-    return F.flatten(F.transform(groups, lambda g: F.flatten(F.transform(counted(g["a"]), lambda x: F.transform(counted(g["b"]), lambda y: both(x, y))))))
-
-
-#: Stands for the groups of a unit whose tokens aren't its bytes.
-NOT_OK = "!"
-
-
-def _parsed(lines: list[bytes]) -> tuple[np.ndarray, ...]:
-    """Groups of units as lines of text, to the pairs of all links, and of each unit how many tokens of either kind,
-    groups and links it has."""
-    data = np.frombuffer(b"\n".join(lines) + b"\n", np.uint8)
-    place, ends = np.arange(len(data), dtype=np.int32), data == 10
-    breaks = ends | (data == ord(";"))
-    digit = (data >= 48) & (data <= 57)
-    start = np.flatnonzero(digit & ~np.append(False, digit[:-1]))
-    stop = np.flatnonzero(digit & ~np.append(digit[1:], False)) + 1
-    worth = np.where(digit, data.astype(np.int64) - 48, 0)
-    size = stop - start
-    for k in range(1, int(size.max(initial=0))):
-        # The digit k places before the last of its number.
-        worth[stop[size > k] - 1 - k] *= 10**k
-    ids = np.add.reduceat(worth, start) if len(start) else np.zeros(0, np.int64)
-    bar = np.maximum.accumulate(np.where(data == ord("|"), place, -1))
-    second = bar[start] > np.maximum.accumulate(np.where(breaks, place, -1))[start]
-    group, unit = np.cumsum(breaks)[start], np.cumsum(ends)
-    n, first_of = len(lines), group[~second]
-    there = np.bincount(group[second], minlength=int(breaks.sum()))
-    times = there[first_of]
-    row = np.repeat(np.cumsum(there)[first_of] - times, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    of = unit[start[~second]]
-    counted = [np.bincount(x, minlength=n) for x in (of, unit[start[second]], unit[data == ord("|")], np.repeat(of, times))]
-    return np.repeat(ids[~second], times) << 32 | ids[second][row], *counted
-
-
-class Parsed:
-    """Groups of units as lines of text: the pairs of unit k's links from at[k] to at[k + 1], the units' sums, and which are
-    ok. A few thousand lines are looked at at once."""
-
-    def __init__(self, lines: list[bytes], step: int = 1 << 13) -> None:
-        parts = [_parsed(lines[low : low + step]) for low in range(0, len(lines), step)]
-        self.pairs, *self.sums = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.at = np.append(0, np.cumsum(self.sums[3]))
-        self.ok = np.array([x != NOT_OK.encode() for x in lines])
+        both, own, units, ready = [vocabulary(*made) for made in self.made], None, [], None
+        for batch in self.coder(batches):
+            block = batch.column(0)[0].as_py()
+            if block != own:
+                if ready:
+                    yield from self.finish(own, ready)
+                own, units, ready = block, [], None
+            if batch.column(1).null_count < batch.num_rows:
+                units.append(batch.column(2))
+                continue
+            if units:
+                ready, units = Dictionary(units, both, self.coder.cut), []
+            yield from self.documents(ready, batch)
+        if ready:
+            yield from self.finish(own, ready)
+
+    def rows(self, size: int, schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {"block": pa.int64(), "part": pa.int32(), "packed": pa.binary(), "doc_id": schema.field("doc_id").type, "n": pa.int32(), "codes": pa.binary(), "said": pa.string()}
+        return pa.record_batch([columns[c] if c in columns else pa.nulls(size, kinds.get(c, pa.int64())) for c in self.names], names=self.names)
+
+    def documents(self, own: Dictionary | None, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        self.schema = rows.schema
+        for low, high, n, codes in _codes(rows):
+            part = rows.slice(low, high - low)
+            document, at = np.repeat(np.arange(len(n)), n), np.append(0, np.cumsum(n, dtype=np.int64))
+            none, sums, said = n == 0, [np.zeros(len(n), np.int64) for _ in OWN], [""] * len(n)
+            if len(codes):
+                none |= np.bincount(document, ~own.ok[codes], len(n)) > 0
+                good = ~none[document]
+                found = _distinct(document[good] << 32 | codes[good])
+                of, code = found >> 32, found & 0xFFFFFFFF
+                size = own.size[code]
+                places = np.repeat(own.at[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                found = _distinct(np.repeat(of, size) << 32 | own.which[places])
+                own.counts += np.bincount(found & 0xFFFFFFFF, minlength=len(own.counts))
+                sums = [np.where(none, 0, _sums(one, n, codes)) for one in own.sums]
+                lines = own.lines.take(pa.array(codes))
+                edge = np.frombuffer(lines.buffers()[1], np.int64)[lines.offset :][at].tolist()
+                text = memoryview(lines.buffers()[2])
+                for k in np.flatnonzero(~none).tolist():
+                    # Without the first semicolon.
+                    body = text[edge[k] + 1 : edge[k + 1]]
+                    said[k] = bytes(body).decode() if self.texts else hashlib.sha256(body).hexdigest()
+            bodies = pc.if_else(pa.array(none), pa.scalar(b"", pa.binary()), part.column("codes"))
+            made = {c: pa.array(x) for c, x in zip(OWN, sums, strict=True)}
+            yield self.rows(len(n), rows.schema, block=part.column("block"), doc_id=part.column("doc_id"), n=pa.array(np.where(none, 0, n).astype(np.int32)), codes=bodies, said=pa.array(said, pa.string()), **made)
+
+    def finish(self, block: int, own: Dictionary) -> Iterator[pa.RecordBatch]:
+        for low in range(0, len(own.size), PACK):
+            high = min(low + PACK, len(own.size))
+            links = slice(own.at[low], own.at[high])
+            body = joined(own.size[low:high].astype("<i4"), own.which[links].astype("<i4"), own.times[links].astype("<i8"))
+            yield self.rows(1, self.schema, block=pa.array([block]), part=pa.array([low // PACK], pa.int32()), packed=pa.array([body], pa.binary()))
+        for low in range(0, len(own.every), PACK):
+            pair = own.every[low : low + PACK]
+            yield self.rows(len(pair), self.schema, block=pa.array(np.full(len(pair), block)), pair=pa.array(pair), docs=pa.array(own.counts[low : low + PACK]))
 
 
 class Packed:
-    """mapInArrow function: rows (block, code, values...) to one for each block and PACK of them: codes and values,
-    compressed; texts are lines, numbers 64 bits each."""
+    """mapInArrow function: rows (block, pair, rated) to one for each block and PACK of them, (block, part -1, packed)."""
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -278,172 +413,63 @@ class Packed:
         if rows:
             yield self.packed(held)
 
-    def packed(self, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).sort_by("block").combine_chunks()
-        block = table.column(0).to_numpy()
-        edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        out = []
-        for low, high in zip(edge, edge[1:], strict=False):
-            own = table.slice(low, high - low)
-            bodies = [own.column(1).to_numpy().astype("<i4").tobytes()]
-            for c in own.columns[2:]:
-                bodies.append("\n".join(c.to_pylist()).encode() if pa.types.is_string(c.type) else c.to_numpy().astype("<i8").tobytes())
-            out.append((int(block[low]), self.joined(bodies)))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["block", "packed"])
-
-    @staticmethod
-    def joined(bodies: list[bytes]) -> bytes:
-        whole = b"".join(len(b).to_bytes(8, "little") + b for b in bodies)
-        return len(whole).to_bytes(8, "little") + pa.compress(whole, "zstd", asbytes=True)
-
     @staticmethod
-    def opened(body: bytes) -> list[bytes]:
-        whole = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True)
-        out, at = [], 0
-        while at < len(whole):
-            size = int.from_bytes(whole[at : at + 8], "little")
-            out.append(whole[at + 8 : at + 8 + size])
-            at += 8 + size
-        return out
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        block, pair, rated = (c.to_numpy() for c in pa.Table.from_batches(held).columns)
+        order = np.lexsort((pair, block))
+        block, pair, rated = block[order], pair[order], rated[order]
+        edge = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        bodies = [joined(pair[a:b].astype("<i8"), rated[a:b].astype("<i8")) for a, b in zip(edge, edge[1:], strict=False)]
+        return pa.record_batch([pa.array(block[edge[:-1]]), pa.array(np.full(len(bodies), -1, np.int32)), pa.array(bodies, pa.binary())], names=["block", "part", "packed"])
 
 
-class Blocks:
-    """mapInArrow function: rows (block, packed, and the columns of documents) sorted by block, packed ones first, to what a
-    subclass makes of them; a block's units are held at a time."""
+class Completed:
+    """mapInArrow function: rows (block, part, packed, and the columns of documents) sorted by block and part, documents last, to
+    documents with their COUNTED sums too; a block's units are held at a time."""
 
     @textvec.releasing
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, held, ready = None, [], None
         for batch in batches:
-            block, document = batch.column(0).to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            block, document = batch.column(0).to_numpy(), batch.column(2).is_null().to_numpy(zero_copy_only=False)
             edge = [0, *(np.flatnonzero((np.diff(block) != 0) | (document[1:] != document[:-1])) + 1).tolist(), batch.num_rows]
             for low, high in zip(edge, edge[1:], strict=False):
                 if low == high:
                     continue
                 if block[low] != own:
-                    if ready is not None:
-                        yield from self.finish(ready)
                     own, held, ready = block[low], [], None
                 if not document[low]:
-                    held += [Packed.opened(x) for x in batch.column(1)[low:high].to_pylist()]
+                    held += zip(batch.column(1)[low:high].to_pylist(), batch.column(2)[low:high].to_pylist(), strict=True)
                     continue
                 if ready is None:
-                    codes = np.frombuffer(b"".join(x[0] for x in held), "<i4")
-                    ready, held = self.prepare(codes, held), []
+                    ready, held = self.rated(held), []
                 yield from self.documents(ready, batch.slice(low, high - low))
-        if ready is not None:
-            yield from self.finish(ready)
-
-    def finish(self, ready) -> Iterator[pa.RecordBatch]:
-        yield from ()
 
     @staticmethod
-    def codes(rows: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Documents from a row to another with about CHUNK units: their numbers of units, and these, put together."""
-        n = rows.column("n").to_numpy()
-        at = np.append(0, np.cumsum(n, dtype=np.int64))
-        low = 0
-        while low < len(n):
-            high = max(low + 1, int(np.searchsorted(at, at[low] + CHUNK, "right")) - 1)
-            bodies = [pa.decompress(x, 4 * k, "zstd", asbytes=True) if k else b"" for x, k in zip(rows.column("codes")[low:high].to_pylist(), n[low:high].tolist(), strict=True)]
-            yield low, high, n[low:high], np.frombuffer(b"".join(bodies), "<i4").astype(np.int64)
-            low = high
-
-
-def _sums(one: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Of each document the sum over its units."""
-    before, at = np.append(0, np.cumsum(one[codes])), np.append(0, np.cumsum(n, dtype=np.int64))
-    return before[at[1:]] - before[at[:-1]]
-
-
-#: What a document's own units add up to, and what the counts of its links do.
-OWN, COUNTED = ("n_a", "n_b", "n_groups", "n_links"), ("n_best", "count_sum")
-
-
-class Grouped(Blocks):
-    """Units' groups to documents with their OWN sums and their groups or the digest of these, and to rows (pair, docs):
-    how many documents of the block have a pair."""
-
-    def __init__(self, texts: bool, schema: T.StructType) -> None:
-        self.texts, self.names = texts, schema.fieldNames()
-
-    def prepare(self, codes: np.ndarray, held: list[list[bytes]]) -> tuple:
-        lines = b"\n".join(x[1] for x in held).split(b"\n") if held else []
-        order = np.argsort(codes)
-        lines = [lines[k] for k in order.tolist()]
-        own = Parsed(lines) if lines else None
-        every, which = np.unique(own.pairs, return_inverse=True) if own else (np.zeros(0, np.int64), None)
-        return lines, own, every, which, np.zeros(len(every), np.int64)
-
-    def documents(self, ready, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        lines, own, every, which, counts = ready
-        for low, high, n, codes in self.codes(rows):
-            part = rows.slice(low, high - low)
-            document = np.repeat(np.arange(len(n)), n)
-            none = n == 0
-            if own:
-                none |= np.bincount(document, ~own.ok[codes], len(n)) > 0
-                good = ~none[document]
-                found = np.unique(document[good] << 32 | codes[good])
-                at, code = found >> 32, found & 0xFFFFFFFF
-                size = own.at[code + 1] - own.at[code]
-                places = np.repeat(own.at[code] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                found = np.unique(np.repeat(at, size) << 32 | which[places])
-                counts += np.bincount(found & 0xFFFFFFFF, minlength=len(counts))
-            sums = [np.where(none, 0, _sums(one, n, codes)) if own else np.zeros(len(n), np.int64) for one in (own.sums if own else OWN)]
-            at = np.append(0, np.cumsum(n, dtype=np.int64))
-            said = []
-            for a, b, bad in zip(at[:-1].tolist(), at[1:].tolist(), none.tolist(), strict=True):
-                text = b"" if bad else b";".join([lines[k] for k in codes[a:b].tolist()])
-                said.append(text.decode() if self.texts or bad else hashlib.sha256(text).hexdigest())
-            left = pa.array(np.where(none, 0, n).astype(np.int32))
-            bodies = pc.if_else(pa.array(none), pa.scalar(b"", pa.binary()), part.column("codes"))
-            empty = pa.nulls(len(n), pa.int64())
-            yield pa.record_batch([part.column(0), part.column("doc_id"), left, bodies, *(pa.array(x) for x in sums), pa.array(said, pa.string()), empty, empty], names=self.names)
-
-    def finish(self, ready) -> Iterator[pa.RecordBatch]:
-        _, _, every, _, counts = ready
-        some = np.flatnonzero(counts)
-        for low in range(0, len(some), 1 << 16):
-            own = some[low : low + (1 << 16)]
-            values = {"pair": pa.array(every[own]), "docs": pa.array(counts[own])}
-            yield pa.record_batch([values.get(f.name, pa.nulls(len(own), f.type)) for f in self.arrow], schema=self.arrow)
-
-    @textvec.releasing
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        self.arrow = None
-        for batch in super().__call__(self._seen(batches)):
-            yield batch
-
-    def _seen(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = [pa.int64(), batch.schema.field("doc_id").type, pa.int32(), pa.binary(), *[pa.int64()] * len(OWN), pa.string(), pa.int64(), pa.int64()]
-            self.arrow = pa.schema(list(zip(self.names, kinds, strict=True)))
-            yield batch
-
-
-class Completed(Blocks):
-    """Units' COUNTED sums and documents with their own sums to whole rows."""
-
-    def prepare(self, codes: np.ndarray, held: list[list[bytes]]) -> list[np.ndarray]:
-        out = [np.zeros(int(codes.max(initial=-1)) + 1, np.int64) for _ in COUNTED]
-        for k, one in enumerate(out):
-            one[codes] = np.frombuffer(b"".join(x[k + 1] for x in held), "<i8")
-        return out
+    def rated(held: list[tuple[int, bytes]]) -> list[np.ndarray]:
+        """Of each unit the COUNTED sums over its links."""
+        counts = [[np.frombuffer(x, "<i8") for x in opened(body)] for part, body in held if part < 0]
+        if not counts:
+            return [np.zeros(0, np.int64) for _ in COUNTED]
+        pair, rated = (np.concatenate(x) for x in zip(*counts, strict=True))
+        rated = rated[np.argsort(pair)]
+        out = []
+        for part, body in held:
+            if part >= 0:
+                size, which, times = (np.frombuffer(x, t) for x, t in zip(opened(body), ("<i4", "<i4", "<i8"), strict=True))
+                at = np.append(0, np.cumsum(size, dtype=np.int64))
+                own = rated[which]
+                out.append([np.diff(np.append(0, np.cumsum(times * x))[at]) for x in (own & 1, own >> 1)])
+        return [np.concatenate(x) for x in zip(*out, strict=True)]
 
-    def documents(self, ready, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low, high, n, codes in self.codes(rows):
+    @staticmethod
+    def documents(ready: list[np.ndarray], rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for low, high, n, codes in _codes(rows):
             part = rows.slice(low, high - low)
-            sums = [pa.array(_sums(one, n, codes)) if n.any() else pa.array(np.zeros(len(n), np.int64)) for one in ready]
+            sums = [pa.array(_sums(one, n, codes)) for one in ready]
             yield pa.record_batch([part.column("doc_id"), *(part.column(c) for c in OWN), *sums, part.column("said")], names=["doc_id", *OWN, *COUNTED, "said"])
 
 
-def _by_block(units: DataFrame, documents: DataFrame, f: Blocks, schema) -> DataFrame:
-    """units: (block, code, values...). They are packed where they are, and meet their block's documents."""
-    rows = units.mapInArrow(Packed(), "block long, packed binary").unionByName(documents, allowMissingColumns=True)
-    return rows.repartition("block").sortWithinPartitions("block", F.col("packed").isNull()).mapInArrow(f, schema)
-
-
 def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool = False) -> DataFrame:
     """A row for each document: (doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, and groups_sha256 or with texts groups).
 
@@ -453,51 +479,21 @@ def align(docs: DataFrame, a: tuple[type, str], b: tuple[type, str], texts: bool
     spark, cut = docs.sparkSession, all(kind.cuts(path) for kind, path in (a, b))
     long = lambda *names: [T.StructField(c, T.LongType()) for c in names]
     document = [docs.schema["doc_id"], T.StructField("n", T.IntegerType()), T.StructField("codes", T.BinaryType())]
-    schema = T.StructType([*long("block"), T.StructField("code", T.IntegerType()), T.StructField("unit", T.StringType()), *document])
-    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(Coder(cut, schema, BLOCK), schema)
-    # Units and documents in folders of their own: documents are written anew with their sums.
-    coded_at = fresh_dir(spark, "coded")
-    made.withColumn("document", F.col("code").isNull()).write.partitionBy("document").parquet(coded_at)
-    folder = lambda document: spark.read.schema(schema).parquet(f"{coded_at}/document={document}")
-    none, kinds = spark.createDataFrame([], schema), Files(spark).names(coded_at)
-    read = lambda document: folder(document) if f"document={document}" in kinds else none
-    used = read("false").select("block", "code", "unit")
-    encoded = used.select("unit").distinct().mapInArrow(Encoder(a, b), "unit string, a array<int>, a_size array<int>, b array<int>, b_size array<int>, ok boolean")
-    encoded, encoded_at = stored(encoded.withColumn("uid", F.monotonically_increasing_id()), "encoded")
-    parts = []
-    for k in range(SLICES):
-        sweep_up(spark)
-        dealt = encoded.filter(F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k).repartition("uid")
-        groups = unit_groups(token_groups(token_ends(dealt, "a", "a_size"), token_ends(dealt, "b", "b_size")))
-        parts.append(stored(groups, "groups"))
-    every = parts[0][0]
-    for part, _ in parts[1:]:
-        every = every.unionByName(part)
-    aligned = materialise(encoded.select("uid", "unit", "ok").join(every, "uid", "left"), "aligned")
-    remove(encoded_at, *(at for _, at in parts))
-    sweep_up(spark)
-    said = F.when(F.col("ok"), as_text(F.col("groups"))).otherwise(NOT_OK)
-    first = T.StructType([*long("block"), *document, *long(*OWN), T.StructField("said", T.StringType()), *long("pair", "docs")])
-    given = used.join(aligned.select("unit", said.alias("said")), "unit").select("block", "code", "said")
-    held = materialise(_by_block(given, read("true").select("block", "doc_id", "n", "codes"), Grouped(texts, first), first), "grouped")
-    remove(f"{coded_at}/document=true")
-    sweep_up(spark)
-    counts = materialise(held.filter("pair is not null").groupBy("pair").agg(F.sum("docs").alias("n_docs")), "pairs")
-    each = aligned.select("uid", F.inline(as_links(F.col("groups"))))
+    coded = T.StructType([*long("block"), T.StructField("code", T.IntegerType()), T.StructField("unit", T.StringType()), *document])
+    packed = [*long("block"), T.StructField("part", T.IntegerType()), T.StructField("packed", T.BinaryType())]
+    first = T.StructType([*packed, *document, *long(*OWN), T.StructField("said", T.StringType()), *long("pair", "docs")])
+    made = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(Aligned(Coder(cut, coded, BLOCK), (a, b), texts, first), first)
+    held = materialise(made, "aligned")
+    pairs = held.filter("pair is not null").select("block", "pair", "docs")
+    counts = materialise(pairs.groupBy("pair").agg(F.sum("docs").alias("n_docs"), F.count(F.lit(1)).alias("blocks")), "pairs")
+    number = counts.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
     # As many rows as the first vocabulary has ids.
     most = F.broadcast(counts.groupBy(F.shiftright("pair", 32).alias("a")).agg(F.max("n_docs").alias("most")))
-    marked = counts.withColumn("a", F.shiftright("pair", 32)).join(most, "a").select("pair", "n_docs", (F.col("n_docs") == F.col("most")).cast("long").alias("best"))
-    sized = materialise(marked.join(each.groupBy("pair").agg(F.count(F.lit(1)).alias("units")), "pair"), "sized")
-    number = sized.agg(F.coalesce(F.sum("units"), F.lit(0))).first()[0]
-    rated = None
-    for k in range(SLICES):
-        sweep_up(spark)
-        mine = F.pmod(F.xxhash64("uid"), F.lit(SLICES)) == k
-        sums = hub_join(each.filter(mine), sized, ["pair"], "units", number).groupBy("uid").agg(F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n_docs")).alias("count_sum"))
-        part = materialise(aligned.filter(mine).select("uid", "unit").join(sums, "uid").drop("uid"), "rated")
-        rated = part if rated is None else rated.unionByName(part)
+    best = (F.col("n_docs") == F.col("most")).cast("long")
+    rated = counts.withColumn("a", F.shiftright("pair", 32)).join(most, "a").select("pair", (F.col("n_docs") * 2 + best).alias("rated"), "blocks")
     sweep_up(spark)
+    back = hub_join(pairs.select("block", "pair"), rated, ["pair"], "blocks", number).select("block", "pair", "rated")
+    rows = back.mapInArrow(Packed(), T.StructType(packed)).unionByName(held.filter("pair is null").drop("pair", "docs"), allowMissingColumns=True)
     out = T.StructType([document[0], *long(*OWN, *COUNTED), T.StructField("said", T.StringType())])
-    counted = used.join(rated, "unit").select("block", "code", *COUNTED)
-    whole = _by_block(counted, held.filter("pair is null").drop("pair", "docs"), Completed(), out)
+    whole = rows.repartition("block").sortWithinPartitions("block", F.col("packed").isNull(), "part").mapInArrow(Completed(), out)
     return whole.withColumnRenamed("said", "groups" if texts else "groups_sha256")

@@ -107,3 +107,29 @@ def test_groups_as_text_and_no_rows(spark):
     found = alignment.align(documents(spark, [(1, "hello world", "en", "s"), (2, None, "en", "s")]), A, B, texts=True).collect()
     assert {r["doc_id"]: r["groups"].count(";") + 1 if r["groups"] else 0 for r in found} == {r["doc_id"]: r["n_groups"] for r in found}
     assert alignment.align(nothing(spark), A, B).count() == 0
+
+
+def test_runs_have_the_tokens_that_their_units_have():
+    """Units encoded together, some of which aren't their tokens' bytes: these alone have none."""
+    rng = random.Random(4)
+    both = [alignment.vocabulary(*made) for made in (A, B)]
+    units = [" " + rng.choice([sentence(rng, 1).strip(), "▁mark", "x▁", "日本語", "tab\t", "é", ";", "line\nbreak", "don't"]) for _ in range(2000)]
+    data = np.frombuffer("".join(units).encode(), np.uint8)
+    at = np.append(0, np.cumsum([len(u.encode()) for u in units]))
+    found, ok = alignment.unit_tokens(data, at, both, True)
+    alone = [[v.encoded([u]) for u in units] for v in both]
+    good = [all(side[k][1][0] for side in alone) for k in range(len(units))]
+    assert ok.tolist() == good and 0 < sum(good) < len(units)
+    for own, side in zip(found, alone, strict=True):
+        assert own.tolist() == [i for (ids, _), g in zip(side, good, strict=True) if g for i in ids[0].tolist()]
+
+
+def test_no_table_has_a_row_for_each_unit(spark, monkeypatch):
+    """What goes between tasks grows with documents and pairs: with neither tokens nor the corpus's units."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(str(rng.randrange(10**8, 10**9)) for _ in range(400)), "en", "s") for k in range(300)]
+    made, own = [], alignment.materialise
+    monkeypatch.setattr(alignment, "materialise", lambda df, name: made.append(own(df, name)) or made[-1])
+    assert alignment.align(documents(spark, rows).coalesce(2), A, B).count() == len(rows)
+    assert len({w for _, t, _, _ in rows for w in t.split()}) > 115_000
+    assert len(rows) < sum(df.count() for df in made) < 100_000
