@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpusloom.llm import textvec
-from corpusloom.llm.common import filesystem, fresh_dir, write_whole
+from corpusloom.llm.common import bounded_batches, filesystem, fresh_dir, write_whole
 
 MAGIC = b"DACTOK01"
 CHUNK_BITS = 8
@@ -42,9 +42,10 @@ FILES_PER_TASK = 2
 LEAST_TASK_BYTES = 1_000_000
 #: Files are read back by so many tasks at most.
 MOST_TASKS = 20_000
-#: Words that a task remembers, of about 45 bytes each; bytes that are encoded at once; and words of one call.
+#: Words that a task remembers, of about 45 bytes each; bytes that are encoded at once, whose arrays take some 60 times as much; and
+#: words of one call.
 CACHE_WORDS = 1_000_000
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 LINES = 512
 #: Texts that tell whether a tokenizer looks across white space, and words of one id each, one of which parts others.
 PROBES = ("the", "The", "don't", "a.b", "12", "x-y", ",", "naïve", "éa", "中文", "\u0301x", "<|endoftext|>", "_", "a" * 20)
@@ -212,14 +213,16 @@ def levels(ids: np.ndarray) -> list[dict[str, np.ndarray]]:
     """Chunks, continuation bitmap and rank directory of each level."""
     out = []
     while len(ids) or not out:
-        more = ids >> CHUNK_BITS > 0
+        more = ids > 0xFF
         bits = np.zeros(-(-len(ids) // 64) * 8 + 8, np.uint8)
         packed = np.packbits(more, bitorder="little")
         bits[: len(packed)] = packed
         bitmap = bits.view("<u8")
         counts = np.concatenate([[0], np.cumsum(np.bitwise_count(bitmap), dtype=np.uint32)[:-1]]).astype("<u4")
-        out.append({"chunks": (ids & 0xFF).astype(np.uint8), "bitmap": bitmap, "ranks": counts})
-        ids = ids[more] >> CHUNK_BITS
+        # The cast keeps the lowest eight bits; ids that go on are a copy, which is shifted where it is.
+        out.append({"chunks": ids.astype(np.uint8), "bitmap": bitmap, "ranks": counts})
+        ids = ids[more]
+        ids >>= CHUNK_BITS
     return out
 
 
@@ -317,9 +320,12 @@ class Writer:
 
         def done() -> pa.RecordBatch:
             ids, lengths, coded = zip(*held, strict=True)
-            docs, tokens = pa.concat_arrays(ids), np.concatenate(coded)
+            docs, n, tokens = pa.concat_arrays(ids), np.concatenate(lengths), np.concatenate(coded)
+            # What is put together isn't held twice while it is written.
+            del ids, lengths, coded
+            held.clear()
             uri = f"{self.folder}/{task:07d}-{files:05d}.dac"
-            write_file(uri, docs, np.concatenate(lengths), tokens)
+            write_file(uri, docs, n, tokens)
             return pa.record_batch([pa.array([uri]), pa.array([len(docs)], pa.int64()), pa.array([len(tokens)], pa.int64())], names=["uri", "docs", "tokens"])
 
         for batch in batches:
@@ -329,7 +335,7 @@ class Writer:
                 filled += int(textvec.raw(piece.column(1))[1][-1])
                 if filled >= self.most:
                     yield done()
-                    held, filled, files = [], 0, files + 1
+                    filled, files = 0, files + 1
         if held:
             yield done()
         words.forget()
@@ -342,6 +348,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, folder: str, byte
     or one row many times over, is spread like any others. A task encodes and writes its range as it reads it.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     tasks = max(1, math.ceil(size / bytes_per_file / FILES_PER_TASK), min(spark.sparkContext.defaultParallelism, size // LEAST_TASK_BYTES))

@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import textvec
+from corpusloom.llm.common import bounded_batches
 
 SIMILARITY = 0.8
 FEW = 5
 WALKS, TABLES, SAMPLES = 8, 8, 3
 SEED = 7
 BLOCK_CHARS = 8_000_000
+#: Windows that are walked at once: each step of each is eight bytes.
+WINDOWS = 1 << 14
 _U = np.uint64
 
 
@@ -153,8 +156,8 @@ class Items:
         """(window start, item) of all that share a table's key, each once, by start."""
         start, end, size = self.windows(h, at)
         found = []
-        for low in range(0, len(start), 1 << 16):
-            part = slice(low, low + (1 << 16))
+        for low in range(0, len(start), WINDOWS):
+            part = slice(low, low + WINDOWS)
             for key, (known, members) in zip(table_keys(h, start[part], end[part], size[part]), self.tables, strict=True):
                 a, b = np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right")
                 hit = np.repeat(np.arange(len(key)), b - a)
@@ -236,6 +239,7 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_CHARS) -> Iterator[tuple[list
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, start_word): the documents that contain an item, with the fewest edits found."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("start_word", T.LongType())])
+    bounded_batches(docs.sparkSession)
     plain = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     out = docs.sparkSession.createDataFrame([], schema)
     for k, block in enumerate(blocks(benchmark)):
@@ -246,6 +250,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that contain no item; all columns as they were. One narrow pass per block of items."""
+    bounded_batches(docs.sparkSession)
     for block in blocks(benchmark):
         docs = docs.mapInArrow(Finder(docs.sparkSession.sparkContext.broadcast(block), False), docs.schema)
     return docs

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm import textvec
-from corpusloom.llm.common import materialise, maybe_broadcast
+from corpusloom.llm.common import bounded_batches, materialise, maybe_broadcast
 from corpusloom.llm.components import components
 
 MOST_BITS = 3
@@ -532,6 +532,7 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = FINE) -> DataFrame:
     In a wide scheme fp names the text, and links are those that the comparison of shingles confirms, and connect all that
     such links among texts that hang together can connect.
     """
+    bounded_batches(docs.sparkSession)
     prints = materialise(wide_fingerprints(docs) if scheme.wide else fingerprints(docs), "fingerprints")
     more = [F.min(c).alias(c) for c in ("high", "low", "codes")] if scheme.wide else []
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), *more), "classes")

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -6,8 +7,8 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from corpusloom.llm import dac
-from corpusloom.llm.common import fresh_dir
+from corpusloom.llm import dac, textvec
+from corpusloom.llm.common import BATCH_BYTES, fresh_dir
 from tests.llm.tables import documents, nothing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -98,3 +99,27 @@ def test_a_very_long_text(spark):
 
 def test_no_rows(spark):
     assert dac.tokenise(nothing(spark), PATH, 2).count() == 0
+
+
+def most_held(f):
+    tracemalloc.start()
+    f()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return most
+
+
+def test_what_a_task_holds_is_small():
+    """Arrays of words that are encoded at once, and of ids that are written."""
+    words = dac.Words(PATH, 2)
+    batch = pa.record_batch([pa.array([f"some words {k % 100} of a text " * 40 for k in range(5000)])], names=["text"])
+    assert most_held(lambda: [len(words.encode(p.column(0))[0]) for p in textvec.pieces(batch, "text", min(dac.BYTES_PER_FILE, dac.PIECE_BYTES))]) < 50e6
+    ids = np.full(2_000_000, 49_000, np.uint32)
+    assert most_held(lambda: dac.levels(ids)) < 2.2 * ids.nbytes
+
+
+def test_workers_are_given_batches_of_bounded_bytes(spark):
+    dac.tokenise(documents(spark), PATH, 2).collect()
+    sizes = lambda batches: (pa.record_batch([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    found = [r["n"] for r in spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) AS text").mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 30_000_000 and max(found) < 1.5 * BATCH_BYTES

@@ -133,3 +133,17 @@ def test_a_very_long_text(spark):
     assert set(found) == {1, 3} and all(r["edits"] == 0 for r in found.values())
     assert abs(found[1]["start_word"] - 300_000) < 30
     assert [r["doc_id"] for r in decontaminate.without_leaks(docs, known).collect()] == [2]
+
+
+def test_windows_are_walked_in_parts(monkeypatch):
+    """What is walked at once is bounded, and parts find what the whole finds."""
+    rng = random.Random(8)
+    texts = [" ".join(invented(rng, 40)) for _ in range(20)]
+    items = decontaminate.Items(list(range(20)), texts)
+    w = textvec.words(pa.array([f"{' '.join(invented(rng, 30))} {t} tail" for t in texts]), lower=True, separator=textvec.PUNCTUATION)
+    whole, own, most = items.candidates(w.hashes, w.at), decontaminate.walk, []
+    monkeypatch.setattr(decontaminate, "WINDOWS", 7)
+    monkeypatch.setattr(decontaminate, "walk", lambda symbols, start, *a: most.append(len(start)) or own(symbols, start, *a))
+    parts = items.candidates(w.hashes, w.at)
+    assert len(whole[0]) and all((a == b).all() for a, b in zip(whole, parts, strict=True))
+    assert max(most) <= 7
