@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import vectors as V
+from corpusloom.operators.batches import row_size
 
 MASK_ID, PAD_ID = -2, 0
 ARRAYS = ("input_ids", "position_ids", "gate_mask", "regular_token_mask")
@@ -39,6 +40,14 @@ def expand(pairs: DataFrame, draft: int, mask: int = MASK_ID) -> DataFrame:
     return pairs.select(*keys, *[c.alias(k) for k, c in out.items()])
 
 
+def expanded_bytes(pairs: DataFrame, draft: int) -> Column:
+    """Estimated bytes of a pair once it is expanded, as ``row_size`` has them, without making the arrays."""
+    n_in, n_out = F.size("in_ids").cast("long"), F.size("out_ids").cast("long")
+    # Of a pair that lacks its output, all arrays but the ids are those of its input; one that lacks its input has none.
+    whole = F.when(n_in.isNull(), 0).when(n_out.isNull(), 24 * n_in).otherwise(8 * len(ARRAYS) * (n_in + n_out * (draft + 1)) + 8)
+    return (row_size(pairs, [c for c in pairs.columns if c not in ("in_ids", "out_ids")]) + whole).cast("long")
+
+
 def shifted_labels(ids: Column) -> Column:
     """The next token of each position, null at the end."""
     return F.transform(ids, lambda _, i: F.get(ids, i + 1))

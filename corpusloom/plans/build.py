@@ -80,7 +80,9 @@ def cached_sequences(turns: DataFrame, s: Settings, root: str, source: str, toke
     if found is None:
         if not build:
             raise FileNotFoundError(f"{folder} has no complete dataset")
-        writers.write_dataset(sequence_table(turns, s, tokenizer), folder, KEYS, s.shard_bytes, asdict(s))
+        # Ids are staged and sorted; the arrays, some forty times as large, are made where a shard is written.
+        pairs, then = pair_table(turns, tokenizer), lambda df: sequences.expand(df, s.draft, tokenizer.mask)
+        writers.write_dataset(pairs, folder, KEYS, s.shard_bytes, asdict(s), then=then, size=sequences.expanded_bytes(pairs, s.draft))
         found = readers.read_dataset(spark, folder)
     return found.drop("shard_id")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.batches import latest, rotated, row_size, shard_plan
-from corpusloom.storage import Files, materialise
+from corpusloom.storage import Files, bounded_batches, materialise
 
 VERSION = 2
 
@@ -113,7 +113,7 @@ class Report:
 RANGE, AT, BYTES = "_range", "_at", "_bytes"
 
 
-def _staged(rows: DataFrame, folder: str, order: list[str]) -> tuple[DataFrame, int]:
+def _staged(rows: DataFrame, folder: str, order: list[str], size: Column) -> tuple[DataFrame, int]:
     """rows in order, with their places and bytes, and a digest of them whatever their ranges; written once.
 
     Equal orders are told apart by a hash of the row, so that the same rows are always in the same order.
@@ -123,7 +123,7 @@ def _staged(rows: DataFrame, folder: str, order: list[str]) -> tuple[DataFrame,
     tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in rows.dtypes])
     if not files.exists(mark):
         # As they come at first: the sort runs what it sorts twice, once for its bounds.
-        rows.withColumns({BYTES: row_size(rows), "_tie": tie}).write.mode("overwrite").parquet(f"{folder}/unsorted")
+        rows.withColumns({BYTES: size, "_tie": tie}).write.mode("overwrite").parquet(f"{folder}/unsorted")
         keyed = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField(BYTES, T.LongType()), T.StructField("_tie", T.LongType())])).parquet(f"{folder}/unsorted")
         keys = [*order, "_tie"]
         placed = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(AT, F.monotonically_increasing_id())
@@ -227,7 +227,9 @@ def _save_shards(df: DataFrame, folder: str) -> None:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("shard_id").parquet(folder)
 
 
-def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget: int, meta: Mapping[str, object], per_job: int | None = None) -> dict:
+def write_dataset(
+    rows: DataFrame, folder: str, row_id: str | list[str], budget: int, meta: Mapping[str, object], per_job: int | None = None, then: Callable[[DataFrame], DataFrame] | None = None, size: Column | None = None
+) -> dict:
     """Rows as Parquet in shards of at most ``budget`` estimated bytes, contiguous in the order of row_id, with a manifest.
 
     1. One job writes the rows as they come, so that the source is run once; another sorts them by range and stages them with
@@ -238,15 +240,19 @@ def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget:
        shards and their rows, as counted by the job that wrote them.
     4. The manifest is made of the marks; a sum of rows that isn't the source's is an error.
 
+    With ``then``, rows are staged as they are and become those of the dataset only where shards are written: it makes one row
+    of each, in place, and keeps columns that it doesn't know. ``size`` is the estimated bytes of a row as the dataset has it.
+
     Broken off anywhere and called again, with this budget or another and any ``per_job``, it goes on with the shards that no
     mark of the same plan names. Marks of another plan are removed before anything is written. Once there is a manifest,
     nothing is written. No rows: no shards, and a manifest that has their schema.
     """
-    spark = rows.sparkSession
-    files, marks = Files(spark), f"{folder}/done"
+    spark, then = rows.sparkSession, then or (lambda df: df)
+    files, marks, schema = Files(spark), f"{folder}/done", then(rows).schema
     if files.exists(f"{folder}/manifest.json"):
         return json.loads(files.read(f"{folder}/manifest.json"))
-    staged, known = _staged(rows, folder, [row_id] if isinstance(row_id, str) else list(row_id))
+    bounded_batches(spark)
+    staged, known = _staged(rows, folder, [row_id] if isinstance(row_id, str) else list(row_id), row_size(rows) if size is None else size)
     plan = materialise(shard_plan(staged.select(F.col(AT).alias("row_id"), F.col(BYTES).alias("bytes")), budget), "plan")
     shards = plan.groupBy("shard_id").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
     begins = materialise(_begins(plan, known["rows"]), "begins")
@@ -266,6 +272,7 @@ def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget:
         tasks = min(len(own), max(4 * spark.sparkContext.defaultParallelism, sum(shards[k]["bytes"] for k in own) // TASK_BYTES))
         task = F.floor((F.col("shard_id") - own[0]) * tasks / len(own)).cast("int")
         out = _in_shards(part, begins, known["rows"]).repartitionById(tasks, task).sortWithinPartitions("shard_id", AT).drop(RANGE, AT, BYTES)
+        out = then(out)
         save = lambda df: _save_shards(df, f"{folder}/rows")
         wrote = Report().write(out, save).counts["rows"]
         if wrote != (planned := sum(shards[k]["rows"] for k in own)):
@@ -275,7 +282,7 @@ def write_dataset(rows: DataFrame, folder: str, row_id: str | list[str], budget:
     if sum(done.values()) != known["rows"]:
         raise RuntimeError(f"the shards have {sum(done.values())} rows of {known['rows']}")
     # The names of the manifest's parts, but for the schema's.
-    manifest = {"version": VERSION, "mode": "sharded", "target_bytes_per_shard": budget, "total_rows": known["rows"], "num_shards": len(done), "shards": [f"shard_id={k}" for k in sorted(done)], "build_meta": dict(meta), "schema": rows.schema.jsonValue()}
+    manifest = {"version": VERSION, "mode": "sharded", "target_bytes_per_shard": budget, "total_rows": known["rows"], "num_shards": len(done), "shards": [f"shard_id={k}" for k in sorted(done)], "build_meta": dict(meta), "schema": schema.jsonValue()}
     files.write(f"{folder}/rows/_SUCCESS", "")
     put_text(rows, f"{folder}/manifest.json", json.dumps(manifest, ensure_ascii=False, indent=2))
     files.remove(f"{folder}/staged")

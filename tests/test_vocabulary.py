@@ -99,3 +99,58 @@ def test_ids_back_to_texts(spark, tmp_path):
     v = Vocabulary(spark, _file(tmp_path, "v.json", ["a", "b"]))
     rows = spark.createDataFrame([(1, [1, 2, 1]), (2, None), (3, []), (4, [2, 3])], "k int, ids array<long>")
     assert [r["t"] for r in rows.orderBy("k").select(v.text(F.col("ids")).alias("t")).collect()] == ["a b a", None, "", "b <mask>"]
+
+
+def test_a_worker_encodes_and_holds_some_texts_at_once(spark, tmp_path, monkeypatch):
+    """All columns of a projection, back to texts too, are worked out by one process a task, in batches of bounded bytes."""
+    import io
+    from contextlib import redirect_stdout
+
+    from corpusloom.functions import vocabulary
+    from corpusloom.storage import BATCH_BYTES
+
+    v = Vocabulary(spark, _file(tmp_path, "v.json", ["a", "b"]))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES
+    rows = spark.createDataFrame([("a", "b")], "t string, u string").select(v.text(v(F.col("t"))).alias("t"), v.text(v(F.col("u"))).alias("u"), v.count(F.col("u")).alias("n"))
+    with redirect_stdout(said := io.StringIO()):
+        rows.explain()
+    assert said.getvalue().count("EvalPython") == 1
+    assert rows.collect() == [("a", "b", 1)]
+
+    monkeypatch.setattr(vocabulary, "PIECE_BYTES", 10)
+    sent, most = v._encoder(), []
+    monkeypatch.setattr(v, "_encoder", lambda: lambda texts: (most.append(sum(len(t) for t in texts if t is not None)), sent(texts))[1])
+    monkeypatch.setattr(vocabulary.F, "arrow_udf", lambda kind: lambda f: lambda x: f(x))
+    import pyarrow as pa
+
+    texts = pa.array(["a b"] * 7 + [None, "", "a " * 30, "b"])
+    assert v(texts).to_pylist() == [[1, 2]] * 7 + [None, [], [1] * 30, [2]]
+    assert sorted(most)[-2] <= 10 and max(most) == 60 and len(most) == 5
+    assert v.count(texts).to_pylist() == [2] * 7 + [None, 0, 30, 1]
+    assert v(texts.slice(0, 0)).to_pylist() == [] and v(texts.slice(7, 1)).to_pylist() == [None]
+    monkeypatch.setattr(vocabulary, "PIECE_IDS", 3)
+    assert v.text(v(texts)).to_pylist() == ["a b"] * 7 + [None, "", " ".join(["a"] * 30), "b"]
+
+
+def test_a_cache_stages_ids_and_has_the_same_rows_and_shards(spark, tmp_path, monkeypatch):
+    """What is sorted are the ids, not the arrays that are made of them; sizes, shards and rows are those of the arrays."""
+    from corpusloom.operators import sequences
+    from corpusloom.sources import writers
+
+    turns, s, staged = spark.read.parquet(f"{SF}/conversations.parquet"), build.Settings(shard_bytes=20_000), []
+    mine = writers._staged
+    monkeypatch.setattr(writers, "_staged", lambda rows, *rest: (staged.append(rows.columns), mine(rows, *rest))[1])
+    source = f"{SF}/conversations.parquet"
+    build.cached_sequences(turns, s, str(tmp_path / "c"), source)
+    assert staged == [["conv_id", "turn", "in_ids", "out_ids"]]
+    (folder,) = (str(p) for p in (tmp_path / "c").iterdir())
+    before = writers.write_dataset(build.sequence_table(turns, s), str(tmp_path / "whole"), build.KEYS, s.shard_bytes, {})
+    after = readers.read_manifest(spark, folder)
+    assert after["num_shards"] == before["num_shards"] > 1 and after["schema"] == before["schema"]
+    one, two = readers.read_dataset(spark, str(tmp_path / "whole")), readers.read_dataset(spark, folder)
+    assert one.columns == two.columns and one.count() == two.count() > 0
+    assert one.exceptAll(two).count() == two.exceptAll(one).count() == 0
+    odd = spark.createDataFrame([(1, [1, 2], [3] * 4), (2, None, [3]), (3, [1] * 5, None), (4, [], []), (5, None, None)], "id long, in_ids array<long>, out_ids array<long>")
+    sizes = odd.select("id", sequences.expanded_bytes(odd, 4).alias("n"))
+    wide = sequences.expand(odd, 4)
+    assert sorted(sizes.collect()) == sorted(wide.select("id", batches.row_size(wide)).collect())
