@@ -313,6 +313,8 @@ def shard_plan(sizes: DataFrame, budget: int, range_rows: int = 1_000_000, fan:
     n = max(1, -(-plain.count() // range_rows))
     numbered = T_.StructType([*plain.schema.fields, T_.StructField("range", T_.IntegerType()), T_.StructField("place", T_.LongType())])
     rows = materialise(plain.repartitionByRange(n, "row_id").sortWithinPartitions("row_id").mapInArrow(Numbered(), numbered), "ranges")
+    # A session may deal out into more ranges than were asked for, or fewer.
+    n = (rows.agg(F.max("range").alias("last")).first()["last"] or 0) + 1
     dealt = lambda df: df.repartitionById(n, "range").sortWithinPartitions("place")
     levels, runs = [materialise(dealt(rows.select("range", "place", "bytes")).mapInArrow(RangeOutcomes(budget), OUTCOMES), "outcomes")], n
     group = F.floor(F.col("range") / fan).cast("int")

@@ -370,3 +370,18 @@ def test_visibility_inside_chunks_sorts_nothing(spark):
     for df in (found, sequences.visible_counts(found, ["seq"]), pairs):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Sort", "Window", "Join", "Exchange"))
+
+
+def test_shards_are_planned_over_as_many_ranges_as_there_are(spark, monkeypatch):
+    """A session that deals out into more ranges than were asked for loses no rows of the plan."""
+    frame = type(spark.range(1))
+    asked = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: asked(self, max(5, n), *cols))
+    sizes = [(k * 7 % 40, 10 + k % 13) for k in range(40)]
+    got = batches.shard_plan(spark.createDataFrame(sizes, "row_id long, bytes long"), 50, range_rows=100, fan=2).collect()
+    assert sorted((r["row_id"], r["bytes"]) for r in got) == sorted(sizes)
+    cut, shard, filled = {}, -1, 51
+    for row, n in sorted(sizes):
+        shard, filled = (shard + 1, n) if filled + n > 50 else (shard, filled + n)
+        cut[row] = shard
+    assert {r["row_id"]: r["shard_id"] for r in got} == cut
