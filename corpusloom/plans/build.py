@@ -65,10 +65,11 @@ def sequence_table(turns: DataFrame, s: Settings, tokenise: Callable[[Column], C
     return sequences.expand(sequences.require_no_mask(pairs, ["in_ids", "out_ids"], mask), s.draft, mask)
 
 
-def cached_sequences(turns: DataFrame, s: Settings, root: str, source: str, tokenizer: Vocabulary | StandIn | str = STAND_IN, build: bool = True) -> DataFrame:
+def cached_sequences(turns: DataFrame, s: Settings, root: str, source: str, tokenizer: Vocabulary | StandIn | str = STAND_IN, build: bool = True, columns: list[str] | None = None) -> DataFrame:
     """The expanded pairs of a source, from the cache below root if it is complete, else built and written there.
 
     The cache is found by the source's files and the tokenizer's content. Without ``build`` a missing cache is an error.
+    ``columns``: those that are wanted, all without.
     """
     if isinstance(tokenizer, str):
         if tokenizer != STAND_IN.fingerprint:
@@ -76,14 +77,14 @@ def cached_sequences(turns: DataFrame, s: Settings, root: str, source: str, toke
         tokenizer = STAND_IN
     spark = turns.sparkSession
     folder = writers.cache_folder(root, readers.fingerprint(spark, source), tokenizer.fingerprint, s.draft, s.seed)
-    found = readers.read_dataset(spark, folder)
+    found = readers.read_dataset(spark, folder, columns)
     if found is None:
         if not build:
             raise FileNotFoundError(f"{folder} has no complete dataset")
         # Ids are staged and sorted; the arrays, some forty times as large, are made where a shard is written.
         pairs, then = pair_table(turns, tokenizer), lambda df: sequences.expand(df, s.draft, tokenizer.mask)
         writers.write_dataset(pairs, folder, KEYS, s.shard_bytes, asdict(s), then=then, size=sequences.expanded_bytes(pairs, s.draft))
-        found = readers.read_dataset(spark, folder)
+        found = readers.read_dataset(spark, folder, columns)
     return found.drop("shard_id")
 
 

@@ -724,7 +724,7 @@ def vocabulary_round_trip(spark, d):
     pairs = build.pair_table(turns, v).select(*build.KEYS, v.text(F.col("in_ids")).alias("input"), v.text(F.col("out_ids")).alias("output"))
     lengths = build.length_table(turns, S, v)
     kept = build.chunk_table(turns, S, v).groupBy(*build.KEYS).agg(F.max("end").alias("in_chunks"))
-    cached = build.cached_sequences(turns, S, root, f"{d}/conversations.parquet", v).select(*build.KEYS, F.col("total_len").alias("in_cache"))
+    cached = build.cached_sequences(turns, S, root, f"{d}/conversations.parquet", v, columns=[*build.KEYS, "total_len"]).withColumnRenamed("total_len", "in_cache")
     out = pairs.withColumn("seq_id", build.row_key()).join(lengths, "seq_id").join(kept, build.KEYS).join(cached, build.KEYS)
     return out.select(*build.KEYS, "input", "output", ((F.col("total_len") == F.col("in_chunks")) & (F.col("total_len") == F.col("in_cache"))).alias("agree"))
 

@@ -6,6 +6,9 @@ import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,9 +69,49 @@ def _few_listers(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
-def read_dataset(spark: SparkSession, folder: str) -> DataFrame | None:
+#: Types of columns that tasks read with Arrow, and shards that a task reads.
+PLAIN = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}
+TASK_SHARDS = 4096
+
+
+class ShardRows:
+    """mapInArrow function: numbers of shards (id) to columns of their rows. A shard that isn't there is an error."""
+
+    def __init__(self, folder: str, kinds: dict[str, str]) -> None:
+        self.folder, self.kinds = folder, kinds
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(self.folder)
+        schema = pa.schema([(c, PLAIN[kind]) for c, kind in self.kinds.items()])
+        for batch in batches:
+            numbers = batch.column("id").to_pylist()
+            for low in range(0, len(numbers), 256):
+                held = [schema.empty_table()]
+                for k in numbers[low : low + 256]:
+                    for found in fs.get_file_info(pafs.FileSelector(f"{folder}/shard_id={k}")):
+                        if found.base_name[0] not in "._":
+                            with fs.open_input_file(found.path) as file:
+                                held.append(pq.ParquetFile(file).read(columns=schema.names).select(schema.names).cast(schema))
+                yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
+def read_dataset(spark: SparkSession, folder: str, columns: list[str] | None = None) -> DataFrame | None:
     """The rows of a cached dataset with their shard_id, shard by shard as its manifest lists them, or whole; None if it
-    isn't complete. A dataset without rows has the columns that its manifest names."""
+    isn't complete. A dataset without rows has the columns that its manifest names.
+
+    With ``columns`` those alone, without shard_id: on a local disk tasks find and read shards by their numbers, so that the driver
+    neither lists the files nor has a task for every few of them.
+    """
+    if columns is not None:
+        manifest = read_manifest(spark, folder) if _exists(spark, f"{folder}/rows/_SUCCESS") else None
+        kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromJson(manifest["schema"]).fields} if manifest else {}
+        n, files = len(manifest["shards"]) if manifest else 0, Files(spark)
+        if n and files.local(folder) and all(kinds.get(c) in PLAIN for c in columns) and all(s == f"shard_id={k}" for k, s in enumerate(manifest["shards"])):
+            own = {c: kinds[c] for c in columns}
+            numbers = spark.range(0, n, 1, max(min(n, 4 * spark.sparkContext.defaultParallelism), n // TASK_SHARDS))
+            return numbers.mapInArrow(ShardRows(files.uri(f"{folder}/rows"), own), T.StructType([T.StructField(c, T._parse_datatype_string(kind)) for c, kind in own.items()]))
+        found = read_dataset(spark, folder)
+        return None if found is None else found.select(*columns)
     if not _exists(spark, f"{folder}/rows/_SUCCESS"):
         return None
     manifest = read_manifest(spark, folder)

@@ -256,9 +256,10 @@ def write_dataset(
     plan = materialise(shard_plan(staged.select(F.col(AT).alias("row_id"), F.col(BYTES).alias("bytes")), budget), "plan")
     shards = plan.groupBy("shard_id").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last"), F.count(F.lit(1)).alias("rows"), F.sum("bytes").alias("bytes"))
     begins = materialise(_begins(plan, known["rows"]), "begins")
-    # One row for each shard.
-    shards = {r["shard_id"]: r for r in materialise(shards, "shards").collect()}
-    digest = cache_key({"budget": budget, "rows": known, "shards": [shards[k]["rows"] for k in sorted(shards)]})
+    # One row for each shard, five numbers each; by its number.
+    shards = materialise(shards, "shards").toArrow().sort_by("shard_id")
+    number, firsts, lasts, counts, weights = (shards[c].to_numpy() for c in ("shard_id", "first", "last", "rows", "bytes"))
+    digest = cache_key({"budget": budget, "rows": known, "shards": counts.tolist()})
     done: dict[int, int] = {}
     for name in files.names(marks):
         mark = json.loads(files.read(f"{marks}/{name}") or "{}")
@@ -266,19 +267,22 @@ def write_dataset(
             done |= {int(k): n for k, n in mark["rows"].items()}
         else:
             files.remove(f"{marks}/{name}")
-    for own in _runs([k for k in sorted(shards) if k not in done], per_job or max(4096, -(-len(shards) // 8))):
-        first, last = shards[own[0]]["first"], shards[own[-1]]["last"]
+    for own in _runs([k for k in number.tolist() if k not in done], per_job or max(4096, -(-len(number) // 8))):
+        # Numbers without a gap, and so are their places.
+        at = slice(i := int(np.searchsorted(number, own[0])), i + len(own))
+        first, last = int(firsts[at][0]), int(lasts[at][-1])
         part = staged.filter((F.col(RANGE) >= first >> 33) & (F.col(RANGE) <= last >> 33) & F.col(AT).between(first, last))
-        tasks = min(len(own), max(4 * spark.sparkContext.defaultParallelism, sum(shards[k]["bytes"] for k in own) // TASK_BYTES))
+        tasks = min(len(own), max(4 * spark.sparkContext.defaultParallelism, int(weights[at].sum()) // TASK_BYTES))
         task = F.floor((F.col("shard_id") - own[0]) * tasks / len(own)).cast("int")
         out = _in_shards(part, begins, known["rows"]).repartitionById(tasks, task).sortWithinPartitions("shard_id", AT).drop(RANGE, AT, BYTES)
         out = then(out)
         save = lambda df: _save_shards(df, f"{folder}/rows")
         wrote = Report().write(out, save).counts["rows"]
-        if wrote != (planned := sum(shards[k]["rows"] for k in own)):
+        if wrote != (planned := int(counts[at].sum())):
             raise RuntimeError(f"shards {own[0]} to {own[-1]} have {wrote} rows of {planned}")
-        files.write(f"{marks}/{own[0]}", json.dumps({"plan": digest, "rows": {k: shards[k]["rows"] for k in own}}))
-        done |= {k: shards[k]["rows"] for k in own}
+        has = dict(zip(own, counts[at].tolist(), strict=True))
+        files.write(f"{marks}/{own[0]}", json.dumps({"plan": digest, "rows": has}))
+        done |= has
     if sum(done.values()) != known["rows"]:
         raise RuntimeError(f"the shards have {sum(done.values())} rows of {known['rows']}")
     # The names of the manifest's parts, but for the schema's.

@@ -275,3 +275,23 @@ def test_shards_are_the_same_on_a_local_disk_and_in_other_stores(spark, tmp_path
     content = lambda name: sorted(map(str, readers.read_dataset(spark, str(tmp_path / name)).collect()))
     assert content("a") == content("b") and plan["num_shards"] > 3
     assert len(list((tmp_path / "b" / "rows").glob("shard_id=*/*.parquet"))) == plan["num_shards"]
+
+
+def test_some_columns_of_shards_are_read_without_listing_them(spark, tmp_path):
+    rows = _sequences(spark, 40)
+    folder = str(tmp_path / "cache")
+    n = writers.write_dataset(rows, folder, "id", 700, {})["num_shards"]
+    (tmp_path / "cache" / "rows" / "shard_id=0" / ".hidden.parquet").write_text("")
+    (tmp_path / "cache" / "rows" / f"shard_id={n}").mkdir()
+    found = readers.read_dataset(spark, folder, ["total_len", "id"])
+    assert found.columns == ["total_len", "id"] and found.inputFiles() == []
+    assert sorted(found.collect()) == sorted(rows.select("total_len", "id").collect())
+    assert readers.read_dataset(spark, folder, ["id", "gate_mask"]).exceptAll(rows.select("id", "gate_mask")).count() == 0
+    assert readers.read_dataset(spark, str(tmp_path / "none"), ["id"]) is None
+    writers.write_dataset(rows.limit(0), str(tmp_path / "empty"), "id", 700, {})
+    assert readers.read_dataset(spark, str(tmp_path / "empty"), ["id"]).count() == 0
+    import shutil
+
+    shutil.rmtree(tmp_path / "cache" / "rows" / "shard_id=1")
+    with pytest.raises(Exception, match="shard_id=1"):
+        found.collect()
